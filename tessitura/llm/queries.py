@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from .common import table
+from .chat import digests, format_conversations, with_probe
+from .common import scratch, table
 from .langid import language_id
+from .media import media_columns
+from .near_dup import near_duplicates
 from .packing import pack_documents
 from .quality import score_quality
+from .substring import remove_repeats
 from .token_counts import count_tokens, new_cache
 from .toxicity import score_toxicity
 
@@ -16,6 +21,15 @@ def op1_toxicity(spark, sf_dir):
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_media_columns(spark, sf_dir):
+    return media_columns(table(spark, sf_dir, "documents"), scratch(spark, "media"))
+
+
+def op3_substring_dedup(spark, sf_dir):
+    cleaned = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", F.col("__words").alias("n_words"), F.col("__removed").alias("n_removed"), F.sha2("__kept", 256).alias("kept_sha256"))
+
+
 def op4_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -28,9 +42,17 @@ def op6_quality(spark, sf_dir):
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_chat_formatting(spark, sf_dir):
+    return digests(format_conversations(with_probe(table(spark, sf_dir, "conversations")), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op9_minhash_near_dup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark, sf_dir):
     return language_id(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_packing, op5_token_counts, op6_quality, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_media_columns, op3_substring_dedup, op4_packing, op5_token_counts, op6_quality, op8_chat_formatting, op9_minhash_near_dup, op10_language_id)}
 ORACLES: dict[str, str] = {}
