@@ -9,14 +9,14 @@ are linked where the Jaccard similarity of their full sets is 0.75 or more, and
    (all but a share that is below 1e-9 likely, see needed()), so each class need only offer its rarest retained values: by
    the prefix argument any such pair meets in one of them. A value that thousands of documents share through a common
    passage is thus offered only by documents that hardly have anything else.
-3. In each list every class meets the list's smallest id. A class keeps the best of these by the union-sketch estimate;
-   the exact Jaccard of the full sets verifies; components contract.
-4. The pairs of a list that lie in different components still are estimated, verified and linked. So a large group of
-   near copies costs its size, not its square, and no link between different components is lost.
+3. Rounds of stars: in each list every class meets a few heads. It keeps the best of these by the union-sketch estimate;
+   the exact Jaccard of the full sets verifies; components contract, and the next round only looks between components.
+4. Classes whose lists reach over components after that offer the rarest values of their full sets: by the exact prefix
+   filter, any pair still unlinked meets there. All these pairs between components are estimated, verified and linked. So
+   a large group of near copies costs about its size, not its square, and no link between components is lost.
 
 Words are runs of bytes other than space and \\t\\n\\v\\f\\r, with A-Z in lower case. Fewer than 5 words are one shingle.
-Defined cases: null text or no words give an empty set, linked with nothing; repeated rows of one id are one document whose
-first set counts... each row keeps its own set and all share the id's component; rows of null id are their own component
+Defined cases: null text or no words give an empty set, linked with nothing; rows that repeat an id keep their own sets and components; rows of null id are their own component
 (null) and are kept; an empty table gives no rows; further columns are ignored.
 """
 
@@ -80,10 +80,20 @@ def sketches(documents: DataFrame, k: int) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, sketch array<bigint>")
 
 
+def lists_of(batch, name: str) -> list[np.ndarray]:
+    """A column of bigint arrays as unsigned numpy arrays, without a copy."""
+    column = batch.column(batch.schema.get_field_index(name))
+    at, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
+    return [values[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
 def union_estimate(a: np.ndarray, b: np.ndarray, k: int) -> float:
     """Jaccard similarity by the k smallest values of the union of two sketches; exact if both hold whole sets."""
-    union = np.union1d(a, b)[:k]
-    return float(np.isin(union, a, assume_unique=True).__and__(np.isin(union, b, assume_unique=True)).sum() / len(union)) if len(union) else 0.0
+    both = np.sort(np.concatenate([a, b]))
+    again = np.append(both[1:] == both[:-1], False)
+    union = np.cumsum(~again)  # how many values of the union there are up to here
+    held = min(k, int(union[-1])) if len(both) else 0
+    return float((again & (union < held)).sum()) / held if held else 0.0
 
 
 def with_estimates(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
@@ -92,9 +102,9 @@ def with_estimates(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            unsigned = [[np.asarray(x, np.int64).view(np.uint64) for x in c] for c in rows_of(b, "sa", "sb")]
-            est = np.array([union_estimate(x, y, k) for x, y in zip(*unsigned, strict=True)])
-            whole = np.array([len(x) < k and len(y) < k for x, y in zip(*unsigned, strict=True)], bool)
+            x, y = lists_of(b, "sa"), lists_of(b, "sb")
+            est = np.array([union_estimate(p, q, k) for p, q in zip(x, y, strict=True)], float)
+            whole = np.array([len(p) < k and len(q) < k for p, q in zip(x, y, strict=True)], bool)
             keep = np.where(whole, est >= 0.75 - 1e-9, est >= low)
             ids = [b.column(b.schema.get_field_index(n)) for n in ("a", "b")]
             yield pa.RecordBatch.from_arrays([*ids, pa.array(est)], ["a", "b", "estimate"]).filter(pa.array(keep))
@@ -110,10 +120,10 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             keep = []
-            for x, y in zip(*rows_of(b, "xa", "xb"), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= 75 * (len(x) + len(y) - both))
+            for x, y in zip(lists_of(b, "xa"), lists_of(b, "xb"), strict=True):
+                merged = np.sort(np.concatenate([x, y]))
+                both = int((merged[1:] == merged[:-1]).sum())
+                keep.append(100 * both >= 75 * (len(merged) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     s = sets.select("rep", "hashes")
@@ -121,6 +131,22 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "xa", "xb").mapInArrow(run, "a bigint, b bigint")
 
 
+def prefix_pairs(sets: DataFrame, placed: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different components that can reach 0.75, by the exact prefix filter on full sets.
+
+    sets: (rep, hashes); placed: (rep, n, c). In a common order, rarest first, two sets of similarity 0.75 meet among the
+    first n - ceil(0.75 n) + 1 values of each. A set with more than a quarter of values of its own offers none."""
+    full = sets.join(placed, "rep").select("rep", "n", "c", F.explode("hashes").alias("value"))
+    often = materialize(full.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "shared-values")
+    offered = full.join(often, "value").groupBy("rep").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("list"))
+    room = (F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1 - (F.col("n") - F.size("list"))).cast("int")
+    lists = materialize(offered.where(room > 0).select("rep", "n", "c", F.explode(F.slice("list", F.lit(1), room)).alias("v")).select(F.col("v.value").alias("value"), "rep", "n", "c"), "prefixes")
+    mixed = lists.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("value")
+    open_ = materialize(lists.join(mixed, "value"), "open-prefixes")
+    left, right = open_.toDF("value", "a", "na", "ca"), open_.toDF("value", "b", "nb", "cb")
+    return left.join(right, "value").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & _fits("na", "nb")).select("a", "b").distinct()
+
+
 def full_sets(documents: DataFrame, wanted: DataFrame, filter_bytes: int) -> DataFrame:
     """(rep, hashes) of the wanted documents; a Bloom filter keeps the others' texts out of the shuffle."""
     shared = documents.sparkSession.sparkContext.broadcast(build(wanted.select("rep"), filter_bytes))
@@ -131,11 +157,11 @@ def full_sets(documents: DataFrame, wanted: DataFrame, filter_bytes: int) -> Dat
             at = np.flatnonzero(hits(shared.value, ids.view(np.uint64)))
             if len(at):
                 found = b.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([found.column(0), pa.array([shingle_set(t).tobytes() for t in found.column(1).to_pylist()], pa.binary())], ["rep", "hashes"])
+                yield pa.RecordBatch.from_arrays([found.column(0), pa.array([shingle_set(t).view(np.int64) for t in found.column(1).to_pylist()], pa.list_(pa.int64()))], ["rep", "hashes"])
 
     rows = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text"))
     # a repeated id is one document here: the class's own set is the one that counts
-    return rows.mapInArrow(run, "rep bigint, hashes binary").join(wanted, "rep").where(F.length("hashes") == 8 * F.col("n")).dropDuplicates(["rep"]).select("rep", "hashes")
+    return rows.mapInArrow(run, "rep bigint, hashes array<bigint>").join(wanted, "rep").where(F.size("hashes") == F.col("n")).dropDuplicates(["rep"]).select("rep", "hashes")
 
 
 def components(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
@@ -153,8 +179,32 @@ def components(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
     raise RuntimeError(f"components still change after {most} rounds")
 
 
-def near_duplicates(documents: DataFrame, k: int = 64, filter_bytes: int = 64 << 20) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of documents."""
+def _fits(x: str, y: str):
+    """Set sizes between which a similarity of 0.75 is possible."""
+    return F.least(x, y) * 100 >= F.greatest(x, y) * 75
+
+
+def _placed(lists: DataFrame, grouped: DataFrame | None, links: DataFrame | None) -> DataFrame:
+    """The lists' entries with their component so far and the number of their links as a head."""
+    if grouped is None:
+        return lists.withColumn("c", F.col("rep")).withColumn("degree", F.lit(0))
+    degrees = links.groupBy("b").agg(F.count("*").alias("degree")).withColumnRenamed("b", "rep")
+    return lists.join(grouped.toDF("rep", "c"), "rep", "left").join(degrees, "rep", "left").select("value", "rep", "n", F.coalesce("c", "rep").alias("c"), F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+def _heads(placed: DataFrame, turn: int, hashed: int = 2) -> DataFrame:
+    """Each entry of a list with more than one component, beside the list's heads in other components: the one with most
+    links (at first the smallest id) and some by hash, other ones in each turn."""
+    entry = F.struct("rep", "n", "c")
+    chosen = [F.max_by(entry, F.struct("degree", -F.col("rep")))] + [F.min_by(entry, F.xxhash64("rep", F.lit(turn), F.lit(i))) for i in range(hashed)]
+    heads = placed.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.array_distinct(F.array(*chosen)).alias("heads")).where("lo < hi")
+    return placed.join(heads.select("value", F.explode("heads").alias("head")), "value").where((F.col("rep") != F.col("head.rep")) & (F.col("c") != F.col("head.c")))
+
+
+def near_duplicates(documents: DataFrame, k: int = 64, rounds: int = 3, tries: int = 2, filter_bytes: int = 64 << 20) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of documents.
+
+    rounds of stars come before the exhaustive step; tries is how many of its best heads a class verifies in each."""
     seen = materialize(sketches(documents, k), "sketches")
     real = seen.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = materialize(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
@@ -167,25 +217,25 @@ def near_duplicates(documents: DataFrame, k: int = 64, filter_bytes: int = 64 <<
     room = (F.col("held") - enough + 1 - (F.col("held") - F.size("list"))).cast("int")  # the unshared values come first in the prefix
     lists = materialize(offered.where(room > 0).select("rep", "n", F.explode(F.slice("list", F.lit(1), room)).alias("v")).select("rep", "n", F.col("v.value").alias("value")), "lists")
 
-    # each class meets its lists' smallest ids; the best by estimate is verified
-    heads = materialize(lists.groupBy("value").agg(F.min_by(F.struct("rep", "n"), "rep").alias("head"), F.count("*").alias("members")).where("members > 1"), "heads")
-    fits = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * 75)
-    stars = lists.join(heads, "value").where((F.col("rep") > F.col("head.rep")) & fits(F.col("n"), F.col("head.n"))).select(F.col("rep").alias("a"), F.col("head.rep").alias("b")).distinct()
-    best = with_estimates(stars, classes, k).groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b"))
-    best = materialize(best, "stars")
-    wanted = materialize(lists.join(heads.select("value"), "value").select("rep", "n").distinct(), "wanted")
-    sets = materialize(full_sets(documents, wanted, filter_bytes), "sets")
-    links = materialize(verified(best, sets), "links")
-    first = components(links, "first")
-
-    # what is left between components
-    placed = lists.join(heads.select("value"), "value").join(first.toDF("rep", "c"), "rep", "left").select("value", "rep", "n", F.coalesce("c", "rep").alias("c"))
+    # rounds of stars: the size of a group, not its square
+    shared = lists.groupBy("value").agg(F.count("*").alias("members")).where("members > 1").select("value")
+    lists = materialize(lists.join(shared, "value"), "shared-lists")
+    sets = materialize(full_sets(documents, lists.select("rep", "n").distinct(), filter_bytes), "sets")
+    links, grouped = None, None
+    for turn in range(rounds):
+        heads = _heads(_placed(lists, grouped, links), turn)
+        stars = heads.where(_fits("n", "head.n")).select(F.col("rep").alias("a"), F.col("head.rep").alias("b")).distinct()
+        best = with_estimates(stars, classes, k).groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("estimate", "b")), asc=False), 1, tries).alias("best"))
+        found = materialize(verified(best.select("a", F.explode("best").alias("x")).select("a", "x.b"), sets), f"links-{turn}")
+        links = found if links is None else links.union(found)
+        grouped = components(links, f"components-{turn}")
+
+    # what lies between components still: all pairs that the prefix filter on full sets leaves
+    placed = _placed(lists, grouped, links)
     mixed = placed.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("value")
-    open_ = materialize(placed.join(mixed, "value"), "open")
-    left, right = open_.toDF("value", "a", "na", "ca"), open_.toDF("value", "b", "nb", "cb")
-    pairs = left.join(right, "value").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    rest = materialize(verified(with_estimates(pairs, classes, k), sets), "more-links")
-    grouped = components(links.select("a", "b").union(rest), "all")
+    open_ = materialize(placed.join(mixed, "value").select("rep", "n", "c").distinct(), "open")
+    rest = materialize(verified(with_estimates(prefix_pairs(sets, open_), classes, k), sets), "more-links")
+    grouped = components(links.union(rest), "components")
 
     member = classes.join(grouped.toDF("rep", "c"), "rep", "left").select("digest", F.coalesce("c", "rep").alias("component_id"))
     member = materialize(member, "members")
