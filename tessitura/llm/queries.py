@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .chat import digests, format_conversations, with_probe
 from .common import scratch, table
+from .decontam import find_leaks
 from .langid import language_id
 from .media import media_columns
 from .near_dup import near_duplicates
@@ -42,6 +43,10 @@ def op6_quality(spark, sf_dir):
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_decontamination(spark, sf_dir):
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_chat_formatting(spark, sf_dir):
     return digests(format_conversations(with_probe(table(spark, sf_dir, "conversations")), public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -54,5 +59,5 @@ def op10_language_id(spark, sf_dir):
     return language_id(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_media_columns, op3_substring_dedup, op4_packing, op5_token_counts, op6_quality, op8_chat_formatting, op9_minhash_near_dup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_media_columns, op3_substring_dedup, op4_packing, op5_token_counts, op6_quality, op7_decontamination, op8_chat_formatting, op9_minhash_near_dup, op10_language_id)}
 ORACLES: dict[str, str] = {}
