@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ def features(word: bytes) -> tuple[str, ...]:
     return tuple({form, *(edged[:n] for n in range(4, 8)), *(edged[i : i + n] for n in (4, 5) for i in range(1, len(edged) - n + 1))})
 
 
-def fit(documents: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1, per_class: int = 2500, max_bytes: int = 30_000, max_features: int = 20_000, steps: int = 150, rate: float = 0.3, ridge: float = 3e-4) -> dict | None:
+def fit(documents: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1, per_class: int = 2000, max_bytes: int = 20_000, max_features: int = 20_000, steps: int = 150, rate: float = 0.3, ridge: float = 3e-4) -> dict | None:
     """Feature weights and bias from at most about per_class labelled rows of each class (a documented bound of the fit).
 
     The features are those that toxic documents show significantly more often, max_features at most."""
@@ -62,16 +63,18 @@ def fit(documents: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1, pe
             z[f] = v
     vocabulary = {f: i for i, f in enumerate(sorted(sorted(z, key=lambda f: (-z[f], f))[:max_features]))}
     known = Memo(lambda w: tuple(vocabulary[f] for f in shown[w] if f in vocabulary))
-    ids, sentence_of, doc_of = [], [], []
+    ids, lengths, doc_of = array("i"), array("i"), array("i")
     for i, r in enumerate(rows):
         for s in SENTENCE.findall(bytes(r["text"])):
-            found = [f for w in s.split() for f in known[w]]
-            ids += found
-            sentence_of += [len(doc_of)] * len(found)
+            before = len(ids)
+            for w in s.split():
+                ids.extend(known[w])
+            lengths.append(len(ids) - before)
             doc_of.append(i)
     if not ids:
         return None
-    w, b = _descend(np.array(ids), np.array(sentence_of), np.array(doc_of), y, len(vocabulary), steps, rate, ridge)
+    sentence_of = np.repeat(np.arange(len(doc_of), dtype=np.int32), np.asarray(lengths))
+    w, b = _descend(np.asarray(ids), sentence_of, np.asarray(doc_of), y, len(vocabulary), steps, rate, ridge)
     return {"weights": {f: float(w[i]) for f, i in vocabulary.items() if abs(w[i]) > 0.01}, "bias": float(b)}
 
 
