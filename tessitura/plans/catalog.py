@@ -1,6 +1,567 @@
-"""The registered queries of the engine's own operators and their SQL equivalents."""
+"""The registered queries of the engine's own operators, and the DuckDB SQL that says the same on the same tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import beats as B
+from ..operators import cache as H
+from ..operators import chords as C
+from ..operators import frames as N
+from ..operators import hmm as V
+from ..operators import melody as P
+from ..operators import models as M
+from ..operators import quantize as Q
+from ..operators import score as E
+from ..operators import signal as A
+from ..operators import spectral as S
+from ..operators import tempo as T
+from ..operators import timejoin as J
+from ..sources import bindings as D
+from ..streaming import chunks as R
+from . import lead_sheet as Z
+from .oracles import ORACLES  # noqa: F401  re-exported for the driver contract
+
+THRESHOLD, STEP = 0.12, D.STEP_SEC
+
+
+def r6(df, *columns):
+    """The columns rounded to six places: sums differ in their last bits between engines."""
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def active(spark, sf):
+    return D.note_frames(spark, sf).withColumn("active", F.col("prob") >= THRESHOLD)
+
+
+def stem_frames(spark, sf):
+    """One song whose stems are the labels modulo six; frames of equal stem and number keep their largest probability."""
+    rows = D.note_frames(spark, sf).select(F.lit(1).cast("bigint").alias("song"), (F.col("track_id") % 6).cast("int").alias("stem_idx"), "frame", "pitch", "prob")
+    return rows.groupBy("song", "stem_idx", "frame", "pitch").agg(F.max("prob").alias("prob"))
+
+
+def aligned(spark, sf):
+    return Q.associate(D.note_events(spark, sf), D.beats(spark, sf), D.downbeats(spark, sf))
+
+
+def quantised(spark, sf):
+    return Q.quantize_constant(D.note_events(spark, sf), 120.0)
+
+
+def signatures(spark, sf):
+    """4/4 for 32 beats, then 3/4 to beat 80."""
+    rows = spark.createDataFrame([(0.0, 32.0, 4, 4, 1.0), (32.0, 80.0, 3, 4, 0.8)], "start_beat double, end_beat double, numerator int, denominator int, confidence double")
+    return D.tempo_segments(spark, sf).select("track_id").distinct().crossJoin(F.broadcast(rows))
+
+
+def stems_signal(spark, sf):
+    """The signal blocks as stems of one song: stem = label modulo six, positions by sample."""
+    rows = D.signal(spark, sf).select(F.lit(1).cast("bigint").alias("song"), (F.col("track_id") % 6).cast("int").alias("stem_idx"), "i", "x")
+    return rows.groupBy("song", "stem_idx", "i").agg(F.max("x").alias("x"))
+
+
+def note_extract(spark, sf):
+    return r6(N.extract_notes(D.note_frames(spark, sf), THRESHOLD, STEP), "start_time", "end_time")
+
+
+def note_islands(spark, sf):
+    return r6(N.note_islands(D.note_frames(spark, sf), THRESHOLD, STEP), "start_time", "end_time")
+
+
+def note_merge_gap(spark, sf):
+    return r6(N.merge_adjacent(D.note_events(spark, sf), 0.5), "start_time", "end_time")
+
+
+def note_union_stems(spark, sf):
+    return r6(N.union_stems(stem_frames(spark, sf), 0.3, STEP), "start_time", "end_time")
+
+
+def frame_threshold(spark, sf):
+    rows = D.prob_arrays(spark, sf).select("track_id", "frame", F.posexplode(N.threshold(F.col("probs"), THRESHOLD)).alias("pos", "on"))
+    return rows.groupBy("track_id", "frame").agg(F.count_if("on").alias("n_on"))
+
+
+def frame_active_notes(spark, sf):
+    rows = D.prob_arrays(spark, sf).select("track_id", "frame", F.explode(N.active_notes(F.col("probs"), 0.5)).alias("a"))
+    return r6(rows.select("track_id", "frame", F.col("a.idx").cast("int").alias("idx"), F.col("a.conf").alias("conf")), "conf")
+
+
+def frame_topk_floor(spark, sf):
+    return r6(D.prob_arrays(spark, sf).select("track_id", "frame", N.top_k_floor(F.col("probs")).alias("floor12")), "floor12")
+
+
+def frame_argmax_pitch(spark, sf):
+    return D.prob_arrays(spark, sf).select("track_id", "frame", N.argmax_pitch(F.col("probs")).alias("pitch"))
+
+
+def frame_lookahead_vote(spark, sf):
+    return N.lookahead_vote(D.note_frames(spark, sf)).where("active").select("track_id", "frame", "pitch")
+
+
+def frame_min_duration(spark, sf):
+    return N.min_duration(active(spark, sf).where("active")).select("track_id", "frame", "pitch")
+
+
+def note_onsets(spark, sf):
+    return N.onsets(active(spark, sf))
+
+
+def note_offsets(spark, sf):
+    return N.offsets(active(spark, sf))
+
+
+def stem_max_combine(spark, sf):
+    return r6(N.combine_stems(stem_frames(spark, sf)), "prob")
+
+
+def timeline_transpose(spark, sf):
+    rows = D.prob_arrays(spark, sf).select("track_id", "frame", F.posexplode(N.transpose(F.col("probs"), 1.5)).alias("pos", "prob"))
+    return r6(rows.select("track_id", "frame", F.col("pos").cast("int").alias("pos"), "prob"), "prob")
+
+
+def nearest_frame_lookup(spark, sf):
+    return D.note_events(spark, sf).select("track_id", "id", N.nearest_frame(F.col("start_time"), STEP, F.lit(1200)).alias("frame"))
+
+
+def viterbi_binary(spark, sf):
+    return V.viterbi(D.prob_arrays(spark, sf))
+
+
+def joint_rhythm_states(spark, sf):
+    return V.rhythm_states(spark)
+
+
+def joint_path_segments(spark, sf):
+    """A path through known states: tempo bin 40, 4 beats, then 3 beats."""
+    states = V.rhythm_states(spark)
+    path = D.beats(spark, sf).select("track_id", F.col("beat_idx").alias("frame"), F.when(F.col("beat_idx") < 64, (20 * 27) + 5 + F.col("beat_idx") % 4).otherwise((20 * 27) + 2 + F.col("beat_idx") % 3).cast("int").alias("state_idx"))
+    return V.path_segments(path, states, "meter_class")
+
+
+def joint_path_downbeats(spark, sf):
+    states = V.rhythm_states(spark)
+    path = D.beats(spark, sf).select("track_id", F.col("beat_idx").alias("frame"), ((20 * 27) + 5 + F.col("beat_idx") % 4).cast("int").alias("state_idx"))
+    return V.path_downbeats(path, states)
+
+
+def joint_viterbi(spark, sf):
+    """Best path where the observations favour tempo bin 40 and 4 beats in turn."""
+    favoured = 20 * 27 + 5 + F.col("beat_idx") % 4
+    obs = D.beats(spark, sf).where("beat_idx < 32").select("track_id", F.col("beat_idx").alias("frame"), F.transform(F.sequence(F.lit(0), F.lit(1646)), lambda s: F.when(s == favoured, 2.0).otherwise(0.0)).alias("scores"))
+    return V.decode_joint(obs)
+
+
+def beat_intervals(spark, sf):
+    return r6(B.beat_intervals(D.beats(spark, sf)), "gap")
+
+
+def beats_per_bar(spark, sf):
+    return B.beats_per_bar(D.beats(spark, sf), D.downbeats(spark, sf))
+
+
+def bar_tempo_map(spark, sf):
+    return r6(B.bar_tempo_map(D.beats(spark, sf), D.downbeats(spark, sf)), "start_time_sec", "end_time_sec", "bpm", "beat_duration_sec", "beat_offset")
+
+
+def tempo_map_from_beats(spark, sf):
+    return r6(B.tempo_map_from_beats(D.beats(spark, sf)), "start_time_sec", "end_time_sec", "bpm", "beat_duration_sec", "beat_offset", "confidence")
+
+
+def beat_grid_from_bpm(spark, sf):
+    ends = D.note_events(spark, sf).groupBy("track_id").agg(F.max("end_time").alias("duration")).withColumn("bpm", F.lit(120.0))
+    return r6(B.grid_from_bpm(ends), "t")
+
+
+def beat_grid_from_notes(spark, sf):
+    notes = D.note_events(spark, sf)
+    return r6(B.grid_from_notes(notes, notes.select("track_id").distinct().withColumn("bpm", F.lit(120.0))), "t")
+
+
+def metric_level_double(spark, sf):
+    return r6(B.double_beats(D.beats(spark, sf)), "t")
+
+
+def metric_level_halve(spark, sf):
+    return r6(B.halve_beats(D.beats(spark, sf)), "t")
+
+
+def metric_level_choice(spark, sf):
+    return r6(B.metric_level(D.beats(spark, sf), D.downbeats(spark, sf)), "bpm")
+
+
+def downbeat_consensus(spark, sf):
+    """Three sources: the downbeats, the same moved by 50 ms, and by 90 ms where their number is even."""
+    d = D.downbeats(spark, sf)
+    moved = lambda name, by, where: d.where(where).select("track_id", F.lit(name).alias("source"), (F.col("t") + by).alias("t"))
+    return r6(B.downbeat_consensus(d, moved("mix", 0.0, "true").union(moved("drums", 0.05, "true")).union(moved("bass", 0.09, "db_idx % 2 = 0"))), "t")
+
+
+def downbeat_gap_fill(spark, sf):
+    return r6(B.fill_downbeat_gaps(D.downbeats(spark, sf).where("db_idx % 7 != 3"), 0.5), "t")
+
+
+def downbeats_without_beat(spark, sf):
+    return r6(B.missing_beats(D.downbeats(spark, sf), D.beats(spark, sf).where("beat_idx % 8 != 0"), 0.5), "t")
+
+
+def barline_grid(spark, sf):
+    return r6(B.barlines(signatures(spark, sf), 120.0), "beat")
+
+
+def onset_collect(spark, sf):
+    rows = T.onset_lists(D.note_events(spark, sf))
+    return rows.select("track_id", F.size("onsets").alias("n"), F.round(F.element_at("onsets", -1), 6).alias("last"))
+
+
+def bpm_autocorrelation(spark, sf):
+    return r6(T.bpm_autocorrelation(D.note_events(spark, sf)), "bpm", "confidence")
+
+
+def bpm_octave_resolved(spark, sf):
+    return r6(T.resolve_octave(D.note_events(spark, sf)), "bpm")
+
+
+def subdivision_alignment(spark, sf):
+    return r6(D.note_events(spark, sf).select("track_id", "id", T.subdivision_error(F.col("start_time"), F.lit(0.5)).alias("error")), "error")
+
+
+def sliding_tempo(spark, sf):
+    return r6(T.sliding_windows(D.note_events(spark, sf)), "mean_gap")
+
+
+def windowed_tempo_map(spark, sf):
+    return r6(T.tempo_segments(D.note_events(spark, sf)), "bpm", "beat_duration_sec", "beat_offset")
+
+
+def meter_inference(spark, sf):
+    beats = D.note_events(spark, sf).select("track_id", (F.col("start_time") / 0.5).alias("beat"), "velocity")
+    return r6(T.meter_scores(beats), "score").drop("rank")
+
+
+def meter_merge(spark, sf):
+    halves = signatures(spark, sf).withColumn("half", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        "track_id", (F.col("start_beat") + F.col("half") * (F.col("end_beat") - F.col("start_beat")) / 2).alias("start_beat"),
+        (F.col("end_beat") - (1 - F.col("half")) * (F.col("end_beat") - F.col("start_beat")) / 2).alias("end_beat"), "numerator", "denominator", (F.col("confidence") - F.col("half") * 0.1).alias("confidence"),
+    )
+    return r6(T.merge_equal_neighbours(halves), "confidence")
+
+
+def rhythm_confidence(spark, sf):
+    est = D.tempo_segments(spark, sf).select("track_id").distinct().withColumn("bpm", F.lit(125.0))
+    return r6(T.rhythm_confidence(D.tempo_segments(spark, sf), signatures(spark, sf), est), "confidence")
+
+
+def note_to_beat_time(spark, sf):
+    rows = J.time_to_beat(D.note_events(spark, sf).select("track_id", "id", F.col("start_time").alias("t")), D.tempo_segments(spark, sf))
+    return r6(rows, "t", "beat")
+
+
+def beat_to_time(spark, sf):
+    rows = D.beats(spark, sf).select("track_id", "beat_idx", F.col("beat_idx").cast("double").alias("beat"))
+    return r6(J.beat_to_time(rows, D.tempo_segments(spark, sf)), "t")
+
+
+def note_in_bar_interval(spark, sf):
+    bars = D.downbeats(spark, sf).withColumn("stop", J.next_in_track("t", "db_idx")).where("stop is not null").select("track_id", "db_idx", F.col("t").alias("bar_t"), "stop")
+    return J.interval_join(D.note_events(spark, sf).select("track_id", "id", "start_time"), bars, "start_time", "bar_t", "stop", 2.0).select("track_id", "id", "db_idx")
+
+
+def note_beat_association(spark, sf):
+    return r6(aligned(spark, sf).select("track_id", "id", "beat_index", "bar_index", "prev_beat_time", "next_beat_time", "intra_beat_pos"), "prev_beat_time", "next_beat_time", "intra_beat_pos")
+
+
+def beat_to_bar(spark, sf):
+    d = D.downbeats(spark, sf)
+    rows = J.asof_fill(D.beats(spark, sf).withColumn("late", F.col("t") + 0.001), d.select("track_id", "t", "db_idx"), "late", "t", ["db_idx"])
+    return rows.groupBy("track_id", "db_idx").agg(F.count("*").alias("n_beats"))
+
+
+def swing_sections(spark, sf):
+    return r6(Q.swing_sections(aligned(spark, sf)), "swing_ratio")
+
+
+def swing_majority(spark, sf):
+    return Q.swing_majority(Q.swing_sections(aligned(spark, sf)))
+
+
+def quantize_constant(spark, sf):
+    return r6(quantised(spark, sf), "beat_start", "beat_duration")
+
+
+def quantize_tempo_map(spark, sf):
+    return r6(Q.quantize_tempo_map(D.note_events(spark, sf), D.tempo_segments(spark, sf)), "beat_start", "beat_duration")
+
+
+def quantize_aligned(spark, sf):
+    return r6(Q.quantize_aligned(aligned(spark, sf)), "beat_start", "beat_duration", "confidence")
+
+
+def barline_crossings(spark, sf):
+    return r6(Q.barline_crossings(quantised(spark, sf), B.barlines(signatures(spark, sf), 120.0)), "beat")
+
+
+def notes_with_ties(spark, sf):
+    return r6(Q.split_ties(quantised(spark, sf), B.barlines(signatures(spark, sf), 120.0)), "beat_start", "beat_duration")
+
+
+def grace_notes(spark, sf):
+    return Q.grace_notes(D.note_events(spark, sf))
+
+
+def articulation_nearest(spark, sf):
+    return Q.articulation(quantised(spark, sf), D.note_events(spark, sf), 0.5)
+
+
+def chord_symbol_lookup(spark, sf):
+    return C.chord_table(spark)
+
+
+def chord_scores(spark, sf):
+    return C.chord_scores(spark)
+
+
+def chord_active_set(spark, sf):
+    q = quantised(spark, sf)
+    grid = q.select("track_id", F.floor("beat_start").cast("double").alias("beat")).distinct()
+    return r6(C.sounding_at(grid, q), "held")
+
+
+def chord_scan_step(spark, sf):
+    return C.chord_scan(quantised(spark, sf))
+
+
+def chord_scan_per_bar(spark, sf):
+    return C.chords_per_bar(quantised(spark, sf))
+
+
+def chord_symbol_parse(spark, sf):
+    rows = C.chord_table(spark).select("symbol").distinct()
+    p = X.parse_chord(F.col("symbol"))
+    return rows.select("symbol", p["root"].alias("root"), p["suffix"].alias("suffix"), p["bass"].alias("bass"))
+
+
+def chord_kind_map(spark, sf):
+    rows = C.chord_table(spark).select(X.parse_chord(F.col("symbol"))["suffix"].alias("suffix")).distinct()
+    return rows.select("suffix", X.chord_kind(F.col("suffix")).alias("kind"))
+
+
+def stem_label_classify(spark, sf):
+    label = F.concat(F.col("p_type"), F.lit(" "), F.element_at(F.array(*map(F.lit, ("Drum kit", "Bass", "Lead Vocal", "Guitar", "Keys", "misc"))), (F.col("p_partkey") % 6 + 1).cast("int")))
+    rows = D.read(spark, sf, "part").select("p_partkey", label.alias("label"))
+    stem = X.stem_of(F.col("label"))
+    return rows.select("p_partkey", stem.alias("stem"), X.is_melodic(stem).alias("melodic"))
+
+
+def clock_text(spark, sf):
+    rows = D.read(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 20000).cast("double").alias("s"))
+    text = X.clock_text(F.col("s"))
+    return rows.select("o_orderkey", text.alias("clock"), X.parse_clock(text).alias("seconds"))
+
+
+def midi_names(spark, sf):
+    rows = D.note_events(spark, sf).select("pitch").distinct()
+    return rows.select("pitch", X.midi_name(F.col("pitch")).alias("name"), X.is_black_key(F.col("pitch")).alias("black"), F.round(S.midi_to_hz(F.col("pitch")), 6).alias("hz"))
+
+
+def xml_escape(spark, sf):
+    return D.read(spark, sf, "pages").select("page_id", F.length(X.xml_escape(F.col("html"))).cast("bigint").alias("n_chars"))
+
+
+def melody_skyline(spark, sf):
+    return r6(P.melody_skyline(D.note_events(spark, sf)), "start_time", "end_time")
+
+
+def melody_heuristic(spark, sf):
+    return r6(P.melody_heuristic(D.note_events(spark, sf)), "start_time", "end_time")
+
+
+def melody_continuity(spark, sf):
+    return r6(P.melody_continuity(D.note_events(spark, sf)), "start_time", "end_time")
+
+
+def resample_up(spark, sf):
+    return r6(A.resample(D.signal_blocks(spark, sf), 441, 882), "x")
+
+
+def resample_down(spark, sf):
+    return r6(A.resample(D.signal_blocks(spark, sf), 441, 147), "x")
+
+
+def waveform_points(spark, sf):
+    return r6(A.waveform(D.signal(spark, sf), D.SAMPLE_RATE, 500), "t", "amp")
+
+
+def waveform_peak_norm(spark, sf):
+    return r6(A.waveform_peak_norm(D.signal(spark, sf), D.SAMPLE_RATE, 500, 1.5), "t", "amp")
+
+
+def stem_blend(spark, sf):
+    return r6(A.stem_blend(stems_signal(spark, sf)), "x")
+
+
+def loudness_match(spark, sf):
+    s = D.signal(spark, sf)
+    return r6(A.loudness_match(s.withColumn("x", F.col("x") * 0.1), s), "x")
+
+
+def edge_fades(spark, sf):
+    return r6(A.edge_fades(D.signal(spark, sf), D.SAMPLE_RATE, 0.05), "x")
+
+
+def rms_energy(spark, sf):
+    return r6(A.rms(D.signal(spark, sf)), "rms")
+
+
+def zero_crossing_variance(spark, sf):
+    return r6(A.zero_crossing_variance(D.signal(spark, sf), 128, 64), "variance")
+
+
+def stem_energy_share(spark, sf):
+    return r6(A.stem_energy_share(stems_signal(spark, sf)), "confidence")
+
+
+def moving_median(spark, sf):
+    return r6(A.moving_median(D.signal(spark, sf), 3), "x")
+
+
+def min_max_normalize(spark, sf):
+    return r6(A.min_max_normalize(D.signal(spark, sf)), "x")
+
+
+def db_scale(spark, sf):
+    return D.signal(spark, sf).select("track_id", "i", F.round(S.db_scale(F.col("x")), 5).alias("db"))
+
+
+def mel_pool(spark, sf):
+    rows = D.signal_blocks(spark, sf).select("track_id", "block_no", F.posexplode(S.mel_pool(F.col("samples"), 10)).alias("g", "mean"))
+    return r6(rows.select("track_id", "block_no", F.col("g").cast("int").alias("g"), "mean"), "mean")
+
+
+def overlap_add(spark, sf):
+    return r6(A.overlap_add(A.cut_chunks(D.signal(spark, sf), 256, 192), 192), "x")
+
+
+def stft_magnitude(spark, sf):
+    rows = S.stft(D.signal_blocks(spark, sf)).select("track_id", "frame", F.posexplode("magnitudes").alias("bin", "mag"))
+    return rows.select("track_id", "frame", F.col("bin").cast("int").alias("bin"), F.round("mag", 5).alias("mag"))
+
+
+def hpss(spark, sf):
+    return S.hpss(S.stft(D.signal_blocks(spark, sf)))
+
+
+def cqt_frame(spark, sf):
+    return S.cqt_frames(D.signal_blocks(spark, sf), 441.0, 27.5, 200.0)
+
+
+def cqt_note_detect(spark, sf):
+    return S.detect_notes(S.cqt_frames(D.signal_blocks(spark, sf), 441.0, 27.5, 200.0))
+
+
+def note_model_pipeline(spark, sf):
+    return M.note_pipeline(D.signal_blocks(spark, sf), M.DetectorNoteModel(441.0, 8), 128, 8)
+
+
+def stem_separation(spark, sf):
+    return M.separate(D.signal_blocks(spark, sf).withColumnRenamed("block_no", "chunk_no"))
+
+
+def time_stretch(spark, sf):
+    flat = D.signal_blocks(spark, sf).groupBy("track_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "samples"))), lambda b: b["samples"])).alias("samples"))
+    return A.stretch(flat, 1.25).select("track_id", F.size("samples").alias("n"))
+
+
+def measure_boundaries(spark, sf):
+    until = E.note_spans(quantised(spark, sf)).groupBy("track_id").agg(F.max("end_tick").alias("end_tick"))
+    return E.measure_boundaries(signatures(spark, sf), until)
+
+
+def note_spans(spark, sf):
+    return E.note_spans(quantised(spark, sf))
+
+
+def spans_to_measures(spark, sf):
+    return E.split_into_measures(E.note_spans(quantised(spark, sf)))
+
+
+def duration_tokens(spark, sf):
+    return E.duration_tokens(spark)
+
+
+def voice_assignment(spark, sf):
+    return E.voices(E.split_into_measures(E.note_spans(quantised(spark, sf))))
+
+
+def musicxml_document(spark, sf):
+    q = quantised(spark, sf)
+    return E.musicxml(q, C.chord_scan(q), 120.0)
+
+
+def midi_events(spark, sf):
+    return E.midi_events(D.note_events(spark, sf))
+
+
+def midi_files(spark, sf):
+    return E.midi_files(D.note_events(spark, sf))
+
+
+def chunk_rebuild_trigger(spark, sf):
+    return R.rebuild_triggers(D.chunk_log(spark, sf), 500.0)
+
+
+def late_early_classify(spark, sf):
+    return D.chunk_log(spark, sf).select("event_id", R.timing_class(F.col("us"), F.col("clock")).alias("class"))
+
+
+def debounce_sessions(spark, sf):
+    rows = D.read(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    out = R.debounce(rows, "6 hours")
+    return out.select("key", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), F.round("value", 6).alias("value"), "n")
+
+
+def ring_buffer_tail(spark, sf):
+    return R.ring_tail(D.chunk_log(spark, sf), 5).select("user_id", "event_id")
+
+
+def ema_fold(spark, sf):
+    return r6(R.ema(D.chunk_log(spark, sf)), "rate")
+
+
+def highlight_decay(spark, sf):
+    return r6(N.highlight_decay(D.note_frames(spark, sf).where("pitch < 25"), 0.05), "level")
+
+
+def cache_variant_lookup(spark, sf):
+    """Wanted: each track at its length; cached: the even ones, a third of them much longer."""
+    tracks = D.note_events(spark, sf).groupBy("track_id").agg(F.max("end_time").alias("duration"))
+    keyed = tracks.select(F.col("track_id").cast("string").alias("content_hash"), F.lit(7).cast("bigint").alias("variant_key"), "duration", "track_id")
+    cached = keyed.where("track_id % 2 = 0").select("content_hash", "variant_key", F.when(F.col("track_id") % 3 == 0, F.col("duration") * 1.5).otherwise(F.col("duration")).alias("duration"), F.lit(4).alias("version"))
+    return r6(H.lookup(keyed.drop("track_id"), cached), "duration", "cached_duration")
+
+
+def cache_validation(spark, sf):
+    return H.valid_frames(D.prob_arrays(spark, sf), 64)
+
+
+def loop_split(spark, sf):
+    w = A.waveform(D.signal(spark, sf), D.SAMPLE_RATE, 500)
+    return w.groupBy("track_id", H.loop_part(F.col("t"), 1.0, 3.0).alias("part")).agg(F.count("*").alias("n"))
+
+
+def lead_sheet_summary(spark, sf):
+    """The lead sheet's tables, counted by track."""
+    sheet = Z.lead_sheet(D.note_events(spark, sf), D.beats(spark, sf), D.downbeats(spark, sf))
+    out = None
+    for name in ("aligned_notes", "swing_sections", "quantized_notes", "tempo_segments", "chord_changes"):
+        part = sheet[name].groupBy("track_id").agg(F.count("*").alias("n")).select("track_id", F.lit(name).alias("part"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def lead_sheet_from_notes(spark, sf):
+    return r6(Z.lead_sheet_from_notes(D.note_events(spark, sf))["quantized_notes"], "beat_start", "beat_duration")
+
+
+_HELPERS = {"r6", "active", "stem_frames", "aligned", "quantised", "signatures", "stems_signal"}
+QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and name not in _HELPERS}
