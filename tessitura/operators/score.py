@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -64,20 +65,27 @@ def duration_tokens(spark) -> DataFrame:
     return spark.createDataFrame(rows, "ticks int, seq int, value int, type string, dots int")
 
 
+def _block(measures: int = 32):
+    """Measures are handled in blocks: small groups for Spark, few of them for Python."""
+    return F.floor((F.col("measure") - 1) / measures).alias("block")
+
+
 def voices(pieces: DataFrame) -> DataFrame:
     """Adds voice: within a measure and staff, in order of start and pitch, the lowest voice that has ended."""
 
     def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["start_tick", "pitch", "id"])
-        ends, out = [], []
-        for s, e in zip(rows["start_tick"], rows["end_tick"], strict=True):
-            v = next((i for i, x in enumerate(ends) if x <= s), len(ends))
-            ends[v : v + 1] = [e]
+        rows = rows.sort_values(["measure", "staff", "start_tick", "pitch", "id"])
+        ends: dict[tuple, list[int]] = {}
+        out = []
+        for m, staff, s, e in zip(rows["measure"], rows["staff"], rows["start_tick"], rows["end_tick"], strict=True):
+            held = ends.setdefault((m, staff), [])
+            v = next((i for i, x in enumerate(held) if x <= s), len(held))
+            held[v : v + 1] = [e]
             out.append(v + 1)
         return rows.assign(voice=pd.Series(out, index=rows.index, dtype="int32"))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", voice int"
-    return pieces.groupBy("track_id", "measure", "staff").applyInPandas(assign, schema)
+    return pieces.groupBy("track_id", _block()).applyInPandas(lambda rows: assign(rows), schema)
 
 
 def _note_xml(pitch: int, ticks: int, voice: int, staff: int, chord: bool, stop: bool, start: bool) -> str:
@@ -91,27 +99,27 @@ def _note_xml(pitch: int, ticks: int, voice: int, staff: int, chord: bool, stop:
     )
 
 
-def measure_xml(rows: pd.DataFrame, width: int, first: bool, beats: int, bpm: float | None, harmony: list[tuple[int, str, str, str]]) -> str:
-    """One measure: attributes and tempo in the first, chord symbols, then each voice of both staves with backups."""
-    number = int(rows["measure"].iloc[0])
+def measure_xml(number: int, notes: list[tuple], width: int, first: bool, beats: int, bpm: float | None, harmony: list[tuple[str, str, str]]) -> str:
+    """One measure of (staff, voice, start, pitch, end, stop, start flag) in order: attributes and tempo in the first, chord
+    symbols, then each voice of both staves with backups."""
     out = [f'<measure number="{number}">']
     if first:
         out.append(f'<attributes><divisions>{TICKS}</divisions><time><beats>{beats}</beats><beat-type>4</beat-type></time><staves>2</staves><clef number="1"><sign>G</sign><line>2</line></clef><clef number="2"><sign>F</sign><line>4</line></clef></attributes>')
         if bpm:
             out.append(f'<direction><sound tempo="{bpm:.2f}"/></direction>')
-    for _, step, alter, kind in harmony:
+    for step, alter, kind in harmony:
         out.append(f"<harmony><root><root-step>{step}</root-step>{f'<root-alter>{alter}</root-alter>' if alter != '0' else ''}</root><kind>{kind}</kind></harmony>")
-    base, wrote = (number - 1) * width, False
-    for (staff, voice), part in rows.sort_values(["staff", "voice", "start_tick", "pitch"]).groupby(["staff", "voice"]):
-        if wrote:
+    base = (number - 1) * width
+    for k, ((staff, voice), part) in enumerate(groupby(notes, key=lambda n: n[:2])):
+        if k:
             out.append(f"<backup><duration>{width}</duration></backup>")
-        cursor, wrote = 0, True
-        for start, chord in part.groupby("start_tick"):
-            at, length = int(start) - base, int(chord["end_tick"].max() - start)
+        cursor = 0
+        for start, chord in groupby(part, key=lambda n: n[2]):
+            chord = list(chord)
+            at, length = start - base, max(n[4] for n in chord) - start
             if at > cursor:
                 out.append(f"<forward><duration>{at - cursor}</duration></forward>")
-            for i, n in enumerate(chord.itertuples()):
-                out.append(_note_xml(int(n.pitch), length, int(voice), int(staff), i > 0, bool(n.tie_stop), bool(n.tie_start)))
+            out += [_note_xml(n[3], length, voice, staff, i > 0, n[5], n[6]) for i, n in enumerate(chord)]
             cursor = at + length
         if cursor < width:
             out.append(f"<forward><duration>{width - cursor}</duration></forward>")
@@ -120,7 +128,7 @@ def measure_xml(rows: pd.DataFrame, width: int, first: bool, beats: int, bpm: fl
 
 
 def musicxml(quantised: DataFrame, chords: DataFrame | None = None, bpm: float | None = None, beats: int = 4) -> DataFrame:
-    """(track_id, xml): measures are written one group each and joined in order by an aggregate."""
+    """(track_id, xml): measures are written in blocks and joined in order by an aggregate."""
     from ..functions.text import chord_kind, parse_chord
 
     width = beats * TICKS
@@ -138,13 +146,16 @@ def musicxml(quantised: DataFrame, chords: DataFrame | None = None, bpm: float |
         rows = rows.withColumn("harmony", F.lit(None).cast("array<struct<tick:int,step:string,alter:string,kind:string>>"))
 
     def write(part: pd.DataFrame) -> pd.DataFrame:
-        h = part["harmony"].iloc[0]
-        marks = [(x["tick"], x["step"], x["alter"], x["kind"]) for x in h] if h is not None else []
-        number = int(part["measure"].iloc[0])
-        text = measure_xml(part, width, number == int(part["first_measure"].iloc[0]), beats, bpm, marks)
-        return pd.DataFrame([(part["track_id"].iloc[0], number, text)], columns=["track_id", "measure", "xml"])
-
-    measures = rows.groupBy("track_id", "measure").applyInPandas(write, "track_id bigint, measure int, xml string")
+        part = part.sort_values(["measure", "staff", "voice", "start_tick", "pitch", "id"])
+        marks = {int(m): [(x["step"], x["alter"], x["kind"]) for x in h] for m, h in zip(part["measure"], part["harmony"], strict=True) if h is not None}
+        start = int(part["first_measure"].iloc[0])
+        notes = zip(*(part[c].tolist() for c in ("measure", "staff", "voice", "start_tick", "pitch", "end_tick", "tie_stop", "tie_start")), strict=True)
+        rows = []
+        for number, group in groupby(notes, key=lambda n: n[0]):
+            rows.append((part["track_id"].iloc[0], number, measure_xml(number, [n[1:] for n in group], width, number == start, beats, bpm, marks.get(number, []))))
+        return pd.DataFrame(rows, columns=["track_id", "measure", "xml"])
+
+    measures = rows.groupBy("track_id", _block()).applyInPandas(lambda part: write(part), "track_id bigint, measure int, xml string")
     head = '<?xml version="1.0" encoding="UTF-8"?><score-partwise version="3.1"><part-list><score-part id="P1"><part-name>Score</part-name></score-part></part-list><part id="P1">'
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("measure", "xml"))), lambda m: m["xml"]), "")
     return measures.groupBy("track_id").agg(F.concat(F.lit(head), body, F.lit("</part></score-partwise>")).alias("xml"))
