@@ -34,7 +34,7 @@ from .common import Memo, materialize, rows_of
 SHINGLE = 5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xC4CEB9FE1A85EC53)
-_words = Memo(lambda w: xxhash.xxh3_64_intdigest(w, seed=5), 400_000)
+_words = Memo(lambda w: xxhash.xxh3_64_intdigest(w, seed=5), 150_000)
 
 
 def shingle_set(text: bytes | None) -> np.ndarray:
@@ -139,12 +139,16 @@ def prefix_pairs(sets: DataFrame, placed: DataFrame) -> DataFrame:
     full = sets.join(placed, "rep").select("rep", "n", "c", F.explode("hashes").alias("value"))
     often = materialize(full.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "shared-values")
     offered = full.join(often, "value").groupBy("rep").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("list"))
-    room = (F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1 - (F.col("n") - F.size("list"))).cast("int")
-    lists = materialize(offered.where(room > 0).select("rep", "n", "c", F.explode(F.slice("list", F.lit(1), room)).alias("v")).select(F.col("v.value").alias("value"), "rep", "n", "c"), "prefixes")
+    alone = F.col("n") - F.size("list")  # values of its own come first in the order
+    room = (F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1 - alone).cast("int")
+    lists = offered.where(room > 0).select("rep", "n", "c", alone.alias("alone"), F.posexplode(F.slice("list", F.lit(1), room)).alias("i", "v"))
+    lists = materialize(lists.select(F.col("v.value").alias("value"), "rep", "n", "c", (F.col("n") - F.col("alone") - F.col("i")).alias("left")), "prefixes")
     mixed = lists.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("value")
     open_ = materialize(lists.join(mixed, "value"), "open-prefixes")
-    left, right = open_.toDF("value", "a", "na", "ca"), open_.toDF("value", "b", "nb", "cb")
-    return left.join(right, "value").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & _fits("na", "nb")).select("a", "b").distinct()
+    x, y = open_.toDF("value", "a", "na", "ca", "la"), open_.toDF("value", "b", "nb", "cb", "lb")
+    # from its first common value on, a pair has at most the shorter rest in common; it needs 3 / 7 of both sizes
+    enough = F.least("la", "lb") * 7 >= (F.col("na") + F.col("nb")) * 3
+    return x.join(y, "value").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & _fits("na", "nb") & enough).select("a", "b").distinct()
 
 
 def full_sets(documents: DataFrame, wanted: DataFrame, filter_bytes: int) -> DataFrame:
