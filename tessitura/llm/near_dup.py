@@ -16,8 +16,8 @@ are linked where the Jaccard similarity of their full sets is 0.75 or more, and
    a large group of near copies costs about its size, not its square, and no link between components is lost.
 
 Words are runs of bytes other than space and \\t\\n\\v\\f\\r, with A-Z in lower case. Fewer than 5 words are one shingle.
-Defined cases: null text or no words give an empty set, linked with nothing; rows that repeat an id keep their own sets and components; rows of null id are their own component
-(null) and are kept; an empty table gives no rows; further columns are ignored.
+Defined cases: null text or no words give an empty set, linked with nothing; rows that repeat an id keep their own sets and components; rows of null id have no
+component (null) and are kept; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -244,4 +244,4 @@ def near_duplicates(documents: DataFrame, k: int = 64, rounds: int = 3, tries: i
     member = classes.join(grouped.toDF("rep", "c"), "rep", "left").select("digest", F.coalesce("c", "rep").alias("component_id"))
     member = materialize(member, "members")
     rows = seen.select("doc_id", "n_shingles", "digest").join(member, "digest", "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
