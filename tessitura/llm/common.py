@@ -30,6 +30,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of whole texts. Arrow batches are bounded by bytes as well: rows are kilobytes on average, and megabytes at times."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -86,3 +89,13 @@ class Memo(dict):
 def rows_of(batch, *names):
     """The named columns of an Arrow batch as Python lists."""
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
+
+
+def slices_of(texts: list, most_bytes: int):
+    """(start, stop) of runs of texts with about most_bytes together, so that what a task holds at once doesn't follow the batch."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or b"") + 64
+        if size >= most_bytes or i == len(texts) - 1:
+            yield start, i + 1
+            start, size = i + 1, 0

@@ -9,8 +9,8 @@ id is removed. Documents come in batches of rising ids, and each batch takes thr
    the batch's anchors as a new sorted run. Runs are compacted into one when there are max_runs of them.
 2. Windows. The shared anchors go into a Bloom filter of a fixed largest size; false hits cost work, never results. Windows
    at a shared anchor, of the batch and of the documents before it, are hashed whole and dealt by hash. Equal windows of
-   one map task are settled there: only the smallest id's go on, so a passage that a third of all rows share costs one
-   entry a task. Equality is verified by a second, independent hash of 32 bits besides the 64 that deal.
+   a slice of a map task (4 MB of text) are settled there: only the smallest id's go on, so a passage that a third of
+   all rows share costs one entry a slice. Equality is verified by a second, independent hash of 32 bits besides the 64 that deal.
 3. Removal. The windows' positions meet the texts, dealt by a hash of the row, and the covered words go.
 
 Words are runs of bytes other than space and \\t\\n\\v\\f\\r. Defined cases: null text has no words; rows of null id own
@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import build, hits
-from .common import Memo, rows_of, scratch
+from .common import Memo, rows_of, scratch, slices_of
 
 WINDOW, GRAM = 13, 6
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
-_words = Memo(lambda w: xxhash.xxh3_64_intdigest(w), 400_000)
+_words = Memo(lambda w: xxhash.xxh3_64_intdigest(w), 200_000)
 
 
 def word_hashes(text: bytes | None) -> np.ndarray:
@@ -61,6 +61,18 @@ def window_anchors(h: np.ndarray) -> np.ndarray:
     return m
 
 
+def _runs(keys: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, first and number of consecutive positions."""
+    order = np.lexsort((pos, keys))
+    keys, pos = keys[order], pos[order].astype(np.int64)
+    if not len(keys):
+        return keys, pos, pos
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (pos[1:] > pos[:-1] + 1)])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(keys)) - 1
+    return keys[first], pos[first], pos[last] - pos[first] + 1
+
+
 def _slices(sorted_values: np.ndarray, parts: int):
     """(part, slice) of sorted 64-bit values, dealt to parts by equal ranges."""
     bounds = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
@@ -141,17 +153,19 @@ def _compact_bucket(table: pa.Table) -> pa.Table:
 
 
 def anchor_rows(batch: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, anchors) of a batch of documents: for each map task and bucket the sorted anchors; the lowest bit says
-    that two of the task's rows have it."""
+    """(bucket, anchors) of a batch of documents: for each slice of a task and bucket the sorted anchors; the lowest
+    bit says that two of the slice's rows have it."""
 
     def run(batches):
         for b in batches:
-            found = [np.unique(window_anchors(word_hashes(t))) for t in rows_of(b, "text")[0]]
-            values, counts = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
-            values |= (counts > 1).astype(np.uint64)
-            rows = [(i, *_packed(_deltas(values[s]))) for i, s in _slices(values, buckets)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary()), strict=True)], ["bucket", "anchors"])
+            texts = rows_of(b, "text")[0]
+            for start, stop in slices_of(texts, 4 << 20):
+                found = [np.unique(window_anchors(word_hashes(t))) for t in texts[start:stop]]
+                values, counts = np.unique(np.concatenate(found), return_counts=True)
+                values |= (counts > 1).astype(np.uint64)
+                rows = [(i, *_packed(_deltas(values[s]))) for i, s in _slices(values, buckets)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary()), strict=True)], ["bucket", "anchors"])
 
     return batch.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "bucket int, anchors binary")
 
@@ -177,49 +191,61 @@ def _repeats(win, chk, ids):
 
 
 _WINDOWS = "bucket int, win binary, chk binary, row binary, pos binary, ids binary, keys binary, new binary, done boolean"
-_REMOVALS = "__shard int, keys binary, counts binary, pos binary"
+_REMOVALS = "__key bigint, start bigint, n bigint"
 
 
 def window_rows(rows: DataFrame, bloom: np.ndarray, buckets: int) -> DataFrame:
-    """Windows at shared anchors, for each map task: those that a smaller id of the task repeats are marked done."""
+    """Windows at shared anchors, for each slice of a task: those that a smaller id of the slice repeats are marked done."""
     shared = rows.sparkSession.sparkContext.broadcast(bloom)  # at most max_bytes
 
     def run(batches):
-        for number, b in enumerate(batches):
-            bits = shared.value
-            ids, keys, new, texts = rows_of(b, "__id", "__key", "__new", "text")
-            wins, chks, poss, whose = [], [], [], []
-            for i, text in enumerate(texts):
-                h = word_hashes(text)
-                at = np.flatnonzero(hits(bits, window_anchors(h)))
-                if len(at):
-                    wins.append(rolled(h, WINDOW, _ODD[1])[at])
-                    chks.append((rolled(h, WINDOW, _ODD[2])[at] >> np.uint64(32)).astype(np.uint32))
-                    poss.append(at.astype(np.uint32))
-                    whose.append(np.full(len(at), i, np.uint32))
-            if not wins:
-                continue
-            win, chk, pos, row = map(np.concatenate, (wins, chks, poss, whose))
-            ids, keys, new = np.array(ids, np.int64), np.array(keys, np.int64), np.array(new, bool)
-            order, again = _repeats(win, chk, ids[row])
-            win, chk, pos, row = win[order], chk[order], pos[order], row[order]
-            out = []
-            ends = again & new[row]
-            go = ~again
-            for part, s in _slices(win[go], buckets):
-                used, local = np.unique(row[go][s], return_inverse=True)
-                out.append((part, *_packed(_deltas(win[go][s]), chk[go][s], local.astype(np.uint32), pos[go][s], ids[used], keys[used], new[used]), False))
-            if ends.any():
-                used, local = np.unique(row[ends], return_inverse=True)
-                empty = _packed(np.zeros(0, np.uint64), np.zeros(0, np.uint32))
-                out.append(((int(keys[used[0]]) + number) % buckets, *empty, *_packed(local.astype(np.uint32), pos[ends], ids[used], keys[used], new[used]), True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 7, pa.bool_()), strict=True)], [c.split()[0] for c in _WINDOWS.split(", ")])
+        number = 0
+        for b in batches:
+            columns = rows_of(b, "__id", "__key", "__new", "text")
+            for start, stop in slices_of(columns[3], 4 << 20):
+                number += 1
+                if out := settle_slice(number, *(c[start:stop] for c in columns)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 7, pa.bool_()), strict=True)], [c.split()[0] for c in _WINDOWS.split(", ")])
+
+    def settle_slice(number, ids, keys, new, texts):
+        bits = shared.value
+        ancs, wins, chks, poss, whose = [], [], [], [], []
+        for i, text in enumerate(texts):
+            h = word_hashes(text)
+            anchors = window_anchors(h)
+            at = np.flatnonzero(hits(bits, anchors))
+            if len(at):
+                ancs.append(anchors[at])
+                wins.append(rolled(h, WINDOW, _ODD[1])[at])
+                chks.append((rolled(h, WINDOW, _ODD[2])[at] >> np.uint64(32)).astype(np.uint32))
+                poss.append(at.astype(np.uint32))
+                whose.append(np.full(len(at), i, np.uint32))
+        if not wins:
+            return []
+        anc, win, chk, pos, row = map(np.concatenate, (ancs, wins, chks, poss, whose))
+        ids, keys, new = np.array(ids, np.int64), np.array(keys, np.int64), np.array(new, bool)
+        order, again = _repeats(win, chk, ids[row])
+        anc, win, chk, pos, row = anc[order], win[order], chk[order], pos[order], row[order]
+        out, go, ends = [], np.flatnonzero(~again), again & new[row]
+        # equal windows have equal anchors, and neighbours often share one: dealt by anchor, they arrive as runs
+        part = ((anc[go] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        go = go[np.argsort(part, kind="stable")]  # still by window in each bucket
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=buckets))])
+        for i in np.flatnonzero(np.diff(cuts)).tolist():
+            s = go[cuts[i] : cuts[i + 1]]
+            used, local = np.unique(row[s], return_inverse=True)
+            out.append((i, *_packed(_deltas(win[s]), chk[s], local.astype(np.uint32), pos[s], ids[used], keys[used], new[used]), False))
+        if ends.any():
+            used, local = np.unique(row[ends], return_inverse=True)
+            empty = _packed(np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+            out.append(((int(keys[used[0]]) + number) % buckets, *empty, *_packed(local.astype(np.uint32), pos[ends], ids[used], keys[used], new[used]), True))
+        return out
 
     return rows.mapInArrow(run, _WINDOWS)
 
 
-def removals(windows: DataFrame, shards: int) -> DataFrame:
-    """Positions to remove, dealt to shards by the row's key."""
+def removals(windows: DataFrame) -> DataFrame:
+    """Runs of window positions to remove: (__key, start, n)."""
 
     def settle(table: pa.Table) -> pa.Table:
         parts = [[_unpacked(x, k) for x, k in zip(r, (np.uint64, np.uint32, np.uint32, np.uint32, np.int64, np.int64, bool), strict=True)] for r in zip(*(table[c].to_pylist() for c in ("win", "chk", "row", "pos", "ids", "keys", "new")), strict=True)]
@@ -234,26 +260,18 @@ def removals(windows: DataFrame, shards: int) -> DataFrame:
             key_list.append(keys[take])
             pos_list.append(pos[take])
         keys, pos = np.concatenate([*key_list, np.zeros(0, np.int64)]), np.concatenate([*pos_list, np.zeros(0, np.uint32)])
-        shard = keys.astype(np.uint64) % np.uint64(shards)
-        order = np.lexsort((pos, keys, shard))
-        keys, pos, shard = keys[order], pos[order], shard[order]
-        out, cuts = [], np.flatnonzero(np.diff(shard.astype(np.int64), prepend=-1))
-        for a, b in zip(cuts, np.append(cuts, len(keys))[1:], strict=True):
-            used, counts = np.unique(keys[a:b], return_counts=True)  # keys are sorted, so positions stay beside them
-            out.append((int(shard[a]), *_packed(used, counts.astype(np.uint32), pos[a:b])))
-        columns = zip(*out, strict=True) if out else [[], [], [], []]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["__shard", "keys", "counts", "pos"])
+        return pa.table([pa.array(c.astype(np.int64)) for c in _runs(keys, pos)], names=["__key", "start", "n"])
 
     return windows.groupBy("bucket").applyInArrow(settle, _REMOVALS)
 
 
-def _kept(words: list[bytes], at: np.ndarray | None) -> tuple[bytes, int]:
-    """The words that no window at these positions covers, joined by one space, and how many went."""
-    if at is None or not len(at):
+def _kept(words: list[bytes], starts: np.ndarray, n: np.ndarray) -> tuple[bytes, int]:
+    """The words that no window of these runs covers, joined by one space, and how many went."""
+    if not len(starts):
         return b" ".join(words), 0
     cover = np.zeros(len(words) + 1, np.int64)
-    np.add.at(cover, at, 1)
-    np.add.at(cover, np.minimum(at.astype(np.int64) + WINDOW, len(words)), -1)
+    np.add.at(cover, starts, 1)
+    np.add.at(cover, np.minimum(starts + n - 1 + WINDOW, len(words)), -1)
     stay = np.cumsum(cover[:-1]) == 0
     return b" ".join([words[i] for i in np.flatnonzero(stay)]), int(len(words) - stay.sum())
 
@@ -278,7 +296,7 @@ def remove_repeats(documents: DataFrame, root: str | None = None, batches: int =
         shared = index.merge(anchor_rows(fresh, buckets))
         bloom = build(anchor_values(shared), filter_bytes)
         marked = upto.withColumn("__new", F.lit(True) if lo is None else F.col("__id") > lo)
-        part = removals(window_rows(marked, bloom, buckets), shards)
+        part = removals(window_rows(marked, bloom, buckets))
         found = part if found is None else found.unionByName(part)
         if len(index.runs) >= max_runs:
             index.compact()
@@ -291,20 +309,21 @@ def _apply(keyed: DataFrame, found: DataFrame, shards: int) -> DataFrame:
     names = [f.name for f in fields]
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        at: dict[int, list[np.ndarray]] = {}
-        for k, c, p in zip(*(right[n].to_pylist() for n in ("keys", "counts", "pos")), strict=True):
-            pos = np.split(_unpacked(p, np.uint32), np.cumsum(_unpacked(c, np.uint32))[:-1])
-            for key, part in zip(_unpacked(k, np.int64).tolist(), pos, strict=True):
-                at.setdefault(key, []).append(part)
+        keys, starts, runs = (right[n].to_numpy() for n in ("__key", "start", "n"))
+        order = np.argsort(keys, kind="stable")
+        keys, starts, runs = keys[order], starts[order], runs[order]
+        own = left["__key"].to_numpy()
+        lo, hi = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
         n_words, n_gone, kept = [], [], []
-        for key, text in zip(left["__key"].to_pylist(), left["text"].to_pylist(), strict=True):
+        for a, z, text in zip(lo, hi, left["text"].to_pylist(), strict=True):
             words = text.encode().split() if text else []
-            stay, gone = _kept(words, np.unique(np.concatenate(at[key])) if key in at else None)
+            stay, gone = _kept(words, starts[a:z], runs[a:z])
             n_words.append(len(words))
             n_gone.append(gone)
             kept.append(stay)
         out = [left[n].combine_chunks() for n in names] + [pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(kept, pa.binary())]
         return pa.table(out, names=[*names, "__words", "__removed", "__kept"])
 
-    left = keyed.withColumn("__shard", F.expr(f"cast(((__key >>> 1) % {shards} * 2 + (__key & 1)) % {shards} as int)"))  # the unsigned key modulo shards
-    return left.groupBy("__shard").cogroup(found.groupBy("__shard")).applyInArrow(remove, schema)
+    # the unsigned key modulo shards
+    shard = F.expr(f"cast(((__key >>> 1) % {shards} * 2 + (__key & 1)) % {shards} as int)").alias("__shard")
+    return keyed.groupBy(shard).cogroup(found.groupBy(shard)).applyInArrow(remove, schema)
