@@ -5,8 +5,8 @@ which is lossless. Each distinct payload is stored once, under its SHA-256, in a
 offset and length. Reading starts with a range read of the header alone, which fills the metadata columns; the payload
 itself is read where features are asked for.
 
-Equal payloads are dropped within each map task before they are dealt by digest, so a payload that a third of all rows
-share reaches its writer once a task. A shard's name holds the task attempt: a lost task leaves an orphan, and only the
+No payload moves through a shuffle: digests are dealt, each gets one owner among its rows, and the owner's map task stores
+the payload. A payload that a third of all rows share is thus one row's work. A shard's name holds the task attempt: a lost task leaves an orphan, and only the
 index that Spark commits says which shards count. Shards go through pyarrow's file systems to the shared folder.
 
 Defined cases: null text is empty and becomes one row of spaces; repeated rows share a payload; a null id is kept; an empty
@@ -28,6 +28,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import build, hits
+from .common import materialize
+
 WIDTH = 192
 HEADER_BYTES = 33  # signature and the first chunk, which has the size
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -79,46 +82,37 @@ def payload_feature(payload: bytes) -> str:
 
 
 def with_payload(documents: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload and its digest; all in the JVM."""
+    """doc_id, n_bytes, payload, its digest, and a key of the row; all in the JVM."""
     raw = documents.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"))
     sized = raw.withColumn("n_bytes", F.length("raw").cast("long")).withColumn("padded", F.expr(f"cast(greatest(1, ceil(n_bytes / {WIDTH})) * {WIDTH} as int)"))
-    return sized.select("doc_id", "n_bytes", F.expr("rpad(raw, padded, X'20')").alias("payload")).withColumn("digest", F.unhex(F.sha2("payload", 256)))
+    rows = sized.select("doc_id", "n_bytes", F.expr("rpad(raw, padded, X'20')").alias("payload")).withColumn("digest", F.unhex(F.sha2("payload", 256)))
+    return rows.withColumn("key", F.xxhash64("doc_id", "digest"))
 
 
-def write_shards(payloads: DataFrame, root: str, shard_bytes: int = 256 << 20) -> DataFrame:
-    """Store each distinct payload once below root; the index table, written and read back."""
-
-    def encode(batches):
-        seen: set[bytes] = set()  # 32 bytes a row of this partition
-        for batch in batches:
-            out = []
-            for digest, payload in zip(batch.column(0), batch.column(1), strict=True):
-                if (d := digest.as_py()) not in seen:
-                    seen.add(d)
-                    out.append((d, encode_image(payload.as_py())))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["digest", "media"])
+def _write(payloads: DataFrame, root: str, path: str, skip: np.ndarray, take: bool, shard_bytes: int) -> None:
+    """Store the payloads whose key the filter skip does not have (with take: has) in this task's shards; write their index."""
+    shared = payloads.sparkSession.sparkContext.broadcast(skip)
 
     def write(batches):
         files, top = fs.FileSystem.from_uri(root)
-        task = TaskContext.get()
-        seen: set[bytes] = set()
-        shard, n, rows = None, 0, []
-
-        def close():
-            if shard:
-                shard[1].close()
-                shard[2].close()
-
         files.create_dir(top, recursive=True)
+        task = TaskContext.get()
+        seen: set[bytes] = set()  # 32 bytes a row of this partition
+        shard, n = None, 0
         for batch in batches:
-            for digest, media in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows = []
+            keys = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            for i in np.flatnonzero(hits(shared.value, keys) == take):
+                digest = batch.column(0)[int(i)].as_py()
                 if digest in seen:
                     continue
                 seen.add(digest)
+                media = encode_image(batch.column(1)[int(i)].as_py())
                 if shard is None or shard[1].offset >= shard_bytes:
-                    close()
-                    name = f"shard-{task.partitionId():06d}-{task.taskAttemptId()}-{n:04d}.tar"
+                    if shard:
+                        shard[1].close()
+                        shard[2].close()
+                    name = f"shard-{task.stageId():05d}-{task.partitionId():06d}-{task.taskAttemptId()}-{n:04d}.tar"
                     sink = files.open_output_stream(f"{top}/{name}")
                     shard, n = (name, tarfile.open(mode="w|", fileobj=sink, format=tarfile.USTAR_FORMAT), sink), n + 1
                 info = tarfile.TarInfo(f"{digest.hex()[:2]}/{digest.hex()}.png")
@@ -126,14 +120,46 @@ def write_shards(payloads: DataFrame, root: str, shard_bytes: int = 256 << 20) -
                 at = shard[1].offset + tarfile.BLOCKSIZE  # the member follows its header block
                 shard[1].addfile(info, io.BytesIO(media))
                 rows.append((digest, shard[0], at, len(media)))
-        close()
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["digest", "shard", "offset", "length"])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["digest", "shard", "offset", "length"])
+        if shard:
+            shard[1].close()
+            shard[2].close()
+
+    payloads.select("digest", "payload", "key").mapInArrow(write, INDEX_SCHEMA).write.mode("append").parquet(path)
+
+
+def write_shards(payloads: DataFrame, slim: DataFrame, root: str, shard_bytes: int = 256 << 20, filter_bytes: int = 64 << 20) -> DataFrame:
+    """Store each distinct payload once below root; the index table, written and read back.
 
+    Each digest has an owner, its row of least key. The keys of all other rows make a Bloom filter: a row it doesn't have owns
+    its payload, and its map task stores it. The few owners that the filter has by chance follow in a second pass."""
     spark = payloads.sparkSession
-    once = payloads.select("digest", "payload").mapInArrow(encode, "digest binary, media binary").repartition("digest")
-    once.mapInArrow(write, INDEX_SCHEMA).write.parquet(f"{root}/index")
-    return spark.read.schema(INDEX_SCHEMA).parquet(f"{root}/index")
+    owners = materialize(slim.groupBy("digest").agg(F.min("key").alias("owner")), "owners")
+    copies = slim.join(owners, "digest").where("key != owner").select("key").distinct()
+    skip = build(copies, filter_bytes)
+    _write(payloads, root, f"{root}/index", skip, False, shard_bytes)
+    shared = spark.sparkContext.broadcast(skip)
+
+    def chance(batches):
+        for b in batches:
+            keys = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[hits(shared.value, keys.view(np.uint64))])], ["owner"])
+
+    doubtful = materialize(owners.select("owner").mapInArrow(chance, "owner bigint"), "doubtful")
+    if not doubtful.isEmpty():
+        again = spark.sparkContext.broadcast(build(doubtful, filter_bytes))
+
+        def likely(batches):
+            for b in batches:
+                keys = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                yield b.filter(pa.array(hits(again.value, keys)))
+
+        rest = payloads.select("digest", "payload", "key").mapInArrow(likely, "digest binary, payload binary, key bigint")
+        _write(rest.join(doubtful, rest["key"] == doubtful["owner"], "left_semi"), root, f"{root}/index", skip, True, shard_bytes)
+    index = spark.read.schema(INDEX_SCHEMA).parquet(f"{root}/index")
+    # rows that repeat id and text have one key, and may have stored a payload in more than one task
+    return index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.shard", "at.offset", "at.length")
 
 
 def read_media(index: DataFrame, root: str, payload_columns: bool = True) -> DataFrame:
@@ -177,8 +203,9 @@ def read_media(index: DataFrame, root: str, payload_columns: bool = True) -> Dat
 def media_columns(documents: DataFrame, root: str) -> DataFrame:
     """Each row with where its payload lies and what its stored form says."""
     rows = with_payload(documents)
-    index = write_shards(rows, root)
-    placed = index.join(read_media(index, root), "digest")
-    return rows.select("doc_id", "n_bytes", "digest").join(placed, "digest").select(
+    slim = materialize(rows.select("doc_id", "n_bytes", "digest", "key"), "digests")
+    index = materialize(write_shards(rows, slim, root), "media-index")
+    placed = materialize(index.join(read_media(index, root), "digest"), "media")
+    return slim.select("doc_id", "n_bytes", "digest").join(placed, "digest").select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth", "shard", "offset", "length"
     )
