@@ -48,7 +48,7 @@ def fit(documents: DataFrame, labels: DataFrame, mod: int = 3, held: int = 1, pe
     y = np.array([r["label"] for r in rows], float)
     if len(set(y)) < 2:
         return None
-    shown = Memo(features)
+    shown = Memo(features, 20_000)  # a word shows about a kilobyte of strings
     seen: tuple[dict, dict] = ({}, {})
     for r in rows:
         count = seen[r["label"]]
