@@ -14,6 +14,7 @@ from ..operators import melody as P
 from ..operators import models as M
 from ..operators import quantize as Q
 from ..operators import score as E
+from ..operators import session as U
 from ..operators import signal as A
 from ..operators import spectral as S
 from ..operators import tempo as T
@@ -549,6 +550,49 @@ def loop_split(spark, sf):
     return w.groupBy("track_id", H.loop_part(F.col("t"), 1.0, 3.0).alias("part")).agg(F.count("*").alias("n"))
 
 
+def note_at_beat(spark, sf):
+    points = D.beats(spark, sf).select("track_id", "beat_idx", "t")
+    return r6(U.note_at(points, D.note_events(spark, sf)), "t")
+
+
+def cursor_offset(spark, sf):
+    q = quantised(spark, sf).select("track_id", "id", (F.col("beat_start") * 0.5).alias("t"))
+    return r6(U.cursor_offset(q, D.note_events(spark, sf)), "offset")
+
+
+def mean_tempo(spark, sf):
+    return r6(U.mean_tempo(D.tempo_segments(spark, sf)), "bpm")
+
+
+def clef_by_measure(spark, sf):
+    return r6(U.clefs(E.split_into_measures(E.note_spans(quantised(spark, sf)))), "mean_pitch")
+
+
+def chord_debug_json(spark, sf):
+    return U.chord_debug(C.bar_candidates(quantised(spark, sf))).select("track_id", "n")
+
+
+def energy_notes(spark, sf):
+    return r6(U.energy_notes(D.signal(spark, sf), 128, 441.0, 0.125), "start_time", "end_time")
+
+
+def melodic_stem_choice(spark, sf):
+    stems = stems_signal(spark, sf).withColumnRenamed("stem_idx", "track_id")
+    facts = A.rms(stems).join(A.zero_crossing_variance(stems.select("track_id", "i", "x"), 128, 64), "track_id")
+    rows = facts.select(F.lit(1).cast("bigint").alias("song"), F.col("track_id").alias("stem_idx"), (F.col("track_id") > 1).alias("melodic"), F.round("variance", 6).alias("variance"), F.round(F.least(F.lit(1.0), F.col("rms") * 10), 6).alias("energy"), F.lit(0.5).alias("confidence"))
+    return r6(U.melodic_stem(rows), "score")
+
+
+def adaptive_budget(spark, sf):
+    rows = D.read(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 4000).cast("double").alias("sec"))
+    return rows.select("o_orderkey", A.adaptive_budget(F.lit(6000), F.col("sec")).cast("int").alias("budget"), F.round(H.analysis_estimate(F.col("sec"), F.lit(0.05), F.lit("Studio")), 6).alias("estimate"), F.round(H.resume_position(F.col("sec"), F.lit(3000.0)), 6).alias("resume"), H.preview_bucket(F.col("sec")).cast("bigint").alias("bucket"))
+
+
+def meter_classes(spark, sf):
+    rows = D.read(spark, sf, "lineitem").select((F.col("l_linenumber") % 13).cast("int").alias("numerator"), F.when(F.col("l_orderkey") % 2 == 0, 4).otherwise(8).alias("denominator")).distinct()
+    return rows.select("numerator", "denominator", X.meter_class(F.col("numerator"), F.col("denominator")).alias("meter_class"))
+
+
 def lead_sheet_summary(spark, sf):
     """The lead sheet's tables, counted by track."""
     sheet = Z.lead_sheet(D.note_events(spark, sf), D.beats(spark, sf), D.downbeats(spark, sf))

@@ -214,4 +214,13 @@ ORACLES: dict[str, str] = {
       CASE WHEN track_id % 2 <> 0 THEN 'missing' WHEN track_id % 3 = 0 AND d * 0.5 > 0.02 * d AND d * 0.5 > 2 THEN 'stale' ELSE 'hit' END AS result FROM t""",
     "cache_validation": f"WITH {NFA} SELECT track_id, true AS ok, COUNT(*) AS frames FROM nfa GROUP BY 1",
     "loop_split": f"WITH {SG}, s AS (SELECT *, greatest(1, COUNT(*) OVER (PARTITION BY track_id) // 500) AS step FROM sg) SELECT track_id, CASE WHEN i / 441.0::DOUBLE < 1 THEN 'pre' WHEN i / 441.0::DOUBLE > 3 THEN 'post' ELSE 'mid' END AS part, COUNT(*) AS n FROM s WHERE i % step = 0 GROUP BY 1, 2",
+    "note_at_beat": f"WITH {NE}, {BT}, h AS (SELECT bt.track_id, beat_idx, t, id, pitch, ROW_NUMBER() OVER (PARTITION BY bt.track_id, beat_idx ORDER BY start_time, id) AS rn FROM bt JOIN ne ON ne.track_id = bt.track_id AND start_time <= t AND t < end_time) SELECT track_id, beat_idx, round(t, 6) AS t, id, pitch FROM h WHERE rn = 1",
+    "cursor_offset": f"WITH {QC}, d AS (SELECT q.track_id, ne.start_time - q.beat_start * 0.5 AS d FROM q JOIN ne USING (track_id, id)) SELECT track_id, round(median(d), 6) AS offset, COUNT(*) AS n FROM d WHERE abs(d) <= 2 GROUP BY 1 HAVING COUNT(*) >= 4",
+    "mean_tempo": f"WITH {TR}, {TS} SELECT track_id, round((SELECT SUM(bpm * (e - s)) / SUM(e - s) FROM ts), 6) AS bpm FROM tr",
+    "clef_by_measure": f"WITH {SPAN}, p AS (SELECT track_id, pitch, staff, CAST(m + 1 AS INT) AS measure FROM sp, range(0, 400) r(m) WHERE m >= start_tick // 1920 AND m <= (greatest(end_tick, start_tick + 1) - 1) // 1920) SELECT track_id, measure, staff, round(avg(pitch), 6) AS mean_pitch, CASE WHEN avg(pitch) < 46 THEN 'F' ELSE 'G' END AS clef FROM p GROUP BY 1, 2, 3",
+    "energy_notes": f"""WITH {SG}, p AS (SELECT track_id, i // 32 AS h, SUM(x * x) AS e, COUNT(*) AS n FROM sg GROUP BY 1, 2), w AS (SELECT *, sqrt(SUM(e) OVER v / SUM(n) OVER v) AS rms FROM p WINDOW v AS (PARTITION BY track_id ORDER BY h ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)),
+      o2 AS (SELECT *, h - ROW_NUMBER() OVER (PARTITION BY track_id ORDER BY h) AS run FROM w WHERE round(rms, 9) > 0.125), r AS (SELECT track_id, MIN(h) * (32 / 441.0::DOUBLE) AS a, (MAX(h) + 1) * (32 / 441.0::DOUBLE) AS z, MAX(rms) AS pk FROM o2 GROUP BY track_id, run)
+      SELECT track_id, 60 AS pitch, round(a, 6) AS start_time, round(z, 6) AS end_time, CAST(greatest(1, least(127, round(pk * 127))) AS INT) AS velocity FROM r WHERE z - a > 0.05""",
+    "adaptive_budget": "WITH s AS (SELECT o_orderkey, CAST(o_orderkey % 4000 AS DOUBLE) AS s FROM orders) SELECT o_orderkey, CAST(CASE WHEN s > 1800 THEN 3000 WHEN s > 300 THEN 3000 ELSE 6000 END AS INT) AS budget, round(greatest(0.8, least(300.0, 0.8 + s * (0.4 * 0.07 + 0.6 * 0.05) * 1.35)), 6) AS estimate, round(CASE WHEN s > 0.5 THEN CASE WHEN s > 3000 THEN 2850.0 ELSE s END ELSE 0 END, 6) AS resume, CAST(floor(s / 8) * 8 AS BIGINT) AS bucket FROM s",
+    "meter_classes": "WITH m AS (SELECT DISTINCT CAST(l_linenumber % 13 AS INT) AS numerator, CASE WHEN l_orderkey % 2 = 0 THEN 4 ELSE 8 END AS denominator FROM lineitem) SELECT numerator, denominator, CASE WHEN denominator = 8 AND numerator = 6 THEN 'CompoundDuple' WHEN denominator = 8 AND numerator = 12 THEN 'CompoundQuadruple' WHEN numerator = 2 THEN 'SimpleDuple' WHEN numerator = 3 THEN 'SimpleTriple' WHEN numerator = 4 THEN 'SimpleQuadruple' ELSE 'Other' END AS meter_class FROM m",
 }
