@@ -300,9 +300,8 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark):
 def test_leak_regions_lose_nothing(spark):
     """The bound on regions against the check at every window."""
     docs, items, _ = benchmark_case(spark, 6)
-    (table_, made), = decontam.fit(docs, items)
-    texts = [r["text"].encode().split() for r in docs.collect()]
-    numbers = [np.array([made.number(w) for w in t], np.int32) for t in texts]
+    encoded, _, made = decontam.fit(docs, [(r["item_id"], r["text"].encode(), None) for r in items.collect()])
+    numbers = [decontam.decoded(r["words"])[1] for r in encoded.collect()]
     regions = made.regions(numbers)
     for i, known in enumerate(numbers):
         for k in range(len(made.ids)):
