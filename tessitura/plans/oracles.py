@@ -28,13 +28,12 @@ def _snap_start(v: str) -> str:
     return f"CASE WHEN {e(0.25)} + 0.03 < {e2} THEN round({v} / 0.25) * 0.25 ELSE {b2} END"
 
 
-def _fold_durations() -> str:
-    """Chained CTE columns: best and error after each candidate."""
-    out, prev = [], ("CAST(NULL AS DOUBLE)", "CAST('inf' AS DOUBLE)")
+def _fold_durations(source: str = "d_", name: str = "d") -> str:
+    """CTEs name0 to name7: best point and error after each candidate length, from source with columns d, be, er."""
+    out = []
     for k, g in enumerate((4.0, 3.0, 2.0, 1.5, 1.0, 0.75, 0.5, 0.25)):
         p, e = f"round(d / {g}) * {g}", f"abs(d - round(d / {g}) * {g})"
-        out.append(f"d{k} AS (SELECT * REPLACE (CASE WHEN {e} + 0.015 < er THEN {p} ELSE be END AS be, CASE WHEN {e} + 0.015 < er THEN {e} ELSE er END AS er) FROM {'d' + str(k - 1) if k else 'd_'})")
-    del prev
+        out.append(f"{name}{k} AS (SELECT * REPLACE (CASE WHEN {e} + 0.015 < er THEN {p} ELSE be END AS be, CASE WHEN {e} + 0.015 < er THEN {e} ELSE er END AS er) FROM {f'{name}{k - 1}' if k else source})")
     return ", ".join(out)
 
 
@@ -59,7 +58,6 @@ mg AS (SELECT *, SUM(CASE WHEN be IS NULL OR start_time - be >= {g} THEN 1 ELSE
 mm AS (SELECT {k}, arg_min(id, struct_pack(s := start_time, i := id)) AS id, pitch, MIN(start_time) AS start_time, MAX(end_time) AS end_time, MAX(velocity) AS velocity FROM mg GROUP BY {k}, pitch, grp)"""
 _NOTE = "id, pitch, round(start_time, 6) AS start_time, round(end_time, 6) AS end_time, velocity"
 _W = "PARTITION BY track_id, pitch ORDER BY frame"
-_SEG = "(SELECT s1 FROM (SELECT struct_pack(seg_no := seg_no, s := s, e := e, bd := bd, off := off) AS s1, CASE WHEN {inside} THEN 0 WHEN {before} THEN 1 ELSE 2 END AS c, seg_no FROM ts) ORDER BY c, CASE WHEN c = 2 THEN -seg_no ELSE seg_no END LIMIT 1)"
 
 
 def _to_beat(t: str) -> str:
@@ -91,7 +89,7 @@ _CHG = "SELECT track_id, beat, symbol FROM (SELECT *, LAG(symbol) OVER (PARTITIO
 BG = BT + ", bg AS (SELECT track_id, beat_idx, LEAD(t) OVER (PARTITION BY track_id ORDER BY beat_idx) - t AS gap FROM bt)"
 BC = BG + """, bar AS (SELECT track_id, db_idx, t AS bar_t, LEAD(t) OVER (PARTITION BY track_id ORDER BY db_idx) AS next_t FROM db),
 bc AS (SELECT bar.track_id, db_idx, bar_t, next_t, COUNT(*) AS nb, median(gap) AS bg FROM bar JOIN bt ON bt.track_id = bar.track_id AND bt.t >= bar_t - 0.001 AND bt.t < next_t - 0.001 JOIN bg ON bg.track_id = bt.track_id AND bg.beat_idx = bt.beat_idx WHERE next_t IS NOT NULL GROUP BY 1, 2, 3, 4)"""
-SPAN = QC + f""", e_ AS (SELECT track_id, id, pitch, velocity, beat_start AS bs0, beat_duration AS d, CAST(NULL AS DOUBLE) AS be, CAST('inf' AS DOUBLE) AS er FROM q), {_fold_durations().replace('d_)', 'e_)').replace('d0 AS', 'x0 AS').replace('d1 AS', 'x1 AS').replace('d2 AS', 'x2 AS').replace('d3 AS', 'x3 AS').replace('d4 AS', 'x4 AS').replace('d5 AS', 'x5 AS').replace('d6 AS', 'x6 AS').replace('d7 AS', 'x7 AS').replace('FROM d0', 'FROM x0').replace('FROM d1', 'FROM x1').replace('FROM d2', 'FROM x2').replace('FROM d3', 'FROM x3').replace('FROM d4', 'FROM x4').replace('FROM d5', 'FROM x5').replace('FROM d6', 'FROM x6')},
+SPAN = QC + f""", e_ AS (SELECT track_id, id, pitch, velocity, beat_start AS bs0, beat_duration AS d, CAST(NULL AS DOUBLE) AS be, CAST('inf' AS DOUBLE) AS er FROM q), {_fold_durations('e_', 'x')},
 sp0 AS (SELECT track_id, id, pitch, velocity, CAST(round(bs0 * 480) AS INT) AS start_tick, CAST(round(bs0 * 480) AS INT) + CAST(round(greatest(0.25, coalesce(be, 0.25)) * 480) AS INT) AS end_tick, CASE WHEN pitch >= 60 THEN 1 ELSE 2 END AS staff FROM x7),
 sp AS (SELECT * EXCLUDE rn FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY track_id, start_tick, pitch ORDER BY end_tick DESC, id) AS rn FROM sp0) WHERE rn = 1)"""
 MS = NE + ", mt AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}/{d}', {n}, {d}, {bar}::DOUBLE, {p}::DOUBLE)" for n, d, bar, p in METERS) + ") v(meter, numerator, denominator, bar, prior))"
