@@ -34,13 +34,17 @@ from .common import Memo, materialize, rows_of
 SHINGLE = 5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xC4CEB9FE1A85EC53)
-_words = Memo(lambda w: xxhash.xxh3_64_intdigest(w, seed=5), 150_000)
 
 
-def shingle_set(text: bytes | None) -> np.ndarray:
+def word_memo() -> Memo:
+    """Word hashes, remembered for a task: what a worker keeps between tasks would add up over stages."""
+    return Memo(lambda w: xxhash.xxh3_64_intdigest(w, seed=5), 100_000)
+
+
+def shingle_set(text: bytes | None, memo: Memo) -> np.ndarray:
     """The sorted distinct hashes of the text's shingles."""
     words = text.lower().split() if text else []  # of bytes: A-Z only, and the six ASCII white-space bytes
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
     width = min(SHINGLE, len(h))
     if not width:
         return h
@@ -68,10 +72,11 @@ def sketches(documents: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set (null if empty), sketch."""
 
     def run(batches):
+        memo = word_memo()
         for b in batches:
             n, digests, kept = [], [], []
             for text in rows_of(b, "text")[0]:
-                s = shingle_set(text)
+                s = shingle_set(text, memo)
                 n.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 kept.append(s[:k].view(np.int64))
@@ -156,12 +161,13 @@ def full_sets(documents: DataFrame, wanted: DataFrame, filter_bytes: int) -> Dat
     shared = documents.sparkSession.sparkContext.broadcast(build(wanted.select("rep"), filter_bytes))
 
     def run(batches):
+        memo = word_memo()
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             at = np.flatnonzero(hits(shared.value, ids.view(np.uint64)))
             if len(at):
                 found = b.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([found.column(0), pa.array([shingle_set(t).view(np.int64) for t in found.column(1).to_pylist()], pa.list_(pa.int64()))], ["rep", "hashes"])
+                yield pa.RecordBatch.from_arrays([found.column(0), pa.array([shingle_set(t, memo).view(np.int64) for t in found.column(1).to_pylist()], pa.list_(pa.int64()))], ["rep", "hashes"])
 
     rows = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text"))
     # a repeated id is one document here: the class's own set is the one that counts

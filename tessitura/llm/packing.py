@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame
 from .common import Memo, rows_of, utf8
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, tier bigint, step_group bigint"
-_word_ids: dict[str, Memo] = {}
 
 # A word of Latin-1 letters and then, perhaps, of ASCII marks other than ' and <: the tokenizer splits it there.
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-;=-@\[-`{-~]*)")
@@ -43,38 +42,37 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def word_ids(path: str, limit: int = 500_000) -> Memo:
-    """word (bytes without ASCII white space) -> its ids as little-endian 32-bit bytes, remembered by worker.
+def word_ids(path: str, limit: int = 100_000) -> Memo:
+    """word (bytes without ASCII white space) -> its ids as little-endian 32-bit bytes, remembered for a task.
 
     The tokenizer drops white space and no step of it looks across white space, so a text's ids are its words' ids. A plain
     word's letters go to the library's model directly, as its normaliser and splitter leave them as they are."""
-    if path not in _word_ids:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
-        model, letters = tok.model, str.maketrans({chr(b): c for b, c in byte_letters().items()})
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        def whole(text: str) -> bytes:
-            return array("I", tok.encode(text, add_special_tokens=False).ids).tobytes()
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    model, letters = tok.model, str.maketrans({chr(b): c for b, c in byte_letters().items()})
 
-        def plain(word: str) -> bytes:
-            form = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
-            return array("I", [t.id for t in model.tokenize(form)]).tobytes()
+    def whole(text: str) -> bytes:
+        return array("I", tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-        cores, marks = Memo(plain, limit // 2), Memo(whole, limit // 10)
+    def plain(word: str) -> bytes:
+        form = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
+        return array("I", [t.id for t in model.tokenize(form)]).tobytes()
 
-        def ids(word: bytes) -> bytes:
-            text = word.decode()
-            m = _PLAIN.fullmatch(text.lower())
-            if m is None or _DIGIT.search(m[2]):
-                return whole(text)
-            return cores[m[1]] + marks[m[2]] if m[2] else cores[m[1]]
+    cores, marks = Memo(plain, limit // 2), Memo(whole, limit // 10)
 
-        _word_ids[path] = Memo(ids, limit)
-    return _word_ids[path]
+    def ids(word: bytes) -> bytes:
+        text = word.decode()
+        m = _PLAIN.fullmatch(text.lower())
+        if m is None or _DIGIT.search(m[2]):
+            return whole(text)
+        return cores[m[1]] + marks[m[2]] if m[2] else cores[m[1]]
+
+    return Memo(ids, limit)
 
 
 def encode_document(text: bytes | None, memo: Memo, end: bytes) -> bytes:
