@@ -28,17 +28,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import build, hits
-from .common import Memo, rows_of, scratch, slices_of
+from .common import Memo, materialize, rows_of, scratch, slices_of
 
 WINDOW, GRAM = 13, 6
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
-_words = Memo(lambda w: xxhash.xxh3_64_intdigest(w), 200_000)
 
 
-def word_hashes(text: bytes | None) -> np.ndarray:
+def word_memo() -> Memo:
+    """Word hashes, remembered for a task: what a worker keeps between tasks would add up over stages."""
+    return Memo(xxhash.xxh3_64_intdigest, 100_000)
+
+
+def word_hashes(text: bytes | None, memo: Memo) -> np.ndarray:
     words = text.split() if text else []  # bytes.split() splits at exactly the six ASCII white-space bytes
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
 def rolled(h: np.ndarray, width: int, odd: np.uint64) -> np.ndarray:
@@ -157,10 +161,11 @@ def anchor_rows(batch: DataFrame, buckets: int) -> DataFrame:
     bit says that two of the slice's rows have it."""
 
     def run(batches):
+        memo = word_memo()
         for b in batches:
             texts = rows_of(b, "text")[0]
             for start, stop in slices_of(texts, 4 << 20):
-                found = [np.unique(window_anchors(word_hashes(t))) for t in texts[start:stop]]
+                found = [np.unique(window_anchors(word_hashes(t, memo))) for t in texts[start:stop]]
                 values, counts = np.unique(np.concatenate(found), return_counts=True)
                 values |= (counts > 1).astype(np.uint64)
                 rows = [(i, *_packed(_deltas(values[s]))) for i, s in _slices(values, buckets)]
@@ -199,19 +204,19 @@ def window_rows(rows: DataFrame, bloom: np.ndarray, buckets: int) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(bloom)  # at most max_bytes
 
     def run(batches):
-        number = 0
+        number, memo = 0, word_memo()
         for b in batches:
             columns = rows_of(b, "__id", "__key", "__new", "text")
             for start, stop in slices_of(columns[3], 4 << 20):
                 number += 1
-                if out := settle_slice(number, *(c[start:stop] for c in columns)):
+                if out := settle_slice(number, memo, *(c[start:stop] for c in columns)):
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 7, pa.bool_()), strict=True)], [c.split()[0] for c in _WINDOWS.split(", ")])
 
-    def settle_slice(number, ids, keys, new, texts):
+    def settle_slice(number, memo, ids, keys, new, texts):
         bits = shared.value
         ancs, wins, chks, poss, whose = [], [], [], [], []
         for i, text in enumerate(texts):
-            h = word_hashes(text)
+            h = word_hashes(text, memo)
             anchors = window_anchors(h)
             at = np.flatnonzero(hits(bits, anchors))
             if len(at):
@@ -294,7 +299,7 @@ def remove_repeats(documents: DataFrame, root: str | None = None, batches: int =
         upto = rows if hi is None else rows.where(F.col("__id") <= hi)
         fresh = upto if lo is None else upto.where(F.col("__id") > lo)
         shared = index.merge(anchor_rows(fresh, buckets))
-        bloom = build(anchor_values(shared), filter_bytes)
+        bloom = build(materialize(anchor_values(shared), "anchors"), filter_bytes)  # written, so that no task runs two Python workers
         marked = upto.withColumn("__new", F.lit(True) if lo is None else F.col("__id") > lo)
         part = removals(window_rows(marked, bloom, buckets))
         found = part if found is None else found.unionByName(part)
