@@ -5,14 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``. Unset, a session in one process gets a
+    folder of its own machine; on a cluster that is an error, as executors could not read each other's files."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tessitura-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -22,13 +27,96 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write df as Parquet. Its shuffle files go as soon as it is written: nothing reads them afterwards."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode(mode).parquet(path)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends there, lost executors cost nothing."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    write(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """The scratch tables of one operator: written by name, deleted when no later step reads them."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.paths = spark, scratch(spark, name), {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """df written and read back; a table of the same name before it stays until drop(name)."""
+        path = f"{self.root}/{name}-{uuid.uuid4().hex}"
+        write(df, path)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str, latest: bool = True) -> None:
+        """Delete the tables of these names; without latest, the last one written stays."""
+        for name in names:
+            paths = self.paths.get(name, [])
+            for path in paths if latest else paths[:-1]:
+                delete(self.spark, path)
+            self.paths[name] = [] if latest else paths[-1:]
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores before them until none clashes (in any case of letters) with a column."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
+def text_key(column: str = "text"):
+    """A hash of the text that tells rows of one id apart; rows equal in id and text are told nothing by either."""
+    return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")), F.col(column).isNull())
+
+
+def without_rows(documents: DataFrame, gone: DataFrame, filter_bytes: int = 64 << 20) -> DataFrame:
+    """documents without the rows whose id and text_key() are in gone (doc_id, text_key); a null id is a value like others.
+
+    Rows that a Bloom filter of gone does not have pass in their map task; only the others meet gone in a join."""
+    from .bloom import build, hits
+
+    columns = documents.columns
+    own, key = unused(columns, "row_id", "row_hash")
+    both = lambda i, k: F.xxhash64(F.col(i).cast("long"), k)
+    gone = gone.distinct()
+    shared = documents.sparkSession.sparkContext.broadcast(build(gone.select(both("doc_id", "text_key").alias("v")), filter_bytes))
+    marked = documents.withColumn(own, F.col("doc_id").cast("long")).withColumn(key, both("doc_id", text_key()))
+
+    def split(doubtful):
+        def run(batches):
+            for b in batches:
+                v = b.column(b.schema.get_field_index(key)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                yield b.filter(pa.array(hits(shared.value, v) == doubtful))
+
+        return marked.mapInArrow(run, marked.schema)
+
+    rest = split(True)
+    stay = rest.join(gone.select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_")), rest[own].eqNullSafe(F.col("id_")) & (text_key() == F.col("key_")), "left_anti")
+    return split(False).select(*columns).unionByName(stay.select(*columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of whole texts. Arrow batches are bounded by bytes as well: rows are kilobytes on average, and megabytes at times."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)

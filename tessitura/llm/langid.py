@@ -12,7 +12,6 @@ ignored.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
@@ -35,15 +34,17 @@ def grams_in(word: str, n: int) -> list[str]:
     return [edged[i : i + n] for i in range(len(edged) - n + 1)]
 
 
-def fit(documents: DataFrame, rows_per_language: int = 4000, max_bytes: int = 200_000, words_per_language: int = 30_000, grams_per_language: int = 30_000, max_n: int = 5) -> dict:
-    """Log frequencies from at most about rows_per_language rows of each language (a documented bound of the fit).
+def fit(documents: DataFrame, rows_per_language: int = 1000, max_bytes: int = 100_000, max_n: int = 5) -> dict:
+    """Log frequencies from at most about rows_per_language rows of each language, none longer than max_bytes (the documented
+    bound of the fit). Every word and n-gram of the sample counts: the model's size is bounded by the sample's.
 
-    The counts are made and summed on the executors; the driver gets the most frequent entries of each language."""
+    The counts are made and summed on the executors; the driver gets one row for each entry."""
     known = documents.where(F.col("lang").isNotNull())
     totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(totals)
+    model = {"langs": langs, "rows": {}, "table": np.zeros((0, len(langs)), np.float32), "prior": np.log([totals[x] / sum(totals.values()) for x in langs]), "max_n": max_n}
     if not langs:
-        return {"langs": [], "words": {}, "grams": {}, "prior": [], "max_n": max_n, "floor": []}
+        return model
     share = F.lit(0)
     for lang, n in totals.items():
         share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, rows_per_language / n) * (1 << 40)))).otherwise(share)
@@ -65,36 +66,29 @@ def fit(documents: DataFrame, rows_per_language: int = 4000, max_bytes: int = 20
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "n", "entry", "c"])
 
-    counts = sample.mapInArrow(count, "lang string, n int, entry string, c bigint").groupBy("lang", "n", "entry").agg(F.sum("c").alias("c")).persist()
-    sums = {(r["lang"], r["n"]): r["s"] for r in counts.groupBy("lang", "n").agg(F.sum("c").alias("s")).collect()}
-    tables: tuple[dict, dict] = ({}, {})
-    for i, lang in enumerate(langs):  # the model keeps the most frequent entries: its size is a parameter
-        for kind, cap in ((0, words_per_language), (1, grams_per_language)):
-            part = counts.where((F.col("lang") == lang) & ((F.col("n") == 0) if kind == 0 else (F.col("n") > 0))).where(F.col("c") > 1)
-            for r in part.orderBy(F.desc("c"), "entry").limit(cap).collect():
-                tables[kind].setdefault(r["entry"], {})[i] = r["c"]
-    counts.unpersist()
-    size = lambda lang, n: max(1, sums.get((lang, n), 0))
-    n_langs = len(langs)
-    log = lambda found, n: np.array([math.log((found.get(i, 0) + 0.5) / (size(langs[i], n) + 1)) for i in range(n_langs)], np.float32)
-    return {
-        "langs": langs,
-        "words": {w: log(f, 0) for w, f in tables[0].items()},
-        "grams": {g: log(f, len(g)) for g, f in tables[1].items()},
-        "prior": [math.log(totals[x] / sum(totals.values())) for x in langs],
-        "max_n": max_n,
-    }
-
-
-def word_scores(word: str, model: dict) -> np.ndarray:
-    found = model["words"].get(word)
-    if found is not None:
-        return found
-    for n in range(model["max_n"], 0, -1):
-        known = [model["grams"][g] for g in grams_in(word, n) if g in model["grams"]]
+    counts = sample.mapInArrow(count, "lang string, n int, entry string, c bigint")
+    of_each = [F.sum(F.when(F.col("lang") == lang, F.col("c")).otherwise(0)).alias(f"c{i}") for i, lang in enumerate(langs)]
+    found = counts.groupBy("n", "entry").agg(*of_each).toArrow()
+    n, entries = found["n"].to_numpy(), found["entry"].to_pylist()
+    c = np.column_stack([found[f"c{i}"].to_numpy() for i in range(len(langs))]).astype(np.float64)
+    size = np.array([c[n == k].sum(0) for k in range(max_n + 1)]).reshape(max_n + 1, len(langs))
+    # a word has its own mark, so that one table serves words and n-grams
+    model["rows"] = {(e if k else " " + e): i for i, (k, e) in enumerate(zip(n.tolist(), entries, strict=True))}
+    model["table"] = np.log((c + 0.5) / (size[n] + 1)).astype(np.float32)
+    return model
+
+
+def evidence_rows(word: str, model: dict) -> list[int]:
+    """The table's rows whose mean is the word's score: its own, or those of the longest known n-grams."""
+    rows = model["rows"]
+    if (own := rows.get(" " + word)) is not None:
+        return [own]
+    edged = f"^{word}$"
+    for n in range(min(model["max_n"], len(edged)), 0, -1):
+        known = [r for i in range(len(edged) - n + 1) if (r := rows.get(edged[i : i + n])) is not None]
         if known:
-            return np.mean(known, axis=0)
-    return np.zeros(len(model["langs"]), np.float32)
+            return known
+    return []
 
 
 class PieceScores(dict):
@@ -110,11 +104,12 @@ class PieceScores(dict):
         at = len(self)
         if at >= len(self.rows):
             self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
-        row = np.zeros(self.width, np.float32)
+        row, table = self.rows[at], self.model["table"]
+        row[:] = 0  # it may be left from before the memo was cleared
         for w in words_in(piece):
-            row[:-1] += word_scores(w, self.model)
             row[-1] = 1
-        self.rows[at] = row
+            if known := evidence_rows(w, self.model):
+                row[:-1] += table[known[0]] if len(known) == 1 else table[known].sum(0) / np.float32(len(known))
         self[piece] = at
         return at
 
@@ -129,29 +124,28 @@ class PieceScores(dict):
         return out
 
 
+def decide(total: np.ndarray | None, model: dict) -> tuple[str, float]:
+    """The language of the highest sum with its prior, and its posterior; und without a letter."""
+    if total is None or not total[-1]:
+        return "und", 0.0
+    z = total[:-1] + model["prior"]
+    p, best = np.exp(z - z.max()), int(np.argmax(z))
+    return model["langs"][best], float(p[best] / p.sum())
+
+
 def identify(documents: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out fold column if present, lang_pred and score of each row, from the whole text alone."""
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by the fit's parameters
+    shared = spark.sparkContext.broadcast(model)  # bounded by the fit's sample
     keep = [c for c in documents.columns if c in ("doc_id", "held_out")]
 
     def predict(batches):
         m = shared.value
-        memo, prior = PieceScores(m), np.asarray(m["prior"])
+        memo = PieceScores(m)
         for batch in batches:
-            langs, scores = [], []
-            for text in rows_of(batch, "text")[0]:
-                total = memo.total(text) if text and m["langs"] else None
-                if total is None or not total[-1]:
-                    langs.append("und")
-                    scores.append(0.0)
-                    continue
-                z = total[:-1] + prior
-                p = np.exp(z - z.max())
-                best = int(np.argmax(z))
-                langs.append(m["langs"][best])
-                scores.append(float(p[best] / p.sum()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            found = [decide(memo.total(t) if t and m["langs"] else None, m) for t in rows_of(batch, "text")[0]]
+            arrays = [pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), *arrays], [*keep, "lang_pred", "score"])
 
     kinds = dict(documents.dtypes)
     return documents.select(*keep, utf8().alias("text")).mapInArrow(predict, ", ".join([f"{c} {kinds[c]}" for c in keep] + ["lang_pred string", "score double"]))

@@ -5,7 +5,8 @@ each; the difference of the two sizes over the plain bytes is the evidence, and
 rows that built neither dictionary, turns it into a score.
 
 Defined cases: null or empty text has no evidence and scores the curve's value at 0; without labelled rows of both classes
-every score is 0.5; repeated rows stay; further columns are ignored.
+every score is 0.5; rows of null id are scored and belong to the fold of the empty id; repeated rows stay; an empty table
+gives no rows; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -43,8 +44,16 @@ class Sizes:
         return (b - g) / len(text)
 
 
-def fit(documents: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, per_class: int = 1500, max_bytes: int = 60_000, dict_bytes: int = 65_536, block: int = 2048, level: int = 1) -> dict | None:
-    """Dictionaries and curve from at most about per_class labelled rows of each class (a documented bound of the fit)."""
+def spread_blocks(text: bytes, block: int, most: int) -> list[bytes]:
+    """At most so many blocks of a text, evenly spread from its beginning to its end."""
+    n = -(-len(text) // block)
+    at = range(n) if n <= most else [i * (n - 1) // (most - 1) for i in range(most)]
+    return [text[i * block : (i + 1) * block] for i in at]
+
+
+def fit(documents: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, per_class: int = 1500, max_bytes: int = 60_000, dict_bytes: int = 65_536, block: int = 2048, blocks_each: int = 8, level: int = 1) -> dict | None:
+    """Dictionaries and curve from at most about per_class labelled rows of each class, none longer than max_bytes, and
+    blocks_each blocks of a text, spread over the whole of it (the documented bounds of the fit)."""
     rows = labelled_sample(documents, labels, "quality", mod, [held], per_class, max_bytes).orderBy("doc_id", "text").collect()
     parts = {0: [], 1: []}
     for r in rows:
@@ -56,7 +65,7 @@ def fit(documents: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, pe
         texts = parts[label]
         build, check = texts[::2], texts[1::2]
         rest += [(t, label) for t in check]
-        blocks = [t[i : i + block] for t in build for i in range(0, min(len(t), 8 * block), block)]  # long texts must not fill a dictionary alone
+        blocks = [part for t in build for part in spread_blocks(t, block, blocks_each)]  # long texts must not fill a dictionary alone
         try:
             dicts.append(zstandard.train_dictionary(dict_bytes, blocks).as_bytes())
         except zstandard.ZstdError:  # too little text to train on: its raw bytes serve as the dictionary

@@ -4,8 +4,12 @@ A sentence's probability is a logistic of the weights of what its words show (wh
 1 - prod(1 - p). Only documents are labelled: the weights are fitted by descending the documents' log loss through the
 noisy-or. The sentences whose own probability reaches the threshold are located by their byte offsets.
 
+A sentence below the floor shows nothing and counts as 0, so that a text does not become toxic by its length: however many
+clean sentences are joined, they score what one does.
+
 Defined cases: null or empty text has no sentence and scores 0; without labelled rows of both classes every score is 0;
-repeated rows stay; further columns are ignored.
+rows of null id are scored and belong to the fold of the empty id; repeated rows stay; an empty table gives no rows; further
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from .common import Memo, fold, labelled_sample, rows_of, utf8
 
 SENTENCE = re.compile(rb"[^.!?\r\n]+")
 TRIM = re.compile(r"^\W+|\W+$")
+FLOOR = 0.2  # a sentence less likely than this shows nothing
 SPANS = "array<struct<start: bigint, stop: bigint, probability: double>>"
 
 
@@ -98,16 +103,15 @@ def _descend(ids, sentence_of, doc_of, y, n_words, steps, rate, ridge) -> tuple[
     return theta[:-1], theta[-1]
 
 
-def score_text(text: bytes | None, weights: dict, bias: float, at: float) -> tuple[float, list[dict]]:
+def score_text(text: bytes | None, weights: dict, bias: float, at: float, floor: float = FLOOR) -> tuple[float, list[dict]]:
     """Noisy-or over the whole text's sentences, and those of probability at or more."""
     if not text:
         return 0.0, []
     clean, spans, get = 0.0, [], weights.__getitem__
-    base = math.log1p(math.exp(bias))
+    least = math.log(floor / (1 - floor)) - bias
     for m in SENTENCE.finditer(text):
         s = sum(map(get, m[0].split()))
-        if s == 0.0:
-            clean += base
+        if s < least:
             continue
         s += bias
         soft = s + math.log1p(math.exp(-s)) if s > 0 else math.log1p(math.exp(s))

@@ -78,6 +78,27 @@ def test_toxicity_learns_and_locates(spark):
     assert located and all(any(w in s for w in (b"grumplet", b"vexoid", b"snarkish")) for s in located)
 
 
+def test_length_alone_is_not_toxic(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.fit(docs, labels)
+    weights = Memo(lambda w: sum(model["weights"].get(f, 0.0) for f in toxicity.features(w)))
+    score = lambda text: toxicity.score_text(text.encode(), weights, model["bias"], 0.5)[0]
+    assert score("Unseenword. " * 20_000) == 0.0
+    known = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    clean = [r["text"] for r in docs.collect() if known.get(r["doc_id"]) == 0]
+    assert score("\n".join(clean[:60])) < 0.3 and score("\n".join(clean[:60]) + ". grumplet vexoid w1.") > score("\n".join(clean[:60]))
+
+
+def test_noisy_or_equals_a_plain_product(spark):
+    weights, bias = {"bad": 7.0, "odd": 5.5, "mild": 1.0}, -6.0
+    memo = Memo(lambda w: sum(weights.get(f, 0.0) for f in toxicity.features(w)))
+    text = "A bad word. Odd things happen! mild.\nmild mild mild mild odd"
+    p = [1 / (1 + np.exp(-(sum(weights.get(toxicity.normal(w.encode()), 0.0) for w in s.split()) + bias))) for s in toxicity.re.split(r"[.!?\r\n]+", text) if s]
+    want = 1 - np.prod([1 - x for x in p if x >= toxicity.FLOOR])
+    got, spans = toxicity.score_text(text.encode(), memo, bias, 0.5)
+    assert abs(got - want) < 1e-12 and [text[s["start"] : s["stop"]] for s in spans] == ["A bad word", "mild mild mild mild odd"]
+
+
 def test_toxicity_odd_rows(spark):
     docs, labels = labelled(spark, 200)
     odd = docs.unionByName(table(spark, [(1000 + i, t) for i, t in enumerate(ODD)])).withColumn("score", F.lit("clash"))
@@ -249,6 +270,22 @@ def test_counts_and_cache(spark):
 # 6 quality
 
 
+def test_blocks_reach_a_text_to_its_end():
+    text = bytes(range(250)) * 100
+    parts = quality.spread_blocks(text, 1000, 8)
+    assert len(parts) == 8 and parts[0] == text[:1000] and parts[-1] == text[-1000:] and quality.spread_blocks(b"abc", 1000, 8) == [b"abc"]
+
+
+def test_evidence_equals_plain_compression():
+    import zstandard
+
+    good, bad = (b"the quick brown fox " * 200, b"buy now cheap deal " * 200)
+    sizes = quality.Sizes(good, bad, 64, 1)
+    text = b"the quick deal " * 40
+    plain = lambda d: sum(len(zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False).compress(text[i : i + 64])) for i in range(0, len(text), 64))
+    assert abs(sizes.evidence(text) - (plain(bad) - plain(good)) / len(text)) < 1e-12
+
+
 def test_quality_learns(spark):
     rng = random.Random(7)
     docs, labels = [], []
@@ -435,11 +472,46 @@ def test_language_id(spark):
 
 
 def test_backoff_goes_from_long_to_short():
-    model = {"langs": ["a", "b"], "words": {"know": np.array([-1.0, -2.0])}, "grams": {"^kn": np.array([-3.0, -4.0]), "z": np.array([-9.0, -8.0])}, "max_n": 5, "prior": [0, 0]}
-    assert langid.word_scores("know", model).tolist() == [-1, -2]
-    assert langid.word_scores("knit", model).tolist() == [-3, -4]
-    assert langid.word_scores("zip", model).tolist() == [-9, -8]
-    assert langid.word_scores("qq", model).tolist() == [0, 0]
+    entries = {" know": [-1, -2], "^kn": [-3, -4], "kni": [-5, -6], "z": [-9, -8]}
+    model = {"langs": ["a", "b"], "rows": {e: i for i, e in enumerate(entries)}, "table": np.array(list(entries.values()), np.float32), "prior": np.zeros(2), "max_n": 3}
+    memo = langid.PieceScores(model)
+    score = lambda word: memo.rows[memo[word.encode()]].tolist()
+    assert score("know") == [-1, -2, 1] and score("knit") == [-4, -5, 1]  # the mean of both known 3-grams
+    assert score("zip") == [-9, -8, 1] and score("qq") == [0, 0, 1] and score("12") == [0, 0, 0]
+
+
+def test_language_scores_equal_a_plain_sum(spark):
+    """The fit's counts and the memo against loops over words and n-grams."""
+    rng = random.Random(4)
+    texts = {lang: [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) for _ in range(30)) + ". 7" for _ in range(12)] for lang, letters in (("a", "abcdé"), ("b", "cdefü"))}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang in texts for t in texts[lang])]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    seen = {lang: Counter() for lang in texts}
+    for _, t, lang in rows:
+        for w in langid.LETTERS.findall(t.lower()):
+            seen[lang][(0, w)] += 1
+            seen[lang].update((n, f"^{w}$"[i : i + n]) for n in range(1, 6) for i in range(len(w) + 3 - n))
+    size = {lang: Counter() for lang in texts}
+    for lang, c in seen.items():
+        for (n, _), k in c.items():
+            size[lang][n] += k
+    log = lambda lang, n, e: np.log((seen[lang][(n, e)] + 0.5) / (size[lang][n] + 1))
+    known = set(seen["a"]) | set(seen["b"])
+    for text in ("abba cafe éü zz bcd", texts["a"][0], "cdcdcd fffff 12 x"):
+        total = {}
+        for lang in texts:
+            total[lang] = np.log(0.5)
+            for w in langid.LETTERS.findall(text.lower()):
+                if (0, w) in known:
+                    total[lang] += log(lang, 0, w)
+                    continue
+                for n in range(5, 0, -1):
+                    if grams := [g for i in range(len(w) + 3 - n) if (n, g := f"^{w}$"[i : i + n]) in known]:
+                        total[lang] += np.mean([log(lang, n, g) for g in grams])
+                        break
+        lang, score = langid.decide(langid.PieceScores(model).total(text.encode()), model)
+        p = 1 / (1 + np.exp(total["b"] - total["a"]))
+        assert lang == ("a" if p >= 0.5 else "b") and abs(score - max(p, 1 - p)) < 1e-4
 
 
 # the pipeline
