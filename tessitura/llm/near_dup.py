@@ -3,25 +3,30 @@
 A document's set is its distinct 5-word shingles, hashed by one function; its sketch is the k smallest hashes. Documents
 are linked where the Jaccard similarity of their full sets is 0.75 or more, and grouped by the links' components.
 
-1. One scan makes (set size, digest of the set, sketch). Documents of equal sets form a class, and only its smallest id
-   goes on; a group of exact copies is thus one row, whatever its size.
-2. Inverted lists of the retained values generate overlaps. A pair at the threshold shares most of its retained values
-   (all but a share that is below 1e-9 likely, see needed()), so each class need only offer its rarest retained values: by
-   the prefix argument any such pair meets in one of them. A value that thousands of documents share through a common
-   passage is thus offered only by documents that hardly have anything else.
+1. One scan makes (set size, digest of the set, sketch). Documents of equal sets form a class with a number of its own; a
+   group of exact copies is thus one row, whatever its size.
+2. Inverted lists of the retained values generate overlaps. A pair at the threshold shares most of its retained values (all
+   but a share below 1e-12 likely, see needed()), so each class need only offer its rarest retained values: by the prefix
+   argument any such pair meets in one of them. A value that thousands of documents share through a common passage is thus
+   offered only by documents that hardly have anything else.
 3. Rounds of stars: in each list every class meets a few heads. It keeps the best of these by the union-sketch estimate;
    the exact Jaccard of the full sets verifies; components contract, and the next round only looks between components.
 4. Classes whose lists reach over components after that offer the rarest values of their full sets: by the exact prefix
-   filter, any pair still unlinked meets there. All these pairs between components are estimated, verified and linked. So
-   a large group of near copies costs about its size, not its square, and no link between components is lost.
+   filter, any pair still unlinked meets there. Lists are cut into blocks by component and set size, and only blocks of
+   different components meet, so a component of equal prefixes never meets itself. What bounds on the sketches leave is
+   verified on full sets: this step drops nothing by an estimate.
 
 Words are runs of bytes other than space and \\t\\n\\v\\f\\r, with A-Z in lower case. Fewer than 5 words are one shingle.
-Defined cases: null text or no words give an empty set, linked with nothing; rows that repeat an id keep their own sets and components; rows of null id have no
-component (null) and are kept; an empty table gives no rows; further columns are ignored.
+Defined cases: null text or no words give an empty set, linked with nothing; rows that repeat an id keep their own sets and
+components, each named by the smallest id in it; rows of null id have no component (null), link nothing and are kept; an
+empty table gives no rows; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+from functools import cache
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import build, hits
-from .common import Memo, materialize, rows_of
+from .common import Memo, Scratch, rows_of, text_key, without_rows
 
 SHINGLE = 5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -58,18 +63,26 @@ def shingle_set(text: bytes | None, memo: Memo) -> np.ndarray:
     return np.unique(out)
 
 
+@cache
+def binomial_needed(k: int, missed: float = 1e-12) -> int:
+    """The largest number that a binomial (k, 0.75) variable stays below with a probability of at most missed."""
+    below, t = 0.0, 0
+    while (below := below + comb(k, t) * 3**t / 4**k) <= missed:
+        t += 1
+    return max(1, t)
+
+
 def needed(size: int, k: int) -> int:
     """How many retained values two sets of similarity 0.75 share at least, one of them of this size.
 
     Below k values a sketch is the whole set, and the union has at most size / 0.75 values, a quarter of them unshared. From
-    k values on, the shared ones among the union's k smallest are as good as binomial (k, 0.75): six standard deviations."""
-    if size < k:
-        return max(1, min(-(-3 * size // 4), k - k // 3))
-    return max(1, int(0.75 * k - 6 * (k * 0.1875) ** 0.5))
+    k values on, the union's k smallest values are a sample of it, drawn without putting back, whose shared ones are at least
+    as close about 0.75 k as binomial ones; a pair misses this number with a probability of at most 1e-12."""
+    return max(1, min(-(-3 * size // 4), k - k // 3)) if size < k else binomial_needed(k)
 
 
 def sketches(documents: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty), sketch."""
+    """doc_id, text_key, n_shingles, digest of the set (null if empty), sketch."""
 
     def run(batches):
         memo = word_memo()
@@ -80,9 +93,11 @@ def sketches(documents: DataFrame, k: int) -> DataFrame:
                 n.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 kept.append(s[:k].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(kept, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "sketch"])
+            own = [b.column(b.schema.get_field_index(c)) for c in ("doc_id", "text_key")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(kept, pa.list_(pa.int64()))], ["doc_id", "text_key", "n_shingles", "digest", "sketch"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, sketch array<bigint>")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, n_shingles bigint, digest binary, sketch array<bigint>")
 
 
 def lists_of(batch, name: str) -> list[np.ndarray]:
@@ -101,8 +116,19 @@ def union_estimate(a: np.ndarray, b: np.ndarray, k: int) -> float:
     return float((again & (union < held)).sum()) / held if held else 0.0
 
 
+def most_in_common(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, k: int) -> bool:
+    """Whether two sets of these sizes can have a similarity of 0.75, by their sketches; never wrong in saying no.
+
+    Up to the lesser of the sketches' ends every value of both sets is known: those in one sketch alone are in one set alone."""
+    end = min(a[-1] if n_a > k else ~np.uint64(0), b[-1] if n_b > k else ~np.uint64(0))
+    x, y = a[a <= end], b[b <= end]
+    both = np.sort(np.concatenate([x, y]))
+    apart = len(both) - 2 * int((both[1:] == both[:-1]).sum())
+    return 7 * apart <= n_a + n_b
+
+
 def with_estimates(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """pairs (a, b) with the union-sketch estimate, those whose estimate is below six standard deviations left out."""
+    """pairs (a, b) with the union-sketch estimate; those whose estimate is below six standard deviations are left out."""
     low = 0.75 - 6 * (0.1875 / k) ** 0.5
 
     def run(batches):
@@ -114,11 +140,25 @@ def with_estimates(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
             ids = [b.column(b.schema.get_field_index(n)) for n in ("a", "b")]
             yield pa.RecordBatch.from_arrays([*ids, pa.array(est)], ["a", "b", "estimate"]).filter(pa.array(keep))
 
-    s = classes.select("rep", "sketch")
+    s = classes.select("cid", "sketch")
     both = pairs.join(s.toDF("b", "sb"), "b").join(s.toDF("a", "sa"), "a")
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint, estimate double")
 
 
+def possible(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """The pairs (a, b) that the sketches do not rule out."""
+
+    def run(batches):
+        for b in batches:
+            sizes = rows_of(b, "na", "nb")
+            keep = [most_in_common(x, y, n, m, k) for x, y, n, m in zip(lists_of(b, "sa"), lists_of(b, "sb"), *sizes, strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    s = classes.select("cid", "n", "sketch")
+    both = pairs.join(s.toDF("b", "nb", "sb"), "b").join(s.toDF("a", "na", "sa"), "a")
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= 75 * union on full sets."""
 
@@ -131,33 +171,55 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * both >= 75 * (len(merged) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    s = sets.select("rep", "hashes")
+    s = sets.select("cid", "hashes")
     both = pairs.select("a", "b").join(s.toDF("b", "xb"), "b").join(s.toDF("a", "xa"), "a")
     return both.select("a", "b", "xa", "xb").mapInArrow(run, "a bigint, b bigint")
 
 
-def prefix_pairs(sets: DataFrame, placed: DataFrame) -> DataFrame:
+def prefix_pairs(sets: DataFrame, placed: DataFrame, keep: Scratch, block: int = 256) -> DataFrame:
     """All pairs (a, b) of different components that can reach 0.75, by the exact prefix filter on full sets.
 
-    sets: (rep, hashes); placed: (rep, n, c). In a common order, rarest first, two sets of similarity 0.75 meet among the
+    sets: (cid, hashes); placed: (cid, n, c). In a common order, rarest first, two sets of similarity 0.75 meet among the
     first n - ceil(0.75 n) + 1 values of each. A set with more than a quarter of values of its own offers none."""
-    full = sets.join(placed, "rep").select("rep", "n", "c", F.explode("hashes").alias("value"))
-    often = materialize(full.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "shared-values")
-    offered = full.join(often, "value").groupBy("rep").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("list"))
+    full = sets.join(placed, "cid").select("cid", "n", "c", F.explode("hashes").alias("value"))
+    often = keep.keep(full.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "shared-values")
+    offered = full.join(often, "value").groupBy("cid").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("list"))
     alone = F.col("n") - F.size("list")  # values of its own come first in the order
     room = (F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1 - alone).cast("int")
-    lists = offered.where(room > 0).select("rep", "n", "c", alone.alias("alone"), F.posexplode(F.slice("list", F.lit(1), room)).alias("i", "v"))
-    lists = materialize(lists.select(F.col("v.value").alias("value"), "rep", "n", "c", (F.col("n") - F.col("alone") - F.col("i")).alias("left")), "prefixes")
-    mixed = lists.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("value")
-    open_ = materialize(lists.join(mixed, "value"), "open-prefixes")
-    x, y = open_.toDF("value", "a", "na", "ca", "la"), open_.toDF("value", "b", "nb", "cb", "lb")
-    # from its first common value on, a pair has at most the shorter rest in common; it needs 3 / 7 of both sizes
-    enough = F.least("la", "lb") * 7 >= (F.col("na") + F.col("nb")) * 3
-    return x.join(y, "value").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & _fits("na", "nb") & enough).select("a", "b").distinct()
+    lists = offered.where(room > 0).select("cid", "n", "c", alone.alias("alone"), F.posexplode(F.slice("list", F.lit(1), room)).alias("i", "v"))
+    return list_pairs(keep.keep(lists.select(F.col("v.value").alias("value"), "cid", "n", "c", (F.col("n") - F.col("alone") - F.col("i")).alias("left")), "prefixes"), keep, block)
+
+
+def list_pairs(lists: DataFrame, keep: Scratch, block: int = 256) -> DataFrame:
+    """Pairs (a, b) of different components c in a list of a value whose sizes n and places in it allow 0.75.
+
+    left: how many values of the set come at or after the list's in the common order. From their first common value on a pair
+    has at most the shorter rest in common, and needs 3 / 7 of both sizes. The smaller set thus knows the largest size of a
+    partner, and the larger one the largest size of a smaller partner; sizes are dealt to bands of a tenth.
+
+    In each band a list's entries are put together by component in blocks. The list's largest component meets only others;
+    the work is that of blocks of different components, whatever the size of one."""
+    main = lists.groupBy("value", "c").agg(F.count("*").alias("members")).groupBy("value").agg(F.sum("members").alias("members"), F.max_by("c", F.struct("members", "c")).alias("main"), F.count("*").alias("components"))
+    main = main.where("components > 1").select("value", "members", "main")
+    open_ = keep.keep(lists.join(main, "value"), "open-prefixes")
+    band = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(1.1)))
+    most = F.least(F.floor(F.col("n") * 4 / 3), F.floor(F.col("left") * 7 / 3) - F.col("n"))  # of a partner that isn't smaller
+    small = open_.withColumn("most", most).where("most >= n").withColumn("band", F.explode(F.sequence(band(F.col("n")), band(F.col("most")))))
+    large = open_.withColumn("most", F.floor(F.col("left") * 7 / 3) - F.col("n")).where("4 * most >= 3 * n").withColumn("band", band(F.col("n")))
+
+    def blocks(entries: DataFrame, name: str) -> DataFrame:
+        part = F.pmod(F.xxhash64("cid"), F.ceil(F.col("members") / block))
+        made = entries.groupBy("value", "band", "c", part.alias("part")).agg(F.collect_list(F.struct("cid", "n", "most")).alias(name), F.first(F.col("c") == F.col("main")).alias("is_main"))
+        return made.select("value", "band", F.col("c").alias(f"c_{name}"), name, F.col("is_main").alias(f"main_{name}"))
+
+    s, t = blocks(small, "s"), blocks(large, "t")
+    met = s.where("not main_s").join(t, ["value", "band"]).unionByName(s.where("main_s").join(t.where("not main_t"), ["value", "band"])).where("c_s != c_t")
+    fits = "s.n <= t.n and t.n <= s.most and s.n <= t.most and (s.n < t.n or s.cid != t.cid)"
+    return met.select(F.explode("s").alias("s"), "t").select("s", F.explode("t").alias("t")).where(fits).select(F.greatest("s.cid", "t.cid").alias("a"), F.least("s.cid", "t.cid").alias("b")).distinct()
 
 
 def full_sets(documents: DataFrame, wanted: DataFrame, filter_bytes: int) -> DataFrame:
-    """(rep, hashes) of the wanted documents; a Bloom filter keeps the others' texts out of the shuffle."""
+    """(cid, hashes) of the wanted classes (cid, rep, digest); a Bloom filter keeps the others' texts out of the shuffle."""
     shared = documents.sparkSession.sparkContext.broadcast(build(wanted.select("rep"), filter_bytes))
 
     def run(batches):
@@ -167,26 +229,32 @@ def full_sets(documents: DataFrame, wanted: DataFrame, filter_bytes: int) -> Dat
             at = np.flatnonzero(hits(shared.value, ids.view(np.uint64)))
             if len(at):
                 found = b.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([found.column(0), pa.array([shingle_set(t, memo).view(np.int64) for t in found.column(1).to_pylist()], pa.list_(pa.int64()))], ["rep", "hashes"])
+                sets = [shingle_set(t, memo) for t in found.column(1).to_pylist()]
+                digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+                yield pa.RecordBatch.from_arrays([found.column(0), pa.array(digests, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["rep", "digest", "hashes"])
 
     rows = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text"))
-    # a repeated id is one document here: the class's own set is the one that counts
-    return rows.mapInArrow(run, "rep bigint, hashes array<bigint>").join(wanted, "rep").where(F.size("hashes") == F.col("n")).dropDuplicates(["rep"]).select("rep", "hashes")
+    # an id can have several sets, and a set several rows of its least id
+    met = rows.mapInArrow(run, "rep bigint, digest binary, hashes array<bigint>").join(wanted, ["rep", "digest"])
+    return met.groupBy("rep", "digest").agg(F.first("cid").alias("cid"), F.first("hashes").alias("hashes")).select("cid", "hashes")
+
 
+def components(edges: DataFrame, keep: Scratch) -> DataFrame:
+    """(id, component) for each id of the edges (a, b): the smallest id reachable, by least neighbours and jumping.
 
-def components(edges: DataFrame, name: str, most: int = 60) -> DataFrame:
-    """(id, component) for each id of the edges (a, b): the smallest id reachable, by least neighbours and jumping."""
-    both = materialize(edges.union(edges.select("b", "a")).toDF("id", "other").distinct(), f"{name}-edges")
-    labels = materialize(both.groupBy("id").agg(F.least(F.first("id"), F.min("other")).alias("component")), f"{name}-0")
-    for step in range(1, most):
+    Each round lowers a label or ends the loop; with jumping there are about as many as the logarithm of a component's width."""
+    both = keep.keep(edges.union(edges.select("b", "a")).toDF("id", "other").distinct(), "edges")
+    labels = keep.keep(both.groupBy("id").agg(F.least(F.first("id"), F.min("other")).alias("component")), "labels")
+    while True:
         near = both.join(labels.toDF("other", "theirs"), "other").groupBy("id").agg(F.min("theirs").alias("near"))
         least = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         jump = least.join(labels.toDF("component", "beyond"), "component").select("id", "was", F.least("component", "beyond").alias("component"))
-        moved = materialize(jump, f"{name}-{step}")
+        moved = keep.keep(jump, "labels")
+        keep.drop("labels", latest=False)
         labels = moved.select("id", "component")
         if moved.where("component < was").isEmpty():
+            keep.drop("edges")
             return labels
-    raise RuntimeError(f"components still change after {most} rounds")
 
 
 def _fits(x: str, y: str):
@@ -197,57 +265,71 @@ def _fits(x: str, y: str):
 def _placed(lists: DataFrame, grouped: DataFrame | None, links: DataFrame | None) -> DataFrame:
     """The lists' entries with their component so far and the number of their links as a head."""
     if grouped is None:
-        return lists.withColumn("c", F.col("rep")).withColumn("degree", F.lit(0))
-    degrees = links.groupBy("b").agg(F.count("*").alias("degree")).withColumnRenamed("b", "rep")
-    return lists.join(grouped.toDF("rep", "c"), "rep", "left").join(degrees, "rep", "left").select("value", "rep", "n", F.coalesce("c", "rep").alias("c"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        return lists.withColumn("c", F.col("cid")).withColumn("degree", F.lit(0))
+    degrees = links.groupBy("b").agg(F.count("*").alias("degree")).withColumnRenamed("b", "cid")
+    return lists.join(grouped.toDF("cid", "c"), "cid", "left").join(degrees, "cid", "left").select("value", "cid", "n", F.coalesce("c", "cid").alias("c"), F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
 def _heads(placed: DataFrame, turn: int, hashed: int = 2) -> DataFrame:
     """Each entry of a list with more than one component, beside the list's heads in other components: the one with most
-    links (at first the smallest id) and some by hash, other ones in each turn."""
-    entry = F.struct("rep", "n", "c")
-    chosen = [F.max_by(entry, F.struct("degree", -F.col("rep")))] + [F.min_by(entry, F.xxhash64("rep", F.lit(turn), F.lit(i))) for i in range(hashed)]
+    links (at first the smallest number) and some by hash, other ones in each turn."""
+    entry = F.struct("cid", "n", "c")
+    chosen = [F.max_by(entry, F.struct("degree", -F.col("cid")))] + [F.min_by(entry, F.xxhash64("cid", F.lit(turn), F.lit(i))) for i in range(hashed)]
     heads = placed.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.array_distinct(F.array(*chosen)).alias("heads")).where("lo < hi")
-    return placed.join(heads.select("value", F.explode("heads").alias("head")), "value").where((F.col("rep") != F.col("head.rep")) & (F.col("c") != F.col("head.c")))
+    return placed.join(heads.select("value", F.explode("heads").alias("head")), "value").where((F.col("cid") != F.col("head.cid")) & (F.col("c") != F.col("head.c")))
 
 
 def near_duplicates(documents: DataFrame, k: int = 64, rounds: int = 3, tries: int = 2, filter_bytes: int = 64 << 20) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of documents.
+    """doc_id, n_shingles, component_id, kept, text_key for each row of documents.
 
     rounds of stars come before the exhaustive step; tries is how many of its best heads a class verifies in each."""
-    seen = materialize(sketches(documents, k), "sketches")
+    keep = Scratch(documents.sparkSession, "near-dup")
+    seen = keep.keep(sketches(documents, k), "sketches")
     real = seen.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    classes = materialize(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    # numbered as they are written: from then on a class has one number, whoever reads it
+    classes = keep.keep(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     # inverted lists of the rarest retained values
-    values = classes.select("rep", "n", F.size("sketch").alias("held"), F.explode("sketch").alias("value"))
-    often = materialize(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
-    offered = values.join(often, "value").groupBy("rep").agg(F.first("n").alias("n"), F.first("held").alias("held"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("list"))
+    values = classes.select("cid", "n", F.size("sketch").alias("held"), F.explode("sketch").alias("value"))
+    often = keep.keep(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
+    offered = values.join(often, "value").groupBy("cid").agg(F.first("n").alias("n"), F.first("held").alias("held"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("list"))
     enough = F.when(F.col("n") < k, F.greatest(F.lit(1), F.least(F.ceil(F.col("n") * 3 / 4), F.lit(k - k // 3)))).otherwise(needed(k, k))
     room = (F.col("held") - enough + 1 - (F.col("held") - F.size("list"))).cast("int")  # the unshared values come first in the prefix
-    lists = materialize(offered.where(room > 0).select("rep", "n", F.explode(F.slice("list", F.lit(1), room)).alias("v")).select("rep", "n", F.col("v.value").alias("value")), "lists")
+    lists = keep.keep(offered.where(room > 0).select("cid", "n", F.explode(F.slice("list", F.lit(1), room)).alias("v")).select("cid", "n", F.col("v.value").alias("value")), "lists")
 
     # rounds of stars: the size of a group, not its square
     shared = lists.groupBy("value").agg(F.count("*").alias("members")).where("members > 1").select("value")
-    lists = materialize(lists.join(shared, "value"), "shared-lists")
-    sets = materialize(full_sets(documents, lists.select("rep", "n").distinct(), filter_bytes), "sets")
+    lists = keep.keep(lists.join(shared, "value"), "lists")
+    keep.drop("frequencies")
+    keep.drop("lists", latest=False)
+    wanted = lists.select("cid").distinct().join(classes.select("cid", "rep", "digest"), "cid")
+    sets = keep.keep(full_sets(documents, wanted, filter_bytes), "sets")
     links, grouped = None, None
     for turn in range(rounds):
         heads = _heads(_placed(lists, grouped, links), turn)
-        stars = heads.where(_fits("n", "head.n")).select(F.col("rep").alias("a"), F.col("head.rep").alias("b")).distinct()
+        stars = heads.where(_fits("n", "head.n")).select(F.col("cid").alias("a"), F.col("head.cid").alias("b")).distinct()
         best = with_estimates(stars, classes, k).groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("estimate", "b")), asc=False), 1, tries).alias("best"))
-        found = materialize(verified(best.select("a", F.explode("best").alias("x")).select("a", "x.b"), sets), f"links-{turn}")
+        found = keep.keep(verified(best.select("a", F.explode("best").alias("x")).select("a", "x.b"), sets), "links")
         links = found if links is None else links.union(found)
-        grouped = components(links, f"components-{turn}")
+        grouped = components(links, keep)
+        keep.drop("labels", latest=False)
 
     # what lies between components still: all pairs that the prefix filter on full sets leaves
     placed = _placed(lists, grouped, links)
     mixed = placed.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("value")
-    open_ = materialize(placed.join(mixed, "value").select("rep", "n", "c").distinct(), "open")
-    rest = materialize(verified(with_estimates(prefix_pairs(sets, open_), classes, k), sets), "more-links")
-    grouped = components(links.union(rest), "components")
-
-    member = classes.join(grouped.toDF("rep", "c"), "rep", "left").select("digest", F.coalesce("c", "rep").alias("component_id"))
-    member = materialize(member, "members")
-    rows = seen.select("doc_id", "n_shingles", "digest").join(member, "digest", "left")
-    return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    open_ = keep.keep(placed.join(mixed, "value").select("cid", "n", "c").distinct(), "open")
+    rest = keep.keep(verified(possible(prefix_pairs(sets, open_, keep), classes, k), sets), "links")
+    grouped = components(links.union(rest), keep)
+
+    member = classes.join(grouped.toDF("cid", "c"), "cid", "left").select("digest", "rep", F.coalesce("c", "cid").alias("c"))
+    least = member.groupBy("c").agg(F.min("rep").alias("component_id"))
+    member = keep.keep(member.join(least, "c").select("digest", "component_id"), "members")
+    keep.drop("classes", "lists", "sets", "links", "labels", "open", "shared-values", "prefixes", "open-prefixes")
+    rows = seen.select("doc_id", "n_shingles", "text_key", "digest").join(member, "digest", "left")
+    rows = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "text_key")
+    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_key")
+
+
+def first_of_each(documents: DataFrame, **options) -> DataFrame:
+    """documents without the rows that near_duplicates() does not keep."""
+    return without_rows(documents, near_duplicates(documents, **options).where("not kept").select("doc_id", "text_key"))

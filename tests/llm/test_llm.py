@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -441,6 +442,55 @@ def test_near_duplicates_equal_brute_force(spark, k):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    rng = random.Random(2)
+    one, two = prose(rng, 60), prose(rng, 60)
+    rows = [(4, one), (4, two), (7, one + " more"), (8, two + " more"), (9, prose(rng, 60)), (None, one), (7, one + " more")]
+    docs = table(spark, rows)
+    got = near_dup.near_duplicates(docs).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in got) == sorted([("4", "4", True)] * 2 + [("7", "4", False)] * 2 + [("8", "4", False), ("9", "9", True), ("None", "None", True)])
+    stay = near_dup.first_of_each(docs.withColumn("ROW_ID", F.lit(1)))
+    assert sorted(str(r["doc_id"]) for r in stay.collect()) == ["4", "4", "9", "None"] and stay.columns == [*docs.columns, "ROW_ID"]
+
+
+def test_rows_go_by_id_and_text(spark):
+    from tessitura.llm.common import text_key, without_rows
+
+    docs = table(spark, [(1, "a"), (1, "b"), (None, "a"), (None, None), (2, ""), (2, None)])
+    gone = docs.where("text = 'a' or text is null").select("doc_id", text_key().alias("text_key"))
+    assert {(r["doc_id"], r["text"]) for r in without_rows(docs, gone).collect()} == {(1, "b"), (2, "")}
+    assert without_rows(docs, gone.limit(0)).count() == 6 and without_rows(docs.limit(0), gone).count() == 0
+
+
+def test_one_component_never_meets_itself(spark):
+    """A list of one large component and an outlier: the pairs with the outlier, in seconds."""
+    lists = spark.range(16_000).select(F.lit(1).alias("value"), F.col("id").alias("cid"), F.lit(40).cast("long").alias("n"), F.lit(0).cast("long").alias("c"), F.lit(40).cast("long").alias("left"))
+    lists = lists.union(spark.range(20_000, 20_001).selectExpr("1", "id", "39L", "id", "39L"))
+    began = time.time()
+    assert near_dup.list_pairs(lists, near_dup.Scratch(spark, "lists")).count() == 16_000 and time.time() - began < 20
+
+
+def test_list_pairs_equal_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(3), i, n := rng.randrange(1, 60), rng.randrange(6), rng.randrange(1, n + 1)) for i in range(200)]
+    got = {(r["a"], r["b"]) for r in near_dup.list_pairs(spark.createDataFrame(rows, "value long, cid long, n long, c long, left long"), near_dup.Scratch(spark, "lists"), block=7).collect()}
+    want = {(a, b) for v, a, n, c, x in rows for w, b, m, d, y in rows if a > b and v == w and c != d and min(n, m) * 4 >= 3 * max(n, m) and 7 * min(x, y) >= 3 * (n + m)}
+    assert got == want
+
+
+def test_sketches_never_rule_out_a_pair_at_the_threshold():
+    rng = np.random.default_rng(5)
+    for n in (4, 40, 64, 65, 90, 300):
+        for _ in range(20):
+            every = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+            apart = max(1, n // 7)
+            a, b = np.unique(every[:n]), np.unique(every[apart : n + apart])
+            union = len(np.union1d(a, b))
+            if 100 * (len(a) + len(b) - union) >= 75 * union:
+                assert near_dup.most_in_common(a[:64], b[:64], len(a), len(b), 64)
+    assert near_dup.binomial_needed(64) == 21
+
+
 def test_near_duplicates_odd_tables(spark):
     assert near_dup.near_duplicates(table(spark, ["x"]).limit(0)).count() == 0
     rows = near_dup.near_duplicates(table(spark, [(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (2, None)])).collect()
