@@ -27,8 +27,8 @@ def op2_media_columns(spark, sf_dir):
 
 
 def op3_substring_dedup(spark, sf_dir):
-    cleaned = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return cleaned.select("doc_id", F.col("__words").alias("n_words"), F.col("__removed").alias("n_removed"), F.sha2("__kept", 256).alias("kept_sha256"))
+    cleaned = remove_repeats(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op4_packing(spark, sf_dir):

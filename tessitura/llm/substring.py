@@ -1,21 +1,26 @@
 """Substring deduplication over a log-structured fingerprint index.
 
 A window is 13 consecutive words of a document; each word that lies in a window which also starts in a document of smaller
-id is removed. Documents come in batches of rising ids, and each batch takes three steps:
-
-1. Anchors. Of the word 6-grams in a window, the one of least hash is its anchor: equal windows have equal anchors, and a
-   document has about two anchors for nine words. Anchor hashes are dealt by hash range. Each range merges the batch's
-   anchors with the sorted immutable runs of earlier batches, finds those that occur in another document too, and writes
-   the batch's anchors as a new sorted run. Runs are compacted into one when there are max_runs of them.
-2. Windows. The shared anchors go into a Bloom filter of a fixed largest size; false hits cost work, never results. Windows
-   at a shared anchor, of the batch and of the documents before it, are hashed whole and dealt by hash. Equal windows of
-   a slice of a map task (4 MB of text) are settled there: only the smallest id's go on, so a passage that a third of
-   all rows share costs one entry a slice. Equality is verified by a second, independent hash of 32 bits besides the 64 that deal.
-3. Removal. The windows' positions meet the texts, dealt by a hash of the row, and the covered words go.
+id is removed. A window's fingerprint is the least hash of its word 6-grams: equal windows have equal fingerprints, and
+neighbours mostly share one, so a document has about two for nine words. Documents come in batches of rising ids:
+
+1. Run. Each slice of a map task (4 MB of text) writes its sorted fingerprints with their owners, the run of the batch.
+2. Merge. The batch's fingerprints are dealt by range and merge-joined with the sorted, immutable tables of all earlier
+   batches; those that occur in another document too are shared. The batch's become a new table, and when there are max_runs
+   tables they are compacted into one.
+3. Windows. The shared fingerprints go into a Bloom filter of a fixed largest size; false hits cost work, never results. The
+   runs tell which earlier documents own one; only these are read again, and windows at shared fingerprints of the batch
+   and of these owners are hashed whole and dealt by hash. Equal windows of a slice are settled there: only the smallest id's
+   go on, so a passage that a third of all rows share costs one entry a slice. Equality is verified: the 32-bit check beside
+   the 64-bit hash comes from another hash function of the words.
+4. Removal. Rows that lose nothing pass in their map task; the others meet the positions they lose in a join.
+
+The index lies in a folder and opens again with all its runs, so a later batch needs only what it brings and the owners it
+meets. Nothing holds a text but the batch a task reads; groups of fingerprints and windows are sized by bytes of text.
 
 Words are runs of bytes other than space and \\t\\n\\v\\f\\r. Defined cases: null text has no words; rows of null id own
 nothing and keep everything; repeated rows are equal in id and remove nothing from each other; an empty table gives no
-rows; all further columns are kept, whatever their names (the operator's own start with two underscores).
+rows; further columns, whatever their names, are ignored, or kept where documents are returned.
 """
 
 from __future__ import annotations
@@ -28,16 +33,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import build, hits
-from .common import Memo, materialize, rows_of, scratch, slices_of
+from .common import Memo, delete, materialize, rows_of, scratch, slices_of, text_key, unused, write
 
 WINDOW, GRAM = 13, 6
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
-def word_memo() -> Memo:
+def word_memo(seed: int = 0) -> Memo:
     """Word hashes, remembered for a task: what a worker keeps between tasks would add up over stages."""
-    return Memo(xxhash.xxh3_64_intdigest, 100_000)
+    return Memo(lambda w: xxhash.xxh3_64_intdigest(w, seed), 100_000)
 
 
 def word_hashes(text: bytes | None, memo: Memo) -> np.ndarray:
@@ -65,16 +70,16 @@ def window_anchors(h: np.ndarray) -> np.ndarray:
     return m
 
 
-def _runs(keys: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key, first and number of consecutive positions."""
-    order = np.lexsort((pos, keys))
-    keys, pos = keys[order], pos[order].astype(np.int64)
+def _runs(ids: np.ndarray, keys: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Id, key, first and number of consecutive positions."""
+    order = np.lexsort((pos, keys, ids))
+    ids, keys, pos = ids[order], keys[order], pos[order]
     if not len(keys):
-        return keys, pos, pos
-    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (pos[1:] > pos[:-1] + 1)])
+        return ids, keys, pos, pos
+    new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (pos[1:] > pos[:-1] + 1)])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(keys)) - 1
-    return keys[first], pos[first], pos[last] - pos[first] + 1
+    return ids[first], keys[first], pos[first], pos[last] - pos[first] + 1
 
 
 def _slices(sorted_values: np.ndarray, parts: int):
@@ -97,41 +102,61 @@ def _deltas(sorted_values: np.ndarray) -> np.ndarray:
     return np.diff(sorted_values, prepend=np.uint64(0))
 
 
-_RUN = "bucket int, anchors binary, kind string"
+_TABLE = "bucket int, anchors binary, kind string"
+_OWNERS = "anchors binary, row binary, ids binary"
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of anchor hashes in a shared folder: a table of (bucket, anchors) for each."""
+    """Sorted immutable runs of window fingerprints in a folder that outlives the session.
+
+    For each batch a table of (bucket, sorted fingerprints), and one of the slices' fingerprints with their owners. A table
+    from-to stands for the batches from..to; one that another covers is left from a compaction and is ignored."""
 
     def __init__(self, spark: SparkSession, root: str, buckets: int, max_runs: int = 4):
-        self.spark, self.root, self.buckets, self.max_runs = spark, root, buckets, max_runs
-        self.runs: list[str] = []
-        self.made = 0
+        self.spark, self.root, self.max_runs = spark, root, max_runs
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+        done = {n for n in names if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))}
+        spans = [(n, *map(int, n.split("-")[1:3])) for n in sorted(done) if n.startswith("table-")]
+        self.tables = [n for n, a, z in spans if not any((b, y) != (a, z) and b <= a and z <= y for _, b, y in spans)]
+        self.made = max((z + 1 for _, _, z in spans), default=0)
+        if "meta" in done:
+            buckets = spark.read.parquet(f"{root}/meta").first()["buckets"]
+        else:
+            write(spark.createDataFrame([(buckets,)], "buckets int"), f"{root}/meta")
+        self.buckets = buckets
+
+    def owners(self) -> DataFrame | None:
+        """The runs of all batches so far."""
+        paths = [f"{self.root}/owners-{i:06d}" for i in range(self.made)]
+        return self.spark.read.schema(_OWNERS).parquet(*paths) if paths else None
 
     def read(self) -> DataFrame | None:
-        tables = [self.spark.read.schema(_RUN).parquet(p).where(F.col("kind") == "run") for p in self.runs]
-        for t in tables[1:]:
-            tables[0] = tables[0].unionByName(t)
-        return tables[0].withColumn("kind", F.lit(1)) if tables else None
-
-    def merge(self, anchors: DataFrame) -> DataFrame:
-        """Merge-join a batch's anchors (bucket, anchors) with all runs; append the batch as a run; give the shared ones."""
-        rows = anchors.withColumn("kind", F.lit(0))
+        paths = [f"{self.root}/{n}" for n in self.tables]
+        return self.spark.read.schema(_TABLE).parquet(*paths).where(F.col("kind") == "run").withColumn("kind", F.lit(1)) if paths else None
+
+    def append(self, documents: DataFrame) -> DataFrame:
+        """Write a batch of documents (id, text) as a run, merge-join it with all earlier ones, and give the shared fingerprints."""
+        run = f"{self.root}/owners-{self.made:06d}"
+        write(owner_rows(documents), run, "overwrite")  # what a failed run left goes
+        rows = bucket_rows(self.spark.read.schema(_OWNERS).parquet(run), self.buckets).withColumn("kind", F.lit(0))
         if (past := self.read()) is not None:
             rows = rows.unionByName(past)
-        path = f"{self.root}/step-{self.made}"
+        name = f"table-{self.made:06d}-{self.made:06d}"
+        write(rows.groupBy("bucket").applyInArrow(_merge_bucket, _TABLE), f"{self.root}/{name}", "overwrite")
+        self.tables.append(name)
         self.made += 1
-        rows.groupBy("bucket").applyInArrow(_merge_bucket, _RUN).write.parquet(path)
-        self.runs.append(path)
-        return self.spark.read.schema(_RUN).parquet(path).where(F.col("kind") == "shared").drop("kind")
+        return self.spark.read.schema(_TABLE).parquet(f"{self.root}/{name}").where(F.col("kind") == "shared").drop("kind")
 
     def compact(self) -> None:
-        """Merge all runs into one."""
-        if len(self.runs) > 1:
-            path = f"{self.root}/compact-{self.made}"
-            self.made += 1
-            self.read().select("bucket", "anchors").groupBy("bucket").applyInArrow(_compact_bucket, _RUN).write.parquet(path)
-            self.runs = [path]
+        """Merge all tables into one; the old ones go."""
+        if len(self.tables) > 1:
+            name, old = f"table-{0:06d}-{self.made - 1:06d}", self.tables
+            write(self.read().select("bucket", "anchors").groupBy("bucket").applyInArrow(_compact_bucket, _TABLE), f"{self.root}/{name}")
+            self.tables = [name]
+            for n in old:
+                delete(self.spark, f"{self.root}/{n}")
 
 
 def _blobs(table: pa.Table, kind: int | None = None) -> list[np.ndarray]:
@@ -156,23 +181,51 @@ def _compact_bucket(table: pa.Table) -> pa.Table:
     return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int32()), "anchors": pa.array(_packed(_deltas(merged)), pa.binary()), "kind": pa.array(["run"])})
 
 
-def anchor_rows(batch: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, anchors) of a batch of documents: for each slice of a task and bucket the sorted anchors; the lowest
-    bit says that two of the slice's rows have it."""
+def owner_rows(documents: DataFrame) -> DataFrame:
+    """For each slice of a task its fingerprints, sorted, the row in the slice that each occurs in, and the rows' ids."""
 
     def run(batches):
         memo = word_memo()
         for b in batches:
-            texts = rows_of(b, "text")[0]
+            ids, texts = rows_of(b, "__id", "text")
             for start, stop in slices_of(texts, 4 << 20):
                 found = [np.unique(window_anchors(word_hashes(t, memo))) for t in texts[start:stop]]
-                values, counts = np.unique(np.concatenate(found), return_counts=True)
+                row = np.repeat(np.arange(len(found), dtype=np.uint32), [len(x) for x in found])
+                values = np.concatenate(found)
+                order = np.argsort(values, kind="stable")
+                if len(values):
+                    packed = _packed(_deltas(values[order]), row[order], np.array(ids[start:stop], np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in packed], ["anchors", "row", "ids"])
+
+    return documents.select("__id", "text").mapInArrow(run, _OWNERS)
+
+
+def bucket_rows(owners: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, anchors): the fingerprints of each slice, once each; the lowest bit says that two of the slice's rows have it."""
+
+    def run(batches):
+        for b in batches:
+            for blob in rows_of(b, "anchors")[0]:
+                values, counts = np.unique(np.cumsum(_unpacked(blob, np.uint64), dtype=np.uint64), return_counts=True)
                 values |= (counts > 1).astype(np.uint64)
                 rows = [(i, *_packed(_deltas(values[s]))) for i, s in _slices(values, buckets)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary()), strict=True)], ["bucket", "anchors"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.binary()), strict=True)], ["bucket", "anchors"])
+
+    return owners.select("anchors").mapInArrow(run, "bucket int, anchors binary")
+
 
-    return batch.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "bucket int, anchors binary")
+def owners_of(owners: DataFrame, bloom: np.ndarray) -> DataFrame:
+    """(id) of the documents of these runs that own a fingerprint which the filter has."""
+    shared = owners.sparkSession.sparkContext.broadcast(bloom)  # at most max_bytes
+
+    def run(batches):
+        for b in batches:
+            for anchors, row, ids in zip(*rows_of(b, "anchors", "row", "ids"), strict=True):
+                met = hits(shared.value, np.cumsum(_unpacked(anchors, np.uint64), dtype=np.uint64))
+                own = np.unique(_unpacked(ids, np.int64)[np.unique(_unpacked(row, np.uint32)[met])])
+                yield pa.RecordBatch.from_arrays([pa.array(own)], ["id"])
+
+    return owners.mapInArrow(run, "id bigint").distinct()
 
 
 def anchor_values(blobs: DataFrame) -> DataFrame:
@@ -196,7 +249,7 @@ def _repeats(win, chk, ids):
 
 
 _WINDOWS = "bucket int, win binary, chk binary, row binary, pos binary, ids binary, keys binary, new binary, done boolean"
-_REMOVALS = "__key bigint, start bigint, n bigint"
+_REMOVALS = "id bigint, key bigint, start bigint, n bigint"
 
 
 def window_rows(rows: DataFrame, bloom: np.ndarray, buckets: int) -> DataFrame:
@@ -204,40 +257,35 @@ def window_rows(rows: DataFrame, bloom: np.ndarray, buckets: int) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(bloom)  # at most max_bytes
 
     def run(batches):
-        number, memo = 0, word_memo()
+        number, memo, other = 0, word_memo(), word_memo(1)
         for b in batches:
             columns = rows_of(b, "__id", "__key", "__new", "text")
             for start, stop in slices_of(columns[3], 4 << 20):
                 number += 1
-                if out := settle_slice(number, memo, *(c[start:stop] for c in columns)):
+                if out := settle_slice(number, memo, other, *(c[start:stop] for c in columns)):
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 7, pa.bool_()), strict=True)], [c.split()[0] for c in _WINDOWS.split(", ")])
 
-    def settle_slice(number, memo, ids, keys, new, texts):
+    def settle_slice(number, memo, other, ids, keys, new, texts):
         bits = shared.value
-        ancs, wins, chks, poss, whose = [], [], [], [], []
+        wins, chks, poss, whose = [], [], [], []
         for i, text in enumerate(texts):
             h = word_hashes(text, memo)
             anchors = window_anchors(h)
             at = np.flatnonzero(hits(bits, anchors))
             if len(at):
-                ancs.append(anchors[at])
                 wins.append(rolled(h, WINDOW, _ODD[1])[at])
-                chks.append((rolled(h, WINDOW, _ODD[2])[at] >> np.uint64(32)).astype(np.uint32))
+                chks.append((rolled(word_hashes(text, other), WINDOW, _ODD[2])[at] >> np.uint64(32)).astype(np.uint32))
                 poss.append(at.astype(np.uint32))
                 whose.append(np.full(len(at), i, np.uint32))
         if not wins:
             return []
-        anc, win, chk, pos, row = map(np.concatenate, (ancs, wins, chks, poss, whose))
+        win, chk, pos, row = map(np.concatenate, (wins, chks, poss, whose))
         ids, keys, new = np.array(ids, np.int64), np.array(keys, np.int64), np.array(new, bool)
         order, again = _repeats(win, chk, ids[row])
-        anc, win, chk, pos, row = anc[order], win[order], chk[order], pos[order], row[order]
+        win, chk, pos, row = win[order], chk[order], pos[order], row[order]
         out, go, ends = [], np.flatnonzero(~again), again & new[row]
-        # equal windows have equal anchors, and neighbours often share one: dealt by anchor, they arrive as runs
-        part = ((anc[go] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        go = go[np.argsort(part, kind="stable")]  # still by window in each bucket
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=buckets))])
-        for i in np.flatnonzero(np.diff(cuts)).tolist():
-            s = go[cuts[i] : cuts[i + 1]]
+        for i, part in _slices(win[go], buckets):  # they are sorted; a passage's windows go to many buckets
+            s = go[part]
             used, local = np.unique(row[s], return_inverse=True)
             out.append((i, *_packed(_deltas(win[s]), chk[s], local.astype(np.uint32), pos[s], ids[used], keys[used], new[used]), False))
         if ends.any():
@@ -255,17 +303,16 @@ def removals(windows: DataFrame) -> DataFrame:
     def settle(table: pa.Table) -> pa.Table:
         parts = [[_unpacked(x, k) for x, k in zip(r, (np.uint64, np.uint32, np.uint32, np.uint32, np.int64, np.int64, bool), strict=True)] for r in zip(*(table[c].to_pylist() for c in ("win", "chk", "row", "pos", "ids", "keys", "new")), strict=True)]
         done = table["done"].to_pylist()
-        key_list, pos_list = [p[5][p[2]] for p, d in zip(parts, done, strict=True) if d], [p[3] for p, d in zip(parts, done, strict=True) if d]
+        gone = [(p[4][p[2]], p[5][p[2]], p[3]) for p, d in zip(parts, done, strict=True) if d]
         if open_ := [p for p, d in zip(parts, done, strict=True) if not d]:
             win = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in open_])
             chk, pos = (np.concatenate([p[i] for p in open_]) for i in (1, 3))
             ids, keys, new = (np.concatenate([p[i][p[2]] for p in open_]) for i in (4, 5, 6))
             order, again = _repeats(win, chk, ids)
             take = order[again & new[order]]
-            key_list.append(keys[take])
-            pos_list.append(pos[take])
-        keys, pos = np.concatenate([*key_list, np.zeros(0, np.int64)]), np.concatenate([*pos_list, np.zeros(0, np.uint32)])
-        return pa.table([pa.array(c.astype(np.int64)) for c in _runs(keys, pos)], names=["__key", "start", "n"])
+            gone.append((ids[take], keys[take], pos[take]))
+        ids, keys, pos = (np.concatenate([g[i] for g in gone] + [np.zeros(0, np.int64)]).astype(np.int64) for i in range(3))
+        return pa.table([pa.array(c) for c in _runs(ids, keys, pos)], names=["id", "key", "start", "n"])
 
     return windows.groupBy("bucket").applyInArrow(settle, _REMOVALS)
 
@@ -281,54 +328,105 @@ def _kept(words: list[bytes], starts: np.ndarray, n: np.ndarray) -> tuple[bytes,
     return b" ".join([words[i] for i in np.flatnonzero(stay)]), int(len(words) - stay.sum())
 
 
-def remove_repeats(documents: DataFrame, root: str | None = None, batches: int = 2, max_runs: int = 4, filter_bytes: int = 64 << 20) -> DataFrame:
-    """documents' columns, and __words, __removed, __kept (the text that stays, as bytes) for each row.
+def repeats(documents: DataFrame, root: str | None = None, batches: int = 3, max_runs: int = 2, filter_bytes: int = 64 << 20, bucket_bytes: int = 64 << 20) -> DataFrame:
+    """(id, key, start, n): runs of windows that a document of smaller id has; key is text_key().
 
     batches: into how many runs of rising ids the table is dealt, as if they had come one after another."""
     spark = documents.sparkSession
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, shards = max(64, 2 * shuffle), max(64, 2 * shuffle)
-    keyed = documents.withColumn("__key", F.xxhash64("doc_id", "text"))
-    rows = keyed.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("__id"), "__key", F.col("text").cast("binary").alias("text"))
-    root = root or scratch(spark, "fingerprints")
-    index = FingerprintIndex(spark, root, buckets, max_runs)
-    cuts = rows.agg(F.percentile_approx("__id", [i / batches for i in range(1, batches)], 1000).alias("q")).first()["q"] if batches > 1 else None
-    bounds = [None, *sorted(set(cuts or [])), None]
+    rows = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("__id"), text_key().alias("__key"), F.col("text").cast("binary").alias("text"))
+    known = rows.agg(F.sum(F.length("text")).alias("size"), F.percentile_approx("__id", [i / batches for i in range(1, batches)] or [1.0], 1000).alias("q")).first()
+    index = FingerprintIndex(spark, root or scratch(spark, "fingerprints"), max(64, -(-(known["size"] or 0) // bucket_bytes)), max_runs)
+    bounds = [None, *(sorted(set(known["q"] or [])) if batches > 1 else []), None]
     found: DataFrame | None = None
     for lo, hi in zip(bounds, bounds[1:]):  # a handful of batches, each a job of its own
-        upto = rows if hi is None else rows.where(F.col("__id") <= hi)
-        fresh = upto if lo is None else upto.where(F.col("__id") > lo)
-        shared = index.merge(anchor_rows(fresh, buckets))
-        bloom = build(materialize(anchor_values(shared), "anchors"), filter_bytes)  # written, so that no task runs two Python workers
-        marked = upto.withColumn("__new", F.lit(True) if lo is None else F.col("__id") > lo)
-        part = removals(window_rows(marked, bloom, buckets))
+        fresh = rows if hi is None else rows.where(F.col("__id") <= hi)
+        fresh = fresh if lo is None else fresh.where(F.col("__id") > lo)
+        past = index.owners()
+        bloom = build(materialize(anchor_values(index.append(fresh)), "shared"), filter_bytes)  # written, so that no task runs two Python workers
+        marked = fresh.withColumn("__new", F.lit(True))
+        if past is not None:
+            met = build(materialize(owners_of(past, bloom), "owners"), filter_bytes)
+            marked = marked.unionByName(_owned(rows.where(F.col("__id") <= lo) if lo is not None else rows, met).withColumn("__new", F.lit(False)))
+        part = materialize(removals(window_rows(marked, bloom, index.buckets)), "removals")
         found = part if found is None else found.unionByName(part)
-        if len(index.runs) >= max_runs:
+        if len(index.tables) >= max_runs and hi is not None:
             index.compact()
-    return _apply(keyed, found, shards)
-
-
-def _apply(keyed: DataFrame, found: DataFrame, shards: int) -> DataFrame:
-    fields = [f for f in keyed.schema.fields if f.name not in ("__key", "__shard")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "__words bigint, __removed bigint, __kept binary"])
-    names = [f.name for f in fields]
-
-    def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, starts, runs = (right[n].to_numpy() for n in ("__key", "start", "n"))
-        order = np.argsort(keys, kind="stable")
-        keys, starts, runs = keys[order], starts[order], runs[order]
-        own = left["__key"].to_numpy()
-        lo, hi = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
-        n_words, n_gone, kept = [], [], []
-        for a, z, text in zip(lo, hi, left["text"].to_pylist(), strict=True):
-            words = text.encode().split() if text else []
-            stay, gone = _kept(words, starts[a:z], runs[a:z])
-            n_words.append(len(words))
-            n_gone.append(gone)
-            kept.append(stay)
-        out = [left[n].combine_chunks() for n in names] + [pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(kept, pa.binary())]
-        return pa.table(out, names=[*names, "__words", "__removed", "__kept"])
-
-    # the unsigned key modulo shards
-    shard = F.expr(f"cast(((__key >>> 1) % {shards} * 2 + (__key & 1)) % {shards} as int)").alias("__shard")
-    return keyed.groupBy(shard).cogroup(found.groupBy(shard)).applyInArrow(remove, schema)
+    return found
+
+
+def _owned(rows: DataFrame, met: np.ndarray) -> DataFrame:
+    """The rows whose id the filter has."""
+    shared = rows.sparkSession.sparkContext.broadcast(met)  # at most max_bytes
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(hits(shared.value, b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _with_runs(documents: DataFrame, found: DataFrame, filter_bytes: int) -> tuple[DataFrame, str]:
+    """documents with the runs that each row loses (null where it loses none), and that column's name.
+
+    Rows that a Bloom filter of the losing ones does not have pass in their map task."""
+    own, key, runs = unused(documents.columns, "row_id", "row_key", "row_runs")
+    lost = found.groupBy("id", "key").agg(F.collect_list(F.struct("start", "n")).alias(runs))
+    lost = materialize(lost, "lost")
+    both = F.xxhash64("id", "key")
+    shared = documents.sparkSession.sparkContext.broadcast(build(lost.select(both.alias("v")), filter_bytes))
+    marked = documents.withColumn(own, F.col("doc_id").cast("long")).withColumn(key, text_key())
+    marked = marked.withColumn(runs, F.xxhash64(own, key))
+
+    def split(doubtful):
+        def run(batches):
+            for b in batches:
+                v = b.column(b.schema.get_field_index(runs)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                yield b.filter(pa.array(hits(shared.value, v) == doubtful))
+
+        return marked.mapInArrow(run, marked.schema).drop(runs)
+
+    met = lost.withColumnsRenamed({"id": own, "key": key})
+    nothing = F.lit(None).cast(met.schema[runs].dataType)
+    columns = [*documents.columns, runs]
+    return split(False).withColumn(runs, nothing).select(*columns).unionByName(split(True).join(met, [own, key], "left").select(*columns)), runs
+
+
+def _cover(text: str | None, runs: list[dict] | None) -> tuple[int, int, bytes]:
+    """How many words a text has, how many go, and what stays."""
+    words = text.encode().split() if text else []
+    kept, gone = _kept(words, np.array([r["start"] for r in runs or ()], np.int64), np.array([r["n"] for r in runs or ()], np.int64))
+    return len(words), gone, kept
+
+
+def remove_repeats(documents: DataFrame, filter_bytes: int = 64 << 20, **options) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (the words that stay, joined by one space, as bytes) of each row of documents."""
+    marked, runs = _with_runs(documents.select("doc_id", "text"), repeats(documents, filter_bytes=filter_bytes, **options), filter_bytes)
+
+    def run(batches):
+        for b in batches:
+            words, gone, kept = zip(*map(_cover, *rows_of(b, "text", runs)), strict=True) if len(b) else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
+
+    return marked.mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, n_words bigint, n_removed bigint, kept binary")
+
+
+def cut_repeats(documents: DataFrame, filter_bytes: int = 64 << 20, **options) -> DataFrame:
+    """documents, the texts without their repeats; a text that loses none keeps its form. A column n_chars follows the text."""
+    marked, runs = _with_runs(documents, repeats(documents, filter_bytes=filter_bytes, **options), filter_bytes)
+    types = {f.name: f.dataType for f in documents.schema.fields}
+
+    def run(batches):
+        for b in batches:
+            texts, lost = rows_of(b, "text", runs)
+            cut = [(i, _cover(t, r)[2].decode()) for i, (t, r) in enumerate(zip(texts, lost, strict=True)) if r]
+            b = b.drop_columns([runs])
+            for name, of in (("text", lambda t: t), ("n_chars", len)):
+                if name in types and cut:
+                    at = b.schema.get_field_index(name)
+                    values = b.column(at).to_pylist()
+                    for i, t in cut:
+                        values[i] = of(t)
+                    b = b.set_column(at, b.schema.field(at), pa.array(values, b.column(at).type))
+            yield b
+
+    return marked.mapInArrow(run, documents.schema)

@@ -187,27 +187,44 @@ def passages(seed=3, n=60):
 @pytest.mark.parametrize("batches", [1, 2, 5])
 def test_substring_equals_brute_force(spark, batches):
     rows = [(i * 3 % 71, t) for i, t in enumerate(passages())] + [(None, passages()[0]), (5, passages()[3])]
-    docs = table(spark, rows).repartition(5).withColumn("bucket", F.lit(1))
-    got = substring.remove_repeats(docs, batches=batches, max_runs=3)
-    assert got.columns[: len(docs.columns)] == docs.columns
-    found = Counter((r["doc_id"], r["__words"], r["__removed"], hashlib.sha256(r["__kept"]).hexdigest()) for r in got.collect())
-    assert found == brute_removal(rows)
-
-
-def test_index_compaction_keeps_all(spark):
-    docs = table(spark, passages())
-    index = substring.FingerprintIndex(spark, scratch(spark, "index"), 8)
-    anchors = lambda d: sorted(r["value"] for r in substring.anchor_values(d).collect())
-    for lo, hi in ((0, 20), (20, 40), (40, 70)):
-        index.merge(substring.anchor_rows(docs.where(f"doc_id > {lo} and doc_id <= {hi}"), 8))
-    before = set(anchors(index.read().select("bucket", "anchors")))
+    docs = table(spark, rows).repartition(5).withColumn("bucket", F.lit(1)).withColumn("row_RUNS", F.lit(2))
+    got = substring.remove_repeats(docs, batches=batches, max_runs=2)
+    want = brute_removal(rows)
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"]).hexdigest()) for r in got.collect()) == want
+    cut = substring.cut_repeats(docs, batches=batches)
+    assert cut.columns == docs.columns
+    kept = {(i, k) for i, _, gone, k in want.elements() if gone}
+    before = Counter((r["doc_id"], r["text"]) for r in docs.collect())
+    for r in cut.collect():
+        if (r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) in kept:
+            assert r["n_chars"] == len(r["text"])
+        else:
+            assert before[r["doc_id"], r["text"]] and r["bucket"] == 1 and r["row_RUNS"] == 2
+
+
+def test_index_opens_again_and_compaction_keeps_all(spark):
+    docs = table(spark, passages()).where("text is not null").selectExpr("doc_id as __id", "cast(text as binary) as text")
+    root = scratch(spark, "index")
+    values = lambda d: sorted(r["value"] for r in substring.anchor_values(d).collect())
+    shared = []
+    for lo, hi in ((0, 20), (20, 40), (40, 70)):  # each batch by an index that was opened for it
+        index = substring.FingerprintIndex(spark, root, 8)
+        shared.append(set(values(index.append(docs.where(f"__id > {lo} and __id <= {hi}")))))
+    before = set(values(index.read().select("bucket", "anchors")))
     index.compact()
-    after = anchors(index.read().select("bucket", "anchors"))
-    assert len(index.runs) == 1 and len(after) == len(set(after)) and set(after) == before
+    again = substring.FingerprintIndex(spark, root, 99)
+    after = values(again.read().select("bucket", "anchors"))
+    assert len(again.tables) == 1 and again.buckets == 8 and again.made == 3 and len(after) == len(set(after)) and set(after) == before
+    anchors = {r["__id"]: set(substring.window_anchors(substring.word_hashes(r["text"], substring.word_memo())).view(np.int64).tolist()) for r in docs.collect()}
+    rows = Counter(x for i, a in anchors.items() if i <= 40 for x in a)
+    assert shared[1] == {x for i, a in anchors.items() if 20 < i <= 40 for x in a if rows[x] > 1}
+    bloom = build(spark.createDataFrame([(x,) for x in shared[1]], "v long"), 1 << 20)
+    owners = {r["id"] for r in substring.owners_of(again.owners(), bloom).collect()}
+    assert owners >= {i for i, a in anchors.items() if a & shared[1]}
 
 
 def test_substring_empty_table(spark):
-    assert substring.remove_repeats(table(spark, ["x"]).limit(0)).count() == 0
+    assert substring.remove_repeats(table(spark, ["x"]).limit(0)).count() == 0 and substring.cut_repeats(table(spark, ["x"]).limit(0)).count() == 0
 
 
 # 4 packing
@@ -335,20 +352,47 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(range(200)) - {d for d, _ in found}
 
 
-def test_leak_regions_lose_nothing(spark):
-    """The bound on regions against the check at every window."""
+def test_leaks_against_every_window(spark):
+    """What the cosine search finds, against the check alone at every place of every text."""
     docs, items, _ = benchmark_case(spark, 6)
-    encoded, _, made = decontam.fit(docs, [(r["item_id"], r["text"].encode(), None) for r in items.collect()])
-    numbers = [decontam.decoded(r["words"])[1] for r in encoded.collect()]
-    regions = made.regions(numbers)
-    for i, known in enumerate(numbers):
-        for k in range(len(made.ids)):
-            n, scale = made.sizes[k], made.scales[k]
-            for s in range(0, len(known), 8):
-                around = known[max(0, s - n) : s + scale + n]
-                cover, (answer, least) = made.common(k, around, 0) / n, made.answers[k]
+    encoded, table_, idf = decontam.fit(docs, items)
+    made = decontam.Items([(r["item_id"], r["text"].encode(), None) for r in items.collect()], table_, idf)
+    want = set()
+    for r in encoded.collect():
+        words = decontam.decoded(r["words"])
+        for k, n in enumerate(made.sizes):
+            answer, least = made.answers[k]
+            for s in range(0, len(words), decontam.BLOCK):
+                around = words[max(0, s - n) : s + -(-n // decontam.BLOCK) * decontam.BLOCK + n]
+                cover = made.common(k, around, 0) / n
                 if cover >= 0.75 or (cover >= 0.5 and len(answer.intersection(around.tolist())) >= least):
-                    assert any(a <= s + scale + n and s - n <= z for a, z in regions.get((i, k), [])), (i, k, s)
+                    want.add((r["doc_id"], made.ids[k]))
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, items).collect()}
+    assert want and len(got & want) >= 0.9 * len(want) and got <= want
+
+
+def test_candidates_equal_plain_cosines():
+    rng = np.random.default_rng(3)
+    table_ = np.vstack([rng.standard_normal((64, 5)), np.zeros((1, 5))]).astype(np.float32)
+    texts = [rng.integers(0, 1 << 32, n, dtype=np.uint32) for n in (0, 1, 7, 8, 9, 40, 100)]
+    items = decontam.Items([(1, b"a b c d e f g h i", None), (2, b"one two three", None), (3, b"", None)], table_[:64], np.ones(64, np.float32))
+    got = set(zip(*(c.tolist() for c in decontam.candidates(texts, table_, items, 0.3)[:4]), strict=True))
+    want = set()
+    for i, x in enumerate(texts):
+        for k, (width, v) in enumerate([(3, items.vectors[3][0]), (1, items.vectors[1][0])]):
+            for s in range(0, len(x), 4):
+                w = table_[x[s : s + 4 * width] % 64].sum(0)
+                if w @ v >= 0.3 * np.linalg.norm(w):
+                    want.add((i, k, s, min(len(x), s + 4 * width)))
+    assert got == want and want
+
+
+def test_leaks_of_rows_without_an_id(spark):
+    docs, items, truth = benchmark_case(spark)
+    leaking = min(d for d, _ in truth)
+    odd = docs.withColumn("doc_id", F.when(F.col("doc_id") == leaking, F.lit(None)).otherwise(F.lit(5))).withColumn("row_hash", F.lit(1)).withColumn("words", F.lit("clash"))
+    kept = decontam.without_leaks(odd, items)
+    assert kept.where("doc_id is null").count() == 0 and kept.count() > 100 and kept.columns == odd.columns
 
 
 def test_leaks_odd_rows(spark):
