@@ -4,17 +4,23 @@ A document is its token ids and an end id. It is cut into whole long windows fir
 context-size tier that holds it. Each tier then fills windows of its own size: a long piece opens a window and pieces of
 shorter tiers fill the gap, the last of them cut to fit. A window that is full has its tier's size, a power of two, so it
 needs no padding. What is left when a partition ends is cut into powers of two as well, so nothing at all is padded.
-Full sequences are dealt to step groups of equal token budgets within each partition.
+Sequences are dealt to step groups of equal numbers of tokens within each partition, each with about the same share of every
+tier: sequences wait until there are two groups' worth, and a group takes its share of each tier. The last ones are split
+evenly.
 
 Each task packs the rows of its own partition and streams over Arrow batches; nothing is shuffled and memory is one batch
 and the open windows. Sequence ids are the partition's number times 2**40 plus a running number.
 
+A word's ids are remembered. Only where the tokenizer's own file says that it lower-cases, drops white space and splits words
+as assumed here are plain words' letters given to its model directly; any other tokenizer encodes whole texts.
+
 Defined cases: null or empty text is the end id alone; repeated rows are packed as often as they occur; a null id is kept;
-an empty table gives no rows; further columns are ignored.
+an empty table gives no rows; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -42,23 +48,45 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def word_ids(path: str, limit: int = 100_000) -> Memo:
-    """word (bytes without ASCII white space) -> its ids as little-endian 32-bit bytes, remembered for a task.
+# How a tokenizer's file must describe its steps for the word memo to hold.
+_STEPS = {
+    "normalizer": ["NFC", "Replace", "Lowercase"],
+    "split": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
+}
+
+
+def splits_words(path: str) -> bool:
+    """Whether no step of this tokenizer looks across white space, which it drops, and it splits words as _PLAIN assumes."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    steps = [x.get("type") for x in (file.get("normalizer") or {}).get("normalizers", [])]
+    splits = [x.get("pattern", {}).get("Regex") for x in (file.get("pre_tokenizer") or {}).get("pretokenizers", []) if x.get("type") == "Split" and x.get("invert")]
+    return steps == _STEPS["normalizer"] and splits == [_STEPS["split"]] and (file.get("model") or {}).get("end_of_word_suffix") == "</w>"
 
-    The tokenizer drops white space and no step of it looks across white space, so a text's ids are its words' ids. A plain
-    word's letters go to the library's model directly, as its normaliser and splitter leave them as they are."""
 
+def text_encoder(path: str, end_id: int, limit: int = 100_000):
+    """text (UTF-8 or None) -> ids of the text and the end id, as little-endian 32-bit bytes."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
-    model, letters = tok.model, str.maketrans({chr(b): c for b, c in byte_letters().items()})
+    end = np.asarray([end_id], "<u4").tobytes()
 
     def whole(text: str) -> bytes:
         return array("I", tok.encode(text, add_special_tokens=False).ids).tobytes()
 
+    if not splits_words(path):
+        return lambda text: (whole(text.decode()) if text else b"") + end
+    memo = word_ids(tok.model, whole, limit)
+    return lambda text: encode_document(text, memo, end)
+
+
+def word_ids(model, whole, limit: int) -> Memo:
+    """word (bytes without ASCII white space) -> its ids, remembered for a task."""
+    letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
+
     def plain(word: str) -> bytes:
         form = word if word.isascii() else word.encode().decode("latin-1").translate(letters)
         return array("I", [t.id for t in model.tokenize(form)]).tobytes()
@@ -91,7 +119,8 @@ class Packer:
         self.tiers = sorted(tiers)
         self.pools: dict[int, deque] = {t: deque() for t in self.tiers}
         self.next_id, self.base, self.step_tokens = partition << 40, partition << 40, step_tokens
-        self.group, self.room = 0, step_tokens
+        self.group, self.waiting = 0, {}  # sequences without a step group, by size
+        self.held = 0
         self.out: list[tuple] = []
 
     def add(self, doc, ids: bytes) -> None:
@@ -137,15 +166,43 @@ class Packer:
         return taken
 
     def _emit(self, pieces: list[tuple], size: int) -> None:
-        if self.room < size:
-            self.group, self.room = self.group + 1, self.step_tokens
-        self.room -= size
-        offset = 0
+        rows, offset = [], 0
         for doc, at, ids, total in pieces:
             n = len(ids) // 4
-            self.out.append((doc, at, n, zlib.crc32(ids), total, self.next_id, offset, size, self.base + self.group))
+            rows.append((doc, at, n, zlib.crc32(ids), total, self.next_id, offset, size))
             offset += n
         self.next_id += 1
+        self.waiting.setdefault(size, deque()).append(rows)
+        self.held += size
+        while self.held >= 2 * self.step_tokens:
+            self._group(self.step_tokens)
+
+    def _group(self, tokens: int) -> None:
+        """A step group of so many tokens: of each size its share, then what fills the group, from the longest on."""
+        room, share = tokens, tokens / self.held
+        sizes = sorted((s for s, w in self.waiting.items() if w), reverse=True)
+        counts = {s: int(len(self.waiting[s]) * share) for s in sizes}
+        room -= sum(s * n for s, n in counts.items())
+        for s in sizes:
+            more = min(len(self.waiting[s]) - counts[s], room // s)
+            counts[s] += more
+            room -= more * s
+        for s, n in counts.items():
+            for _ in range(n):
+                self.out += [(*row, self.base + self.group) for row in self.waiting[s].popleft()]
+        self.held -= tokens - room
+        self.group += 1
+
+    def finish(self) -> None:
+        """Deal what waits to step groups of about equal size, the last of a partition."""
+        groups = -(-self.held // self.step_tokens)
+        filled = [0] * groups
+        for s in sorted(self.waiting, reverse=True):
+            for rows in self.waiting[s]:
+                g = filled.index(min(filled))
+                filled[g] += s
+                self.out += [(*row, self.base + self.group + g) for row in rows]
+        self.waiting, self.held = {}, 0
 
     def rows(self) -> list[tuple]:
         out, self.out = self.out, []
@@ -160,14 +217,15 @@ def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 2, tiers:
         raise ValueError("tiers are powers of two")
 
     def pack(batches):
-        memo, end = word_ids(tokenizer), np.asarray([end_id], "<u4").tobytes()
+        encode = text_encoder(tokenizer, end_id)
         packer = Packer(TaskContext.get().partitionId(), tiers, step_tokens)
         for batch in batches:
             for doc, text in zip(*rows_of(batch, "doc_id", "text"), strict=True):
-                packer.add(doc, encode_document(text, memo, end))
+                packer.add(doc, encode(text))
             packer.pack()
             yield from _batches(packer.rows())
         packer.pack(last=True)
+        packer.finish()
         yield from _batches(packer.rows())
 
     return documents.select("doc_id", utf8().alias("text")).mapInArrow(pack, SCHEMA)

@@ -255,13 +255,34 @@ def test_packing_equals_the_tokenizer(spark):
             assert r["offset"] == at
             at += r["length"]
         assert at <= 4096 and at & (at - 1) == 0
-    groups = Counter()
-    for r in rows:
-        groups[r["step_group"]] += r["length"]
-    assert max(groups.values()) <= 1 << 18
     assert packing.pack_documents(table(spark, ["x"]).limit(0), WORD_BPE).count() == 0
 
 
+def test_step_groups_are_balanced(spark):
+    rng = random.Random(8)
+    texts = [prose(rng, rng.choice([20, 200, 900, 4000])) for _ in range(150)]
+    rows = packing.pack_documents(table(spark, texts).repartition(2).withColumn("tier", F.lit("x")), WORD_BPE, step_tokens=1 << 14).collect()
+    of_partition = {}
+    for r in rows:
+        of_partition.setdefault(r["sequence_id"] >> 40, {}).setdefault(r["step_group"], Counter())[r["tier"]] += r["length"]
+    for groups in of_partition.values():
+        sizes = [sum(groups[g].values()) for g in sorted(groups)]
+        assert len(sizes) > 3 and set(sizes[:-2]) == {1 << 14} and abs(sizes[-1] - sizes[-2]) <= max(sizes[-2:]) - (1 << 13) + 4096
+        long = [groups[g][4096] / sum(groups[g].values()) for g in sorted(groups)[:-2]]
+        assert max(long) - min(long) <= 0.5  # every group has its share of the longest tier
+
+
+@pytest.mark.parametrize("tokenizer", [WORD_BPE, BYTES])
+def test_any_tokenizer_gives_its_own_ids(spark, tokenizer):
+    """The word memo only where the tokenizer's file says that it holds."""
+    from tokenizers import Tokenizer
+
+    assert packing.splits_words(tokenizer) == (tokenizer == WORD_BPE)
+    tok, encode = Tokenizer.from_file(tokenizer), packing.text_encoder(tokenizer, 2)
+    for text in [*ODD, "Two  words\nand Ümläuts, it's 12ab"]:
+        assert np.frombuffer(encode(text.encode() if text is not None else None), "<u4").tolist() == [*tok.encode(text or "", add_special_tokens=False).ids, 2]
+
+
 # 5 token counts
 
 
