@@ -214,8 +214,13 @@ def list_pairs(lists: DataFrame, keep: Scratch, block: int = 256) -> DataFrame:
 
     s, t = blocks(small, "s"), blocks(large, "t")
     met = s.where("not main_s").join(t, ["value", "band"]).unionByName(s.where("main_s").join(t.where("not main_t"), ["value", "band"])).where("c_s != c_t")
-    fits = "s.n <= t.n and t.n <= s.most and s.n <= t.most and (s.n < t.n or s.cid != t.cid)"
-    return met.select(F.explode("s").alias("s"), "t").select("s", F.explode("t").alias("t")).where(fits).select(F.greatest("s.cid", "t.cid").alias("a"), F.least("s.cid", "t.cid").alias("b")).distinct()
+
+    def fits(x, y):
+        return (x["n"] <= y["n"]) & (y["n"] <= x["most"]) & (x["n"] <= y["most"]) & ((x["n"] < y["n"]) | (x["cid"] != y["cid"]))
+
+    # only the pairs that fit leave the two blocks they come from
+    pairs = F.flatten(F.transform("s", lambda x: F.transform(F.filter("t", lambda y: fits(x, y)), lambda y: F.struct(F.greatest(x["cid"], y["cid"]).alias("a"), F.least(x["cid"], y["cid"]).alias("b")))))
+    return met.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
 
 
 def full_sets(documents: DataFrame, wanted: DataFrame, filter_bytes: int) -> DataFrame:
