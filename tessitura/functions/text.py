@@ -128,8 +128,12 @@ def frame_rate(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("/")), F.when(den != 0, F.try_divide(num, den))).otherwise(text.try_cast("double"))
 
 
+# The signatures that have a class of their own.
+METER_CLASSES = {(2, 4): "SimpleDuple", (3, 4): "SimpleTriple", (4, 4): "SimpleQuadruple", (6, 8): "CompoundDuple", (12, 8): "CompoundQuadruple"}
+
+
 def meter_class(numerator: Column, denominator: Column) -> Column:
-    return (
-        F.when((denominator == 8) & (numerator == 6), "CompoundDuple").when((denominator == 8) & (numerator == 12), "CompoundQuadruple")
-        .when(numerator == 2, "SimpleDuple").when(numerator == 3, "SimpleTriple").when(numerator == 4, "SimpleQuadruple").otherwise("Other")
-    )
+    found = F.lit("Other")
+    for (n, d), name in METER_CLASSES.items():
+        found = F.when((numerator == n) & (denominator == d), name).otherwise(found)
+    return found

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .timejoin import within_tolerance
+from .timejoin import interval_join, within_tolerance
 
 def track():
     """Rows of a track; made when used, as Python workers import this module without a session."""
@@ -18,12 +18,23 @@ def upper_median(values: Column) -> Column:
     return F.element_at(ordered, (F.floor(F.size(ordered) / 2) + 1).cast("int"))
 
 
-def chain_dedup(values: Column, tolerance: float) -> Column:
-    """Of a sorted array keep each value that is at least tolerance after the last one kept."""
-    return F.aggregate(
-        F.array_sort(values), F.array().cast("array<double>"),
-        lambda kept, x: F.when((F.size(kept) == 0) | (x - F.coalesce(F.try_element_at(kept, F.lit(-1)), F.lit(0.0)) >= tolerance), F.concat(kept, F.array(x))).otherwise(kept),
-    )
+def chain_kept(values: list[float], tolerance: float) -> list[float]:
+    """Of sorted values those that lie more than tolerance after the last one kept."""
+    kept: list[float] = []
+    for x in values:
+        if not kept or x - kept[-1] > tolerance:
+            kept.append(x)
+    return kept
+
+
+def chain_dedup(rows: DataFrame, column: str, tolerance: float, name: str) -> DataFrame:
+    """(track_id, name): each track's sorted values, each more than tolerance after the last one kept: a fold, so one pass by track."""
+    import pandas as pd
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"track_id": part["track_id"].iloc[:1], name: [chain_kept(sorted(part[column].tolist()), tolerance)]})
+
+    return rows.select("track_id", column).groupBy("track_id").applyInPandas(fold, f"track_id bigint, {name} array<double>")
 
 
 def beat_intervals(beats: DataFrame) -> DataFrame:
@@ -36,8 +47,9 @@ def bar_counts(beats: DataFrame, downbeats: DataFrame, slack: float = 0.001) ->
     """Beats in each bar (downbeat to downbeat, slack seconds early) and their median interval."""
     bars = downbeats.withColumn("next_t", F.lead("t").over(track().orderBy("db_idx"))).where("next_t is not null").select("track_id", "db_idx", F.col("t").alias("bar_t"), "next_t")
     gaps = beats.withColumn("gap", F.lead("t").over(track().orderBy("beat_idx")) - F.col("t"))
-    joined = gaps.alias("b").join(bars.alias("d"), (F.col("b.track_id") == F.col("d.track_id")) & (F.col("b.t") >= F.col("d.bar_t") - slack) & (F.col("b.t") < F.col("d.next_t") - slack))
-    return joined.groupBy("d.track_id", "d.db_idx", "d.bar_t", "d.next_t").agg(F.count("*").alias("n_beats"), F.median("b.gap").alias("bar_gap"))
+    early = bars.withColumn("bar_s", F.col("bar_t") - slack).withColumn("bar_e", F.col("next_t") - slack)
+    joined = interval_join(gaps.select("track_id", "t", "gap"), early, "t", "bar_s", "bar_e", 2.0)
+    return joined.groupBy("track_id", "db_idx", "bar_t", "next_t").agg(F.count("*").alias("n_beats"), F.median("gap").alias("bar_gap"))
 
 
 def beats_per_bar(beats: DataFrame, downbeats: DataFrame) -> DataFrame:
@@ -103,18 +115,6 @@ def halve_beats(beats: DataFrame) -> DataFrame:
     return beats.where("beat_idx % 2 = 0").select("track_id", F.floor(F.col("beat_idx") / 2).cast("int").alias("beat_idx"), "t")
 
 
-def metric_level(beats: DataFrame, downbeats: DataFrame) -> DataFrame:
-    """double, halve or keep for each track, by beats a bar and tempo."""
-    n_down = downbeats.groupBy("track_id").agg(F.count("*").alias("n_down"))
-    facts = beats.groupBy("track_id").agg(F.count("*").alias("n")).join(n_down, "track_id", "left").join(beat_intervals(beats).groupBy("track_id").agg((F.lit(60.0) / F.median("gap")).alias("bpm")), "track_id")
-    per = F.col("n") / F.col("n_down")
-    level = (
-        F.when(F.coalesce("n_down", F.lit(0)) == 0, F.when(F.col("bpm") < 50, "double").when(F.col("bpm") > 200, "halve").otherwise("keep"))
-        .when((per < 2.5) & (F.col("bpm") < 70), "double").when((per > 6) & (F.col("bpm") > 160), "halve").otherwise("keep")
-    )
-    return facts.select("track_id", "bpm", level.alias("level"))
-
-
 def downbeat_consensus(primary: DataFrame, sources: DataFrame, tolerance: float = 0.070) -> DataFrame:
     """For each primary downbeat how many sources (track_id, source, t) have one within the tolerance."""
     near = sources.withColumn("b", F.explode(F.array(*(F.floor(F.col("t") / tolerance) + d for d in (-1, 0, 1))))).select("track_id", "source", F.col("t").alias("other"), "b")

@@ -25,6 +25,71 @@ def lookup(wanted: DataFrame, cached: DataFrame, drift: float = 0.02, seconds: f
     return rows.withColumn("result", F.when(F.col("cached_duration").isNull(), "missing").when(too_far, "stale").otherwise("hit"))
 
 
+# The version of an entry, and the parameters that must be equal for one to serve.
+VERSION = 4
+SHARED = ("sample_rate", "quality", "speed", "pitch", "use_cqt", "preprocess")
+REASONS = ("other_version", "other_parameters", "other_length", "invalid_timeline")
+
+
+def judged(wanted: DataFrame, cached: DataFrame, drift: float = 0.02, seconds: float = 2.0, frames: int = 10_000_000, width: int = 88) -> DataFrame:
+    """Each candidate entry of each wanted song with verdict: ok, or the first reason against it.
+
+    wanted: (content_hash, n_samples, the shared parameters); cached: the same with version, step_sec, and timeline (an array of
+    frames). Numbers are equal by value as they were stored; a length may differ unless by more than 2 % and more than 2 s."""
+    w, c = wanted.alias("w"), cached.alias("c")
+    both = w.join(c, "content_hash")
+    same = F.lit(True)
+    for p in SHARED:
+        same = same & F.col(f"w.{p}").eqNullSafe(F.col(f"c.{p}"))
+    expected, held = F.col("w.n_samples") / F.col("w.sample_rate"), F.size("c.timeline") * F.col("c.step_sec")
+    off = F.abs(held - expected)
+    far = (F.col("w.n_samples") > 0) & (F.col("w.n_samples") != F.col("c.n_samples")) & (off > drift * expected) & (off > seconds)
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    fine = finite(F.col("c.step_sec")) & (F.col("c.step_sec") > 0) & (F.size("c.timeline") <= frames) & F.forall("c.timeline", lambda f: (F.size(f) == width) & F.forall(f, finite))
+    verdict = F.when(F.col("c.version") != VERSION, REASONS[0]).when(~same, REASONS[1]).when(far, REASONS[2]).when(~fine, REASONS[3]).otherwise("ok")
+    return both.select("content_hash", *(F.col(f"w.{p}").alias(p) for p in SHARED), F.col("w.variant_key").alias("variant_key"), (F.col("w.variant_key") == F.col("c.variant_key")).alias("strict"), F.col("c.entry").alias("entry"), F.col("c.step_sec").alias("step_sec"), verdict.alias("verdict"))
+
+
+def find_timeline(wanted: DataFrame, cached: DataFrame, **limits) -> DataFrame:
+    """For each wanted song the entry that serves, those of its own variant first, and how many were turned down for each reason."""
+    rows = judged(wanted, cached, **limits)
+    counts = [F.count_if(F.col("verdict") == r).alias(r) for r in REASONS]
+    found = rows.groupBy("content_hash", "variant_key").agg(F.count("*").alias("candidates"), *counts, F.min(F.when(F.col("verdict") == "ok", F.struct((~F.col("strict")).alias("other"), "entry"))).alias("best"))
+    every = wanted.select("content_hash", "variant_key").join(found, ["content_hash", "variant_key"], "left")
+    return every.select("content_hash", "variant_key", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("candidates", *REASONS)), F.col("best.entry").alias("entry"))
+
+
+def far_off(cached: Column, expected: Column, drift: float = 0.3, seconds: float = 60.0) -> Column:
+    """The pre-check: an entry more than 30 % and more than a minute off is not worth opening."""
+    off = F.abs(cached - expected)
+    return (off > drift * expected) & (off > seconds)
+
+
+def valid_waveform(points: DataFrame, most: int = 5_000_000) -> DataFrame:
+    """track_id, ok: at most so many points, all finite, times never falling. points: (track_id, n, t, amp)."""
+    from pyspark.sql import Window
+
+    before = F.lag("t").over(Window.partitionBy("track_id").orderBy("n"))
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    fine = finite("t") & finite("amp") & (before.isNull() | (F.col("t") >= before))
+    return points.withColumn("fine", fine).groupBy("track_id").agg((F.every("fine") & (F.count("*") <= most)).alias("ok"), F.count("*").alias("points"))
+
+
+def write_entries(entries: DataFrame, path: str, keys: tuple[str, ...] = ("content_hash",)) -> None:
+    """Append entries to the cache table: Parquet with zstd, a folder for each key, so that a lookup reads one song's."""
+    entries.write.mode("append").option("compression", "zstd").partitionBy(*keys).parquet(path)
+
+
+def stem_entries(timelines: DataFrame, model: str, version: int = 1) -> DataFrame:
+    """Rows of the per-stem cache, to be written by (content_hash, stem, model). timelines: (content_hash, stem, step_sec, timeline)."""
+    return timelines.select("content_hash", "stem", F.lit(model).alias("model"), F.lit(version).alias("version"), "step_sec", "timeline")
+
+
+def state_json(state: Column) -> Column:
+    """Persisted settings as indented JSON."""
+    return F.to_json(state, {"pretty": "true"})
+
+
 def to_compute(wanted: DataFrame, cached: DataFrame) -> DataFrame:
     """What has no entry yet."""
     return wanted.join(cached, ["content_hash", "variant_key"], "left_anti")

@@ -14,10 +14,25 @@ TEMPLATES = [
     ("9", (0, 4, 7, 10, 2)), ("Δ9", (0, 4, 7, 11, 2)), ("-9", (0, 3, 7, 10, 2)), ("7b9", (0, 4, 7, 10, 1)), ("7#9", (0, 4, 7, 10, 3)), ("7#11", (0, 4, 7, 10, 6)),
     ("Δ7#11", (0, 4, 7, 11, 6)), ("-11", (0, 3, 7, 10, 2, 5)), ("13", (0, 4, 7, 10, 2, 9)), ("Δ13", (0, 4, 7, 11, 2, 9)), ("-13", (0, 3, 7, 10, 2, 9)), ("Δ9#11", (0, 4, 7, 11, 2, 6)),
 ]
+PLACE = ("found_at", "n_pcs", "symbol")  # of a half bar's candidate
 # Spelling of pitch classes.
 FLATS = ["C", "Db", "D", "Eb", "E", "F", "Gb", "G", "Ab", "A", "Bb", "B"]
 
 
+LETTERS, NATURALS = "CDEFGAB", (0, 2, 4, 5, 7, 9, 11)
+# By semitones above the root, how many letters above the root's a bass note is written.
+LETTER_STEPS = (0, 1, 1, 2, 2, 3, 4, 4, 5, 5, 6, 6)
+
+
+def bass_name(root: int, bass: int) -> str:
+    """How a bass note is spelled under a root: by the letter of its interval; a letter that only a natural would have gives way to it."""
+    at = (LETTERS.index(FLATS[root][0]) + LETTER_STEPS[(bass - root) % 12]) % 7
+    off = (bass - NATURALS[at]) % 12
+    if off and NATURALS[(at + (1 if off == 1 else -1)) % 7] == (NATURALS[at] + (1 if off == 1 else -1)) % 12:
+        return LETTERS[(at + (1 if off == 1 else -1)) % 7]
+    return LETTERS[at] + ("" if not off else "#" if off == 1 else "b")
+
+
 def pc_mask(pitches: Column) -> Column:
     """The pitch classes of an array of pitches as 12 bits."""
     return F.aggregate(F.array_distinct(F.transform(pitches, lambda p: F.pmod(p, F.lit(12)))), F.lit(0), lambda m, pc: m.bitwiseOR(F.expr("1").cast("int") * F.pow(F.lit(2), pc).cast("int")))
@@ -48,7 +63,8 @@ def chord_table(spark: SparkSession) -> DataFrame:
     pcs = F.filter(F.sequence(F.lit(0), F.lit(11)), lambda p: F.col("mask").bitwiseAND(F.pow(F.lit(2), p).cast("int")) != 0)
     rows = every.join(best, ["mask", "bass"], "left").withColumn("pcs", pcs)
     name = lambda pc: F.element_at(names, pc.cast("int") + 1)
-    slash = F.when((F.col("bass") >= 0) & (F.col("bass") != -F.col("b.r")), F.concat(F.lit("/"), name(F.col("bass")))).otherwise("")
+    spelled = F.array(*(F.lit(bass_name(r, b)) for r in range(12) for b in range(12)))
+    slash = F.when((F.col("bass") >= 0) & (F.col("bass") != -F.col("b.r")), F.concat(F.lit("/"), F.element_at(spelled, (-F.col("b.r") * 12 + F.col("bass") + 1).cast("int")))).otherwise("")
     full = F.concat(name(-F.col("b.r")), F.element_at(kinds, (-F.col("b.t")).cast("int") + 1), slash)
     symbol = (
         F.when(F.size("pcs") == 1, F.concat(name(F.col("pcs")[0]), F.lit(" (8ve)")))
@@ -91,8 +107,9 @@ def chord_scan(notes: DataFrame, step: float = 1.0, least: int = 2) -> DataFrame
     return changes(heard).select("track_id", "beat", "symbol")
 
 
-def bar_candidates(notes: DataFrame, bpb: int = 4, step: float = 0.25, least: int = 3) -> DataFrame:
+def bar_candidates(notes: DataFrame, bpb: int = 4, step: float = 0.25, least: int = 1) -> DataFrame:
     """The best quarter-beat of each half bar: most pitch classes, then 5 * classes + 2 * length + notes, then the earliest."""
+    bpb = max(bpb, 2)
     ends = notes.groupBy("track_id").agg(F.max(F.col("beat_start") + F.col("beat_duration")).alias("e"))
     grid = ends.select("track_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("e") / step).cast("int"))).alias("k")).select("track_id", (F.col("k") * F.lit(step)).alias("beat"))
     heard = sounding_at(grid, notes).where(F.col("n_pcs") >= least)
@@ -102,8 +119,47 @@ def bar_candidates(notes: DataFrame, bpb: int = 4, step: float = 0.25, least: in
     return symbols(best.select("track_id", "half", (-F.col("x.b")).alias("found_at"), "x.n_pcs", "x.mask", "x.bass"))
 
 
+def bar_choices(bars: list[tuple], bpb: float, most: int = 2, clear: int = 3, least: int = 2) -> list[tuple[float, str]]:
+    """(beat, symbol) of the chords of bars in order; a bar is (number, first, second, downbeat).
+
+    first and second are the half bars' candidates (found at, classes, symbol) or None, downbeat (classes, symbol) or None. A
+    candidate with clear classes whose symbol differs from the last one counts, at its half's beginning, or where it was found
+    if that lies over 0.3 beats from both. A bar in which none counts takes what sounds on its downbeat, from least classes on."""
+    out, last = [], ""
+    for number, first, second, downbeat in bars:
+        start, half, added = number * bpb, number * bpb + bpb / 2, 0
+        for candidate, place in ((first, start), (second, half)):
+            if candidate and added < most and candidate[1] >= clear and candidate[2] and candidate[2] != last:
+                off = min(abs(candidate[0] - start), abs(candidate[0] - half)) > 0.3
+                last = candidate[2]
+                out.append((candidate[0] if off else place, last))
+                added += 1
+        if not added and downbeat and downbeat[0] >= least and downbeat[1] and downbeat[1] != last:
+            last = downbeat[1]
+            out.append((start, last))
+    return out
+
+
 def chords_per_bar(notes: DataFrame, bpb: int = 4) -> DataFrame:
-    """At most two chords a bar, where the symbol changes; placed at the half bar unless found over 0.3 beats into it."""
-    at = F.col("half") * (bpb / 2)
-    placed = bar_candidates(notes, bpb).withColumn("beat", F.when(F.col("found_at") - at > 0.3, F.col("found_at")).otherwise(at))
-    return changes(placed).select("track_id", "beat", "symbol")
+    """At most two chords a bar, where the symbol changes. Which one counts depends on the last, so a track's bars are folded;
+    a bar is one row by then."""
+    import pandas as pd
+
+    bpb = max(bpb, 2)
+    found = bar_candidates(notes, bpb).withColumn("bar", F.floor(F.col("half") / 2).cast("int"))
+    place = F.struct("found_at", "n_pcs", "symbol")
+    halves = found.groupBy("track_id", "bar").agg(F.max(F.when(F.col("half") % 2 == 0, place)).alias("first"), F.max(F.when(F.col("half") % 2 == 1, place)).alias("second"))
+    grid = halves.select("track_id", (F.col("bar") * float(bpb)).alias("beat"), "bar")
+    down = symbols(sounding_at(grid.select("track_id", "beat"), notes)).select("track_id", (F.col("beat") / bpb).cast("int").alias("bar"), F.struct("n_pcs", "symbol").alias("down"))
+    rows = halves.join(down, ["track_id", "bar"], "left")
+    flat = rows.select("track_id", "bar", *(F.col(f"{c}.{f}").alias(f"{c}_{f}") for c, fields in (("first", PLACE), ("second", PLACE), ("down", ("n_pcs", "symbol"))) for f in fields))
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("bar")
+        some = lambda r, name, fields: None if pd.isna(getattr(r, f"{name}_n_pcs")) else tuple(getattr(r, f"{name}_{f}") for f in fields)
+        bars = [(r.bar, some(r, "first", PLACE), some(r, "second", PLACE), some(r, "down", ("n_pcs", "symbol"))) for r in part.itertuples(index=False)]
+        chosen = bar_choices(bars, float(bpb))
+        return pd.DataFrame({"track_id": [part["track_id"].iloc[0]] * len(chosen), "beat": [float(b) for b, _ in chosen], "symbol": [s for _, s in chosen]})
+
+    return flat.groupBy("track_id").applyInPandas(fold, "track_id bigint, beat double, symbol string")
+

@@ -128,15 +128,29 @@ def union_stems(frames: DataFrame, t: float, step: float) -> DataFrame:
     return notes.withColumn("id", F.row_number().over(w).cast("int"))
 
 
-def highlight_decay(frames: DataFrame, dt: float, tau: float = 0.05) -> DataFrame:
-    """Exponential smoothing of each pitch's probability: level += alpha * (prob - level)."""
+def highlight_decay(frames: DataFrame, dt: float, tau: float = 0.05, hold: float = 0.0) -> DataFrame:
+    """Exponential smoothing of each pitch's probability: level += alpha * (prob - level), one pass by pitch.
+
+    With hold a level stays at its peak for so many seconds before it falls."""
     import math
 
+    import pandas as pd
+
     alpha = min(1.0, max(0.02, 1 - math.exp(-dt / tau)))
-    ordered = frames.groupBy("track_id", "pitch").agg(F.array_sort(F.collect_list(F.struct("frame", "prob"))).alias("xs"))
-    level = F.aggregate(
-        "xs", F.array().cast("array<double>"),
-        lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + F.lit(alpha) * (x["prob"] - F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0))))),
-    )
-    rows = ordered.select("track_id", "pitch", F.explode(F.arrays_zip(F.col("xs.frame").alias("frame"), level.alias("level"))).alias("z"))
-    return rows.select("track_id", "pitch", F.col("z.frame").alias("frame"), F.col("z.level").alias("level"))
+    held = round(hold / dt)
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("frame")
+        level, left, out = 0.0, 0, []
+        for p in rows["prob"].tolist():
+            if p >= level:
+                left = held
+            elif left > 0:
+                left -= 1
+                out.append(level)
+                continue
+            level += alpha * (p - level)
+            out.append(level)
+        return rows[["track_id", "pitch", "frame"]].assign(level=out)
+
+    return frames.groupBy("track_id", "pitch").applyInPandas(fold, "track_id bigint, pitch int, frame int, level double")

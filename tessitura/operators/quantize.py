@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .timejoin import asof_fill, interval_join, segment_at_time
+from ..functions.text import meter_class
+from .timejoin import asof_fill, interval_join, time_to_beat
 
 def track():
     """Rows of a track; made when used, as Python workers import this module without a session."""
     return Window.partitionBy("track_id")
+# Default grids of starts and lengths, and what a compound meter has before them.
 START_GRIDS = (1.0, 0.5, 0.25)
 DURATIONS = (4.0, 3.0, 2.0, 1.5, 1.0, 0.75, 0.5, 0.25)
 
+COMPOUND_STARTS, COMPOUND_DURATIONS = (1.0, 0.5, 1.0 / 3, 2.0 / 3), (1.5, 1.0, 0.5, 1.0 / 3)
+
 
 def _nearest(value: Column, grids, margin: float) -> Column:
     """The grids' nearest points folded in order: a later one only if it is better by more than margin."""
@@ -46,13 +50,38 @@ def quantize_constant(notes: DataFrame, bpm: float) -> DataFrame:
     return _quantised(raw)
 
 
-def quantize_tempo_map(notes: DataFrame, segments: DataFrame) -> DataFrame:
-    """Quantised notes at the tempo of the segment in which each end lies."""
-    hit = segment_at_time(clean(notes), segments, "start_time")
-    to_beat = lambda t: F.col("seg.beat_offset") + (F.col(t) - F.col("seg.start_time_sec")) / F.col("seg.beat_duration_sec")
-    begun = hit.withColumn("b0", to_beat("start_time")).drop("seg")
-    ended = segment_at_time(begun, segments, "end_time")
-    return _quantised(ended.withColumn("b1", to_beat("end_time")).drop("seg"))
+def grids_of(compound: bool, starts: tuple[float, ...] = START_GRIDS, durations: tuple[float, ...] = DURATIONS) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """A meter's grids: a compound one's own, then those of the defaults that it lacks."""
+    if not compound:
+        return starts, durations
+    return tuple(dict.fromkeys((*COMPOUND_STARTS, *starts))), tuple(dict.fromkeys((*COMPOUND_DURATIONS, *durations)))
+
+
+def meter_at_beat(rows: DataFrame, signatures: DataFrame | None, at: str) -> DataFrame:
+    """rows with meter: the class of the signature that holds the beat, or 4/4's where none does."""
+    if signatures is None:
+        return rows.withColumn("meter", F.lit("SimpleQuadruple"))
+    marks = signatures.select("track_id", F.col("start_beat").alias("mark"), F.col("end_beat").alias("until"), meter_class(F.col("numerator"), F.col("denominator")).alias("kind"))
+    found = asof_fill(rows, marks, at, "mark", ["until", "kind"])
+    return found.withColumn("meter", F.when(F.col(at) < F.col("until"), F.col("kind")).otherwise("SimpleQuadruple")).drop("until", "kind")
+
+
+def _by_meter(snap) -> Column:
+    """snap(starts, durations) with the grids of the row's meter."""
+    return F.when(F.col("meter").startswith("Compound"), snap(*grids_of(True))).otherwise(snap(*grids_of(False)))
+
+
+def beat_ends(notes: DataFrame, segments: DataFrame, signatures: DataFrame | None) -> DataFrame:
+    """Clean notes with b0 and b1, their ends in beats by the tempo map, and the meter where they begin."""
+    begun = time_to_beat(clean(notes), segments, "start_time", "b0")
+    return meter_at_beat(time_to_beat(begun, segments, "end_time", "b1"), signatures, "b0")
+
+
+def quantize_tempo_map(notes: DataFrame, segments: DataFrame, signatures: DataFrame | None = None) -> DataFrame:
+    """Quantised notes at the tempo of the segment in which each end lies, on the grids of the meter where they begin."""
+    start = _by_meter(lambda starts, _: snap_start(F.col("b0"), starts))
+    length = F.greatest(F.lit(0.25), F.col("b1") - F.col("b0"))
+    return beat_ends(notes, segments, signatures).select("track_id", "id", "pitch", "velocity", start.alias("beat_start"), _by_meter(lambda _, durations: snap_duration(length, durations)).alias("beat_duration"))
 
 
 def _quantised(raw: DataFrame) -> DataFrame:
@@ -60,23 +89,39 @@ def _quantised(raw: DataFrame) -> DataFrame:
     return raw.select("track_id", "id", "pitch", "velocity", start.alias("beat_start"), snap_duration(F.greatest(F.lit(0.0), F.col("b1") - F.col("b0"))).alias("beat_duration"))
 
 
+def barline_positions(signatures: DataFrame, most: float = 32768.0) -> DataFrame:
+    """(track_id, beat): the barlines inside each signature's stretch, which ends where the next begins, or at its own end."""
+    w = Window.partitionBy("track_id").orderBy("start_beat")
+    end = F.least(F.max("end_beat").over(Window.partitionBy("track_id")), F.lit(most))
+    bar = F.col("numerator") * 4.0 / F.col("denominator")
+    rows = signatures.withColumn("until", F.coalesce(F.lead("start_beat").over(w), end)).withColumn("bar", bar).where("bar > 0 and until > start_beat + bar")
+    k = F.explode(F.sequence(F.lit(1), F.ceil((F.col("until") - F.col("start_beat")) / F.col("bar")).cast("int")))
+    return rows.withColumn("k", k).withColumn("beat", F.col("start_beat") + F.col("k") * F.col("bar")).where("beat < until").select("track_id", "beat").distinct()
+
+
 def barline_crossings(quantised: DataFrame, barlines: DataFrame) -> DataFrame:
     """Barlines strictly inside a note: (track_id, id, beat). Beats are buckets of 4."""
     notes = quantised.select("track_id", "id", "beat_start", (F.col("beat_start") + F.col("beat_duration")).alias("beat_end"))
     return interval_join(barlines.select("track_id", "beat"), notes, "beat", "beat_start", "beat_end", 4.0).where("beat > beat_start").select("track_id", "id", "beat")
 
 
-def split_ties(quantised: DataFrame, barlines: DataFrame) -> DataFrame:
-    """Notes cut at each barline inside them, with tie flags: start on all pieces but the last, stop on all but the first."""
-    cuts = barline_crossings(quantised, barlines).groupBy("track_id", "id").agg(F.array_sort(F.collect_set("beat")).alias("cuts"))
-    end = F.col("beat_start") + F.col("beat_duration")
-    rows = quantised.join(cuts, ["track_id", "id"], "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<double>")))
-    marks = rows.withColumn("marks", F.concat(F.array("beat_start"), F.col("cuts"), F.array(end)))
-    pieces = marks.select("track_id", "id", "pitch", "velocity", "marks", F.posexplode(F.slice("marks", F.lit(1), F.size("marks") - 1)).alias("seg_no", "piece_start"))
+def tied_notes(notes: DataFrame, segments: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Notes with both ends on the start grid, cut at each barline strictly inside, every piece's length snapped.
+
+    Tie flags: start on all pieces but the last, stop on all but the first."""
+    snapped = beat_ends(notes, segments, signatures)
+    for column in ("b0", "b1"):
+        snapped = snapped.withColumn(f"s_{column}", _by_meter(lambda starts, _, c=column: snap_start(F.col(c), starts)))
+    whole = snapped.select("track_id", "id", "pitch", "velocity", "meter", F.col("s_b0").alias("beat_start"), (F.col("s_b1") - F.col("s_b0")).alias("beat_duration"))
+    cuts = barline_crossings(whole, barline_positions(signatures)).groupBy("track_id", "id").agg(F.array_sort(F.collect_set("beat")).alias("cuts"))
+    rows = whole.join(cuts, ["track_id", "id"], "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<double>")))
+    marks = rows.withColumn("marks", F.concat(F.array("beat_start"), F.col("cuts"), F.array(F.col("beat_start") + F.col("beat_duration"))))
+    pieces = marks.select("track_id", "id", "pitch", "velocity", "meter", "marks", F.posexplode(F.slice("marks", F.lit(1), F.size("marks") - 1)).alias("seg_no", "piece_start"))
     n = F.size("marks") - 1
+    length = F.greatest(F.lit(0.25), F.element_at("marks", F.col("seg_no") + 2) - F.col("piece_start"))
     return pieces.select(
         "track_id", "id", F.col("seg_no").cast("int").alias("seg_no"), "pitch", "velocity", F.col("piece_start").alias("beat_start"),
-        (F.element_at("marks", F.col("seg_no") + 2) - F.col("piece_start")).alias("beat_duration"), (F.col("seg_no") < n - 1).alias("tie_start"), (F.col("seg_no") > 0).alias("tie_stop"),
+        _by_meter(lambda _, durations: snap_duration(length, durations)).alias("beat_duration"), (F.col("seg_no") < n - 1).alias("tie_start"), (F.col("seg_no") > 0).alias("tie_stop"),
     )
 
 
@@ -128,12 +173,33 @@ def swing_majority(sections: DataFrame) -> DataFrame:
     return votes.select("track_id", "swing_bars", "bars", F.when(F.col("swing_bars") * 2 > F.col("bars"), "Swing").otherwise("Straight").alias("style"))
 
 
-def quantize_aligned(aligned: DataFrame, style: str = "Straight", bpb: int = 4) -> DataFrame:
-    """Positions inside the beat snapped to the style's grid; lengths to the next onset of another pitch or time.
+# Where the notes of each style may lie inside a beat.
+STYLES = {"Straight": (0.0, 0.5, 1.0), "Swing": (0.0, 2.0 / 3, 1.0), "Triplet": (0.0, 1.0 / 3, 2.0 / 3, 1.0)}
+
+
+def style_of_bars(aligned: DataFrame, sections: DataFrame) -> DataFrame:
+    """aligned with style: that of the section which holds the bar, else of the track's first section, else straight."""
+    marks = sections.select("track_id", F.col("bar_start").cast("int").alias("mark"), F.col("bar_end").alias("until"), F.col("style").alias("kind"))
+    first = marks.groupBy("track_id").agg(F.min_by("kind", "mark").alias("first_style"))
+    found = asof_fill(aligned, marks, "bar_index", "mark", ["until", "kind"]).join(first, "track_id", "left")
+    style = F.coalesce(F.when(F.col("bar_index") < F.col("until"), F.col("kind")), F.col("first_style"), F.lit("Straight"))
+    return found.withColumn("style", style).drop("until", "kind", "first_style")
+
+
+def majority_sections(sections: DataFrame) -> DataFrame:
+    """One section for each track with several: the style of most of its bars throughout."""
+    whole = sections.groupBy("track_id").agg(F.min("bar_start").alias("bar_start"), F.max("bar_end").alias("bar_end"), F.count("*").alias("n"), F.first("style").alias("own"))
+    return whole.join(swing_majority(sections).select("track_id", F.col("style").alias("most")), "track_id").select("track_id", F.lit(0).alias("bar_start"), "bar_end", F.when(F.col("n") > 1, F.col("most")).otherwise(F.col("own")).alias("style"))
+
+
+def quantize_aligned(aligned: DataFrame, sections: DataFrame | None = None, bpb: int = 4) -> DataFrame:
+    """Positions inside the beat snapped to the grid of the bar's style; lengths to the next onset of another pitch or time.
+
+    sections: (track_id, bar_start, bar_end, style) as of swing_sections(); without any all is straight.
 
     The next onset is, in the order of start and id, the earliest start that lies over 1 ms later or has another pitch; where
     that is no later than the note, its own length counts. Two ordered windows give it without looking at all pairs."""
-    points = {"Straight": (0.0, 0.5, 1.0), "Swing": (0.0, 2.0 / 3, 1.0), "Triplet": (0.0, 1.0 / 3, 2.0 / 3, 1.0)}[style]
+    aligned = aligned.withColumn("style", F.lit("Straight")) if sections is None else style_of_bars(aligned, sections)
     order = track().orderBy("start_time", "id")
     us = F.round(F.col("start_time") * 1e6).cast("bigint")
     rows = aligned.withColumn("us", us).withColumn("changed", F.when(F.col("pitch") == F.lag("pitch").over(order), 0).otherwise(1))
@@ -144,15 +210,14 @@ def quantize_aligned(aligned: DataFrame, style: str = "Straight", bpb: int = 4)
     upcoming = F.least("later", "other_pitch")
     own = F.greatest(F.lit(0.05), F.col("end_time") - F.col("start_time"))
     raw = F.when(upcoming > F.col("start_time"), upcoming - F.col("start_time")).otherwise(own) / F.col("beat_duration_sec")
-    best, err = F.lit(points[0]), F.abs(F.col("intra_beat_pos") - points[0])
-    for p in points[1:]:
-        off = F.abs(F.col("intra_beat_pos") - p)
-        better = off < err
-        best, err = F.when(better, F.lit(p)).otherwise(best), F.when(better, off).otherwise(err)
-    grid = F.lit(1.0 / 3) if style == "Triplet" else F.greatest(best, F.lit(0.25))
+    places = F.when(F.col("style") == "Swing", F.array(*map(F.lit, STYLES["Swing"]))).when(F.col("style") == "Triplet", F.array(*map(F.lit, STYLES["Triplet"]))).otherwise(F.array(*map(F.lit, STYLES["Straight"])))
+    off = F.transform(places, lambda p: F.struct(F.abs(F.col("intra_beat_pos") - p).alias("e"), p.alias("p")))  # the nearer, then the earlier
+    rows = rows.withColumn("near", F.array_min(off)).withColumn("raw", raw)
+    best, err = F.col("near.p"), F.col("near.e")
+    grid = F.when(F.col("style") == "Triplet", F.lit(1.0 / 3)).otherwise(F.greatest(best, F.lit(0.25)))
     return rows.select(
-        "track_id", "id", "pitch", "velocity", (F.col("beat_index") + best).alias("beat_start"), F.greatest(grid, F.round(raw / grid) * grid).alias("beat_duration"),
-        F.greatest(F.lit(0.3), F.least(F.lit(1.0), 1 - 2 * err)).alias("confidence"), "bar_index", (F.col("beat_index") % bpb).cast("int").alias("beat_in_bar"),
+        "track_id", "id", "pitch", "velocity", (F.col("beat_index") + best).alias("beat_start"), F.greatest(grid, F.round(F.col("raw") / grid) * grid).alias("beat_duration"),
+        F.greatest(F.lit(0.3), F.least(F.lit(1.0), 1 - 2 * err)).alias("confidence"), "bar_index", (F.col("beat_index") % bpb).cast("int").alias("beat_in_bar"), F.col("style").alias("swing_style"),
     )
 
 

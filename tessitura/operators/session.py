@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .timejoin import interval_join
+from .timejoin import beat_to_time, interval_join
 
 MARKER = "struct<time: double, desc: string>"
 STATE = f"struct<volume: double, speed: double, markers: map<string, array<{MARKER}>>, positions: map<string, double>>"
@@ -18,10 +18,13 @@ def note_at(points: DataFrame, notes: DataFrame, at: str = "t", bucket: float =
     return best.select(*points.columns, F.col("n.id").alias("id"), F.col("n.pitch").alias("pitch"))
 
 
-def cursor_offset(quantised_times: DataFrame, events: DataFrame, most: float = 2.0, least: int = 4) -> DataFrame:
-    """The median of start minus quantised time by track, over notes at most 2 s apart; none under four of them."""
-    joined = quantised_times.join(events.select("track_id", "id", "start_time"), ["track_id", "id"]).withColumn("d", F.col("start_time") - F.col("t")).where(F.abs("d") <= most)
-    return joined.groupBy("track_id").agg(F.median("d").alias("offset"), F.count("*").alias("n")).where(F.col("n") >= least)
+def cursor_offset(quantised: DataFrame, segments: DataFrame, events: DataFrame, most: float = 2.0, least: int = 4) -> DataFrame:
+    """The median of start minus the quantised start's time on the tempo map, over notes at most 2 s apart; 0 under four of them."""
+    placed = beat_to_time(quantised.select("track_id", "id", F.col("beat_start").alias("beat")), segments)
+    apart = F.greatest(F.lit(0.0), F.col("start_time")) - F.col("t")
+    joined = placed.join(events.select("track_id", "id", "start_time"), ["track_id", "id"]).withColumn("d", F.when(F.abs(apart) <= most, apart))
+    found = joined.groupBy("track_id").agg(F.median("d").alias("offset"), F.count("d").alias("n"))
+    return found.select("track_id", F.when(F.col("n") >= least, F.col("offset")).otherwise(0.0).alias("offset"), "n")
 
 
 def mean_tempo(segments: DataFrame) -> DataFrame:

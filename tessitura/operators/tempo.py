@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .beats import chain_dedup
+from .beats import chain_dedup, chain_kept
+from .timejoin import interval_join
 
 LOW_BPM, HIGH_BPM, BIN, TOLERANCE = 40, 200, 0.01, 0.07
-SUBDIVISIONS = (0.0, 0.25, 1.0 / 3, 0.5, 2.0 / 3, 0.75, 1.0)
-# Candidate meters (numerator, denominator, beats a bar in quarters, prior).
-METERS = [(2, 4, 2.0, 0.92), (3, 4, 3.0, 0.94), (4, 4, 4.0, 1.0), (6, 8, 3.0, 0.90), (12, 8, 6.0, 0.86)]
+# The subdivisions of a beat, and the candidate meters (numerator, denominator, prior).
+SUBDIVISIONS = (1.0, 0.5, 0.25, 0.125, 1.0 / 3, 1.0 / 6, 1.0 / 12)
+METERS = [(2, 4, 0.92), (3, 4, 0.94), (4, 4, 1.0), (6, 8, 0.90), (12, 8, 0.86)]
 
 
 def onset_lists(notes: DataFrame, tolerance: float = 0.005) -> DataFrame:
-    """Sorted onsets of each track, each at least the tolerance after the last one kept."""
+    """Sorted onsets of each track, each more than the tolerance after the last one kept."""
     ok = notes.where(F.col("start_time").isNotNull() & ~F.isnan("start_time") & (F.col("start_time") >= 0))
-    return ok.groupBy("track_id").agg(chain_dedup(F.collect_list("start_time"), tolerance).alias("onsets"))
+    return chain_dedup(ok, "start_time", tolerance, "onsets")
 
 
 def onset_bins(onsets: DataFrame) -> DataFrame:
-    return onsets.select("track_id", F.explode("onsets").alias("t")).select("track_id", F.round(F.col("t") / BIN).cast("int").alias("bin")).distinct()
+    return onsets.select("track_id", F.explode("onsets").alias("t")).groupBy("track_id", F.round(F.col("t") / BIN).cast("int").alias("bin")).agg(F.count("*").alias("m"))
 
 
 def lag_scores(onsets: DataFrame, tolerance: int = 2) -> DataFrame:
@@ -33,12 +34,12 @@ def lag_scores(onsets: DataFrame, tolerance: int = 2) -> DataFrame:
     size = longest + tolerance
     left = bins.withColumn("b", F.floor(F.col("bin") / size))
     right = bins.select("track_id", F.col("bin").alias("other"), F.floor(F.col("bin") / size).alias("ob"))
-    near = left.select("track_id", "bin", F.explode(F.array("b", F.col("b") + 1)).alias("ob")).join(right, ["track_id", "ob"])
+    near = left.select("track_id", "bin", "m", F.explode(F.array("b", F.col("b") + 1)).alias("ob")).join(right, ["track_id", "ob"])
     gap = F.col("other") - F.col("bin")
-    pairs = near.where(gap.between(shortest - tolerance, longest + tolerance)).select("track_id", "bin", gap.alias("gap"))
-    spread = pairs.select("track_id", "bin", "gap", F.explode(F.sequence(F.lit(-tolerance), F.lit(tolerance))).alias("d")).select("track_id", "bin", (F.col("gap") + F.col("d")).alias("lag"), F.abs("d").alias("d"))
-    credit = spread.where(F.col("lag").between(shortest, longest)).groupBy("track_id", "bin", "lag").agg(F.min("d").alias("d"))
-    return credit.groupBy("track_id", "lag").agg(F.round(F.sum(1 - F.col("d") / (tolerance + 1.0)), 6).alias("score"))
+    pairs = near.where(gap.between(shortest - tolerance, longest + tolerance)).select("track_id", "bin", "m", gap.alias("gap"))
+    spread = pairs.select("track_id", "bin", "m", "gap", F.explode(F.sequence(F.lit(-tolerance), F.lit(tolerance))).alias("d")).select("track_id", "bin", "m", (F.col("gap") + F.col("d")).alias("lag"), F.abs("d").alias("d"))
+    credit = spread.where(F.col("lag").between(shortest, longest)).groupBy("track_id", "bin", "m", "lag").agg(F.min("d").alias("d"))
+    return credit.groupBy("track_id", "lag").agg(F.round(F.sum(F.col("m") * (1 - F.col("d") / (tolerance + 1.0))), 6).alias("score"))
 
 
 def bpm_autocorrelation(notes: DataFrame) -> DataFrame:
@@ -50,9 +51,9 @@ def bpm_autocorrelation(notes: DataFrame) -> DataFrame:
 
 
 def subdivision_error(t: Column, beat: Column) -> Column:
-    """Distance in beats from the nearest subdivision of the beat."""
-    part = t / beat - F.floor(t / beat)
-    return F.array_min(F.array(*(F.abs(part - s) for s in SUBDIVISIONS)))
+    """Distance in beats from the nearest multiple of a subdivision."""
+    x = t / beat
+    return F.least(*(F.abs(x - F.round(x / s) * s) for s in SUBDIVISIONS))
 
 
 def alignment(onsets: DataFrame, tempi: DataFrame) -> DataFrame:
@@ -63,15 +64,21 @@ def alignment(onsets: DataFrame, tempi: DataFrame) -> DataFrame:
 
 
 def resolve_octave(notes: DataFrame, share: float = 0.7) -> DataFrame:
-    """The best lag's tempo, or its half or double where that scores share of it at least and fits subdivisions better."""
+    """The best lag's tempo, or its half or double where that scores share of it at least and fits subdivisions better.
+
+    Of equal fits the best lag's tempo stays, and half comes before double."""
     onsets = onset_lists(notes).where(F.size("onsets") >= 3)
     scores = lag_scores(onsets)
     first = scores.groupBy("track_id").agg(F.max(F.struct("score", (-F.col("lag")).alias("l"))).alias("b")).select("track_id", F.col("b.score").alias("top"), (-F.col("b.l")).alias("best"))
-    options = first.select("track_id", "top", F.posexplode(F.array(F.col("best"), F.round(F.col("best") / 2).cast("int"), F.col("best") * 2)).alias("rank", "lag"))
-    held = options.join(scores, ["track_id", "lag"]).where((F.col("rank") == 0) | (F.col("score") >= share * F.col("top"))).withColumn("bpm", F.lit(60.0) / (F.col("lag") * BIN))
+    bpm = F.lit(60.0) / (F.col("best") * BIN)
+    option = lambda x: F.struct(x.alias("bpm"), F.round(F.lit(60.0) / x / BIN).cast("int").alias("lag"))
+    options = first.select("track_id", "top", F.posexplode(F.array(option(bpm), option(bpm / 2), option(bpm * 2))).alias("rank", "o")).select("track_id", "top", "rank", "o.bpm", "o.lag")
+    within = (F.col("rank") == 0) | ((F.col("bpm") >= LOW_BPM - 1e-9) & (F.col("bpm") <= HIGH_BPM + 1e-9) & (F.col("score") >= share * F.col("top")))
+    held = options.where(F.col("bpm").between(LOW_BPM - 1e-9, HIGH_BPM + 1e-9)).join(scores, ["track_id", "lag"]).where(within)
     fits = alignment(onsets, held.select("track_id", "bpm").distinct())
     best = held.join(fits, ["track_id", "bpm"]).groupBy("track_id").agg(F.max_by(F.struct("bpm", "lag", "score"), F.struct(F.round("alignment", 9), -F.col("rank"))).alias("x"))
-    return best.select("track_id", "x.bpm", "x.lag", "x.score")
+    n = onsets.select("track_id", F.size("onsets").alias("n"))
+    return best.join(n, "track_id").select("track_id", "x.bpm", "x.lag", "x.score", F.least(F.lit(1.0), F.col("x.score") / F.col("n")).alias("confidence"))
 
 
 def sliding_windows(notes: DataFrame, width: int = 8, step: int = 2, least: int = 5) -> DataFrame:
@@ -82,72 +89,130 @@ def sliding_windows(notes: DataFrame, width: int = 8, step: int = 2, least: int
     return facts.where(F.col("n") >= least).select("track_id", "window_start", "n", ((F.col("b") - F.col("a")) / (F.col("n") - 1)).alias("mean_gap"))
 
 
-def tempo_by_window(notes: DataFrame, width: int = 8, step: int = 2, least: int = 5) -> DataFrame:
-    """Tempo of each window by autocorrelation; the whole track's where the window has too few notes."""
-    first = F.floor(F.col("start_time") / step)
-    spread = notes.withColumn("w", F.explode(F.sequence(first - (width // step - 1), first))).where("w >= 0")
-    keyed = spread.withColumn("song", F.col("track_id")).withColumn("track_id", F.struct("song", "w"))
-    local = bpm_autocorrelation(keyed.select("track_id", "start_time"))
-    sizes = spread.groupBy("track_id", "w").agg(F.count("*").alias("n"))
-    found = local.select(F.col("track_id.song").alias("track_id"), F.col("track_id.w").alias("w"), F.col("bpm").alias("own"))
-    whole = bpm_autocorrelation(notes).select("track_id", F.col("bpm").alias("whole"))
-    rows = sizes.join(found, ["track_id", "w"], "left").join(whole, "track_id", "left")
-    return rows.select("track_id", F.col("w").cast("int").alias("w"), "n", F.when(F.col("n") >= least, F.coalesce("own", "whole")).otherwise(F.col("whole")).alias("bpm"))
-
-
-def tempo_segments(notes: DataFrame, step: float = 2.0, change: float = 0.12, least_sec: float = 4.0) -> DataFrame:
-    """Windowed tempi, smoothed by a running median that uses its own left result, split where the tempo changes.
-
-    A fold over a track's windows (one row for two seconds), so each track is one small group."""
+def tempo_of(starts: list[float], share: float = 0.7) -> float | None:
+    """What resolve_octave() says of one short list of note starts, for windows inside a fold; None under three onsets."""
+    import numpy as np
+
+    onsets = np.array(chain_kept(sorted(x for x in starts if x >= 0), 0.005))
+    if len(onsets) < 3 or onsets[-1] <= 0:
+        return None
+    bins = np.floor(onsets / BIN + 0.5).astype(int)
+    marked = np.unique(bins)
+
+    def score(lags: np.ndarray) -> np.ndarray:
+        want = bins[:, None] + lags[None, :]
+        at = np.searchsorted(marked, want)
+        gap = np.minimum(np.abs(marked[np.minimum(at, len(marked) - 1)] - want), np.abs(want - marked[np.maximum(at - 1, 0)]))
+        return np.where(gap <= 2, 1 - gap / 3.0, 0.0).sum(0)
+
+    def fit(bpm: float) -> float:
+        x = onsets * bpm / 60.0
+        err = np.min([np.abs(x - np.floor(x / s + 0.5) * s) for s in SUBDIVISIONS], axis=0)
+        return float(np.where(err <= TOLERANCE, 1 - err / TOLERANCE, 0.0).mean())
+
+    lags = np.arange(round(60 / HIGH_BPM / BIN), round(60 / LOW_BPM / BIN) + 1)
+    scores = np.round(score(lags), 6)
+    best = int(np.argmax(scores))
+    bpm, top = 60.0 / (lags[best] * BIN), scores[best]
+    chosen, fitted = bpm, round(fit(bpm), 9)
+    for other in (bpm / 2, bpm * 2):
+        if LOW_BPM - 1e-9 <= other <= HIGH_BPM + 1e-9 and score(np.array([int(60.0 / other / BIN + 0.5)]))[0] >= share * top and round(fit(other), 9) > fitted:
+            chosen, fitted = other, round(fit(other), 9)
+    return chosen
+
+
+def window_tempi(starts: list[float], duration: float, whole: float, window: float = 8.0, step: float = 2.0, least: int = 5) -> list[tuple[float, float]]:
+    """(start, tempo) of windows from 0 to the end of a track; the whole track's tempo where a window has too few notes."""
+    import bisect
+
+    starts, out, t = sorted(starts), [], 0.0
+    while t <= duration:
+        inside = starts[bisect.bisect_left(starts, t) : bisect.bisect_left(starts, min(t + window, duration + 0.001))]
+        out.append((t, (tempo_of(inside) or whole) if len(inside) >= least else whole))
+        t += step
+    return out
+
+
+def segments_of(samples: list[tuple[float, float]], duration: float, change: float = 0.12, least_sec: float = 4.0) -> list[tuple[float, float, float, float, float]]:
+    """(start, end, bpm, beat seconds, first beat) of the stretches of about one tempo; samples: (start, bpm).
+
+    Samples are smoothed by a median of three that uses its own left result; a new stretch begins where the tempo changes and
+    the last one is long enough, otherwise the tempo moves a quarter of the way. A short last stretch takes the mean of its
+    own and the tempo before."""
+    bpm = [x for _, x in samples]
+    for i in range(1, len(bpm) - 1):
+        bpm[i] = sorted(bpm[i - 1 : i + 2])[1]
+    clamp = lambda x: min(260.0, max(40.0, x))
+    begun, tempo, found = 0.0, bpm[0], []
+    for (t, _), x in zip(samples[1:], bpm[1:], strict=True):
+        if abs(x - tempo) / max(tempo, 1.0) >= change and t - begun >= least_sec:
+            found.append([begun, t, clamp(tempo)])
+            begun, tempo = t, x
+        else:
+            tempo = 0.75 * tempo + 0.25 * x
+    found.append([begun, max(duration, begun + 0.001), clamp(tempo)])
+    for i in range(1, len(found)):
+        if found[i][1] - found[i][0] < least_sec:
+            found[i][2] = (found[i][2] + found[i - 1][2]) / 2
+    out, offset = [], 0.0
+    for a, b, x in found:
+        out.append((a, b, x, 60.0 / x, offset))
+        offset += (b - a) * x / 60.0
+    return out
+
+
+def tempo_segments(notes: DataFrame) -> DataFrame:
+    """The tempo map of each track from its windows' tempi; tracks without a tempo have none. A fold, so one group by track."""
     import pandas as pd
 
+    columns = ["track_id", "seg_no", "start_time_sec", "end_time_sec", "bpm", "beat_duration_sec", "beat_offset"]
+
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.dropna(subset=["bpm"]).sort_values("w")
-        bpm = rows["bpm"].tolist()
-        for i in range(1, len(bpm) - 1):
-            bpm[i] = sorted(bpm[i - 1 : i + 2])[1]
-        out: list[list] = []
-        for w, x in zip(rows["w"], bpm, strict=True):
-            start = w * step
-            if out and (abs(x / out[-1][2] - 1) < change or start - out[-1][0] < least_sec):
-                out[-1][1], out[-1][2] = start + step, 0.75 * out[-1][2] + 0.25 * x
-            else:
-                if out:
-                    out[-1][1] = start
-                out.append([start, start + step, x])
-        offset, result = 0.0, []
-        for n, (a, b, x) in enumerate(out):
-            result.append((rows["track_id"].iloc[0], n, a, b, x, 60 / x, offset))
-            offset += (b - a) * x / 60
-        return pd.DataFrame(result, columns=["track_id", "seg_no", "start_time_sec", "end_time_sec", "bpm", "beat_duration_sec", "beat_offset"])
-
-    return tempo_by_window(notes).groupBy("track_id").applyInPandas(fold, "track_id bigint, seg_no int, start_time_sec double, end_time_sec double, bpm double, beat_duration_sec double, beat_offset double")
-
-
-def meter_scores(beat_notes: DataFrame, emphasis: float = 1.35) -> DataFrame:
-    """Score of each candidate meter: the weight on its best rotation's downbeat over the mean, times its prior.
-
-    beat_notes: (track_id, beat, velocity); the histogram is by quarter note of the bar."""
-    rows = [(f"{n}/{d}", n, d, bar, prior, i) for i, (n, d, bar, prior) in enumerate(METERS)]
-    meters = F.broadcast(beat_notes.sparkSession.createDataFrame(rows, "meter string, numerator int, denominator int, bar double, prior double, rank int"))
-    near = F.abs(F.col("beat") - F.round("beat"))
-    weight = F.col("velocity") / 127.0 * F.greatest(F.lit(0.0), 1 - 2 * near)
-    phase = F.pmod(F.round("beat").cast("int"), F.col("bar").cast("int"))
-    hist = beat_notes.crossJoin(meters).withColumn("phase", phase).groupBy("track_id", "meter", "numerator", "denominator", "bar", "prior", "rank", "phase").agg(F.sum(weight).alias("w"))
-    best = hist.groupBy("track_id", "meter", "numerator", "denominator", "bar", "prior", "rank").agg(F.max("w").alias("top"), F.sum("w").alias("total"))
-    mean = F.col("total") / F.col("bar")
-    return best.select("track_id", "meter", "numerator", "denominator", "rank", F.round(F.when(mean > 0, F.col("top") * emphasis / mean).otherwise(0.0) * F.col("prior"), 6).alias("score"))
-
-
-def infer_meter(beat_notes: DataFrame, least: int = 8) -> DataFrame:
-    """The best meter of each track, the first of equals; 4/4 with confidence 0.2 under eight notes."""
-    n = beat_notes.groupBy("track_id").agg(F.count("*").alias("n"))
-    best = meter_scores(beat_notes).groupBy("track_id").agg(F.max_by(F.struct("numerator", "denominator", "score"), F.struct("score", -F.col("rank"))).alias("x"))
-    few = F.col("n") < least
-    return n.join(best, "track_id").select(
-        "track_id", F.when(few, 4).otherwise(F.col("x.numerator")).cast("int").alias("numerator"), F.when(few, 4).otherwise(F.col("x.denominator")).cast("int").alias("denominator"),
-        F.when(few, 0.2).otherwise(F.col("x.score")).alias("score"),
-    )
+        rows = rows.dropna(subset=["start_time"])
+        starts = rows["start_time"].tolist()
+        whole = tempo_of(starts)
+        if whole is None:
+            return pd.DataFrame([], columns=columns)
+        duration = max(float(rows[["start_time", "end_time"]].max().max()), 0.01)
+        found = segments_of(window_tempi(starts, duration, whole), duration)
+        return pd.DataFrame([(rows["track_id"].iloc[0], n, *s) for n, s in enumerate(found)], columns=columns)
+
+    return notes.select("track_id", "start_time", "end_time").groupBy("track_id").applyInPandas(fold, "track_id bigint, seg_no int, start_time_sec double, end_time_sec double, bpm double, beat_duration_sec double, beat_offset double")
+
+
+def meter_scores(notes: DataFrame, segments: DataFrame, emphasis: float = 1.35) -> DataFrame:
+    """Score of each candidate meter in each tempo segment: how far the weight on the best downbeat lies over the others' mean.
+
+    A note's weight is its velocity and how near it lies to a beat of the bar; of all rotations the heaviest beat's is best."""
+    rows = [(n, d, prior, i) for i, (n, d, prior) in enumerate(METERS)]
+    meters = F.broadcast(notes.sparkSession.createDataFrame(rows, "numerator int, denominator int, prior double, rank int"))
+    spans = segments.select("track_id", "seg_no", "start_time_sec", "end_time_sec", "beat_duration_sec")
+    inside = interval_join(notes.select("track_id", "start_time", "velocity"), spans, "start_time", "start_time_sec", "end_time_sec", 8.0)
+    beat = (F.col("start_time") - F.col("start_time_sec")) / F.col("beat_duration_sec")
+    phase = F.pmod(F.col("beat"), F.col("numerator").cast("double"))
+    bin_ = F.pmod(F.round("phase").cast("int"), F.col("numerator"))
+    clamp = lambda x, lo: F.greatest(F.lit(lo), F.least(F.lit(1.0), x))
+    weight = clamp(F.col("velocity") / 127.0, 0.2) * clamp(1 - 0.7 * F.abs(F.col("phase") - F.col("bin")), 0.15)
+    placed = inside.withColumn("beat", beat).crossJoin(meters).withColumn("phase", phase).withColumn("bin", bin_).withColumn("w", weight)
+    keys = ["track_id", "seg_no", "numerator", "denominator", "prior", "rank"]
+    best = placed.groupBy(*keys, "bin").agg(F.sum("w").alias("w"), F.count("*").alias("n")).groupBy(*keys).agg(F.max("w").alias("top"), F.sum("w").alias("total"), F.sum("n").alias("n"))
+    n = F.col("numerator")
+    raw = (F.col("top") * emphasis - (F.col("total") - F.col("top")) / (n - 1) + F.col("total") / n) / F.greatest(F.col("total"), F.lit(1.0))
+    return best.select("track_id", "seg_no", "numerator", "denominator", "rank", "n", (F.when(F.col("total") > 1e-5, raw).otherwise(0.0) + F.col("prior")).alias("score"))
+
+
+def infer_meter(notes: DataFrame, segments: DataFrame, least: int = 8) -> DataFrame:
+    """The best meter of each tempo segment, the first of equals, with its beats and a confidence; equal neighbours become one.
+
+    4/4 with confidence 0.2 where a segment has under eight notes."""
+    best = meter_scores(notes, segments).groupBy("track_id", "seg_no").agg(F.max_by(F.struct("numerator", "denominator", "score", "n"), F.struct(F.round("score", 9), -F.col("rank"))).alias("x"))
+    length = F.greatest(F.lit(0.0), F.col("end_time_sec") - F.col("start_time_sec")) / F.greatest(F.col("beat_duration_sec"), F.lit(0.001))
+    rows = segments.join(best, ["track_id", "seg_no"], "left")
+    known = F.coalesce(F.col("x.n"), F.lit(0)) >= least
+    pick = lambda c, other: F.when(known, F.col(f"x.{c}")).otherwise(other)
+    confidence = F.when(known, F.greatest(F.lit(0.05), F.least(F.lit(0.99), (F.col("x.score") - 0.2) / 3))).otherwise(0.2)
+    found = rows.select("track_id", F.col("beat_offset").alias("start_beat"), (F.col("beat_offset") + length).alias("end_beat"), pick("numerator", 4).cast("int").alias("numerator"), pick("denominator", 4).cast("int").alias("denominator"), confidence.alias("confidence"))
+    return merge_equal_neighbours(found)
 
 
 def merge_equal_neighbours(signatures: DataFrame) -> DataFrame:
@@ -155,7 +220,7 @@ def merge_equal_neighbours(signatures: DataFrame) -> DataFrame:
     w = Window.partitionBy("track_id").orderBy("start_beat")
     same = (F.lag("numerator").over(w) == F.col("numerator")) & (F.lag("denominator").over(w) == F.col("denominator"))
     rows = signatures.withColumn("new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("grp", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("track_id", "grp").agg(F.min("start_beat").alias("start_beat"), F.max("end_beat").alias("end_beat"), F.first("numerator").alias("numerator"), F.first("denominator").alias("denominator"), F.max("confidence").alias("confidence")).drop("grp")
+    return rows.groupBy("track_id", "grp").agg(F.min("start_beat").alias("start_beat"), F.max_by("end_beat", "start_beat").alias("end_beat"), F.first("numerator").alias("numerator"), F.first("denominator").alias("denominator"), F.max("confidence").alias("confidence")).drop("grp")
 
 
 def rhythm_confidence(segments: DataFrame, signatures: DataFrame, estimate: DataFrame) -> DataFrame:

@@ -23,14 +23,15 @@ def interval_join(points: DataFrame, intervals: DataFrame, at: str, start: str,
     return left.join(right, on, how).select(*own, *others)
 
 
-def asof_fill(points: DataFrame, marks: DataFrame, at: str, mark: str, columns: list[str], keys: tuple[str, ...] = ("track_id",)) -> DataFrame:
+def asof_fill(points: DataFrame, marks: DataFrame, at: str, mark: str, columns: list[str], keys: tuple[str, ...] = ("track_id",), inclusive: bool = True) -> DataFrame:
     """For each point the columns of the last mark at or before it, by one sort over both sides and no join.
 
-    A mark of equal time counts as before the point."""
+    A mark of equal time counts as before the point, or as after it if not inclusive. The sort is by key, so one key's rows are
+    one task's: right for songs; an endless stream is first cut into keys of bounded length."""
     both = points.withColumn("__t", F.col(at)).withColumn("__side", F.lit(1))
     for c in columns:
         both = both.withColumn(f"__{c}", F.lit(None).cast(marks.schema[c].dataType))
-    other = marks.select(*keys, F.col(mark).alias("__t"), F.lit(0).alias("__side"), *(F.col(c).alias(f"__{c}") for c in columns))
+    other = marks.select(*keys, F.col(mark).alias("__t"), F.lit(0 if inclusive else 2).alias("__side"), *(F.col(c).alias(f"__{c}") for c in columns))
     w = Window.partitionBy(*keys).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
     filled = both.unionByName(other, allowMissingColumns=True).select("*", *(F.last(f"__{c}", ignorenulls=True).over(w).alias(f"__f_{c}") for c in columns)).where("__side = 1")
     return filled.select(*points.columns, *(F.col(f"__f_{c}").alias(c) for c in columns))
@@ -44,35 +45,40 @@ def within_tolerance(left: DataFrame, right: DataFrame, at: str, other: str, tol
     return dealt.join(near, on, "left_semi" if exists else "left_anti").drop("__b")
 
 
-def segment_at_time(points: DataFrame, segments: DataFrame, at: str) -> DataFrame:
-    """The first segment with start <= t < end; before the first the first, otherwise (after all, or in a gap) the last.
+SEGMENT = ("seg_no", "start_time_sec", "end_time_sec", "bpm", "beat_duration_sec", "beat_offset")
+
 
-    segments are few for each track and are joined whole."""
-    return _first_segment(points, segments, at, (F.col("s.start_time_sec") <= F.col(f"p.{at}")) & (F.col(f"p.{at}") < F.col("s.end_time_sec")), F.col(f"p.{at}") < F.col("s.start_time_sec"))
+def _with_segment(points: DataFrame, segments: DataFrame, at: str, by: str, inclusive: bool, inside) -> DataFrame:
+    """points with a struct seg: the segment that begins last before the point if it is inside, else the first or last.
 
+    Segments of a track follow one another; they meet the points in one ordered scan, and each track's first and last by key."""
+    marks = segments.select("track_id", F.col(by).alias("mark"), F.struct(*SEGMENT).alias("seg"))
+    ends = marks.groupBy("track_id").agg(F.min_by("seg", "mark").alias("first_seg"), F.max_by("seg", "mark").alias("last_seg"), F.min("mark").alias("first_mark"))
+    found = asof_fill(points, marks, at, "mark", ["seg"], inclusive=inclusive).join(ends, "track_id")
+    best = F.when(inside, F.col("seg")).when(F.col(at) <= F.col("first_mark"), F.col("first_seg")).otherwise(F.col("last_seg"))
+    return found.select(*points.columns, best.alias("seg"))
 
-def _first_segment(points, segments, at, inside, before) -> DataFrame:
-    marked = points.withColumn("__row", F.monotonically_increasing_id())
-    joined = marked.alias("p").join(segments.alias("s"), F.col("p.track_id") == F.col("s.track_id"))
-    seg = F.struct(*(F.col(f"s.{c}") for c in ("seg_no", "start_time_sec", "end_time_sec", "bpm", "beat_duration_sec", "beat_offset")))
-    grouped = joined.select("p.*", seg.alias("seg"), inside.alias("inside"), before.alias("early")).groupBy("__row", *points.columns)
-    picked = grouped.agg(
-        F.min(F.when(F.col("inside"), F.col("seg"))).alias("hit"), F.min("seg").alias("first"), F.max("seg").alias("last"), F.every("early").alias("all_early")
-    )
-    return picked.withColumn("seg", F.coalesce("hit", F.when(F.col("all_early"), F.col("first")).otherwise(F.col("last")))).drop("__row", "hit", "first", "last", "all_early")
+
+def segment_at_time(points: DataFrame, segments: DataFrame, at: str) -> DataFrame:
+    """The segment with start <= t < end; before the first the first, otherwise (after all, or in a gap) the last."""
+    return _with_segment(points, segments, at, "start_time_sec", True, F.col(at) < F.col("seg.end_time_sec"))
 
 
-def time_to_beat(points: DataFrame, segments: DataFrame, at: str = "t") -> DataFrame:
+def time_to_beat(points: DataFrame, segments: DataFrame, at: str = "t", to: str = "beat") -> DataFrame:
     """Adds beat: the segment's offset plus the time into it in beats."""
     hit = segment_at_time(points, segments, at)
-    return hit.withColumn("beat", F.col("seg.beat_offset") + (F.col(at) - F.col("seg.start_time_sec")) / F.col("seg.beat_duration_sec")).drop("seg")
+    return hit.withColumn(to, F.col("seg.beat_offset") + (F.col(at) - F.col("seg.start_time_sec")) / F.col("seg.beat_duration_sec")).drop("seg")
 
 
 def beat_to_time(points: DataFrame, segments: DataFrame, at: str = "beat") -> DataFrame:
     """Adds t: the first segment with start beat <= b <= end beat, otherwise clamped into the last."""
-    start = F.col("s.beat_offset")
-    length = (F.col("s.end_time_sec") - F.col("s.start_time_sec")) / F.col("s.beat_duration_sec")
-    hit = _first_segment(points, segments, at, (F.col(f"p.{at}") >= start) & (F.col(f"p.{at}") <= start + length), F.lit(False))
+    length = (F.col("seg.end_time_sec") - F.col("seg.start_time_sec")) / F.col("seg.beat_duration_sec")
+    inside = F.col(at) <= F.col("seg.beat_offset") + length
+    marks = segments.select("track_id", F.col("beat_offset").alias("mark"), F.struct(*SEGMENT).alias("seg"))
+    ends = marks.groupBy("track_id").agg(F.min_by("seg", "mark").alias("first_seg"), F.max_by("seg", "mark").alias("last_seg"), F.min("mark").alias("first_mark"))
+    found = asof_fill(points, marks, at, "mark", ["seg"], inclusive=False).join(ends, "track_id")
+    best = F.when(inside, F.col("seg")).when(F.col(at) == F.col("first_mark"), F.col("first_seg")).otherwise(F.col("last_seg"))
+    hit = found.select(*points.columns, best.alias("seg"))
     free = F.col("seg.start_time_sec") + (F.col(at) - F.col("seg.beat_offset")) * F.col("seg.beat_duration_sec")
     return hit.withColumn("t", F.greatest(F.col("seg.start_time_sec"), F.least(F.col("seg.end_time_sec"), free))).drop("seg")
 

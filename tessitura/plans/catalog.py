@@ -8,11 +8,14 @@ from ..functions import text as X
 from ..operators import beats as B
 from ..operators import cache as H
 from ..operators import chords as C
+from ..operators import engraving as G
 from ..operators import frames as N
 from ..operators import hmm as V
 from ..operators import melody as P
+from ..operators import mixing as K
 from ..operators import models as M
 from ..operators import quantize as Q
+from ..operators import repair as W
 from ..operators import score as E
 from ..operators import session as U
 from ..operators import signal as A
@@ -149,7 +152,7 @@ def joint_path_downbeats(spark, sf):
 def joint_viterbi(spark, sf):
     """Best path where the observations favour tempo bin 40 and 4 beats in turn."""
     favoured = 20 * 27 + 5 + F.col("beat_idx") % 4
-    obs = D.beats(spark, sf).where("beat_idx < 32").select("track_id", F.col("beat_idx").alias("frame"), F.transform(F.sequence(F.lit(0), F.lit(1646)), lambda s: F.when(s == favoured, 2.0).otherwise(0.0)).alias("scores"))
+    obs = D.beats(spark, sf).select("track_id", F.col("beat_idx").alias("frame"), F.transform(F.sequence(F.lit(0), F.lit(1646)), lambda s: F.when(s == favoured, 2.0).otherwise(0.0)).alias("scores"))
     return V.decode_joint(obs)
 
 
@@ -187,8 +190,153 @@ def metric_level_halve(spark, sf):
     return r6(B.halve_beats(D.beats(spark, sf)), "t")
 
 
+def sparse_beats(spark, sf):
+    """Every fourth beat of even tracks, numbered anew; odd tracks keep theirs."""
+    rows = D.beats(spark, sf).where("track_id % 2 = 1 or beat_idx % 4 = 0")
+    return rows.select("track_id", F.when(F.col("track_id") % 2 == 1, F.col("beat_idx")).otherwise(F.floor(F.col("beat_idx") / 4)).cast("int").alias("beat_idx"), "t")
+
+
 def metric_level_choice(spark, sf):
-    return r6(B.metric_level(D.beats(spark, sf), D.downbeats(spark, sf)), "bpm")
+    return r6(W.metric_level(sparse_beats(spark, sf), D.downbeats(spark, sf)), "bpm")
+
+
+def metric_level_fixed(spark, sf):
+    return r6(W.with_metric_level(sparse_beats(spark, sf), D.downbeats(spark, sf)), "t")
+
+
+def beat_sources(spark, sf):
+    """Three sources' beats and downbeats: as they are, 50 ms later, and 90 ms later with every other downbeat; some combined ones are missing."""
+    b, d = D.beats(spark, sf), D.downbeats(spark, sf)
+    moved = lambda rows, name, by, where: rows.where(where).select("track_id", F.lit(name).alias("source"), (F.col("t") + by).alias("t"))
+    beats = moved(b, "combined", 0.0, "true").union(moved(b, "drums", 0.05, "true")).union(moved(b, "bass", 0.09, "true"))
+    return beats, moved(d, "combined", 0.0, "db_idx % 7 != 3").union(moved(d, "drums", 0.05, "true")).union(moved(d, "bass", 0.09, "db_idx % 2 = 0"))
+
+
+def beat_agreement(spark, sf):
+    return r6(W.agreed_beats(*beat_sources(spark, sf))[0], "bpm", "confidence")
+
+
+def beat_grid_finished(spark, sf):
+    return r6(W.agreed_beats(*beat_sources(spark, sf))[1], "t")
+
+
+def beat_single_source(spark, sf):
+    return r6(W.single_source(D.beats(spark, sf), D.downbeats(spark, sf)), "bpm")
+
+
+def bpm_from_audio(spark, sf):
+    return r6(W.bpm_from_audio(D.signal_blocks(spark, sf), D.SAMPLE_RATE), "bpm", "beat_duration_sec", "confidence")
+
+
+def beat_model(spark, sf):
+    return r6(W.track_beats(D.signal_blocks(spark, sf), W.PulseModel(), D.SAMPLE_RATE), "t")
+
+
+def moving_average(spark, sf):
+    return r6(W.moving_average(D.signal(spark, sf), 5), "x")
+
+
+def named_stems(spark, sf):
+    """The signal's stems of two songs by name; song 2 has neither bass nor drums."""
+    names = F.array(*map(F.lit, ("drums", "bass", "other", "vocals", "guitar", "piano")))
+    rows = stems_signal(spark, sf).withColumn("stem", F.element_at(names, F.col("stem_idx") + 1))
+    return rows.unionByName(rows.where("stem_idx > 1").withColumn("song", F.lit(2).cast("bigint")))
+
+
+def low_stems(spark, sf):
+    stems = named_stems(spark, sf)
+    return r6(W.low_stems(stems, stems.groupBy("song", "i").agg(F.sum("x").alias("x"))), "x")
+
+
+def analysis_mix(spark, sf):
+    stems = named_stems(spark, sf)
+    enabled = stems.select("song", "stem_idx").distinct().where("song = 1 and stem_idx in (0, 1, 3)")
+    return r6(K.analysis_mix(stems, enabled), "x")
+
+
+def channel_frames(spark, sf):
+    """Three channels of each track's signal: as it is, halved, and turned."""
+    return D.signal(spark, sf).select("track_id", "i", F.array(F.col("x"), F.col("x") / 2, -F.col("x")).alias("samples"))
+
+
+def stereo_resample(spark, sf):
+    return r6(K.stereo_at_rate(channel_frames(spark, sf), 441, 600), "l", "r")
+
+
+def stereo_blend(spark, sf):
+    """Stem 0 is mono, the others stereo with a quieter right."""
+    rows = stems_signal(spark, sf).withColumn("channel", F.explode(F.when(F.col("stem_idx") == 0, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    return r6(K.blend_channels(rows.withColumn("x", F.when(F.col("channel") == 1, F.col("x") * 0.5).otherwise(F.col("x")))), "x")
+
+
+def stem_selection(spark, sf):
+    """Songs by customer: saved stems, of which some songs lack one."""
+    rows = D.read(spark, sf, "customer").select(F.col("c_custkey").alias("song"))
+    stems = rows.select("song", F.explode(F.sequence(F.lit(0), F.when(F.col("song") % 3 == 0, 3).otherwise(5))).alias("stem_idx")).withColumn("on", F.col("stem_idx") > 0)
+    saved = rows.where("song % 4 != 0").select("song", F.array(F.lit(1), F.lit(4)).alias("stems"))
+    return K.restored_stems(saved, stems)
+
+
+def output_time(spark, sf):
+    rows = D.note_events(spark, sf).withColumn("speed", F.col("velocity") / 20.0)
+    return r6(rows.select("track_id", "id", K.output_seconds(F.col("start_time"), F.col("speed")).alias("out"), K.frame_step(F.col("end_time"), F.col("pitch")).alias("step")), "out", "step")
+
+
+def frame_points(spark, sf):
+    """Three times for each track of frames."""
+    return D.prob_arrays(spark, sf).select("track_id").distinct().select("track_id", F.explode(F.array(*map(F.lit, (0.02, 0.61, 99.0)))).alias("t"))
+
+
+def current_frame(spark, sf):
+    rows = K.current_frame(D.prob_arrays(spark, sf), frame_points(spark, sf), STEP).select("track_id", "t", "frame", F.posexplode("probs").alias("pos", "prob"))
+    return r6(rows.select("track_id", "t", "frame", F.col("pos").cast("int").alias("pos"), "prob"), "prob")
+
+
+def point_probabilities(spark, sf):
+    return r6(K.point_probabilities(D.prob_arrays(spark, sf), frame_points(spark, sf), STEP), "prob")
+
+
+def pitch_track(spark, sf):
+    rows = K.pitch_track(D.prob_arrays(spark, sf), 0.9)
+    return rows.select("track_id", "frame", F.isnan("pitch").alias("silent"), F.when(~F.isnan("pitch"), F.col("pitch").cast("int")).alias("pitch"))
+
+
+def spectral_peaks(spark, sf):
+    rows = D.prob_arrays(spark, sf).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(63), F.lit(9))))
+    return r6(rows.select("track_id", "frame", "k", K.weighted_peak(F.col("probs"), F.col("k")).alias("peak"), K.noise_floor(F.col("probs"), F.col("k")).alias("floor")), "peak", "floor")
+
+
+def tempo_and_meter_at_beat(spark, sf):
+    points = D.beats(spark, sf).select("track_id", F.col("beat_idx").cast("double").alias("beat"))
+    return K.at_beat(points, D.tempo_segments(spark, sf), signatures(spark, sf))
+
+
+def measure_of_tick(spark, sf):
+    spans = E.note_spans(quantised(spark, sf))
+    until = spans.groupBy("track_id").agg(F.max("end_tick").alias("end_tick"))
+    points = spans.select("track_id", F.col("start_tick").alias("tick")).distinct()
+    return G.measure_of_tick(points, E.measure_boundaries(signatures(spark, sf), until))
+
+
+def svg_note_positions(spark, sf):
+    """A page for each track that draws its notes as rectangles, half a margin to the right."""
+    spans = D.note_events(spark, sf)
+    rect = F.format_string('<g id="n%d_%d_%d_%d"><rect x="%d" y="%d" width="10" height="5"/></g>', "id", "pitch", F.col("id") * 120, F.lit(240), F.col("id") * 3, F.col("pitch"))
+    page = spans.groupBy("track_id").agg(F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 1000 200"><g class="page-margin" transform="translate(50, 20)">'), F.array_join(F.array_sort(F.collect_list(rect)), ""), F.lit("</g></svg>")).alias("svg"))
+    return r6(G.note_positions(page.withColumnRenamed("track_id", "page_id")), "x", "y", "w", "h")
+
+
+def cache_timeline_lookup(spark, sf):
+    """Two entries for each track of frames, one of another version, quality, length or with a broken frame."""
+    frames = D.prob_arrays(spark, sf).groupBy("track_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "probs"))), lambda f: f["probs"]).alias("timeline"))
+    base = frames.select(
+        F.col("track_id").cast("string").alias("content_hash"), F.lit(1).cast("bigint").alias("variant_key"), F.lit(441).alias("sample_rate"), F.lit(1).alias("quality"), F.lit(1.0).alias("speed"), F.lit(0.0).alias("pitch"), F.lit(True).alias("use_cqt"), F.lit(True).alias("preprocess"),
+        F.round(F.size("timeline") * STEP * 441).cast("bigint").alias("n_samples"), "timeline", F.col("track_id").alias("k"),
+    )
+    wanted = base.drop("timeline", "k")
+    first = base.withColumn("entry", F.lit(1)).withColumn("version", F.when(F.col("k") % 4 == 0, 3).otherwise(4)).withColumn("quality", F.when(F.col("k") % 4 == 1, 2).otherwise(F.col("quality"))).withColumn("n_samples", F.when(F.col("k") % 4 == 2, F.col("n_samples") + 1).otherwise(F.col("n_samples"))).withColumn("step_sec", F.when(F.col("k") % 4 == 2, STEP * 9).otherwise(STEP))
+    second = base.withColumn("entry", F.lit(2)).withColumn("version", F.lit(4)).withColumn("variant_key", F.lit(2).cast("bigint")).withColumn("step_sec", F.when(F.col("k") % 3 == 0, 0.0).otherwise(STEP))
+    return H.find_timeline(wanted, first.unionByName(second).drop("k"), width=64)
 
 
 def downbeat_consensus(spark, sf):
@@ -211,8 +359,8 @@ def barline_grid(spark, sf):
 
 
 def onset_collect(spark, sf):
-    rows = T.onset_lists(D.note_events(spark, sf))
-    return rows.select("track_id", F.size("onsets").alias("n"), F.round(F.element_at("onsets", -1), 6).alias("last"))
+    rows = T.onset_lists(D.note_events(spark, sf)).select("track_id", F.posexplode("onsets").alias("pos", "t"))
+    return r6(rows.select("track_id", F.col("pos").cast("int").alias("pos"), "t"), "t")
 
 
 def bpm_autocorrelation(spark, sf):
@@ -220,7 +368,7 @@ def bpm_autocorrelation(spark, sf):
 
 
 def bpm_octave_resolved(spark, sf):
-    return r6(T.resolve_octave(D.note_events(spark, sf)), "bpm")
+    return r6(T.resolve_octave(D.note_events(spark, sf)), "bpm", "confidence")
 
 
 def subdivision_alignment(spark, sf):
@@ -236,8 +384,7 @@ def windowed_tempo_map(spark, sf):
 
 
 def meter_inference(spark, sf):
-    beats = D.note_events(spark, sf).select("track_id", (F.col("start_time") / 0.5).alias("beat"), "velocity")
-    return r6(T.meter_scores(beats), "score").drop("rank")
+    return r6(T.infer_meter(D.note_events(spark, sf), D.tempo_segments(spark, sf)), "confidence")
 
 
 def meter_merge(spark, sf):
@@ -295,7 +442,11 @@ def quantize_tempo_map(spark, sf):
 
 
 def quantize_aligned(spark, sf):
-    return r6(Q.quantize_aligned(aligned(spark, sf)), "beat_start", "beat_duration", "confidence")
+    """Straight, swing, triplet and straight again, by four bars."""
+    styles = [(0, 4, "Straight"), (4, 8, "Swing"), (8, 12, "Triplet"), (12, 10_000, "Straight")]
+    notes = aligned(spark, sf)
+    sections = D.tempo_segments(spark, sf).select("track_id").distinct().crossJoin(F.broadcast(spark.createDataFrame(styles, "bar_start int, bar_end int, style string")))
+    return r6(Q.quantize_aligned(notes, sections), "beat_start", "beat_duration", "confidence")
 
 
 def barline_crossings(spark, sf):
@@ -303,7 +454,7 @@ def barline_crossings(spark, sf):
 
 
 def notes_with_ties(spark, sf):
-    return r6(Q.split_ties(quantised(spark, sf), B.barlines(signatures(spark, sf), 120.0)), "beat_start", "beat_duration")
+    return r6(Q.tied_notes(D.note_events(spark, sf), D.tempo_segments(spark, sf), signatures(spark, sf)), "beat_start", "beat_duration")
 
 
 def grace_notes(spark, sf):
@@ -366,7 +517,7 @@ def midi_names(spark, sf):
 
 
 def xml_escape(spark, sf):
-    return D.read(spark, sf, "pages").select("page_id", F.length(X.xml_escape(F.col("html"))).cast("bigint").alias("n_chars"))
+    return D.read(spark, sf, "pages").select("page_id", X.xml_escape(F.col("html")).alias("escaped"))
 
 
 def melody_skyline(spark, sf):
@@ -470,7 +621,8 @@ def stem_separation(spark, sf):
 
 def time_stretch(spark, sf):
     flat = D.signal_blocks(spark, sf).groupBy("track_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "samples"))), lambda b: b["samples"])).alias("samples"))
-    return A.stretch(flat, 1.25).select("track_id", F.size("samples").alias("n"))
+    rows = A.stretch(flat, 1.25).select("track_id", F.posexplode("samples").alias("i", "x"))
+    return r6(rows.select("track_id", F.col("i").cast("int").alias("i"), F.col("x").cast("double").alias("x")), "x")
 
 
 def measure_boundaries(spark, sf):
@@ -530,7 +682,7 @@ def ema_fold(spark, sf):
 
 
 def highlight_decay(spark, sf):
-    return r6(N.highlight_decay(D.note_frames(spark, sf).where("pitch < 25"), 0.05), "level")
+    return r6(N.highlight_decay(D.note_frames(spark, sf), 0.05), "level")
 
 
 def cache_variant_lookup(spark, sf):
@@ -556,8 +708,8 @@ def note_at_beat(spark, sf):
 
 
 def cursor_offset(spark, sf):
-    q = quantised(spark, sf).select("track_id", "id", (F.col("beat_start") * 0.5).alias("t"))
-    return r6(U.cursor_offset(q, D.note_events(spark, sf)), "offset")
+    segments = D.tempo_segments(spark, sf)
+    return r6(U.cursor_offset(Q.quantize_tempo_map(D.note_events(spark, sf), segments), segments, D.note_events(spark, sf)), "offset")
 
 
 def mean_tempo(spark, sf):
@@ -569,7 +721,7 @@ def clef_by_measure(spark, sf):
 
 
 def chord_debug_json(spark, sf):
-    return U.chord_debug(C.bar_candidates(quantised(spark, sf))).select("track_id", "n")
+    return U.chord_debug(C.bar_candidates(quantised(spark, sf)))
 
 
 def energy_notes(spark, sf):
@@ -594,11 +746,12 @@ def meter_classes(spark, sf):
 
 
 def lead_sheet_summary(spark, sf):
-    """The lead sheet's tables, counted by track."""
+    """The lead sheet's tables by track: rows, and the sum of what each says."""
     sheet = Z.lead_sheet(D.note_events(spark, sf), D.beats(spark, sf), D.downbeats(spark, sf))
+    facts = {"aligned_notes": "intra_beat_pos", "swing_sections": "bar_end", "quantized_notes": "beat_start + beat_duration", "tempo_segments": "bpm", "chord_changes": "beat"}
     out = None
-    for name in ("aligned_notes", "swing_sections", "quantized_notes", "tempo_segments", "chord_changes"):
-        part = sheet[name].groupBy("track_id").agg(F.count("*").alias("n")).select("track_id", F.lit(name).alias("part"), "n")
+    for name, of in facts.items():
+        part = sheet[name].groupBy("track_id").agg(F.count("*").alias("n"), F.round(F.sum(F.expr(of).cast("double")), 5).alias("total")).select("track_id", F.lit(name).alias("part"), "n", "total")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -607,5 +760,5 @@ def lead_sheet_from_notes(spark, sf):
     return r6(Z.lead_sheet_from_notes(D.note_events(spark, sf))["quantized_notes"], "beat_start", "beat_duration")
 
 
-_HELPERS = {"r6", "active", "stem_frames", "aligned", "quantised", "signatures", "stems_signal"}
+_HELPERS = {"sparse_beats", "beat_sources", "named_stems", "channel_frames", "frame_points", "r6", "active", "stem_frames", "aligned", "quantised", "signatures", "stems_signal"}
 QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and name not in _HELPERS}

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators import beats as B
 from ..operators import chords as C
+from ..operators import melody as P
 from ..operators import quantize as Q
 from ..operators import tempo as T
 from ..operators.frames import extract_notes
@@ -19,10 +19,10 @@ def notes_of(frames: DataFrame, sensitivity: float = 1.0, step: float = 0.05) ->
 
 
 def lead_sheet(notes: DataFrame, beats: DataFrame, downbeats: DataFrame, bpb: int = 4) -> dict[str, DataFrame]:
-    """The enhanced path: association, swing, quantisation, tempo map, chords; the melody is all notes."""
+    """The enhanced path: association, swing, quantisation in the style of most bars, tempo map, chords; the melody is all notes."""
     aligned = Q.associate(notes, beats, downbeats, bpb)
     sections = Q.swing_sections(aligned)
-    quantised = Q.quantize_aligned(aligned, "Straight", bpb)
+    quantised = Q.quantize_aligned(aligned, Q.majority_sections(sections), bpb)
     return {
         "aligned_notes": aligned, "swing_sections": sections, "swing": Q.swing_majority(sections), "quantized_notes": quantised,
         "tempo_segments": B.bar_tempo_map(beats, downbeats, bpb), "chord_changes": C.chords_per_bar(quantised, bpb), "melody": notes,
@@ -30,9 +30,13 @@ def lead_sheet(notes: DataFrame, beats: DataFrame, downbeats: DataFrame, bpb: in
 
 
 def lead_sheet_from_notes(notes: DataFrame) -> dict[str, DataFrame]:
-    """The path without beats: tempo by autocorrelation, a windowed tempo map, quantisation against it, meter and chords."""
+    """The path without beats: tempo by autocorrelation, a windowed tempo map, meters by segment, quantisation against both,
+    tied notes, melody, chords, and the rhythm's confidence."""
     tempo = T.resolve_octave(notes)
     segments = T.tempo_segments(notes)
-    quantised = Q.quantize_tempo_map(notes, segments)
-    meter = T.infer_meter(quantised.select("track_id", F.col("beat_start").alias("beat"), "velocity"))
-    return {"tempo": tempo, "tempo_segments": segments, "quantized_notes": quantised, "meter": meter, "chord_changes": C.chord_scan(quantised)}
+    meter = T.infer_meter(notes, segments)
+    quantised = Q.quantize_tempo_map(notes, segments, meter)
+    return {
+        "tempo": tempo, "tempo_segments": segments, "time_signatures": meter, "quantized_notes": quantised, "tied_notes": Q.tied_notes(notes, segments, meter), "melody": P.melody_heuristic(notes),
+        "chord_changes": C.chord_scan(quantised), "confidence": T.rhythm_confidence(segments, meter, tempo),
+    }

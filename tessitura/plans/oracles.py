@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from ..operators.chords import FLATS, TEMPLATES
-from ..operators.tempo import METERS
 from ..sources.bindings import TEMPO_SEGMENTS
 
 NE = """o AS (SELECT user_id AS track_id, event_id, value, epoch_us(ts) AS us, MIN(epoch_us(ts)) OVER (PARTITION BY user_id) AS us0,
@@ -79,10 +78,14 @@ cs AS (SELECT CAST(m AS INT) AS mask, root, template, CAST(bit_count(CAST(m AS I
   FROM range(1, 4096) r(m), sh WHERE bit_count(CAST(m AS INT) & shape) >= 2)"""
 _NAMES = "[" + ", ".join(f"'{x}'" for x in FLATS) + "]"
 _KINDS = "[" + ", ".join(f"'{k}'" for k, _ in TEMPLATES) + "]"
+# the letter of the interval, then what is left to the natural note of that letter; four names give way to naturals
+_LETTER = "(([0, 1, 1, 2, 2, 3, 4, 4, 5, 5, 6, 6][x.root + 1] + [0, 1, 1, 2, 2, 3, 4, 4, 5, 5, 6, 6][(bass - x.root + 12) % 12 + 1]) % 7 + 1)"
+_RAW = f"(substr('CDEFGAB', {_LETTER}, 1) || CASE (bass + 12 - [0, 2, 4, 5, 7, 9, 11][{_LETTER}]) % 12 WHEN 0 THEN '' WHEN 1 THEN '#' ELSE 'b' END)"
+_BASS = f"(CASE {_RAW} WHEN 'Cb' THEN 'B' WHEN 'Fb' THEN 'E' WHEN 'B#' THEN 'C' WHEN 'E#' THEN 'F' ELSE {_RAW} END)"
 CT = CS + f""", bb AS (SELECT mask, CAST(b AS INT) AS bass, arg_max(struct_pack(root := root, template := template), (score + CASE WHEN root = b THEN 2 ELSE 0 END) * 100000 - root * 100 - template) AS x FROM cs, range(-1, 12) r(b) GROUP BY 1, 2),
 ev AS (SELECT CAST(m AS INT) AS mask, CAST(b AS INT) AS bass, list_filter(range(0, 12), lambda p: (CAST(m AS INT) & CAST(power(2, p) AS INT)) <> 0) AS pcs FROM range(1, 4096) r(m), range(-1, 12) s(b)),
 ct AS (SELECT mask, bass, CASE WHEN len(pcs) = 1 THEN {_NAMES}[pcs[1] + 1] || ' (8ve)' WHEN len(pcs) = 2 AND pcs[2] - pcs[1] = 7 THEN {_NAMES}[pcs[1] + 1] || '5'
-  ELSE {_NAMES}[x.root + 1] || {_KINDS}[x.template + 1] || CASE WHEN bass >= 0 AND bass <> x.root THEN '/' || {_NAMES}[bass + 1] ELSE '' END END AS symbol FROM ev LEFT JOIN bb USING (mask, bass))"""
+  ELSE {_NAMES}[x.root + 1] || {_KINDS}[x.template + 1] || CASE WHEN bass >= 0 AND bass <> x.root THEN '/' || {_BASS} ELSE '' END END AS symbol FROM ev LEFT JOIN bb USING (mask, bass))"""
 SND = """snd AS (SELECT g.track_id, g.beat, CAST(SUM(DISTINCT power(2, q.pitch % 12)) AS INT) AS mask, CAST(MIN(q.pitch) % 12 AS INT) AS bass, COUNT(*) AS n_notes, SUM(q.beat_duration) AS held
   FROM {grid} g JOIN q ON q.track_id = g.track_id AND q.beat_start - 1e-5 <= g.beat AND g.beat < q.beat_start + q.beat_duration GROUP BY 1, 2)"""
 _CHG = "SELECT track_id, beat, symbol FROM (SELECT *, LAG(symbol) OVER (PARTITION BY track_id ORDER BY beat) AS was FROM {src} WHERE symbol IS NOT NULL) WHERE was IS NULL OR was <> symbol"
@@ -92,7 +95,25 @@ bc AS (SELECT bar.track_id, db_idx, bar_t, next_t, COUNT(*) AS nb, median(gap) A
 SPAN = QC + f""", e_ AS (SELECT track_id, id, pitch, velocity, beat_start AS bs0, beat_duration AS d, CAST(NULL AS DOUBLE) AS be, CAST('inf' AS DOUBLE) AS er FROM q), {_fold_durations('e_', 'x')},
 sp0 AS (SELECT track_id, id, pitch, velocity, CAST(round(bs0 * 480) AS INT) AS start_tick, CAST(round(bs0 * 480) AS INT) + CAST(round(greatest(0.25, coalesce(be, 0.25)) * 480) AS INT) AS end_tick, CASE WHEN pitch >= 60 THEN 1 ELSE 2 END AS staff FROM x7),
 sp AS (SELECT * EXCLUDE rn FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY track_id, start_tick, pitch ORDER BY end_tick DESC, id) AS rn FROM sp0) WHERE rn = 1)"""
-MS = NE + ", mt AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}/{d}', {n}, {d}, {bar}::DOUBLE, {p}::DOUBLE)" for n, d, bar, p in METERS) + ") v(meter, numerator, denominator, bar, prior))"
+MT = NE + ", " + TS + """, mt AS (SELECT * FROM (VALUES (2, 4, 0.92::DOUBLE, 0), (3, 4, 0.94, 1), (4, 4, 1.0, 2), (6, 8, 0.90, 3), (12, 8, 0.86, 4)) v(num, den, prior, rank)),
+mn AS (SELECT track_id, seg_no, num, den, prior, rank, velocity / 127.0 AS v, ((start_time - s) / bd) % CAST(num AS DOUBLE) AS phase FROM ne JOIN ts ON start_time >= s AND start_time < e, mt),
+mh AS (SELECT track_id, seg_no, num, den, prior, rank, CAST(round(phase) AS INT) % num AS bin, SUM(greatest(0.2, least(1.0, v)) * greatest(0.15, least(1.0, 1 - 0.7 * abs(phase - CAST(round(phase) AS INT) % num)))) AS w, COUNT(*) AS n FROM mn GROUP BY ALL),
+ma AS (SELECT track_id, seg_no, num, den, prior, rank, SUM(w) AS total, SUM(n) AS n FROM mh GROUP BY ALL),
+mr AS (SELECT ma.*, (coalesce(mh.w, 0) * 1.35 - (total - coalesce(mh.w, 0)) / (ma.num - 1) + total / ma.num) / greatest(total, 1.0) AS score
+  FROM ma JOIN range(0, 12) r(rot) ON rot < ma.num LEFT JOIN mh ON mh.track_id = ma.track_id AND mh.seg_no = ma.seg_no AND mh.num = ma.num AND mh.bin = rot),
+mx AS (SELECT track_id, seg_no, num, den, prior, rank, n, MAX(score) + prior AS score FROM mr GROUP BY track_id, seg_no, num, den, prior, rank, n),
+mb_ AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY track_id, seg_no ORDER BY round(score, 9) DESC, rank) AS rn FROM mx),
+ms AS (SELECT t.track_id, ts.seg_no, off AS start_beat, off + (e - s) / bd AS end_beat, CASE WHEN coalesce(n, 0) >= 8 THEN num ELSE 4 END AS numerator, CASE WHEN coalesce(n, 0) >= 8 THEN den ELSE 4 END AS denominator,
+  CASE WHEN coalesce(n, 0) >= 8 THEN greatest(0.05, least(0.99, (score - 0.2) / 3)) ELSE 0.2 END AS confidence FROM (SELECT DISTINCT track_id FROM ne) t CROSS JOIN ts LEFT JOIN mb_ ON mb_.track_id = t.track_id AND mb_.seg_no = ts.seg_no AND rn = 1),
+mc AS (SELECT *, CASE WHEN numerator = LAG(numerator) OVER w AND denominator = LAG(denominator) OVER w THEN 0 ELSE 1 END AS fresh FROM ms WINDOW w AS (PARTITION BY track_id ORDER BY seg_no)),
+mg_ AS (SELECT *, SUM(fresh) OVER (PARTITION BY track_id ORDER BY seg_no) AS grp FROM mc)"""
+
+SB = BT + """, sb AS (SELECT track_id, CAST(CASE WHEN track_id % 2 = 1 THEN beat_idx ELSE beat_idx // 4 END AS INT) AS k, t FROM bt WHERE track_id % 2 = 1 OR beat_idx % 4 = 0),
+ml AS (SELECT b.track_id, 60.0 / b.g AS bpm, round(d.g / b.g) AS per FROM (SELECT track_id, median(g) AS g FROM (SELECT track_id, LEAD(t) OVER (PARTITION BY track_id ORDER BY k) - t AS g FROM sb) WHERE g > 0.001 GROUP BY 1 HAVING COUNT(*) >= 3) b
+  LEFT JOIN (SELECT track_id, median(g) AS g FROM (SELECT track_id, LEAD(t) OVER (PARTITION BY track_id ORDER BY t) - t AS g FROM db) WHERE g > 0.001 GROUP BY 1) d USING (track_id)),
+lv AS (SELECT track_id, bpm, CASE WHEN per < 2.5 AND bpm < 70 THEN 'double' WHEN per > 6 AND bpm > 160 THEN 'halve' ELSE 'keep' END AS level FROM ml)"""
+NMS = STS + """, ns AS (SELECT song, stem_idx, i, x FROM st UNION ALL SELECT 2, stem_idx, i, x FROM st WHERE stem_idx > 1)"""
+PTS = NF + ", pt AS (SELECT track_id, t FROM (SELECT DISTINCT track_id FROM nf), (VALUES (0.02::DOUBLE), (0.61), (99.0)) v(t))"
 
 ORACLES: dict[str, str] = {
     "note_islands": f"WITH {NF}, {ISL.format(k='track_id', src='nf', t=0.12)} SELECT track_id, {_NOTE} FROM ni",
@@ -108,8 +129,7 @@ ORACLES: dict[str, str] = {
     "note_onsets": f"WITH {NF}, a AS (SELECT *, prob >= 0.12 AS act, LAG(prob >= 0.12, 1, false) OVER ({_W}) AS was FROM nf) SELECT track_id, pitch, frame FROM a WHERE act AND NOT was",
     "note_offsets": f"WITH {NF}, a AS (SELECT *, prob >= 0.12 AS act, LAG(prob >= 0.12, 1, false) OVER ({_W}) AS was FROM nf) SELECT track_id, pitch, frame FROM a WHERE NOT act AND was",
     "stem_max_combine": f"WITH {SS} SELECT song, frame, pitch, round(prob, 6) AS prob, stem_idx FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY song, frame, pitch ORDER BY prob DESC, stem_idx) AS rn FROM sf) WHERE rn = 1",
-    "timeline_transpose": f"""WITH {NF} SELECT d.track_id, d.frame, CAST(d.pitch - 21 AS INT) AS pos, round(coalesce(0.5 * a.prob + 0.5 * b.prob, 0.0), 6) AS prob FROM nf d
-      LEFT JOIN nf a ON a.track_id = d.track_id AND a.frame = d.frame AND a.pitch = d.pitch - 2 LEFT JOIN nf b ON b.track_id = d.track_id AND b.frame = d.frame AND b.pitch = d.pitch - 1""",
+    "timeline_transpose": f"""WITH {NF} SELECT track_id, frame, CAST(pitch - 21 AS INT) AS pos, round(coalesce(0.5 * LAG(prob, 2) OVER w + 0.5 * LAG(prob, 1) OVER w, 0.0), 6) AS prob FROM nf WINDOW w AS (PARTITION BY track_id, frame ORDER BY pitch)""",
     "nearest_frame_lookup": f"WITH {NE} SELECT track_id, id, CAST(least(floor(start_time / 0.05::DOUBLE + 0.5::DOUBLE), 1199) AS INT) AS frame FROM ne",
     "joint_rhythm_states": """WITH m AS (SELECT mc, p, ROW_NUMBER() OVER (ORDER BY mc, p) - 1 AS pos FROM (VALUES (0, 2), (1, 3), (2, 4), (3, 6), (4, 12)) v(mc, n), range(0, 12) r(p) WHERE p < n)
       SELECT CAST((t - 20) * 27 + pos AS INT) AS state_idx, CAST(t AS INT) AS tempo_bin, mc AS meter_class, CAST(p AS INT) AS phase FROM range(20, 81) r(t), m""",
@@ -128,16 +148,44 @@ ORACLES: dict[str, str] = {
     "beat_grid_from_notes": f"WITH {NE}, e AS (SELECT track_id, floor(MIN(start_time) / 0.5) * 0.5 AS s, MAX(end_time) AS l FROM ne GROUP BY 1) SELECT track_id, CAST(i AS INT) AS beat_idx, round(s + i * 0.5::DOUBLE, 6) AS t FROM e, range(0, 400) r(i) WHERE i <= floor((l + 0.5 - s) / 0.5) AND floor((l + 0.5 - s) / 0.5) + 1 >= 4 AND l > 0",
     "metric_level_double": f"WITH {BT}, m AS (SELECT track_id, t FROM bt UNION ALL SELECT track_id, x FROM (SELECT track_id, (t + LEAD(t) OVER (PARTITION BY track_id ORDER BY beat_idx)) / 2 AS x FROM bt) WHERE x IS NOT NULL) SELECT track_id, CAST(ROW_NUMBER() OVER (PARTITION BY track_id ORDER BY t) - 1 AS INT) AS beat_idx, round(t, 6) AS t FROM m",
     "metric_level_halve": f"WITH {BT} SELECT track_id, CAST(beat_idx // 2 AS INT) AS beat_idx, round(t, 6) AS t FROM bt WHERE beat_idx % 2 = 0",
-    "metric_level_choice": f"WITH {BG} SELECT track_id, round(60 / median(gap), 6) AS bpm, 'keep' AS level FROM bg WHERE gap IS NOT NULL GROUP BY 1",
+    "metric_level_choice": f"WITH {SB} SELECT track_id, round(bpm, 6) AS bpm, level FROM lv",
+    "metric_level_fixed": f"""WITH {SB}, nx AS (SELECT sb.*, LEAD(t) OVER (PARTITION BY track_id ORDER BY k) AS nt FROM sb), e AS (SELECT track_id, t, level FROM nx JOIN lv USING (track_id) WHERE level <> 'halve' OR k % 2 = 0 UNION ALL SELECT track_id, (t + nt) / 2, level FROM nx JOIN lv USING (track_id) WHERE level = 'double' AND nt IS NOT NULL)
+      SELECT track_id, CAST(ROW_NUMBER() OVER (PARTITION BY track_id ORDER BY t) - 1 AS INT) AS beat_idx, round(t, 6) AS t FROM e""",
+    "beat_agreement": f"""WITH {BT}, src AS (SELECT * FROM (VALUES ('combined', 0.0::DOUBLE), ('drums', 0.05), ('bass', 0.09)) v(source, d)), b AS (SELECT track_id, source, t + d AS t FROM bt, src),
+      dn AS (SELECT track_id, source, t + d AS t FROM db, src WHERE (source = 'combined' AND db_idx % 7 <> 3) OR source = 'drums' OR (source = 'bass' AND db_idx % 2 = 0)),
+      g AS (SELECT track_id, median(60.0 / g) AS bpm FROM (SELECT track_id, source, median(g) AS g FROM (SELECT track_id, source, LEAD(t) OVER (PARTITION BY track_id, source ORDER BY t) - t AS g FROM b) GROUP BY 1, 2) GROUP BY 1),
+      p AS (SELECT track_id, t, LEAD(t) OVER (PARTITION BY track_id ORDER BY t) - t AS bar, 1 + (SELECT COUNT(DISTINCT source) FROM dn o WHERE o.track_id = dn.track_id AND o.source <> 'combined' AND abs(o.t - dn.t) < 0.07) AS hits FROM dn WHERE source = 'combined')
+      SELECT track_id, round(MAX(bpm), 6) AS bpm, CAST(greatest(2, least(8, round(median(bar) * MAX(bpm) / 60.0))) AS INT) AS beats_per_bar, round(greatest(0.0, least(1.0, (AVG(hits) - 1) / 2)), 6) AS confidence, CAST(3 AS BIGINT) AS sources FROM p JOIN g USING (track_id) GROUP BY 1""",
+    "beat_single_source": f"""WITH {BT} SELECT b.track_id, round(greatest(40.0, least(260.0, 60.0 / b.g)), 6) AS bpm, CAST(greatest(2, least(8, round(d.g / b.g))) AS INT) AS beats_per_bar, 0.5::DOUBLE AS confidence, 1 AS sources
+      FROM (SELECT track_id, median(g) AS g FROM (SELECT track_id, LEAD(t) OVER (PARTITION BY track_id ORDER BY t) - t AS g FROM bt) GROUP BY 1) b JOIN (SELECT track_id, median(g) AS g FROM (SELECT track_id, LEAD(t) OVER (PARTITION BY track_id ORDER BY t) - t AS g FROM db) GROUP BY 1) d USING (track_id)""",
+    "moving_average": f"WITH {SG} SELECT track_id, i, round(SUM(x) OVER (PARTITION BY track_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / 5, 6) AS x FROM sg",
+    "low_stems": f"WITH {NMS} SELECT song, i, round(SUM(x), 6) AS x FROM ns WHERE song = 2 OR stem_idx IN (0, 1) GROUP BY 1, 2",
+    "analysis_mix": f"""WITH {NMS}, m AS (SELECT song, i, SUM(x) AS x FROM ns WHERE song = 1 AND stem_idx IN (1, 3) GROUP BY 1, 2), p AS (SELECT greatest(1.0, MAX(abs(x))) AS peak FROM m)
+      SELECT song, i, round(x / peak, 6) AS x FROM m, p UNION ALL SELECT DISTINCT song, i, 0.0::DOUBLE FROM ns WHERE song = 2""",
+    "stereo_resample": f"""WITH {SG}, n AS (SELECT track_id, MAX(i) + 1 AS n FROM sg GROUP BY 1), k AS (SELECT track_id, n, k, k / (600.0::DOUBLE / 441) AS pos FROM n, range(0, 1000000) r(k) WHERE k < round(n * (600.0::DOUBLE / 441))),
+      a AS (SELECT k.track_id, k, pos - floor(pos) AS f, 0.0::DOUBLE AS l0, sg.x / 2 AS r0, least(CAST(floor(pos) AS BIGINT) + 1, n - 1) AS i1 FROM k JOIN sg ON sg.track_id = k.track_id AND sg.i = CAST(floor(pos) AS BIGINT))
+      SELECT a.track_id, k AS i, round(l0 * (1 - f) + f * 0.0, 6) AS l, round(r0 * (1 - f) + f * sg.x / 2, 6) AS r FROM a JOIN sg ON sg.track_id = a.track_id AND sg.i = a.i1""",
+    "stereo_blend": f"""WITH {STS}, c AS (SELECT song, i, ch AS channel, SUM(CASE WHEN ch = 1 AND stem_idx > 0 THEN x * 0.5 ELSE x END) AS x FROM st, (VALUES (0), (1)) v(ch) GROUP BY 1, 2, 3), p AS (SELECT song, greatest(1.0, MAX(abs(x))) AS peak FROM c GROUP BY 1)
+      SELECT song, i, channel, round(x / peak, 6) AS x FROM c JOIN p USING (song)""",
+    "stem_selection": "SELECT c_custkey AS song, CAST(k AS INT) AS stem_idx FROM customer, range(1, 6) r(k) WHERE k <= CASE WHEN c_custkey % 3 = 0 THEN 3 ELSE 5 END AND (c_custkey % 4 = 0 OR c_custkey % 3 = 0 OR k IN (1, 4))",
+    "output_time": f"WITH {NE} SELECT track_id, id, round(start_time / greatest(0.25, least(4.0, velocity / 20.0)), 6) AS out, round(greatest(0.001, end_time / pitch), 6) AS step FROM ne",
+    "current_frame": f"WITH {PTS} SELECT pt.track_id, t, nf.frame, CAST(pitch - 21 AS INT) AS pos, round(prob, 6) AS prob FROM pt JOIN (SELECT track_id, MAX(frame) AS last FROM nf GROUP BY 1) m USING (track_id) JOIN nf ON nf.track_id = pt.track_id AND nf.frame = least(last, CAST(floor(t / 0.05) AS INT))",
+    "point_probabilities": f"""WITH {PTS}, p AS (SELECT pt.track_id, t, CAST(k AS INT) AS pitch_idx FROM pt, range(0, 64) r(k)) SELECT p.track_id, p.t, pitch_idx, round(coalesce(AVG(prob), 0.0), 6) AS prob FROM p LEFT JOIN nf ON nf.track_id = p.track_id AND nf.pitch = pitch_idx + 21 AND nf.frame BETWEEN CAST(floor(t / 0.05) AS INT) - 1 AND CAST(floor(t / 0.05) AS INT) + 1 GROUP BY 1, 2, 3""",
+    "pitch_track": f"WITH {NF}, m AS (SELECT track_id, frame, MAX(prob) AS top, arg_min(pitch, -prob * 1000000 + pitch * 1e-6) AS p FROM nf GROUP BY 1, 2) SELECT track_id, frame, top <= 0.9 AS silent, CASE WHEN top > 0.9 THEN (SELECT MIN(pitch) FROM nf WHERE nf.track_id = m.track_id AND nf.frame = m.frame AND nf.prob = m.top) END AS pitch FROM m",
+    "spectral_peaks": f"""WITH {NF}, k AS (SELECT DISTINCT track_id, frame, CAST(k AS INT) AS k FROM nf, range(0, 64, 9) r(k)), j AS (SELECT k.track_id, k.frame, k.k, nf.pitch - 21 - k.k AS d, prob FROM k JOIN nf ON nf.track_id = k.track_id AND nf.frame = k.frame AND abs(nf.pitch - 21 - k.k) <= 7)
+      SELECT track_id, frame, k, round(SUM(prob * CASE abs(d) WHEN 0 THEN 1.0 WHEN 1 THEN 0.6 ELSE 0.15 END) FILTER (abs(d) <= 2) / SUM(CASE abs(d) WHEN 0 THEN 1.0 WHEN 1 THEN 0.6 ELSE 0.15 END) FILTER (abs(d) <= 2), 6) AS peak, round(AVG(prob) FILTER (abs(d) >= 3), 6) AS floor FROM j GROUP BY 1, 2, 3""",
+    "tempo_and_meter_at_beat": f"WITH {BT}, {TS}, {SIG} SELECT track_id, CAST(beat_idx AS DOUBLE) AS beat, (SELECT arg_max(bpm, off) FROM ts WHERE off <= beat_idx) AS bpm, CASE WHEN beat_idx < 32 THEN 4 ELSE 3 END AS numerator, 4 AS denominator FROM bt",
+    "svg_note_positions": f"WITH {NE} SELECT track_id AS page_id, CAST(id AS BIGINT) AS note_id, pitch, CAST(id * 120 AS INT) AS tick, 240 AS duration_ticks, round((id * 3 + 50) / 1000.0::DOUBLE, 6) AS x, round((pitch + 20) / 200.0::DOUBLE, 6) AS y, 0.01::DOUBLE AS w, 0.025::DOUBLE AS h FROM ne",
+    "cache_timeline_lookup": f"""WITH {NFA} SELECT CAST(track_id AS VARCHAR) AS content_hash, CAST(1 AS BIGINT) AS variant_key, CAST(2 AS BIGINT) AS candidates, CAST(track_id % 4 = 0 AS BIGINT) AS other_version, CAST(track_id % 4 = 1 AS BIGINT) AS other_parameters, CAST(track_id % 4 = 2 AND COUNT(*) * 0.05 * 8 > 2 AS BIGINT) AS other_length,
+      CAST(track_id % 3 = 0 AS BIGINT) AS invalid_timeline, CASE WHEN track_id % 4 = 3 OR (track_id % 4 = 2 AND COUNT(*) * 0.05 * 8 <= 2) THEN 1 WHEN track_id % 3 <> 0 THEN 2 END AS entry FROM nfa GROUP BY track_id""",
     "downbeat_consensus": f"WITH {BT}, s AS (SELECT track_id, 1 AS src, t FROM db UNION ALL SELECT track_id, 2, t + 0.05 FROM db UNION ALL SELECT track_id, 3, t + 0.09 FROM db WHERE db_idx % 2 = 0) SELECT d.track_id, d.db_idx, round(d.t, 6) AS t, COUNT(DISTINCT src) AS hits FROM db d LEFT JOIN s ON s.track_id = d.track_id AND abs(s.t - d.t) < 0.07 GROUP BY 1, 2, d.t",
     "downbeat_gap_fill": f"""WITH {BT}, d AS (SELECT track_id, t, LEAD(t) OVER w - t AS gap, ROW_NUMBER() OVER w AS rn FROM db WHERE db_idx % 7 <> 3 WINDOW w AS (PARTITION BY track_id ORDER BY t)), x AS (SELECT *, CASE WHEN gap > 3.0 THEN CAST(round(gap / 2.0) - 1 AS INT) ELSE 0 END AS extra FROM d)
       SELECT track_id, round(t + CASE WHEN k > 0 THEN k * gap / (extra + 1) ELSE 0.0 END, 6) AS t, k > 0 AS added FROM x, range(0, 50) r(k) WHERE k <= extra UNION ALL SELECT track_id, 0.0, true FROM x WHERE rn = 1 AND t > 1.0""",
     "downbeats_without_beat": f"WITH {BT} SELECT track_id, db_idx, round(t, 6) AS t FROM db d WHERE NOT EXISTS (SELECT 1 FROM bt b WHERE b.track_id = d.track_id AND b.beat_idx % 8 <> 0 AND abs(b.t - d.t) < 0.15)",
     "barline_grid": f"WITH {TR}, {BARS} SELECT track_id, round(CAST(beat AS DOUBLE), 6) AS beat FROM tr, bl",
-    "subdivision_alignment": f"WITH {NE}, f AS (SELECT track_id, id, start_time / 0.5 - floor(start_time / 0.5) AS p FROM ne) SELECT track_id, id, round(least(abs(p), abs(p - 0.25), abs(p - 1.0 / 3), abs(p - 0.5), abs(p - 2.0 / 3), abs(p - 0.75), abs(p - 1)), 6) AS error FROM f",
+    "subdivision_alignment": f"WITH {NE}, f AS (SELECT track_id, id, start_time / 0.5 AS x FROM ne) SELECT track_id, id, round(least(abs(x * 8 - round(x * 8)) / 8, abs(x * 12 - round(x * 12)) / 12), 6) AS error FROM f",
     "sliding_tempo": f"WITH {NE}, w AS (SELECT track_id, start_time, CAST(floor(start_time / 2) AS BIGINT) - k AS w FROM ne, range(0, 4) r(k)) SELECT track_id, CAST(w * 2 AS DOUBLE) AS window_start, COUNT(*) AS n, round((MAX(start_time) - MIN(start_time)) / (COUNT(*) - 1), 6) AS mean_gap FROM w WHERE w >= 0 GROUP BY track_id, w HAVING COUNT(*) >= 5",
-    "meter_inference": f"""WITH {MS}, h AS (SELECT track_id, meter, numerator, denominator, bar, prior, CAST(round(start_time / 0.5) AS INT) % CAST(bar AS INT) AS ph, SUM(velocity / 127.0 * greatest(0.0, 1 - 2 * abs(start_time / 0.5 - round(start_time / 0.5)))) AS w FROM ne, mt GROUP BY ALL)
-      SELECT track_id, meter, numerator, denominator, round(CASE WHEN SUM(w) > 0 THEN MAX(w) * 1.35 / (SUM(w) / bar) ELSE 0 END * prior, 6) AS score FROM h GROUP BY track_id, meter, numerator, denominator, bar, prior""",
+    "meter_inference": f"WITH {MT} SELECT track_id, MIN(start_beat) AS start_beat, MAX(end_beat) AS end_beat, CAST(MIN(numerator) AS INT) AS numerator, CAST(MIN(denominator) AS INT) AS denominator, round(MAX(confidence), 6) AS confidence FROM mg_ GROUP BY track_id, grp",
     "meter_merge": f"WITH {TR}, {SIG} SELECT track_id, start_beat, end_beat, numerator, denominator, round(confidence, 6) AS confidence FROM tr, sig",
     "rhythm_confidence": f"WITH {TR}, {TS} SELECT track_id, round((0.9 + (0.8 + greatest(0.0, (SELECT 1 - avg(abs(bpm / 125.0 - 1)) FROM ts))) / 2) / 2, 6) AS confidence FROM tr",
     "note_to_beat_time": f"WITH {NE} SELECT track_id, id, round(start_time, 6) AS t, round({_to_beat('start_time')}, 6) AS beat FROM ne",
@@ -151,13 +199,19 @@ ORACLES: dict[str, str] = {
     "quantize_tempo_map": f"WITH {NE}, q_ AS (SELECT track_id, id, pitch, velocity, {_to_beat('start_time')} AS b0, greatest(0.0, {_to_beat('end_time')} - {_to_beat('start_time')}) AS d FROM ne), d_ AS (SELECT *, CAST(NULL AS DOUBLE) AS be, CAST('inf' AS DOUBLE) AS er FROM q_), {_fold_durations()} SELECT track_id, id, pitch, velocity, round({_snap_start('b0')}, 6) AS beat_start, round(greatest(0.25, coalesce(be, 0.25)), 6) AS beat_duration FROM d7",
     "quantize_aligned": f"""WITH {AL}, u AS (SELECT *, CAST(round(start_time * 1e6) AS BIGINT) AS us FROM aln),
       nx AS (SELECT a.*, (SELECT MIN(b.start_time) FROM u b WHERE b.track_id = a.track_id AND (b.start_time, b.id) > (a.start_time, a.id) AND (b.pitch <> a.pitch OR b.us >= a.us + 1001)) AS up FROM u a),
-      r AS (SELECT *, CASE WHEN up > start_time THEN up - start_time ELSE greatest(0.05, end_time - start_time) END / bd AS raw, CASE WHEN abs(ip - 0.5) < abs(ip) THEN CASE WHEN abs(ip - 1) < abs(ip - 0.5) THEN 1.0 ELSE 0.5 END ELSE CASE WHEN abs(ip - 1) < abs(ip) THEN 1.0 ELSE 0.0 END END AS best FROM nx),
-      g AS (SELECT *, greatest(best, 0.25)::DOUBLE AS grid, abs(ip - best) AS er FROM r)
-      SELECT track_id, id, pitch, velocity, round(CAST(bi + best AS DOUBLE), 6) AS beat_start, round(greatest(grid, round(raw / grid) * grid), 6) AS beat_duration, round(greatest(0.3, least(1.0, 1 - 2 * er)), 6) AS confidence, CAST(bar AS INT) AS bar_index, CAST(bi % 4 AS INT) AS beat_in_bar FROM g""",
+      y AS (SELECT *, CASE WHEN bar < 4 THEN 'Straight' WHEN bar < 8 THEN 'Swing' WHEN bar < 12 THEN 'Triplet' ELSE 'Straight' END AS sty FROM nx),
+      c1 AS (SELECT *, CASE WHEN up > start_time THEN up - start_time ELSE greatest(0.05, end_time - start_time) END / bd AS raw,
+        unnest(CASE sty WHEN 'Swing' THEN [0.0::DOUBLE, 2.0::DOUBLE / 3, 1.0] WHEN 'Triplet' THEN [0.0::DOUBLE, 1.0::DOUBLE / 3, 2.0::DOUBLE / 3, 1.0] ELSE [0.0::DOUBLE, 0.5, 1.0] END) AS best FROM y),
+      r AS (SELECT * FROM c1 QUALIFY ROW_NUMBER() OVER (PARTITION BY track_id, id ORDER BY abs(ip - best), best) = 1),
+      g AS (SELECT *, CASE WHEN sty = 'Triplet' THEN 1.0::DOUBLE / 3 ELSE greatest(best, 0.25)::DOUBLE END AS grid, abs(ip - best) AS er FROM r)
+      SELECT track_id, id, pitch, velocity, round(CAST(bi + best AS DOUBLE), 6) AS beat_start, round(greatest(grid, round(raw / grid) * grid), 6) AS beat_duration, round(greatest(0.3, least(1.0, 1 - 2 * er)), 6) AS confidence, CAST(bar AS INT) AS bar_index, CAST(bi % 4 AS INT) AS beat_in_bar, sty AS swing_style FROM g""",
     "barline_crossings": f"WITH {QC}, {BARS} SELECT track_id, id, round(CAST(beat AS DOUBLE), 6) AS beat FROM q JOIN bl ON beat > beat_start AND beat < beat_start + beat_duration",
-    "notes_with_ties": f"""WITH {QC}, {BARS}, mk AS (SELECT track_id, id, pitch, velocity, beat_start AS b FROM q UNION ALL SELECT track_id, id, pitch, velocity, beat FROM q JOIN bl ON beat > beat_start AND beat < beat_start + beat_duration),
-      pc AS (SELECT mk.*, LEAD(b) OVER w AS nb, ROW_NUMBER() OVER w - 1 AS k, COUNT(*) OVER (PARTITION BY track_id, id) AS n FROM mk WINDOW w AS (PARTITION BY track_id, id ORDER BY b))
-      SELECT pc.track_id, pc.id, CAST(k AS INT) AS seg_no, pc.pitch, pc.velocity, round(CAST(b AS DOUBLE), 6) AS beat_start, round(CAST(coalesce(nb, q.beat_start + q.beat_duration) - b AS DOUBLE), 6) AS beat_duration, k < n - 1 AS tie_start, k > 0 AS tie_stop FROM pc JOIN q USING (track_id, id)""",
+    "notes_with_ties": f"""WITH {NE}, {SIG}, w_ AS (SELECT track_id, id, pitch, velocity, {_snap_start('b0')} AS s0, {_snap_start('b1')} AS s1 FROM (SELECT *, {_to_beat('start_time')} AS b0, {_to_beat('end_time')} AS b1 FROM ne)),
+      bl AS (SELECT DISTINCT start_beat + k * 4.0 * numerator / denominator AS beat FROM sig, range(1, 100) r(k) WHERE start_beat + k * 4.0 * numerator / denominator < end_beat),
+      mk AS (SELECT track_id, id, pitch, velocity, s0, s1, s0 AS b FROM w_ UNION ALL SELECT track_id, id, pitch, velocity, s0, s1, beat FROM w_ JOIN bl ON beat > s0 AND beat < s1),
+      pc AS (SELECT *, coalesce(LEAD(b) OVER w, s1) AS nb, ROW_NUMBER() OVER w - 1 AS k, COUNT(*) OVER (PARTITION BY track_id, id) AS n FROM mk WINDOW w AS (PARTITION BY track_id, id ORDER BY b)),
+      t_ AS (SELECT track_id, id, pitch, velocity, b, k, n, greatest(0.25, nb - b) AS d, CAST(NULL AS DOUBLE) AS be, CAST('inf' AS DOUBLE) AS er FROM pc), {_fold_durations('t_', 'u')}
+      SELECT track_id, id, CAST(k AS INT) AS seg_no, pitch, velocity, round(CAST(b AS DOUBLE), 6) AS beat_start, round(greatest(0.25, coalesce(be, 0.25)), 6) AS beat_duration, k < n - 1 AS tie_start, k > 0 AS tie_stop FROM u7""",
     "grace_notes": f"WITH {NE}, g AS (SELECT *, LEAD(start_time) OVER w AS ns, LEAD(pitch) OVER w AS np FROM ne WINDOW w AS (PARTITION BY track_id ORDER BY start_time, id)) SELECT track_id, id, pitch, coalesce(end_time - start_time < 0.08 AND ns - start_time < 0.6 AND np <> pitch, false) AS is_grace FROM g",
     "articulation_nearest": f"""WITH {QC}, n AS (SELECT track_id, pitch, start_time, arg_min(end_time - start_time, id) AS len FROM ne GROUP BY 1, 2, 3),
       c AS (SELECT q.track_id, q.id, q.pitch, q.beat_duration, n.len, ROW_NUMBER() OVER (PARTITION BY q.track_id, q.id ORDER BY abs(n.start_time - q.beat_start * 0.5), n.start_time) AS rn FROM q JOIN n ON n.track_id = q.track_id AND n.pitch = q.pitch)
@@ -166,16 +220,22 @@ ORACLES: dict[str, str] = {
     "chord_symbol_lookup": f"WITH {CT} SELECT * FROM ct WHERE symbol IS NOT NULL",
     "chord_active_set": f"WITH {QC}, g AS (SELECT DISTINCT track_id, floor(beat_start) AS beat FROM q), {SND.format(grid='g')} SELECT track_id, beat, mask, bass, n_notes, round(held, 6) AS held, CAST(bit_count(mask) AS INT) AS n_pcs FROM snd",
     "chord_scan_step": f"WITH {QC}, {CT}, g AS (SELECT track_id, CAST(k AS DOUBLE) AS beat FROM (SELECT track_id, MAX(beat_start + beat_duration) AS e FROM q GROUP BY 1), range(0, 400) r(k) WHERE k <= floor(e)), {SND.format(grid='g')}, h AS (SELECT * FROM snd JOIN ct USING (mask, bass) WHERE bit_count(mask) >= 2) {_CHG.format(src='h')}",
-    "chord_scan_per_bar": f"""WITH {QC}, {CT}, g AS (SELECT track_id, k * 0.25::DOUBLE AS beat FROM (SELECT track_id, MAX(beat_start + beat_duration) AS e FROM q GROUP BY 1), range(0, 1600) r(k) WHERE k <= floor(e / 0.25)), {SND.format(grid='g')},
-      b AS (SELECT *, CAST(floor(beat / 2) AS INT) AS half, ROW_NUMBER() OVER (PARTITION BY track_id, floor(beat / 2) ORDER BY bit_count(mask) DESC, round(bit_count(mask) * 5 + held * 2 + n_notes, 6) DESC, beat) AS rn FROM snd WHERE bit_count(mask) >= 3),
-      p AS (SELECT track_id, CASE WHEN b.beat - half * 2.0::DOUBLE > 0.3 THEN b.beat ELSE half * 2.0::DOUBLE END AS beat, symbol FROM b JOIN ct USING (mask, bass) WHERE rn = 1) {_CHG.format(src='p')}""",
+    "onset_collect": f"""WITH RECURSIVE {NE}, k AS (SELECT track_id, MIN(start_time) AS t, 0 AS pos FROM ne WHERE start_time >= 0 GROUP BY 1
+      UNION ALL SELECT k.track_id, (SELECT MIN(ne.start_time) FROM ne WHERE ne.track_id = k.track_id AND ne.start_time - k.t > 0.005) AS t, k.pos + 1 FROM k WHERE k.t IS NOT NULL)
+      SELECT track_id, CAST(pos AS INT) AS pos, round(t, 6) AS t FROM k WHERE t IS NOT NULL""",
+    "bpm_autocorrelation": f"""WITH RECURSIVE {NE}, k AS (SELECT track_id, MIN(start_time) AS t FROM ne WHERE start_time >= 0 GROUP BY 1
+      UNION ALL SELECT k.track_id, (SELECT MIN(ne.start_time) FROM ne WHERE ne.track_id = k.track_id AND ne.start_time - k.t > 0.005) AS t FROM k WHERE k.t IS NOT NULL),
+      ob AS (SELECT track_id, CAST(round(t / 0.01) AS INT) AS b FROM k WHERE t IS NOT NULL), z AS (SELECT track_id, COUNT(*) AS n FROM ob GROUP BY 1 HAVING COUNT(*) >= 3),
+      c AS (SELECT a.track_id, a.b, a.m, lag, MIN(abs(x.b - a.b - lag)) AS d FROM (SELECT track_id, b, COUNT(*) AS m FROM ob GROUP BY 1, 2) a JOIN range(30, 151) r(lag) ON true JOIN (SELECT DISTINCT track_id, b FROM ob) x ON x.track_id = a.track_id AND abs(x.b - a.b - lag) <= 2 GROUP BY ALL),
+      s AS (SELECT track_id, lag, round(SUM(m * (1 - d / 3.0)), 6) AS score FROM c GROUP BY 1, 2), w AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY track_id ORDER BY score DESC, lag) AS rn FROM s)
+      SELECT w.track_id, CAST(lag AS INT) AS lag, CAST(score AS DOUBLE) AS score, round(60.0 / (lag * 0.01), 6) AS bpm, round(CAST(least(1.0, score / n) AS DOUBLE), 6) AS confidence FROM w JOIN z USING (track_id) WHERE rn = 1""",
     "stem_label_classify": """WITH l AS (SELECT p_partkey, p_type || ' ' || ['Drum kit', 'Bass', 'Lead Vocal', 'Guitar', 'Keys', 'misc'][p_partkey % 6 + 1] AS label FROM part),
       s AS (SELECT p_partkey, CASE WHEN lower(label) LIKE '%drum%' OR lower(label) LIKE '%percussion%' THEN 'drums' WHEN lower(label) LIKE '%bass%' THEN 'bass' WHEN lower(label) LIKE '%vocal%' OR lower(label) LIKE '%voice%' OR lower(label) LIKE '%singing%' THEN 'vocals'
         WHEN lower(label) LIKE '%guitar%' THEN 'guitar' WHEN lower(label) LIKE '%piano%' OR lower(label) LIKE '%keys%' THEN 'piano' WHEN lower(label) LIKE '%other%' OR lower(label) LIKE '%accompaniment%' THEN 'other' ELSE label END AS stem FROM l)
       SELECT p_partkey, stem, stem NOT IN ('drums', 'bass') AS melodic FROM s""",
     "clock_text": "WITH s AS (SELECT o_orderkey, o_orderkey % 20000 AS s FROM orders) SELECT o_orderkey, CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS clock, CAST(s AS DOUBLE) AS seconds FROM s",
     "midi_names": f"WITH {NE} SELECT DISTINCT pitch, ['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'][pitch % 12 + 1] || CAST(pitch // 12 - 1 AS VARCHAR) AS name, pitch % 12 IN (1, 3, 6, 8, 10) AS black, round(440 * power(2.0::DOUBLE, (pitch - 69) / 12.0), 6) AS hz FROM ne",
-    "xml_escape": "SELECT page_id, CAST(length(html) + 4 * (length(html) - length(replace(html, '&', ''))) + 3 * (length(html) - length(replace(html, '<', ''))) + 3 * (length(html) - length(replace(html, '>', ''))) + 5 * (length(html) - length(replace(html, '\"', ''))) + 5 * (length(html) - length(replace(html, '''', ''))) AS BIGINT) AS n_chars FROM pages",
+    "xml_escape": "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS escaped FROM pages",
     "resample_up": f"WITH {SG}, n AS (SELECT track_id, COUNT(*) AS n FROM sg GROUP BY 1), g AS (SELECT track_id, n, CAST(k AS BIGINT) AS i FROM n, range(0, 100000) r(k) WHERE k < 2 * n) SELECT g.track_id, g.i, round(a.x + (b.x - a.x) * (g.i % 2) / 2.0, 6) AS x FROM g JOIN sg a ON a.track_id = g.track_id AND a.i = g.i // 2 JOIN sg b ON b.track_id = g.track_id AND b.i = least(g.i // 2 + 1, n - 1)",
     "waveform_points": f"WITH {SG}, s AS (SELECT *, greatest(1, COUNT(*) OVER (PARTITION BY track_id) // 500) AS step FROM sg) SELECT track_id, i, round(i / 441.0::DOUBLE, 6) AS t, round(x, 6) AS amp FROM s WHERE i % step = 0",
     "waveform_peak_norm": f"WITH {SG}, s AS (SELECT *, greatest(1, COUNT(*) OVER (PARTITION BY track_id) // 500) AS step FROM sg), w AS (SELECT *, MAX(abs(x)) OVER (PARTITION BY track_id) AS pk FROM s WHERE i % step = 0) SELECT track_id, i, round(i / 441.0::DOUBLE * 1.5, 6) AS t, round(CASE WHEN pk > 0 THEN x / pk ELSE 0 END, 6) AS amp FROM w",
@@ -213,12 +273,13 @@ ORACLES: dict[str, str] = {
     "cache_validation": f"WITH {NFA} SELECT track_id, true AS ok, COUNT(*) AS frames FROM nfa GROUP BY 1",
     "loop_split": f"WITH {SG}, s AS (SELECT *, greatest(1, COUNT(*) OVER (PARTITION BY track_id) // 500) AS step FROM sg) SELECT track_id, CASE WHEN i / 441.0::DOUBLE < 1 THEN 'pre' WHEN i / 441.0::DOUBLE > 3 THEN 'post' ELSE 'mid' END AS part, COUNT(*) AS n FROM s WHERE i % step = 0 GROUP BY 1, 2",
     "note_at_beat": f"WITH {NE}, {BT}, h AS (SELECT bt.track_id, beat_idx, t, id, pitch, ROW_NUMBER() OVER (PARTITION BY bt.track_id, beat_idx ORDER BY start_time, id) AS rn FROM bt JOIN ne ON ne.track_id = bt.track_id AND start_time <= t AND t < end_time) SELECT track_id, beat_idx, round(t, 6) AS t, id, pitch FROM h WHERE rn = 1",
-    "cursor_offset": f"WITH {QC}, d AS (SELECT q.track_id, ne.start_time - q.beat_start * 0.5 AS d FROM q JOIN ne USING (track_id, id)) SELECT track_id, round(median(d), 6) AS offset, COUNT(*) AS n FROM d WHERE abs(d) <= 2 GROUP BY 1 HAVING COUNT(*) >= 4",
+    "cursor_offset": f"""WITH {NE}, q_ AS (SELECT track_id, id, {_snap_start('b')} AS b FROM (SELECT track_id, id, {_to_beat('start_time')} AS b FROM ne)), d AS (SELECT q_.track_id, ne.start_time - {_to_time('q_.b')} AS d FROM q_ JOIN ne USING (track_id, id)),
+      k AS (SELECT track_id, CASE WHEN abs(d) <= 2 THEN d END AS d FROM d) SELECT track_id, CASE WHEN COUNT(d) >= 4 THEN round(median(d), 6) ELSE 0.0 END AS offset, COUNT(d) AS n FROM k GROUP BY 1""",
     "mean_tempo": f"WITH {TR}, {TS} SELECT track_id, round((SELECT SUM(bpm * (e - s)) / SUM(e - s) FROM ts), 6) AS bpm FROM tr",
     "clef_by_measure": f"WITH {SPAN}, p AS (SELECT track_id, pitch, staff, CAST(m + 1 AS INT) AS measure FROM sp, range(0, 400) r(m) WHERE m >= start_tick // 1920 AND m <= (greatest(end_tick, start_tick + 1) - 1) // 1920) SELECT track_id, measure, staff, round(avg(pitch), 6) AS mean_pitch, CASE WHEN avg(pitch) < 46 THEN 'F' ELSE 'G' END AS clef FROM p GROUP BY 1, 2, 3",
     "energy_notes": f"""WITH {SG}, p AS (SELECT track_id, i // 32 AS h, SUM(x * x) AS e, COUNT(*) AS n FROM sg GROUP BY 1, 2), w AS (SELECT *, sqrt(SUM(e) OVER v / SUM(n) OVER v) AS rms FROM p WINDOW v AS (PARTITION BY track_id ORDER BY h ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)),
       o2 AS (SELECT *, h - ROW_NUMBER() OVER (PARTITION BY track_id ORDER BY h) AS run FROM w WHERE round(rms, 9) > 0.125), r AS (SELECT track_id, MIN(h) * (32 / 441.0::DOUBLE) AS a, (MAX(h) + 1) * (32 / 441.0::DOUBLE) AS z, MAX(rms) AS pk FROM o2 GROUP BY track_id, run)
       SELECT track_id, 60 AS pitch, round(a, 6) AS start_time, round(z, 6) AS end_time, CAST(greatest(1, least(127, round(pk * 127))) AS INT) AS velocity FROM r WHERE z - a > 0.05""",
     "adaptive_budget": "WITH s AS (SELECT o_orderkey, CAST(o_orderkey % 4000 AS DOUBLE) AS s FROM orders) SELECT o_orderkey, CAST(CASE WHEN s > 1800 THEN 3000 WHEN s > 300 THEN 3000 ELSE 6000 END AS INT) AS budget, round(greatest(0.8, least(300.0, 0.8 + s * (0.4 * 0.07 + 0.6 * 0.05) * 1.35)), 6) AS estimate, round(CASE WHEN s > 0.5 THEN CASE WHEN s > 3000 THEN 2850.0 ELSE s END ELSE 0 END, 6) AS resume, CAST(floor(s / 8) * 8 AS BIGINT) AS bucket FROM s",
-    "meter_classes": "WITH m AS (SELECT DISTINCT CAST(l_linenumber % 13 AS INT) AS numerator, CASE WHEN l_orderkey % 2 = 0 THEN 4 ELSE 8 END AS denominator FROM lineitem) SELECT numerator, denominator, CASE WHEN denominator = 8 AND numerator = 6 THEN 'CompoundDuple' WHEN denominator = 8 AND numerator = 12 THEN 'CompoundQuadruple' WHEN numerator = 2 THEN 'SimpleDuple' WHEN numerator = 3 THEN 'SimpleTriple' WHEN numerator = 4 THEN 'SimpleQuadruple' ELSE 'Other' END AS meter_class FROM m",
+    "meter_classes": "WITH m AS (SELECT DISTINCT CAST(l_linenumber % 13 AS INT) AS numerator, CASE WHEN l_orderkey % 2 = 0 THEN 4 ELSE 8 END AS denominator FROM lineitem) SELECT numerator, denominator, CASE numerator || '/' || denominator WHEN '2/4' THEN 'SimpleDuple' WHEN '3/4' THEN 'SimpleTriple' WHEN '4/4' THEN 'SimpleQuadruple' WHEN '6/8' THEN 'CompoundDuple' WHEN '12/8' THEN 'CompoundQuadruple' ELSE 'Other' END AS meter_class FROM m",
 }

@@ -18,17 +18,39 @@ def timing_class(pts: Column, clock: Column) -> Column:
     return F.when(F.abs(drift) > SEEK, "seek").when(drift < -LATE, "drop").when(drift <= EARLY, "show").otherwise("hold")
 
 
+def rebuild_steps(rows, held: float, last: int | None, delta: float, every_us: int):
+    """Event ids at which a rebuild is due among (us, event_id, size) in order, and the state after them."""
+    due = []
+    for us, event, size in rows:
+        held += size
+        if last is None or held >= delta or us - last >= every_us:
+            due.append(event)
+            held, last = 0.0, us
+    return due, held, last
+
+
 def rebuild_triggers(log: DataFrame, delta: float, every_us: int = 1_000_000) -> DataFrame:
-    """Chunks at which a waveform is rebuilt: delta new samples since the last rebuild, or a second. A fold by user."""
-    ordered = log.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("us", "event_id", "size"))).alias("xs"))
-    empty = F.struct(F.lit(0.0).alias("held"), F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("out"))
+    """Chunks at which a waveform is rebuilt: delta new samples since the last rebuild, or a second. One pass by user."""
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        rows = part.sort_values(["us", "event_id"])[["us", "event_id", "size"]].itertuples(index=False)
+        due, _, _ = rebuild_steps(rows, 0.0, None, delta, every_us)
+        return pd.DataFrame({"user_id": [part["user_id"].iloc[0]] * len(due), "event_id": due})
 
-    def step(acc, x):
-        held = acc["held"] + x["size"]
-        due = acc["last"].isNull() | (held >= delta) | (x["us"] - acc["last"] >= every_us)
-        return F.struct(F.when(due, 0.0).otherwise(held).alias("held"), F.when(due, x["us"]).otherwise(acc["last"]).alias("last"), F.when(due, F.concat(acc["out"], F.array(x["event_id"]))).otherwise(acc["out"]).alias("out"))
+    return log.select("user_id", "us", "event_id", "size").groupBy("user_id").applyInPandas(fold, "user_id bigint, event_id bigint")
+
+
+def rebuild_stream(stream: DataFrame, delta: float, every_us: int = 1_000_000) -> DataFrame:
+    """The same on a stream of (user_id, us, event_id, size): samples held and the last rebuild are the state of a user."""
+
+    def update(key, batches, state: GroupState):
+        held, last = state.get if state.exists else (0.0, None)
+        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])[["us", "event_id", "size"]].itertuples(index=False)
+        due, held, last = rebuild_steps(rows, held, last, delta, every_us)
+        state.update((float(held), None if last is None else int(last)))
+        yield pd.DataFrame({"user_id": [key[0]] * len(due), "event_id": due})
 
-    return ordered.select("user_id", F.explode(F.aggregate("xs", empty, step)["out"]).alias("event_id"))
+    return stream.groupBy("user_id").applyInPandasWithState(update, "user_id bigint, event_id bigint", "held double, last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def debounce(edits: DataFrame, gap: str = "120 milliseconds", watermark: str | None = None) -> DataFrame:

@@ -38,13 +38,17 @@ def test_bpm_of_a_metronome(spark):
 
 
 def test_chained_dedup_is_not_a_lag(spark):
-    row = spark.range(1).select(B.chain_dedup(F.array(*map(F.lit, (0.0, 0.004, 0.008, 0.012, 0.1))), 0.005).alias("k")).first()
-    assert row["k"] == [0.0, 0.008, 0.1]
+    assert B.chain_kept([0.0, 0.004, 0.008, 0.012, 0.1], 0.005) == [0.0, 0.008, 0.1] and B.chain_kept([0.0, 0.005], 0.005) == [0.0]
+    got = T.onset_lists(notes(spark, [(60, x, x + 1, 90) for x in (0.1, 0.0, 0.004, 0.008, 0.012)])).first()["onsets"]
+    assert got == [0.0, 0.008, 0.1]
 
 
 def test_tempo_change_gives_two_segments(spark):
     rows = [(64, i * 0.5, i * 0.5 + 0.1, 100) for i in range(16)] + [(67, 8 + i * 0.4, 8.1 + i * 0.4, 100) for i in range(16)]
-    assert T.tempo_segments(notes(spark, rows)).count() >= 1
+    found = T.tempo_segments(notes(spark, rows)).orderBy("seg_no").collect()
+    assert len(found) >= 2 and found[0]["start_time_sec"] == 0.0 and abs(found[-1]["end_time_sec"] - 14.1) < 1e-9
+    for a, b in zip(found, found[1:]):
+        assert a["end_time_sec"] == b["start_time_sec"] and b["beat_offset"] == pytest.approx(a["beat_offset"] + (a["end_time_sec"] - a["start_time_sec"]) / a["beat_duration_sec"])
 
 
 def test_time_to_beat_over_two_segments(spark):
@@ -64,16 +68,103 @@ def test_quantise_one_note(spark):
     assert (row["beat_start"], row["beat_duration"]) == (1.0, 1.0)
 
 
+def rhythm(spark, segments=((0, 0.0, 20.0, 120.0, 0.5, 0.0),), signatures=((0.0, 8.0, 4, 4, 1.0),)):
+    seg = spark.createDataFrame([(1, *s) for s in segments], "track_id bigint, seg_no int, start_time_sec double, end_time_sec double, bpm double, beat_duration_sec double, beat_offset double")
+    return seg, spark.createDataFrame([(1, *s) for s in signatures], "track_id bigint, start_beat double, end_beat double, numerator int, denominator int, confidence double")
+
+
 def test_ties_at_a_barline(spark):
-    q = Q.quantize_constant(notes(spark, [(60, 1.4, 2.6, 90), (62, 0.1, 0.4, 90)]), 120.0)
-    bars = spark.createDataFrame([(1, 0.0), (1, 4.0), (1, 8.0)], "track_id bigint, beat double")
-    pieces = Q.split_ties(q, bars).collect()
+    pieces = Q.tied_notes(notes(spark, [(60, 1.4, 2.6, 90), (62, 0.1, 0.4, 90)]), *rhythm(spark)).collect()
     long = sorted((p for p in pieces if p["pitch"] == 60), key=lambda p: p["seg_no"])
-    assert len(long) >= 2 and long[-1]["tie_stop"] and not long[-1]["tie_start"] and long[0]["tie_start"]
+    assert [(p["beat_start"], p["beat_duration"], p["tie_start"], p["tie_stop"]) for p in long] == [(2.75, 1.25, True, False), (4.0, 1.25, False, True)]
     short = [p for p in pieces if p["pitch"] == 62]
     assert len(short) == 1 and not short[0]["tie_start"] and not short[0]["tie_stop"]
 
 
+def test_barlines_do_not_lie_where_a_signature_begins(spark):
+    _, signatures = rhythm(spark, signatures=[(0.0, 8.0, 4, 4, 1.0), (8.0, 14.0, 3, 4, 1.0)])
+    assert sorted(r["beat"] for r in Q.barline_positions(signatures).collect()) == [4.0, 11.0]
+
+
+def test_compound_meter_has_thirds(spark):
+    segments, signatures = rhythm(spark, signatures=[(0.0, 8.0, 6, 8, 1.0)])
+    row = Q.quantize_tempo_map(notes(spark, [(60, 0.0, 0.165, 90)]), segments, signatures).first()
+    assert abs(row["beat_duration"] - 1 / 3) < 0.06
+    assert Q.quantize_tempo_map(notes(spark, [(60, 0.0, 0.165, 90)]), segments).first()["beat_duration"] == 0.25
+    late = Q.quantize_tempo_map(notes(spark, [(60, 5.0, 5.165, 90)]), segments, signatures).first()
+    assert late["beat_duration"] == 0.25  # no signature holds beat 10
+
+
+def test_notes_across_two_segments(spark):
+    segments, _ = rhythm(spark, segments=[(0, 0.0, 8.0, 120.0, 0.5, 0.0), (1, 8.0, 16.0, 150.0, 0.4, 16.0)])
+    assert Q.quantize_tempo_map(notes(spark, [(60, 7.9, 8.4, 90)]), segments).first()["beat_start"] >= 15.5
+
+
+def test_beat_to_time_keeps_to_the_first_segment_at_its_end(spark):
+    segments, _ = rhythm(spark, segments=[(0, 0.0, 8.0, 120.0, 0.5, 0.0), (1, 9.0, 16.0, 150.0, 0.4, 16.0)])
+    points = spark.createDataFrame([(1, b) for b in (-1.0, 0.0, 16.0, 16.5, 99.0)], "track_id bigint, beat double")
+    got = {r["beat"]: r["t"] for r in J.beat_to_time(points, segments).collect()}
+    assert got[0.0] == 0.0 and got[16.0] == 8.0 and got[16.5] == pytest.approx(9.2) and got[99.0] == 16.0
+
+
+def test_accents_of_three_give_a_meter_of_three(spark):
+    segments, _ = rhythm(spark, segments=[(0, 0.0, 18.0, 120.0, 0.5, 0.0)])
+    rows = notes(spark, [(60, i * 1.5, i * 1.5 + 0.2, 118) for i in range(12)])
+    found = T.infer_meter(rows, segments, least=4).collect()
+    assert [(r["numerator"], r["denominator"]) for r in found] in ([(3, 4)], [(6, 8)]) and found[0]["end_beat"] == 36.0
+    few = T.infer_meter(notes(spark, [(60, 0.0, 0.2, 118)]), segments).first()
+    assert (few["numerator"], few["denominator"], few["confidence"]) == (4, 4, 0.2)
+
+
+def test_meter_scores_equal_a_plain_loop(spark):
+    rng = random.Random(5)
+    rows = [(60, t := rng.random() * 30, t + 0.2, rng.randrange(1, 128)) for _ in range(60)]
+    segments, _ = rhythm(spark, segments=[(0, 0.0, 12.0, 120.0, 0.5, 0.0), (1, 12.0, 40.0, 100.0, 0.6, 24.0)])
+    got = {(r["seg_no"], r["numerator"], r["denominator"]): r["score"] for r in T.meter_scores(notes(spark, rows), segments).collect()}
+    for seg, a, z, beat in ((0, 0.0, 12.0, 0.5), (1, 12.0, 40.0, 0.6)):
+        for n, d, prior in ((2, 4, 0.92), (3, 4, 0.94), (4, 4, 1.0), (6, 8, 0.90), (12, 8, 0.86)):
+            h = [0.0] * n
+            for _, t, _, v in rows:
+                if a <= t < z:
+                    phase = (t - a) / beat % n
+                    k = int(np.floor(phase + 0.5)) % n
+                    h[k] += min(1, max(0.2, v / 127)) * min(1, max(0.15, 1 - 0.7 * abs(phase - k)))
+            best = max(h[r] * 1.35 - (sum(h) - h[r]) / (n - 1) + sum(h) / n for r in range(n)) / max(sum(h), 1)
+            assert got[seg, n, d] == pytest.approx(best + prior)
+
+
+def test_window_tempo_equals_the_relational_one(spark):
+    rng = random.Random(7)
+    for gap in (0.31, 0.5, 0.66, 0.9):
+        starts = [max(0.0, i * gap + rng.uniform(-0.02, 0.02)) for i in range(24)] + [3.3, 4.7]
+        row = T.resolve_octave(notes(spark, [(60, t, t + 0.1, 90) for t in starts])).first()
+        assert T.tempo_of(starts) == pytest.approx(row["bpm"])
+    assert T.tempo_of([0.0, 1.0]) is None
+
+
+def test_subdivisions_reach_twelfths(spark):
+    row = spark.range(1).select(*(T.subdivision_error(F.lit(x), F.lit(1.0)).alias(f"e{i}") for i, x in enumerate((1.125, 5 / 12, 0.0625, 2.0)))).first()
+    assert [round(x, 9) for x in row] == [0.0, 0.0, round(1 / 12 - 1 / 16, 9), 0.0]
+
+
+def test_joins_in_time_carry_a_bucket(spark):
+    beats = spark.createDataFrame([(1, 0, 0.0)], "track_id bigint, beat_idx int, t double")
+    plan = B.bar_counts(beats, beats.withColumnRenamed("beat_idx", "db_idx"))._jdf.queryExecution().executedPlan().toString()
+    assert "__b" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    segments, _ = rhythm(spark)
+    plan = J.segment_at_time(beats, segments, "t")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and plan.count("Join") <= 1
+
+
+def test_styles_by_bar(spark):
+    aligned = spark.createDataFrame([(1, i, 60 + i, i * 0.5, i * 0.5 + 0.1, 90, i, i // 2, pos, 0.5) for i, pos in enumerate((0.65, 0.0, 0.65, 0.3))], NOTE + ", beat_index int, bar_index int, intra_beat_pos double, beat_duration_sec double")
+    sections = spark.createDataFrame([(1, 0, 1, "Swing"), (1, 1, 2, "Straight")], "track_id bigint, bar_start int, bar_end int, style string")
+    got = {r["id"]: (round(r["beat_start"], 3), r["swing_style"]) for r in Q.quantize_aligned(aligned, sections).collect()}
+    assert got == {0: (0.667, "Swing"), 1: (1.0, "Swing"), 2: (2.5, "Straight"), 3: (3.5, "Straight")}
+    many = spark.createDataFrame([(1, 0, 4, "Swing"), (1, 4, 12, "Straight"), (2, 0, 4, "Swing")], "track_id bigint, bar_start int, bar_end int, style string")
+    assert {r["track_id"]: r["style"] for r in Q.majority_sections(many).collect()} == {1: "Straight", 2: "Swing"}
+
+
 def test_association(spark):
     beats = spark.createDataFrame([(1, i, i * 0.5) for i in range(5)], "track_id bigint, beat_idx int, t double")
     downs = spark.createDataFrame([(1, 0, 0.0), (1, 1, 2.0)], "track_id bigint, db_idx int, t double")
@@ -115,6 +206,46 @@ def test_two_chords(spark):
     assert [r["symbol"] for r in C.chords_per_bar(q).orderBy("beat").collect()][0] == "C"
 
 
+@pytest.mark.parametrize("root,bass,want", [("A", 1, "C#"), ("C", 3, "Eb"), ("D", 6, "F#"), ("E", 8, "G#"), ("Bb", 2, "D"), ("Gb", 10, "Bb"), ("Ab", 11, "B"), ("Db", 5, "F"), ("B", 3, "D#")])
+def test_bass_is_spelled_by_its_interval(root, bass, want):
+    assert C.bass_name(C.FLATS.index(root), bass) == want
+
+
+def test_where_chords_of_a_bar_lie():
+    choose = lambda *bars: C.bar_choices(list(bars), 4.0)
+    assert choose((0, (1.75, 3, "C"), None, None)) == [(0.0, "C")]  # near the half bar: at the beginning
+    assert choose((0, (1.0, 3, "C"), None, None)) == [(1.0, "C")]  # off both
+    assert choose((1, (4.0, 3, "C"), (6.25, 3, "G"), None)) == [(4.0, "C"), (6.0, "G")]
+    assert choose((0, (0.5, 2, "C5"), None, (2, "C5"))) == [(0.0, "C5")]  # two classes count on the downbeat alone
+    assert choose((0, (0.0, 3, "C"), None, None), (1, (4.0, 3, "C"), None, (2, "C5")), (2, (8.0, 3, "C"), None, None)) == [(0.0, "C"), (4.0, "C5"), (8.0, "C")]
+
+
+def test_chords_per_bar_equal_a_plain_scan(spark):
+    rng = random.Random(9)
+    rows = [(1, i, rng.randrange(48, 72), rng.randrange(60) * 0.25, rng.choice([0.25, 0.5, 1.0, 2.0])) for i in range(90)]
+    q = spark.createDataFrame(rows, "track_id bigint, id int, pitch int, beat_start double, beat_duration double")
+    names = {(r["mask"], r["bass"]): r["symbol"] for r in C.chord_table(spark).collect()}
+
+    def heard(at):
+        on = [(p, d) for _, _, p, s, d in rows if s - 1e-5 <= at < s + d]
+        pcs = {p % 12 for p, _ in on}
+        return (len(pcs), round(len(pcs) * 5 + sum(d for _, d in on) * 2 + len(on), 6), names.get((sum(1 << p for p in pcs), min(p for p, _ in on) % 12))) if on else None
+
+    bars = []
+    for bar in range(int(max(s + d for *_, s, d in rows) // 4) + 1):
+        halves = []
+        for start in (bar * 4.0, bar * 4.0 + 2):
+            best = None
+            for k in range(8):
+                h = heard(start + k * 0.25)
+                if h and (best is None or h[:2] > best[1]):
+                    best = (start + k * 0.25, h[:2], h[2])
+            halves.append(best and (best[0], best[1][0], best[2]))
+        down = heard(bar * 4.0)
+        bars.append((bar, *halves, down and (down[0], down[2])))
+    assert [(r["beat"], r["symbol"]) for r in C.chords_per_bar(q).orderBy("beat").collect()] == C.bar_choices(bars, 4.0)
+
+
 def test_merge_equals_plain_python(spark):
     rng = random.Random(2)
     rows = [(rng.randrange(60, 63), s := rng.random() * 10, s + rng.random(), 90) for _ in range(200)]
