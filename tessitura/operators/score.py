@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quantize import snap_duration
+from .timejoin import interval_join
 
 TICKS = 480
 # Notated lengths in ticks, longest first, with type and dots.
@@ -25,27 +26,42 @@ def note_spans(quantised: DataFrame, split: int = 60) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
-def measure_boundaries(signatures: DataFrame, until: DataFrame, tail: int = 4) -> DataFrame:
-    """Measures (track_id, measure, start_tick, end_tick) of numerator quarters each, through the signatures and after them.
-
-    until: (track_id, end_tick), where the last note ends."""
-    width = F.col("numerator") * TICKS
-    s, e = F.round(F.col("start_beat") * TICKS).cast("bigint"), F.col("stop")
-    bounded = signatures.join(until, "track_id").withColumn("stop", F.least(F.round(F.col("end_beat") * TICKS).cast("bigint"), F.col("end_tick")))
-    n = F.ceil((e - s) / width).cast("int")
-    inside = bounded.withColumn("s", s).withColumn("n", n).withColumn("w", width).where("n > 0").select("track_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"), "s", "w", "stop").select("track_id", (F.col("s") + F.col("k") * F.col("w")).alias("start_tick"), F.least(F.col("s") + (F.col("k") + 1) * F.col("w"), F.greatest("stop", F.col("s") + (F.col("k") + 1) * F.col("w"))).alias("end_tick"))
-    w = Window.partitionBy("track_id").orderBy("start_tick")
-    return inside.withColumn("measure", F.row_number().over(w).cast("int")).select("track_id", "measure", "start_tick", "end_tick")
-
-
-def split_into_measures(spans: DataFrame, signatures_or_width: int = 4) -> DataFrame:
-    """Pieces of notes by measure, with tie flags. With one width, a piece's measures are computed, not joined."""
-    width = signatures_or_width * TICKS
-    first, last = F.floor(F.col("start_tick") / width), F.floor((F.greatest(F.col("end_tick"), F.col("start_tick") + 1) - 1) / width)
-    rows = spans.withColumn("first", first).withColumn("last", last).withColumn("m", F.explode(F.sequence(F.col("first"), F.col("last"))))
-    return rows.select(
-        "track_id", "id", "pitch", "staff", (F.col("m") + 1).cast("int").alias("measure"), F.greatest(F.col("start_tick"), F.col("m") * width).cast("int").alias("start_tick"),
-        F.least(F.col("end_tick"), (F.col("m") + 1) * width).cast("int").alias("end_tick"), (F.col("m") < F.col("last")).alias("tie_start"), (F.col("m") > F.col("first")).alias("tie_stop"),
+def measure_boundaries(signatures: DataFrame, until: DataFrame) -> DataFrame:
+    """Measures (track_id, measure, start_tick, end_tick, numerator, denominator) up to where the last note ends.
+
+    Each signature's stretch, up to the next or its own end, holds measures of numerator quarters, the last perhaps short; after
+    the last signature its measures go on. until: (track_id, end_tick)."""
+    w = Window.partitionBy("track_id").orderBy("start_beat")
+    tick = lambda c: F.round(F.col(c) * TICKS).cast("bigint")
+    rows = signatures.join(until.select("track_id", F.col("end_tick").cast("bigint").alias("stop")), "track_id").withColumn("width", F.greatest(F.lit(1), F.col("numerator")).cast("bigint") * TICKS)
+    rows = rows.withColumn("s", tick("start_beat")).withColumn("e", F.least(F.coalesce(F.lead(tick("start_beat")).over(w), tick("end_beat")), F.col("stop")))
+    last = rows.groupBy("track_id").agg(F.max_by(F.struct("width", "numerator", "denominator", "stop", "e"), "s").alias("x")).select("track_id", F.col("x.e").alias("s"), F.col("x.stop").alias("e"), "x.width", "x.numerator", "x.denominator")
+    every = rows.select("track_id", "s", "e", "width", "numerator", "denominator").unionByName(last).where("e > s")
+    cut = every.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("e") - F.col("s") - 1) / F.col("width")))))
+    found = cut.select("track_id", (F.col("s") + F.col("k") * F.col("width")).alias("start_tick"), F.least(F.col("s") + (F.col("k") + 1) * F.col("width"), F.col("e")).alias("end_tick"), "numerator", "denominator")
+    return found.withColumn("measure", F.row_number().over(Window.partitionBy("track_id").orderBy("start_tick")).cast("int")).select("track_id", "measure", "start_tick", "end_tick", "numerator", "denominator")
+
+
+def equal_measures(spans: DataFrame, beats: int = 4) -> DataFrame:
+    """Measures of so many quarters up to the last note's end, for tracks without signatures."""
+    ends = spans.groupBy("track_id").agg(F.max("end_tick").alias("e"))
+    m = ends.select("track_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.greatest(F.col("e"), F.lit(1)) - 1) / (beats * TICKS)))).alias("m"))
+    return m.select("track_id", (F.col("m") + 1).cast("int").alias("measure"), (F.col("m") * beats * TICKS).cast("bigint").alias("start_tick"), ((F.col("m") + 1) * beats * TICKS).cast("bigint").alias("end_tick"), F.lit(beats).alias("numerator"), F.lit(4).alias("denominator"))
+
+
+def split_into_measures(spans: DataFrame, boundaries: DataFrame | None = None, bucket: int = 4 * TICKS) -> DataFrame:
+    """Pieces of notes by measure, with tie flags. boundaries: as of measure_boundaries(), or none for measures of four quarters.
+
+    Notes and measures are laid out over buckets of ticks and meet by track and bucket; a pair counts in the first they share."""
+    if boundaries is None:
+        boundaries = equal_measures(spans)
+    lay = lambda a, z: F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor((F.greatest(F.col(z), F.col(a) + 1) - 1) / bucket)))
+    n = spans.withColumn("stop", F.greatest(F.col("end_tick"), F.col("start_tick") + 1)).withColumn("b", lay("start_tick", "stop"))
+    m = boundaries.select(F.col("track_id"), F.col("measure"), F.col("start_tick").alias("m_start"), F.col("end_tick").alias("m_end")).withColumn("b", lay("m_start", "m_end"))
+    met = n.join(m, ["track_id", "b"]).where("start_tick < m_end and m_start < stop").where(F.col("b") == F.floor(F.greatest("start_tick", "m_start") / bucket))
+    return met.select(
+        "track_id", "id", "pitch", "staff", "measure", F.greatest("start_tick", "m_start").cast("int").alias("start_tick"), F.least("end_tick", "m_end").cast("int").alias("end_tick"),
+        (F.col("stop") > F.col("m_end")).alias("tie_start"), (F.col("start_tick") < F.col("m_start")).alias("tie_stop"),
     )
 
 
@@ -70,92 +86,164 @@ def _block(measures: int = 32):
     return F.floor((F.col("measure") - 1) / measures).alias("block")
 
 
+def _voice_of(rows: pd.DataFrame) -> pd.DataFrame:
+    """rows in order, with voice: within a measure and staff the lowest voice that has ended."""
+    rows = rows.sort_values(["measure", "staff", "start_tick", "pitch", "id"])
+    ends: dict[tuple, list[int]] = {}
+    out = []
+    for m, staff, s, e in zip(rows["measure"], rows["staff"], rows["start_tick"], rows["end_tick"], strict=True):
+        held = ends.setdefault((m, staff), [])
+        v = next((i for i, x in enumerate(held) if x <= s), len(held))
+        held[v : v + 1] = [e]
+        out.append(v + 1)
+    return rows.assign(voice=pd.Series(out, index=rows.index, dtype="int32"))
+
+
 def voices(pieces: DataFrame) -> DataFrame:
     """Adds voice: within a measure and staff, in order of start and pitch, the lowest voice that has ended."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", voice int"
+    return pieces.groupBy("track_id", _block()).applyInPandas(lambda rows: _voice_of(rows), schema)
 
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["measure", "staff", "start_tick", "pitch", "id"])
-        ends: dict[tuple, list[int]] = {}
-        out = []
-        for m, staff, s, e in zip(rows["measure"], rows["staff"], rows["start_tick"], rows["end_tick"], strict=True):
-            held = ends.setdefault((m, staff), [])
-            v = next((i for i, x in enumerate(held) if x <= s), len(held))
-            held[v : v + 1] = [e]
-            out.append(v + 1)
-        return rows.assign(voice=pd.Series(out, index=rows.index, dtype="int32"))
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", voice int"
-    return pieces.groupBy("track_id", _block()).applyInPandas(lambda rows: assign(rows), schema)
+def _tokens(ticks: int) -> list[tuple[int, str, int]]:
+    """Notated values of a length; what is under a sixteenth goes to the last of them."""
+    found = length_tokens(ticks) or [(ticks, "16th", 0)]
+    rest = ticks - sum(v for v, _, _ in found)
+    return [*found[:-1], (found[-1][0] + rest, *found[-1][1:])]
 
 
-def _note_xml(pitch: int, ticks: int, voice: int, staff: int, chord: bool, stop: bool, start: bool) -> str:
+def _note_xml(note: tuple, value: tuple[int, str, int], tick: int, voice: int, chord: bool, stop: bool, start: bool, beam: str | None) -> str:
+    """A note element; note is (id, pitch, staff, articulation)."""
+    number, pitch, staff, articulation = note
     step, alter = [("C", 0), ("C", 1), ("D", 0), ("D", 1), ("E", 0), ("F", 0), ("F", 1), ("G", 0), ("G", 1), ("A", 0), ("A", 1), ("B", 0)][pitch % 12]
-    kind = next((x for x in LENGTHS if x[0] <= ticks), LENGTHS[-1])
-    ties = "".join(f'<tie type="{k}"/>' for k, on in (("stop", stop), ("start", start)) if on)
-    tied = "".join(f'<tied type="{k}"/>' for k, on in (("stop", stop), ("start", start)) if on)
+    ticks, kind, dots = value
+    sides = [k for k, on in (("stop", stop), ("start", start)) if on]
+    marks = "".join(f'<tied type="{k}"/>' for k in sides) + (f"<articulations><{articulation.lower()}/></articulations>" if articulation in ("Staccato", "Tenuto") else "")
     return (
-        f"<note>{'<chord/>' if chord else ''}<pitch><step>{step}</step>{f'<alter>{alter}</alter>' if alter else ''}<octave>{pitch // 12 - 1}</octave></pitch><duration>{ticks}</duration>{ties}"
-        f"<voice>{voice}</voice><type>{kind[1]}</type>{'<dot/>' * kind[2]}<staff>{staff}</staff>{f'<notations>{tied}</notations>' if tied else ''}</note>"
+        f"<note id=\"n{number}_{pitch}_{tick}_{ticks}\">{'<chord/>' if chord else ''}<pitch><step>{step}</step>{f'<alter>{alter}</alter>' if alter else ''}<octave>{pitch // 12 - 1}</octave></pitch><duration>{ticks}</duration>"
+        + "".join(f'<tie type="{k}"/>' for k in sides)
+        + f"<voice>{voice}</voice><type>{kind}</type>{'<dot/>' * dots}<staff>{staff}</staff>"
+        + (f'<beam number="1">{beam}</beam>' if beam else "") + (f"<notations>{marks}</notations>" if marks else "") + "</note>"
     )
 
 
-def measure_xml(number: int, notes: list[tuple], width: int, first: bool, beats: int, bpm: float | None, harmony: list[tuple[str, str, str]]) -> str:
-    """One measure of (staff, voice, start, pitch, end, stop, start flag) in order: attributes and tempo in the first, chord
-    symbols, then each voice of both staves with backups."""
+def _rest_xml(ticks: int, staff: int, voice: int) -> str:
+    return "".join(f"<note><rest/><duration>{v}</duration><voice>{voice}</voice><type>{kind}</type>{'<dot/>' * dots}<staff>{staff}</staff></note>" for v, kind, dots in _tokens(ticks))
+
+
+def beams_of(lengths: list[int]) -> list[str | None]:
+    """begin, continue and end for runs of two and more groups of at most an eighth."""
+    out: list[str | None] = [None] * len(lengths)
+    for short, run in groupby(range(len(lengths)), key=lambda i: lengths[i] <= TICKS // 2):
+        if short and len(run := list(run)) > 1:
+            out[run[0]], out[run[-1]] = "begin", "end"
+            for i in run[1:-1]:
+                out[i] = "continue"
+    return out
+
+
+def voice_xml(notes: list[tuple], begin: int, width: int, staff: int, voice: int) -> str:
+    """One voice of a measure: groups of equal start as chords, rests of an eighth and more, and skips below that.
+
+    notes: (start, pitch, end, stop, start flag, id, articulation) in order. A group that begins before the last has ended is
+    moved to its end; a note keeps its own length, cut at the barline."""
+    groups = [list(g) for _, g in groupby(notes, key=lambda n: n[0])]
+    out, cursor = [], 0
+
+    def pause(ticks: int) -> None:
+        if ticks > 0:
+            out.append(_rest_xml(ticks, staff, voice) if ticks >= TICKS // 2 else f"<forward><duration>{ticks}</duration></forward>")
+
+    for group, beam in zip(groups, beams_of([max(n[2] - n[0] for n in g) for g in groups]), strict=True):
+        at = max(cursor, group[0][0] - begin)
+        pause(min(at, width) - cursor)
+        cursor = min(at, width)
+        if cursor >= width:
+            break
+        longest = min(max(n[2] - n[0] for n in group), width - cursor)
+        for i, (start, pitch, end, stop, tie, number, articulation) in enumerate(group):
+            tick, values = start, _tokens(min(end - start, longest))
+            for j, value in enumerate(values):
+                out.append(_note_xml((number, pitch, staff, articulation), value, tick, voice, i > 0, stop or j > 0, tie or j + 1 < len(values), beam if i == j == 0 else None))
+                tick += value[0]
+        cursor += longest
+    pause(width - cursor)
+    return "".join(out)
+
+
+def measure_xml(number: int, notes: list[tuple], begin: int, width: int, first: bool, meter: tuple[int, int] | None, bpm: float | None, swing: str | None, harmony: list[tuple[int, str, str, str]]) -> str:
+    """One measure: attributes where they begin or change, swing words, the tempo in the first, chord symbols, then each voice of both
+    staves with backups. notes: (staff, voice, start, pitch, end, stop, start flag, id, articulation) in order; meter: where new."""
     out = [f'<measure number="{number}">']
+    time = f"<time><beats>{meter[0]}</beats><beat-type>{meter[1]}</beat-type></time>" if meter else ""
     if first:
-        out.append(f'<attributes><divisions>{TICKS}</divisions><time><beats>{beats}</beats><beat-type>4</beat-type></time><staves>2</staves><clef number="1"><sign>G</sign><line>2</line></clef><clef number="2"><sign>F</sign><line>4</line></clef></attributes>')
-        if bpm:
-            out.append(f'<direction><sound tempo="{bpm:.2f}"/></direction>')
-    for step, alter, kind in harmony:
-        out.append(f"<harmony><root><root-step>{step}</root-step>{f'<root-alter>{alter}</root-alter>' if alter != '0' else ''}</root><kind>{kind}</kind></harmony>")
-    base = (number - 1) * width
-    for k, ((staff, voice), part) in enumerate(groupby(notes, key=lambda n: n[:2])):
+        out.append(f'<attributes><divisions>{TICKS}</divisions>{time}<staves>2</staves><clef number="1"><sign>G</sign><line>2</line></clef><clef number="2"><sign>F</sign><line>4</line></clef></attributes>')
+    elif time:
+        out.append(f"<attributes>{time}</attributes>")
+    if swing:
+        out.append(f'<direction placement="above"><direction-type><words>{swing}</words></direction-type></direction>')
+    if first and bpm:
+        out.append(f'<direction placement="above"><direction-type><metronome><beat-unit>quarter</beat-unit><per-minute>{bpm:.2f}</per-minute></metronome></direction-type><sound tempo="{bpm:.2f}"/></direction>')
+    for offset, step, alter, kind in harmony:
+        out.append(f"<harmony><root><root-step>{step}</root-step>{f'<root-alter>{alter}</root-alter>' if alter != '0' else ''}</root><kind>{kind}</kind>{f'<offset>{offset}</offset>' if offset > 0 else ''}</harmony>")
+    parts = [(staff, voice, [n[2:] for n in part]) for (staff, voice), part in groupby(notes, key=lambda n: n[:2])]
+    for k, (staff, voice, part) in enumerate(parts):
         if k:
             out.append(f"<backup><duration>{width}</duration></backup>")
-        cursor = 0
-        for start, chord in groupby(part, key=lambda n: n[2]):
-            chord = list(chord)
-            at, length = start - base, max(n[4] for n in chord) - start
-            if at > cursor:
-                out.append(f"<forward><duration>{at - cursor}</duration></forward>")
-            out += [_note_xml(n[3], length, voice, staff, i > 0, n[5], n[6]) for i, n in enumerate(chord)]
-            cursor = at + length
-        if cursor < width:
-            out.append(f"<forward><duration>{width - cursor}</duration></forward>")
+        out.append(voice_xml(part, begin, width, staff, voice))
+    if not parts:
+        out.append(_rest_xml(width, 1, 1))
     out.append("</measure>")
     return "".join(out)
 
 
-def musicxml(quantised: DataFrame, chords: DataFrame | None = None, bpm: float | None = None, beats: int = 4) -> DataFrame:
-    """(track_id, xml): measures are written in blocks and joined in order by an aggregate."""
+def musicxml(quantised: DataFrame, chords: DataFrame | None = None, bpm: float | None = None, signatures: DataFrame | None = None, sections: DataFrame | None = None, articulations: DataFrame | None = None) -> DataFrame:
+    """(track_id, xml): notes and measures meet in blocks of 32 measures, and the measures are joined in order by an aggregate.
+
+    signatures: meters by beat (else 4/4); sections: (track_id, bar_start, bar_end, style); articulations: (track_id, id, articulation)."""
     from ..functions.text import chord_kind, parse_chord
 
-    width = beats * TICKS
-    pieces = voices(split_into_measures(note_spans(quantised), beats))
-    first = Window.partitionBy("track_id")
-    rows = pieces.withColumn("first_measure", F.min("measure").over(first))
+    spans = note_spans(quantised)
+    bars = equal_measures(spans) if signatures is None else measure_boundaries(signatures, spans.groupBy("track_id").agg(F.max("end_tick").alias("end_tick")))
+    pieces = split_into_measures(spans, bars)
+    marked = pieces.withColumn("articulation", F.lit("Normal")) if articulations is None else pieces.join(articulations.select("track_id", "id", "articulation"), ["track_id", "id"], "left").fillna("Normal", ["articulation"])
+    w = Window.partitionBy("track_id").orderBy("measure")
+    same = (F.lag("numerator").over(w) == F.col("numerator")) & (F.lag("denominator").over(w) == F.col("denominator"))
+    rows = bars.withColumn("new_meter", ~F.coalesce(same, F.lit(False)))
+    if sections is not None:
+        held = interval_join(rows.select("track_id", "measure", (F.col("measure") - 1).alias("bar")), sections.select("track_id", "bar_start", "bar_end", "style"), "bar", "bar_start", "bar_end", 4.0)
+        rows = rows.join(held.groupBy("track_id", "measure").agg(F.first("style").alias("style")), ["track_id", "measure"], "left")
+    else:
+        rows = rows.withColumn("style", F.lit(None).cast("string"))
+    before = F.coalesce(F.lag("style").over(w), F.lit("Straight"))
+    words = F.when(F.col("style") == "Swing", "Swing").when(F.col("style") == "Triplet", "Triplet feel").when(F.col("style") == "Straight", "Straight")
+    rows = rows.withColumn("swing", F.when(F.col("style") != before, words)).drop("style")
+    shape = "array<struct<offset:int,step:string,alter:string,kind:string>>"
     if chords is not None:
-        c = chords.withColumn("p", parse_chord(F.col("symbol")))
+        c = chords.withColumn("p", parse_chord(F.col("symbol"))).withColumn("tick", F.round(F.col("beat") * TICKS).cast("int"))
         steps = F.array(*(F.lit(x) for x in ("C 0", "D -1", "D 0", "E -1", "E 0", "F 0", "G -1", "G 0", "A -1", "A 0", "B -1", "B 0")))
         name = F.element_at(steps, F.col("p.root") + 1)
-        entry = F.struct(F.round(F.col("beat") * TICKS).cast("int").alias("tick"), F.split_part(name, F.lit(" "), F.lit(1)).alias("step"), F.split_part(name, F.lit(" "), F.lit(2)).alias("alter"), chord_kind(F.col("p.suffix")).alias("kind"))
-        by = c.groupBy("track_id", (F.floor(F.col("beat") / beats) + 1).cast("int").alias("measure")).agg(F.array_sort(F.collect_list(entry)).alias("harmony"))
-        rows = rows.join(by, ["track_id", "measure"], "left")
+        placed = interval_join(c, bars.select("track_id", "measure", F.col("start_tick").alias("a"), F.col("end_tick").alias("z")), "tick", "a", "z", 4.0 * TICKS)
+        entry = F.struct((F.col("tick") - F.col("a")).cast("int").alias("offset"), F.split_part(name, F.lit(" "), F.lit(1)).alias("step"), F.split_part(name, F.lit(" "), F.lit(2)).alias("alter"), chord_kind(F.col("p.suffix")).alias("kind"))
+        rows = rows.join(placed.groupBy("track_id", "measure").agg(F.array_sort(F.collect_list(entry)).alias("harmony")), ["track_id", "measure"], "left")
     else:
-        rows = rows.withColumn("harmony", F.lit(None).cast("array<struct<tick:int,step:string,alter:string,kind:string>>"))
-
-    def write(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["measure", "staff", "voice", "start_tick", "pitch", "id"])
-        marks = {int(m): [(x["step"], x["alter"], x["kind"]) for x in h] for m, h in zip(part["measure"], part["harmony"], strict=True) if h is not None}
-        start = int(part["first_measure"].iloc[0])
-        notes = zip(*(part[c].tolist() for c in ("measure", "staff", "voice", "start_tick", "pitch", "end_tick", "tie_stop", "tie_start")), strict=True)
-        rows = []
-        for number, group in groupby(notes, key=lambda n: n[0]):
-            rows.append((part["track_id"].iloc[0], number, measure_xml(number, [n[1:] for n in group], width, number == start, beats, bpm, marks.get(number, []))))
-        return pd.DataFrame(rows, columns=["track_id", "measure", "xml"])
-
-    measures = rows.groupBy("track_id", _block()).applyInPandas(lambda part: write(part), "track_id bigint, measure int, xml string")
+        rows = rows.withColumn("harmony", F.lit(None).cast(shape))
+
+    def write(notes: pd.DataFrame, bars: pd.DataFrame) -> pd.DataFrame:
+        of: dict[int, list[tuple]] = {}
+        if len(notes):
+            notes = _voice_of(notes).sort_values(["measure", "staff", "voice", "start_tick", "pitch", "id"])
+            for m, *n in zip(*(notes[c].tolist() for c in ("measure", "staff", "voice", "start_tick", "pitch", "end_tick", "tie_stop", "tie_start", "id", "articulation")), strict=True):
+                of.setdefault(m, []).append(tuple(n))
+        out = []
+        for b in bars.sort_values("measure").itertuples(index=False):
+            harmony = [] if b.harmony is None else [(x["offset"], x["step"], x["alter"], x["kind"]) for x in b.harmony]
+            meter = (b.numerator, b.denominator) if b.new_meter else None
+            out.append((b.track_id, b.measure, measure_xml(b.measure, of.get(b.measure, []), b.start_tick, b.end_tick - b.start_tick, b.measure == 1, meter, bpm, b.swing, harmony)))
+        return pd.DataFrame(out, columns=["track_id", "measure", "xml"])
+
+    left, right = (d.withColumn("block", _block()).selectExpr(*(f"{c} as {c}" for c in (*d.columns, "block"))) for d in (marked, rows))  # columns of their own
+    measures = left.groupBy("track_id", "block").cogroup(right.groupBy("track_id", "block")).applyInPandas(lambda n, b: write(n, b), "track_id bigint, measure int, xml string")
     head = '<?xml version="1.0" encoding="UTF-8"?><score-partwise version="3.1"><part-list><score-part id="P1"><part-name>Score</part-name></score-part></part-list><part id="P1">'
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("measure", "xml"))), lambda m: m["xml"]), "")
     return measures.groupBy("track_id").agg(F.concat(F.lit(head), body, F.lit("</part></score-partwise>")).alias("xml"))

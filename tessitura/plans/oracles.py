@@ -260,8 +260,9 @@ ORACLES: dict[str, str] = {
     "note_spans": f"WITH {SPAN} SELECT * FROM sp",
     "spans_to_measures": f"""WITH {SPAN} SELECT track_id, id, pitch, staff, CAST(m + 1 AS INT) AS measure, CAST(greatest(start_tick, m * 1920) AS INT) AS start_tick, CAST(least(end_tick, (m + 1) * 1920) AS INT) AS end_tick, m < (greatest(end_tick, start_tick + 1) - 1) // 1920 AS tie_start, m > start_tick // 1920 AS tie_stop
       FROM sp, range(0, 400) r(m) WHERE m >= start_tick // 1920 AND m <= (greatest(end_tick, start_tick + 1) - 1) // 1920""",
-    "measure_boundaries": f"""WITH {SPAN}, {SIG}, u AS (SELECT track_id, MAX(end_tick) AS e FROM sp GROUP BY 1), m AS (SELECT track_id, CAST(start_beat * 480 AS BIGINT) + k * numerator * 480 AS a, numerator * 480 AS w, least(CAST(end_beat * 480 AS BIGINT), e) AS stop FROM u, sig, range(0, 200) r(k))
-      SELECT track_id, CAST(ROW_NUMBER() OVER (PARTITION BY track_id ORDER BY a) AS INT) AS measure, a AS start_tick, a + w AS end_tick FROM m WHERE a < stop""",
+    "measure_boundaries": f"""WITH {SPAN}, {SIG}, u AS (SELECT track_id, MAX(end_tick) AS e FROM sp GROUP BY 1), z AS (SELECT track_id, CAST(start_beat * 480 AS BIGINT) AS s, least(CAST(end_beat * 480 AS BIGINT), e) AS stop, numerator, denominator FROM u, sig UNION ALL SELECT track_id, least(80 * 480, e), e, 3, 4 FROM u),
+      m AS (SELECT track_id, s + k * numerator * 480 AS a, least(s + (k + 1) * numerator * 480, stop) AS b, numerator, denominator FROM z, range(0, 200) r(k) WHERE s + k * numerator * 480 < stop)
+      SELECT track_id, CAST(ROW_NUMBER() OVER (PARTITION BY track_id ORDER BY a) AS INT) AS measure, a AS start_tick, b AS end_tick, numerator, denominator FROM m""",
     "midi_events": f"""WITH {NE}, e AS (SELECT track_id, CAST(floor(start_time * 960) AS BIGINT) AS tick, 1 AS is_on, pitch, velocity, id FROM ne UNION ALL SELECT track_id, CAST(floor(end_time * 960) AS BIGINT), 0, pitch, 0, id FROM ne)
       SELECT track_id, CAST(ROW_NUMBER() OVER w AS INT) AS seq, tick, tick - coalesce(LAG(tick) OVER w, 0) AS delta, is_on, pitch, velocity FROM e WINDOW w AS (PARTITION BY track_id ORDER BY tick, id, is_on DESC)""",
     "late_early_classify": "SELECT event_id, CASE WHEN d < -20000 THEN 'drop' WHEN d <= 10000 THEN 'show' ELSE 'hold' END AS class FROM (SELECT event_id, -((event_id * 13) % 60 - 30) * 1000 AS d FROM events)",
@@ -283,3 +284,5 @@ ORACLES: dict[str, str] = {
     "adaptive_budget": "WITH s AS (SELECT o_orderkey, CAST(o_orderkey % 4000 AS DOUBLE) AS s FROM orders) SELECT o_orderkey, CAST(CASE WHEN s > 1800 THEN 3000 WHEN s > 300 THEN 3000 ELSE 6000 END AS INT) AS budget, round(greatest(0.8, least(300.0, 0.8 + s * (0.4 * 0.07 + 0.6 * 0.05) * 1.35)), 6) AS estimate, round(CASE WHEN s > 0.5 THEN CASE WHEN s > 3000 THEN 2850.0 ELSE s END ELSE 0 END, 6) AS resume, CAST(floor(s / 8) * 8 AS BIGINT) AS bucket FROM s",
     "meter_classes": "WITH m AS (SELECT DISTINCT CAST(l_linenumber % 13 AS INT) AS numerator, CASE WHEN l_orderkey % 2 = 0 THEN 4 ELSE 8 END AS denominator FROM lineitem) SELECT numerator, denominator, CASE numerator || '/' || denominator WHEN '2/4' THEN 'SimpleDuple' WHEN '3/4' THEN 'SimpleTriple' WHEN '4/4' THEN 'SimpleQuadruple' WHEN '6/8' THEN 'CompoundDuple' WHEN '12/8' THEN 'CompoundQuadruple' ELSE 'Other' END AS meter_class FROM m",
 }
+ORACLES["measure_of_tick"] = f"""SELECT p.track_id, p.tick, coalesce(MAX(m.measure) FILTER (p.tick >= m.start_tick AND p.tick < m.end_tick), MAX(m.measure)) AS measure
+  FROM (SELECT DISTINCT track_id, start_tick AS tick FROM ({ORACLES['note_spans']}) n) p JOIN ({ORACLES['measure_boundaries']}) m USING (track_id) GROUP BY 1, 2"""

@@ -380,6 +380,41 @@ def test_midi_round_trip(spark):
     assert E.parse_midi(E.midi_file(events)) == events
 
 
+def test_beams_rests_and_tokens():
+    assert E.beams_of([240, 240, 480, 120, 240, 240, 240]) == ["begin", "end", None, "begin", "continue", "continue", "end"] and E.beams_of([240, 480]) == [None, None]
+    # an eighth, a gap of a sixteenth, a quarter tied over the barline; then a rest
+    xml = E.voice_xml([(0, 60, 240, False, False, 1, "Staccato"), (360, 62, 840, False, True, 2, "Normal")], 0, 1440, 1, 1)
+    assert xml.count("<note id=") == 2 and "<staccato/>" in xml and 'id="n2_62_360_480"' in xml and '<tied type="start"/>' in xml
+    assert xml.count("<rest/>") == 2 and "<forward><duration>120</duration></forward>" in xml
+    long = E.voice_xml([(0, 60, 600, False, False, 1, "Normal")], 0, 600, 1, 1)  # a quarter and a sixteenth, tied
+    assert [t for t in ("n1_60_0_480", "n1_60_480_120") if t in long] == ["n1_60_0_480", "n1_60_480_120"] and long.count('<tied type="start"/>') == 1
+    late = E.voice_xml([(0, 60, 480, False, False, 1, "Normal"), (240, 64, 480, False, False, 2, "Normal")], 0, 1920, 1, 1)
+    assert "n2_64_240_240" in late and late.index("n1_60") < late.index("n2_64")
+
+
+def test_measures_follow_the_signatures(spark):
+    _, signatures = rhythm(spark, signatures=[(0.0, 8.0, 4, 4, 1.0), (8.0, 14.0, 3, 4, 1.0)])
+    until = spark.createDataFrame([(1, 16 * 480)], "track_id bigint, end_tick bigint")
+    got = [(r["measure"], r["start_tick"] // 480, r["end_tick"] // 480) for r in E.measure_boundaries(signatures, until).orderBy("measure").collect()]
+    assert got == [(1, 0, 4), (2, 4, 8), (3, 8, 11), (4, 11, 14), (5, 14, 16)]
+    spans = spark.createDataFrame([(1, 0, 60, 90, 7 * 480, 15 * 480, 1)], "track_id bigint, id int, pitch int, velocity int, start_tick int, end_tick int, staff int")
+    pieces = E.split_into_measures(spans, E.measure_boundaries(signatures, until)).orderBy("measure").collect()
+    assert [(p["measure"], p["start_tick"] // 480, p["end_tick"] // 480, p["tie_start"], p["tie_stop"]) for p in pieces] == [(2, 7, 8, True, False), (3, 8, 11, True, True), (4, 11, 14, True, True), (5, 14, 15, False, True)]
+
+
+def test_score_says_meter_changes_swing_and_empty_measures(spark):
+    q = spark.createDataFrame([(1, 0, 60, 90, 0.0, 1.0), (1, 1, 64, 90, 9.0, 1.0)], "track_id bigint, id int, pitch int, velocity int, beat_start double, beat_duration double")
+    _, signatures = rhythm(spark, signatures=[(0.0, 8.0, 4, 4, 1.0), (8.0, 11.0, 3, 4, 1.0)])
+    sections = spark.createDataFrame([(1, 1, 2, "Swing"), (1, 2, 9, "Straight")], "track_id bigint, bar_start int, bar_end int, style string")
+    xml = E.musicxml(q, None, 120.0, signatures, sections).first()["xml"]
+    import xml.etree.ElementTree as ET
+
+    measures = ET.fromstring(xml.encode()).findall("part/measure")
+    assert [m.get("number") for m in measures] == ["1", "2", "3"] and [len(m.findall("attributes/time")) for m in measures] == [1, 0, 1]
+    assert measures[2].find("attributes/time/beats").text == "3" and [w.text for m in measures for w in m.iter("words")] == ["Swing", "Straight"]
+    assert measures[1].findall("note/rest") and not measures[1].findall("note/pitch")
+
+
 def test_musicxml_document(spark):
     q = Q.quantize_constant(notes(spark, [(60, 0.0, 0.5, 90), (40, 1.9, 2.4, 90), (64, 0.0, 0.5, 90), (67, 0.0, 0.5, 90)]), 120.0)
     xml = E.musicxml(q, C.chord_scan(q), 120.0).first()["xml"]
