@@ -373,21 +373,29 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(range(200)) - {d for d, _ in found}
 
 
-def test_leaks_against_every_window(spark):
-    """What the cosine search finds, against the check alone at every place of every text."""
-    docs, items, _ = benchmark_case(spark, 6)
+def leaks_everywhere(docs, items):
+    """(doc_id, item_id) by the check alone at every place of every text."""
     encoded, table_, idf = decontam.fit(docs, items)
     made = decontam.Items([(r["item_id"], r["text"].encode(), None) for r in items.collect()], table_, idf)
-    want = set()
+    found = set()
     for r in encoded.collect():
         words = decontam.decoded(r["words"])
         for k, n in enumerate(made.sizes):
+            if made.common(k, words, n / 2) < n / 2:
+                continue
             answer, least = made.answers[k]
             for s in range(0, len(words), decontam.BLOCK):
                 around = words[max(0, s - n) : s + -(-n // decontam.BLOCK) * decontam.BLOCK + n]
                 cover = made.common(k, around, 0) / n
                 if cover >= 0.75 or (cover >= 0.5 and len(answer.intersection(around.tolist())) >= least):
-                    want.add((r["doc_id"], made.ids[k]))
+                    found.add((r["doc_id"], made.ids[k]))
+                    break
+    return found
+
+
+def test_leaks_against_every_window(spark):
+    docs, items, _ = benchmark_case(spark, 6)
+    want = leaks_everywhere(docs, items)
     got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, items).collect()}
     assert want and len(got & want) >= 0.9 * len(want) and got <= want
 
@@ -640,16 +648,55 @@ def test_pipeline_stages(spark):
         pytest.skip("no test tables")
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "near_dedup", "substring_dedup", "decontamination", "packing"]
     docs = spark.read.parquet(f"{sf}/documents.parquet")
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
     names, before = docs.columns, {r["doc_id"] for r in docs.select("doc_id").collect()}
-    for _, stage in pipeline.STAGES[:-1]:
+    for name, stage in pipeline.STAGES[:-1]:
+        given = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
         docs = stage(spark, docs, sf)
         path = scratch(spark, "stage")
         docs.write.parquet(path)
         docs = spark.read.parquet(path)
-        after = {r["doc_id"] for r in docs.select("doc_id").collect()}
-        assert docs.columns == names and after <= before and len(after) > len(before) / 2
-        before = after
-    left = docs.select("doc_id", "text").collect()
-    assert sum(brute[2] for brute in brute_removal([(r["doc_id"], r["text"]) for r in left])) == 0
+        left = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+        assert docs.columns == names and set(left) <= before and len(left) > len(before) / 2
+        if name == "near_dedup":
+            assert set(left) == {i for i, (_, c) in brute_components(given).items() if i == c}
+        elif name == "substring_dedup":
+            want = {(i, k) for i, _, gone, k in brute_removal(given) if gone}
+            assert all((i, hashlib.sha256((left[i] or "").encode()).hexdigest()) in want or left[i] == t for i, t in given)
+            assert {i for i, _ in want} == {i for i, t in given if left[i] != t}
+        elif name == "decontamination":
+            leaks = leaks_everywhere(table(spark, given), items)
+            gone = {i for i, _ in given} - set(left)
+            assert gone <= {i for i, _ in leaks} and len(gone) >= 0.9 * len({i for i, _ in leaks})
+        before = set(left)
     packed = pipeline.STAGES[-1][1](spark, docs, sf)
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == before
+
+
+@pytest.mark.parametrize("name", ["toxicity", "media", "packing", "counts", "quality", "leaks", "language"])
+def test_odd_rows_ids_and_columns(spark, name):
+    """Null ids and texts, repeated rows, columns named like the operator's own, and an empty table."""
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    items = spark.createDataFrame([(1, prose(random.Random(1), 20)), (None, "x")], "item_id bigint, text string")
+    run = {
+        "toxicity": lambda d: toxicity.score_toxicity(d, labels), "media": lambda d: media.media_columns(d, scratch(spark, "m")), "packing": lambda d: packing.pack_documents(d, WORD_BPE),
+        "counts": lambda d: token_counts.count_tokens(d, PIECES, token_counts.new_cache(spark)), "quality": lambda d: quality.score_quality(d, labels), "leaks": lambda d: decontam.find_leaks(d, items), "language": langid.language_id,
+    }[name]
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 40)) for i in range(60)] + [(100 + i, t) for i, t in enumerate(ODD)] + [(None, "no id"), (None, None), (None, prose(random.Random(1), 20)), (7, "another text"), (7, "another text")]
+    docs = table(spark, rows)
+    for c in ("score", "PREDICTED", "held_out", "payload", "digest", "key", "n_tokens", "tier", "words", "text_key", "raw", "n_bytes"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    got = run(docs).select("doc_id").collect()
+    if name == "leaks":
+        assert None in {r["doc_id"] for r in got}
+    elif name == "packing":
+        assert {r["doc_id"] for r in got} == {i for i, _ in rows}
+    else:
+        assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows)
+    assert run(docs.limit(0)).count() == 0
+
+
+def test_no_conversations(spark):
+    empty = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
+    assert chat.digests(chat.format_conversations(empty, BYTES)).count() == 0
