@@ -5,8 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,30 +89,14 @@ def text_key(column: str = "text"):
     return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")), F.col(column).isNull())
 
 
-def without_rows(documents: DataFrame, gone: DataFrame, filter_bytes: int = 64 << 20) -> DataFrame:
+def without_rows(documents: DataFrame, gone: DataFrame) -> DataFrame:
     """documents without the rows whose id and text_key() are in gone (doc_id, text_key); a null id is a value like others.
 
-    Rows that a Bloom filter of gone does not have pass in their map task; only the others meet gone in a join."""
-    from .bloom import build, hits
-
-    columns = documents.columns
-    own, key = unused(columns, "row_id", "row_hash")
-    both = lambda i, k: F.xxhash64(F.col(i).cast("long"), k)
-    gone = gone.distinct()
-    shared = documents.sparkSession.sparkContext.broadcast(build(gone.select(both("doc_id", "text_key").alias("v")), filter_bytes))
-    marked = documents.withColumn(own, F.col("doc_id").cast("long")).withColumn(key, both("doc_id", text_key()))
-
-    def split(doubtful):
-        def run(batches):
-            for b in batches:
-                v = b.column(b.schema.get_field_index(key)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                yield b.filter(pa.array(hits(shared.value, v) == doubtful))
-
-        return marked.mapInArrow(run, marked.schema)
-
-    rest = split(True)
-    stay = rest.join(gone.select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_")), rest[own].eqNullSafe(F.col("id_")) & (text_key() == F.col("key_")), "left_anti")
-    return split(False).select(*columns).unionByName(stay.select(*columns))
+    gone is broadcast where Spark finds it small by its written size, and joined by sorting otherwise."""
+    gone = materialize(gone.distinct(), "gone").toDF("id_", "key_")
+    own, key = unused([*documents.columns, *gone.columns], "row_id", "row_hash")
+    marked = documents.withColumn(own, F.col("doc_id").cast("long")).withColumn(key, text_key())
+    return marked.join(gone, marked[own].eqNullSafe(gone["id_"]) & (marked[key] == gone["key_"]), "left_anti").select(*documents.columns)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,7 +13,7 @@ neighbours mostly share one, so a document has about two for nine words. Documen
    and of these owners are hashed whole and dealt by hash. Equal windows of a slice are settled there: only the smallest id's
    go on, so a passage that a third of all rows share costs one entry a slice. Equality is verified: the 32-bit check beside
    the 64-bit hash comes from another hash function of the words.
-4. Removal. Rows that lose nothing pass in their map task; the others meet the positions they lose in a join.
+4. Removal. The rows meet the runs of positions they lose in a join; texts stream through the task that cuts them.
 
 The index lies in a folder and opens again with all its runs, so a later batch needs only what it brings and the owners it
 meets. Nothing holds a text but the batch a task reads; groups of fingerprints and windows are sized by bytes of text.
@@ -257,7 +257,7 @@ def window_rows(rows: DataFrame, bloom: np.ndarray, buckets: int) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(bloom)  # at most max_bytes
 
     def run(batches):
-        number, memo, other = 0, word_memo(), word_memo(1)
+        number, memo, other = 0, word_memo(), word_memo(1).__getitem__
         for b in batches:
             columns = rows_of(b, "__id", "__key", "__new", "text")
             for start, stop in slices_of(columns[3], 4 << 20):
@@ -269,12 +269,15 @@ def window_rows(rows: DataFrame, bloom: np.ndarray, buckets: int) -> DataFrame:
         bits = shared.value
         wins, chks, poss, whose = [], [], [], []
         for i, text in enumerate(texts):
-            h = word_hashes(text, memo)
-            anchors = window_anchors(h)
-            at = np.flatnonzero(hits(bits, anchors))
+            words = text.split()
+            h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+            at = np.flatnonzero(hits(bits, window_anchors(h)))
             if len(at):
                 wins.append(rolled(h, WINDOW, _ODD[1])[at])
-                chks.append((rolled(word_hashes(text, other), WINDOW, _ODD[2])[at] >> np.uint64(32)).astype(np.uint32))
+                # the check's hashes are made of the words in these windows alone
+                need = np.flatnonzero(_covered(at, np.ones_like(at), len(words)))
+                h[need] = np.fromiter((other(words[i]) for i in need.tolist()), np.uint64, len(need))
+                chks.append((rolled(h, WINDOW, _ODD[2])[at] >> np.uint64(32)).astype(np.uint32))
                 poss.append(at.astype(np.uint32))
                 whose.append(np.full(len(at), i, np.uint32))
         if not wins:
@@ -317,18 +320,23 @@ def removals(windows: DataFrame) -> DataFrame:
     return windows.groupBy("bucket").applyInArrow(settle, _REMOVALS)
 
 
+def _covered(starts: np.ndarray, n: np.ndarray, words: int) -> np.ndarray:
+    """Which words the windows of these runs cover."""
+    cover = np.zeros(words + 1, np.int64)
+    np.add.at(cover, starts, 1)
+    np.add.at(cover, np.minimum(starts + n - 1 + WINDOW, words), -1)
+    return np.cumsum(cover[:-1]) > 0
+
+
 def _kept(words: list[bytes], starts: np.ndarray, n: np.ndarray) -> tuple[bytes, int]:
     """The words that no window of these runs covers, joined by one space, and how many went."""
     if not len(starts):
         return b" ".join(words), 0
-    cover = np.zeros(len(words) + 1, np.int64)
-    np.add.at(cover, starts, 1)
-    np.add.at(cover, np.minimum(starts + n - 1 + WINDOW, len(words)), -1)
-    stay = np.cumsum(cover[:-1]) == 0
-    return b" ".join([words[i] for i in np.flatnonzero(stay)]), int(len(words) - stay.sum())
+    stay = np.flatnonzero(~_covered(starts, n, len(words)))
+    return b" ".join([words[i] for i in stay.tolist()]), len(words) - len(stay)
 
 
-def repeats(documents: DataFrame, root: str | None = None, batches: int = 3, max_runs: int = 2, filter_bytes: int = 64 << 20, bucket_bytes: int = 64 << 20) -> DataFrame:
+def repeats(documents: DataFrame, root: str | None = None, batches: int = 2, max_runs: int = 2, filter_bytes: int = 64 << 20, bucket_bytes: int = 64 << 20) -> DataFrame:
     """(id, key, start, n): runs of windows that a document of smaller id has; key is text_key().
 
     batches: into how many runs of rising ids the table is dealt, as if they had come one after another."""
@@ -349,7 +357,7 @@ def repeats(documents: DataFrame, root: str | None = None, batches: int = 3, max
             marked = marked.unionByName(_owned(rows.where(F.col("__id") <= lo) if lo is not None else rows, met).withColumn("__new", F.lit(False)))
         part = materialize(removals(window_rows(marked, bloom, index.buckets)), "removals")
         found = part if found is None else found.unionByName(part)
-        if len(index.tables) >= max_runs and hi is not None:
+        if len(index.tables) >= max_runs:
             index.compact()
     return found
 
@@ -365,30 +373,12 @@ def _owned(rows: DataFrame, met: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def _with_runs(documents: DataFrame, found: DataFrame, filter_bytes: int) -> tuple[DataFrame, str]:
-    """documents with the runs that each row loses (null where it loses none), and that column's name.
-
-    Rows that a Bloom filter of the losing ones does not have pass in their map task."""
+def _with_runs(documents: DataFrame, found: DataFrame) -> tuple[DataFrame, str]:
+    """documents with the runs that each row loses (null where it loses none), and that column's name: a join of runs to rows."""
     own, key, runs = unused(documents.columns, "row_id", "row_key", "row_runs")
-    lost = found.groupBy("id", "key").agg(F.collect_list(F.struct("start", "n")).alias(runs))
-    lost = materialize(lost, "lost")
-    both = F.xxhash64("id", "key")
-    shared = documents.sparkSession.sparkContext.broadcast(build(lost.select(both.alias("v")), filter_bytes))
+    lost = materialize(found.groupBy("id", "key").agg(F.collect_list(F.struct("start", "n")).alias(runs)).withColumnsRenamed({"id": own, "key": key}), "lost")
     marked = documents.withColumn(own, F.col("doc_id").cast("long")).withColumn(key, text_key())
-    marked = marked.withColumn(runs, F.xxhash64(own, key))
-
-    def split(doubtful):
-        def run(batches):
-            for b in batches:
-                v = b.column(b.schema.get_field_index(runs)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                yield b.filter(pa.array(hits(shared.value, v) == doubtful))
-
-        return marked.mapInArrow(run, marked.schema).drop(runs)
-
-    met = lost.withColumnsRenamed({"id": own, "key": key})
-    nothing = F.lit(None).cast(met.schema[runs].dataType)
-    columns = [*documents.columns, runs]
-    return split(False).withColumn(runs, nothing).select(*columns).unionByName(split(True).join(met, [own, key], "left").select(*columns)), runs
+    return marked.join(lost, [own, key], "left").select(*documents.columns, runs), runs
 
 
 def _cover(text: str | None, runs: list[dict] | None) -> tuple[int, int, bytes]:
@@ -398,9 +388,9 @@ def _cover(text: str | None, runs: list[dict] | None) -> tuple[int, int, bytes]:
     return len(words), gone, kept
 
 
-def remove_repeats(documents: DataFrame, filter_bytes: int = 64 << 20, **options) -> DataFrame:
+def remove_repeats(documents: DataFrame, **options) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space, as bytes) of each row of documents."""
-    marked, runs = _with_runs(documents.select("doc_id", "text"), repeats(documents, filter_bytes=filter_bytes, **options), filter_bytes)
+    marked, runs = _with_runs(documents.select("doc_id", "text"), repeats(documents, **options))
 
     def run(batches):
         for b in batches:
@@ -410,9 +400,9 @@ def remove_repeats(documents: DataFrame, filter_bytes: int = 64 << 20, **options
     return marked.mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, n_words bigint, n_removed bigint, kept binary")
 
 
-def cut_repeats(documents: DataFrame, filter_bytes: int = 64 << 20, **options) -> DataFrame:
+def cut_repeats(documents: DataFrame, **options) -> DataFrame:
     """documents, the texts without their repeats; a text that loses none keeps its form. A column n_chars follows the text."""
-    marked, runs = _with_runs(documents, repeats(documents, filter_bytes=filter_bytes, **options), filter_bytes)
+    marked, runs = _with_runs(documents, repeats(documents, **options))
     types = {f.name: f.dataType for f in documents.schema.fields}
 
     def run(batches):
