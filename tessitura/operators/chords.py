@@ -159,7 +159,8 @@ def chords_per_bar(notes: DataFrame, bpb: int = 4) -> DataFrame:
         some = lambda r, name, fields: None if pd.isna(getattr(r, f"{name}_n_pcs")) else tuple(getattr(r, f"{name}_{f}") for f in fields)
         bars = [(r.bar, some(r, "first", PLACE), some(r, "second", PLACE), some(r, "down", ("n_pcs", "symbol"))) for r in part.itertuples(index=False)]
         chosen = bar_choices(bars, float(bpb))
-        return pd.DataFrame({"track_id": [part["track_id"].iloc[0]] * len(chosen), "beat": [float(b) for b, _ in chosen], "symbol": [s for _, s in chosen]})
+        columns = {"track_id": ([part["track_id"].iloc[0]] * len(chosen), "int64"), "beat": ([b for b, _ in chosen], "float64"), "symbol": ([s for _, s in chosen], object)}
+        return pd.DataFrame({name: pd.Series(values, dtype=kind) for name, (values, kind) in columns.items()})
 
     return flat.groupBy("track_id").applyInPandas(fold, "track_id bigint, beat double, symbol string")
 
