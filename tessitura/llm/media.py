@@ -37,6 +37,12 @@ _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 INDEX_SCHEMA = "digest binary, shard string, offset bigint, length bigint"
 
 
+def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a folder as Spark names it; the S3 connectors' schemes mean the same store."""
+    scheme, mark, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if mark and scheme in ("s3a", "s3n") else uri)
+
+
 def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
@@ -94,7 +100,7 @@ def _write(payloads: DataFrame, root: str, path: str, skip: np.ndarray, take: bo
     shared = payloads.sparkSession.sparkContext.broadcast(skip)
 
     def write(batches):
-        files, top = fs.FileSystem.from_uri(root)
+        files, top = open_folder(root)
         files.create_dir(top, recursive=True)
         task = TaskContext.get()
         seen: set[bytes] = set()  # 32 bytes a row of this partition
@@ -173,7 +179,7 @@ def read_media(index: DataFrame, root: str, payload_columns: bool = True) -> Dat
     types = {"binary": pa.binary(), "int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
 
     def read(batches):
-        files, top = fs.FileSystem.from_uri(root)
+        files, top = open_folder(root)
         name, source = None, None
         for batch in batches:
             rows = []

@@ -132,6 +132,11 @@ def test_media_round_trip(spark):
     assert len(rows) == len(texts) and rows[8]["media_sha256"] == rows[9]["media_sha256"]
 
 
+def test_folders_open_by_spark_names(tmp_path):
+    files, path = media.open_folder(f"file://{tmp_path}")
+    assert files.type_name == "local" and path == str(tmp_path) and media.open_folder(str(tmp_path))[1] == str(tmp_path)
+
+
 def test_media_header_alone_and_one_copy(spark):
     root = scratch(spark, "media")
     docs = media.with_payload(table(spark, ["same"] * 50 + ["other"]).repartition(7))
