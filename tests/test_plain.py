@@ -55,6 +55,7 @@ def test_chunk_rebuild_trigger_and_its_stream(spark, tmp_path):
     assert {tuple(r) for r in Q.chunk_rebuild_trigger(spark, SF).select("user_id", "event_id").collect()} == want
     for k in range(2):
         (tmp_path / f"{k}.json").write_text("\n".join(json.dumps({"user_id": 1, "us": 100 * (3 * k + i), "event_id": 3 * k + i, "size": 200.0}) for i in range(3)))
+        os.utime(tmp_path / f"{k}.json", (1_700_000_000 + k,) * 2)  # a stream takes files by age
     stream = spark.readStream.schema("user_id bigint, us bigint, event_id bigint, size double").option("maxFilesPerTrigger", 1).json(str(tmp_path))
     q = R.rebuild_stream(stream, 500.0).writeStream.format("memory").queryName("rebuilds").outputMode("append").start()
     q.processAllAvailable()

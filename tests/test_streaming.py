@@ -1,6 +1,7 @@
 """Streams against their batch forms."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,7 +20,9 @@ def run(spark, stream, name, mode):
 def folder(tmp_path):
     for part in range(3):
         rows = [{"key": k, "seq": part * 4 + i, "value": float(part * 4 + i), "prob": 0.5} for k in (1, 2) for i in range(4)]
-        (tmp_path / f"{part}.json").write_text("\n".join(map(json.dumps, rows)))
+        file = tmp_path / f"{part}.json"
+        file.write_text("\n".join(map(json.dumps, rows)))
+        os.utime(file, (1_700_000_000 + part,) * 2)  # a stream takes files by age
     return str(tmp_path)
 
 
