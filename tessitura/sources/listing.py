@@ -2,63 +2,27 @@
 
 from __future__ import annotations
 
-import struct
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import frame_rate, is_media, stem_of
 from ..operators.session import first_nonblank
-from .wav import BLOCKS, parse, read_audio  # noqa: F401  the batch form of stream_audio
+from .ranged import chunk_events, preview, register_audio  # noqa: F401
 
-PROBE = "path string, sample_rate int, channels int, n_frames bigint, seconds double, tags map<string, string>, error string"
-# RIFF INFO chunks by the key they stand for, and the order of stems in a session.
-INFO_KEYS = {b"INAM": "title", b"IART": "artist", b"IPRD": "album", b"ICRD": "date", b"IGNR": "genre"}
+# Fixed value: the order of stems in a session.
 STEM_ORDER = ["drums", "bass", "other", "vocals", "piano", "guitar"]
-LEAST_CHUNK = 16_384
-
-
-def probe_header(data: bytes) -> tuple[int, int, int, dict[str, str]]:
-    """Sample rate, channels, frames and INFO tags of a WAV file, from its chunk headers alone."""
-    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
-        raise ValueError("not a RIFF/WAVE file")
-    at, rate, channels, width, frames, tags = 12, None, 0, 0, 0, {}
-    while at + 8 <= len(data):
-        kind, (size,) = data[at : at + 4], struct.unpack("<I", data[at + 4 : at + 8])
-        if kind == b"fmt ":
-            _, channels, rate, _, width, _ = struct.unpack("<HHIIHH", data[at + 8 : at + 24])
-        elif kind == b"data":
-            frames = min(size, len(data) - at - 8) // max(1, width)
-        elif kind == b"LIST" and data[at + 8 : at + 12] == b"INFO":
-            sub = at + 12
-            while sub + 8 <= min(at + 8 + size, len(data)):
-                key, (n,) = data[sub : sub + 4], struct.unpack("<I", data[sub + 4 : sub + 8])
-                tags[INFO_KEYS.get(key, key.decode("latin-1").lower())] = data[sub + 8 : sub + 8 + n].split(b"\0")[0].decode("utf-8", "replace")
-                sub += 8 + n + n % 2
-        at += 8 + size + size % 2
-    if rate is None:
-        raise ValueError("no fmt chunk")
-    return rate, channels, frames, tags
 
 
-def probe_audio(spark: SparkSession, path: str, most_bytes: int = 10 << 30) -> DataFrame:
-    """One row for each media file under path: rate, channels, frames, seconds and tags; an error where it cannot be read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where((F.col("length") <= most_bytes) & is_media(F.col("path")))
+def read_audio(spark: SparkSession, path: str, block: int = 65_536, mono: bool = True, most_bytes: int = 10 << 30) -> DataFrame:
+    """Blocks of mono (mean of channels) or interleaved stereo samples of the WAV and FLAC files under path."""
+    register_audio(spark)
+    return spark.read.format("audio_blocks").option("block", block).option("mono", str(mono).lower()).option("mostBytes", most_bytes).load(path)
 
-    def run(batches):
-        for b in batches:
-            rows = []
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                try:
-                    rate, channels, frames, tags = probe_header(content)
-                    rows.append((name, rate, channels, frames, frames / rate if rate else None, list(tags.items()), None))
-                except (ValueError, struct.error) as e:
-                    rows.append((name, None, None, None, None, [], str(e)))
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.map_(pa.string(), pa.string()), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], [c.split()[0] for c in PROBE.replace("map<string, string>", "map").split(", ")])
 
-    return files.select("path", "content").mapInArrow(run, PROBE)
+def probe_audio(spark: SparkSession, path: str, most_bytes: int = 10 << 30) -> DataFrame:
+    """One row for each audio file under path: rate, channels, frames, seconds and tags; an error where it cannot be read."""
+    register_audio(spark)
+    return spark.read.format("audio_probe").option("mostBytes", most_bytes).load(path)
 
 
 def choose_track(tracks: DataFrame) -> DataFrame:
@@ -121,30 +85,10 @@ def stems_in_folder(files: DataFrame) -> DataFrame:
     return rows.select("folder", "stem", "path", F.lit(0.9).alias("confidence"), F.when(rank > 0, rank - 1).otherwise(len(STEM_ORDER)).cast("int").alias("place"))
 
 
-CHUNKS = "path string, event string, chunk_no int, start_frame bigint, sample_rate int, samples array<float>, error string"
-
-
-def stream_audio(spark: SparkSession, path: str, chunk: int = 65_536, files_per_batch: int = 8) -> DataFrame:
-    """The WAV files that arrive in a folder, as a stream of events: started, chunk (of at least 16384 mono samples, the last as long
-    as it is), finished, or error; and the content's hash once it is known.
-
-    The checkpoint of the stream that is written tells which files are done; a file is decoded by one task."""
-    step = max(chunk, LEAST_CHUNK)
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.wav").load(path)
-
-    def run(batches):
-        kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.float32()), pa.string())
-        for b in batches:
-            for name, content, digest in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                rows = [(name, "source_hash", None, None, None, None, digest)]
-                try:
-                    rate, _, x = parse(content)
-                    mono = x.mean(1)
-                    rows.append((name, "started", None, 0, rate, None, None))
-                    rows += [(name, "chunk", n, a, rate, mono[a : a + step], None) for n, a in enumerate(range(0, len(mono), step))]
-                    rows.append((name, "finished", None, len(mono), rate, None, None))
-                except ValueError as e:
-                    rows.append((name, "error", None, None, None, None, str(e)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in CHUNKS.split(", ")])
-
-    return files.select("path", "content", F.sha2("content", 256)).mapInArrow(run, CHUNKS)
+def stream_audio(spark: SparkSession, path: str, chunk: int = 65_536, per_trigger: int = 64, cancel: str | None = None, tasks: int = 8, mono: bool = True) -> DataFrame:
+    """The audio files that arrive in a folder, as a stream of events: started, chunk (of at least 16384 samples, the last as long as
+    it is), finished, or error; and the content's hash once it is known. See ``ranged.ChunkPlan`` for order, restart and cancel."""
+    register_audio(spark)
+    reader = spark.readStream.format("audio_chunks").option("chunk", chunk).option("chunksPerTrigger", per_trigger)
+    plan = (reader.option("cancel", cancel) if cancel else reader).load(path)
+    return chunk_events(plan.repartition(tasks, "path", "start_frame"), mono)

@@ -1,7 +1,4 @@
-"""WAV files as tables, and back: PCM of 16, 24 and 32 bits and float, through Spark's binary file source.
-
-A file is one row of binaryFile, so a file is one task's work; its sample blocks are rows. Files that cannot be read become rows
-with an error, and never stop a job."""
+"""WAV data and back: PCM of 16, 24 and 32 bits and float. ``ranged`` reads files by byte ranges."""
 
 from __future__ import annotations
 
@@ -9,10 +6,23 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCKS = "path string, block_no int, start_frame bigint, sample_rate int, channels int, samples array<float>, error string"
+
+def scaled(body: bytes, code: int, bits: int) -> np.ndarray:
+    """Samples in [-1, 1] of the data of a format."""
+    if code == 3:
+        return np.frombuffer(body, "<f4" if bits == 32 else "<f8").astype(np.float32)
+    if code == 1 and bits == 16:
+        return np.frombuffer(body, "<i2").astype(np.float32) / 32768
+    if code == 1 and bits == 32:
+        return (np.frombuffer(body, "<i4") / 2**31).astype(np.float32)
+    if code == 1 and bits == 24:
+        raw = np.frombuffer(body, np.uint8).reshape(-1, 3).astype(np.int32)
+        v = raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16
+        return (np.where(v >= 1 << 23, v - (1 << 24), v) / 2**23).astype(np.float32)
+    raise ValueError(f"format {code} of {bits} bits is not supported")
 
 
 def parse(data: bytes) -> tuple[int, int, np.ndarray]:
@@ -32,18 +42,7 @@ def parse(data: bytes) -> tuple[int, int, np.ndarray]:
                 raise ValueError("data before fmt")
             code, channels, rate, _, _, bits = form
             whole = len(body) - len(body) % (channels * bits // 8)
-            if code == 3:
-                x = np.frombuffer(body[:whole], "<f4" if bits == 32 else "<f8").astype(np.float32)
-            elif code == 1 and bits == 16:
-                x = np.frombuffer(body[:whole], "<i2").astype(np.float32) / 32768
-            elif code == 1 and bits == 32:
-                x = (np.frombuffer(body[:whole], "<i4") / 2**31).astype(np.float32)
-            elif code == 1 and bits == 24:
-                raw = np.frombuffer(body[:whole], np.uint8).reshape(-1, 3).astype(np.int32)
-                v = raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16
-                x = (np.where(v >= 1 << 23, v - (1 << 24), v) / 2**23).astype(np.float32)
-            else:
-                raise ValueError(f"format {code} of {bits} bits is not supported")
+            x = scaled(body[:whole], code, bits)
             return rate, channels, x.reshape(-1, channels)
         at += 8 + size + size % 2
     raise ValueError("no data chunk")
@@ -66,34 +65,6 @@ def fold_to_stereo(x: np.ndarray) -> np.ndarray:
     return x if x.shape[1] == 2 else np.stack([x[:, ::2].mean(1), x[:, 1::2].mean(1)], axis=1)
 
 
-def read_audio(spark: SparkSession, path: str, block: int = 65_536, mono: bool = True, most_bytes: int = 10 << 30) -> DataFrame:
-    """Blocks of mono (mean of channels) or interleaved stereo samples of the WAV files under path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where((F.col("length") <= most_bytes) & F.lower("path").endswith(".wav"))
-
-    def run(batches):
-        for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                try:
-                    rate, channels, x = parse(content)
-                    y = x.mean(1) if mono else fold_to_stereo(x).reshape(-1)
-                    step = block if mono else 2 * block
-                    rows = [(name, i // step, i // (1 if mono else 2), rate, channels, y[i : i + step], None) for i in range(0, len(y), step)]
-                except ValueError as e:
-                    rows = [(name, 0, 0, None, None, None, str(e))]
-                if rows:
-                    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.float32()), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in BLOCKS.split(", ")])
-
-    return files.select("path", "content").mapInArrow(run, BLOCKS)
-
-
-def preview(blocks: DataFrame, start_sec: float, seconds: float) -> DataFrame:
-    """The blocks that a preview of 0.25 to 30 seconds touches: a predicate, so that nothing else is decoded further."""
-    seconds = min(30.0, max(0.25, seconds))
-    rate = F.col("sample_rate")
-    return blocks.where((F.col("start_frame") < (start_sec + seconds) * rate) & (F.col("start_frame") + F.size("samples") > start_sec * rate))
-
-
 def to_wav(tracks: DataFrame, rate: int, float32: bool = False) -> DataFrame:
     """(track_id, content BINARY) of (track_id, samples): a file per row, for a binary sink."""
 

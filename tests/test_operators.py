@@ -19,7 +19,7 @@ from tessitura.operators import signal as A
 from tessitura.operators import spectral as S
 from tessitura.operators import tempo as T
 from tessitura.operators import timejoin as J
-from tessitura.sources import wav
+from tessitura.sources import listing, wav
 
 NOTE = "track_id bigint, id int, pitch int, start_time double, end_time double, velocity int"
 
@@ -369,7 +369,7 @@ def test_wav_round_trip(spark, tmp_path, float32):
     x = np.stack([np.sin(np.arange(500) / 9), np.cos(np.arange(500) / 7)], axis=1) * 0.5
     (tmp_path / "a.wav").write_bytes(wav.encode(x, 8000, float32))
     (tmp_path / "bad.wav").write_bytes(b"nonsense")
-    rows = wav.read_audio(spark, str(tmp_path), block=200).collect()
+    rows = listing.read_audio(spark, str(tmp_path), block=200).collect()
     good = sorted((r for r in rows if r["error"] is None), key=lambda r: r["block_no"])
     assert [len(r["samples"]) for r in good] == [200, 200, 100] and sum(r["error"] is not None for r in rows) == 1
     np.testing.assert_allclose(np.concatenate([r["samples"] for r in good]), x.mean(1), atol=1e-4)
