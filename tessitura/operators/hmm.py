@@ -12,40 +12,146 @@ METER_BEATS = (2, 3, 4, 6, 12)
 TEMPO_BINS = tuple(range(20, 81))
 
 
-def binary_path(probs: np.ndarray, switch: float = 0.2, scale: float = 1.0, confidence: float = 0.6) -> np.ndarray:
-    """On or off for each frame (rows) and pitch (columns); on only where the probability reaches the confidence too.
+#: Log scores are whole numbers of this unit, so that sums don't depend on where a track is cut.
+UNIT = 2.0**-32
 
-    A tie prefers state on as predecessor and off at the end."""
-    on = np.log(np.clip(probs * scale, 1e-10, 1))
-    off = np.log(np.clip((1 - probs) * scale, 1e-10, 1))
-    n, width = probs.shape
-    if not n:
-        return np.zeros((0, width), bool)
-    score = np.stack([off[0], on[0]])
-    back = np.zeros((n, 2, width), bool)
-    for t in range(1, n):
-        stay_off, come_off = score[0], score[1] - switch
-        stay_on, come_on = score[1], score[0] - switch
-        back[t, 0], back[t, 1] = ~(stay_off > come_off), ~(come_on > stay_on)
-        score = np.stack([np.maximum(stay_off, come_off) + off[t], np.maximum(stay_on, come_on) + on[t]])
-    state = score[1] > score[0]
-    out = np.zeros((n, width), bool)
-    for t in range(n - 1, -1, -1):
+
+def _evidence(probs: np.ndarray, scale: float) -> np.ndarray:
+    """Log score of on less that of off, in units."""
+    on, off = np.log(np.clip(probs * scale, 1e-10, 1)), np.log(np.clip((1 - probs) * scale, 1e-10, 1))
+    return np.rint((on - off) / UNIT).astype("int64")
+
+
+def _leads(evidence: np.ndarray, start: np.ndarray, cost: int) -> np.ndarray:
+    """lead[t]: the best score of on at frame t - 1 less that of off; lead[0] is start. A step limits the lead to the cost of a
+    switch and adds the evidence."""
+    lead = np.empty((len(evidence) + 1, evidence.shape[1]), "int64")
+    lead[0] = start
+    for t, e in enumerate(evidence):
+        lead[t + 1] = np.minimum(np.maximum(lead[t], -cost), cost) + e
+    return lead
+
+
+def _states(lead: np.ndarray, end: np.ndarray, cost: int) -> tuple[np.ndarray, np.ndarray]:
+    """On or off at each frame, from the state at the last one back, and the state just before the first. A tie prefers on as
+    predecessor."""
+    out, state = np.zeros((len(lead) - 1, lead.shape[1]), bool), end
+    for t in range(len(out) - 1, -1, -1):
         out[t] = state
-        state = np.where(state, back[t, 1], back[t, 0])
-    return out & (probs >= confidence)
+        state = np.where(state, lead[t] >= -cost, lead[t] >= cost)
+    return out, state
 
 
-def viterbi(frames: DataFrame, **options) -> DataFrame:
-    """(track_id, frame, pitch) of the active cells. frames: (track_id, frame, probs); one group per track, 88 wide."""
+def binary_path(probs: np.ndarray, switch: float = 0.2, scale: float = 1.0, confidence: float = 0.6) -> np.ndarray:
+    """On or off for each frame (rows) and pitch (columns); on only where the probability reaches the confidence too.
 
-    def decode(rows: pd.DataFrame) -> pd.DataFrame:
+    A tie prefers state on as predecessor and off at the end."""
+    if not len(probs):
+        return np.zeros(probs.shape, bool)
+    cost = round(switch / UNIT)
+    lead = _leads(_evidence(probs, scale), np.zeros(probs.shape[1], "int64"), cost)
+    return _states(lead, lead[-1] > 0, cost)[0] & (probs >= confidence)
+
+
+def viterbi(frames: DataFrame, block: int = 1024, fan: int = 1024, switch: float = 0.2, scale: float = 1.0, confidence: float = 0.6) -> DataFrame:
+    """(track_id, frame, pitch) of the active cells. frames: (track_id, frame, probs), pitch 21 being the first of probs.
+
+    A track is cut into blocks of frames, each a task's group. What a block does to the lead of on over off, whatever it is
+    before, is a limit and a sum (the max-plus product of its steps); what it does to the state on the way back is a table of two
+    entries. Both are composed over the blocks of a track, in groups of fan and groups of groups, to what each block starts and
+    ends with, and each block is then decoded on its own. The result is that of binary_path over the whole track."""
+    cost, keys = round(switch / UNIT), ["track_id", "block"]
+    number = F.floor(F.col("frame") / block).cast("long")
+    first, last = frames.agg(F.min(number), F.max(number)).first()
+    span, levels = (last or 0) - (first or 0), 1
+    while fan**levels <= span:
+        levels += 1
+    cells = frames.select("track_id", "frame", "probs", (number - (first or 0)).alias("block"))
+    grouped = cells.groupBy(*keys)
+
+    def read(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
         rows = rows.sort_values("frame")
-        path = binary_path(np.stack(rows["probs"].to_list()), **options)
-        at, pitch = np.nonzero(path)
+        return rows, np.stack(rows["probs"].to_list()).astype(float)
+
+    def key_of(rows: pd.DataFrame) -> tuple:
+        return rows["track_id"].iloc[0], rows["block"].iloc[0]
+
+    def one(track, number, **columns) -> pd.DataFrame:
+        return pd.DataFrame({"track_id": [track], "block": [number], **{c: [v.tolist()] for c, v in columns.items()}})
+
+    def forward(rows: pd.DataFrame) -> pd.DataFrame:
+        _, probs = read(rows)
+        low, high, add = np.full(probs.shape[1], -(1 << 62)), np.full(probs.shape[1], 1 << 62), np.zeros(probs.shape[1], "int64")
+        for e in _evidence(probs, scale):
+            low, high, add = _then((low, high, add), (-cost, cost, e))
+        return one(*key_of(rows), low=low, high=high, add=add)
+
+    def backward(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        _, probs = read(rows)
+        lead = _leads(_evidence(probs, scale), np.array(start["value"].iloc[0], "int64"), cost)
+        tables = [_states(lead, np.full(probs.shape[1], end), cost)[1].astype("int64") for end in (False, True)]
+        return one(*key_of(rows), if_off=tables[0], if_on=tables[1], last=(lead[-1] > 0).astype("int64"))
+
+    def decode(rows: pd.DataFrame, start: pd.DataFrame, end: pd.DataFrame) -> pd.DataFrame:
+        rows, probs = read(rows)
+        lead = _leads(_evidence(probs, scale), np.array(start, "int64"), cost)
+        at, pitch = np.nonzero(_states(lead, np.array(end) > 0, cost)[0] & (probs >= confidence))
         return pd.DataFrame({"track_id": rows["track_id"].iloc[0], "frame": rows["frame"].to_numpy()[at].astype("int32"), "pitch": (pitch + 21).astype("int32")})
 
-    return frames.select("track_id", "frame", "probs").groupBy("track_id").applyInPandas(decode, "track_id bigint, frame int, pitch int")
+    steps = grouped.applyInPandas(forward, "track_id bigint, block bigint, low array<bigint>, high array<bigint>, add array<bigint>")
+    starts = _carried(steps, ["low", "high", "add"], _then, lambda f, x: np.minimum(np.maximum(x, f[0]), f[1]) + f[2], lambda f: np.zeros_like(f[0]), fan, levels)
+    maps = grouped.cogroup(starts.groupBy(*keys)).applyInPandas(backward, "track_id bigint, block bigint, if_off array<bigint>, if_on array<bigint>, last array<bigint>")
+    # on the way back the last block comes first
+    turned = maps.withColumn("block", F.lit(span) - F.col("block"))
+    ends = _carried(turned, ["if_off", "if_on", "last"], _back_then, lambda f, x: np.where(x > 0, f[1], f[0]), lambda f: f[2], fan, levels).withColumn("block", F.lit(span) - F.col("block"))
+    both = starts.join(ends.withColumnRenamed("value", "last_state"), keys)
+    return grouped.cogroup(both.groupBy(*keys)).applyInPandas(lambda rows, known: decode(rows, known["value"].iloc[0], known["last_state"].iloc[0]), "track_id bigint, frame int, pitch int")
+
+
+def _then(f: tuple, g: tuple) -> tuple:
+    """What two steps do after another; a step (low, high, add) limits a value to low and high and then adds."""
+    limit = lambda x: np.minimum(np.maximum(x + f[2], g[0]), g[1]) - f[2]
+    return limit(np.maximum(f[0], -(1 << 61))), limit(np.minimum(f[1], 1 << 61)), f[2] + g[2]
+
+
+def _back_then(f: tuple, g: tuple) -> tuple:
+    """Two tables after another; the last state stays that of the first, as the way back begins there."""
+    return np.where(f[0] > 0, g[1], g[0]), np.where(f[1] > 0, g[1], g[0]), f[2]
+
+
+def _carried(steps: DataFrame, columns: list[str], then, apply, initial, fan: int, levels: int) -> DataFrame:
+    """(track_id, block, value): what each block begins with, if the first one of a track begins with initial and each passes on
+    what its step makes of its own.
+
+    Blocks are numbered from 0 to below fan ** levels. Steps are composed in groups of fan blocks, level by level, until a track is one group; values go down the same way."""
+    keyed = steps.withColumn("own", F.floor(F.col("block") / fan).cast("long"))
+    kinds = ", ".join(f"{c} array<bigint>" for c in columns)
+
+    def rows_of(part: pd.DataFrame):
+        part = part.sort_values("block")
+        return part, [tuple(np.array(x, "int64") for x in row) for row in part[columns].itertuples(index=False)]
+
+    def total(part: pd.DataFrame) -> pd.DataFrame:
+        part, found = rows_of(part)
+        whole = found[0]
+        for f in found[1:]:
+            whole = then(whole, f)
+        return pd.DataFrame({"track_id": [part["track_id"].iloc[0]], "block": [part["own"].iloc[0]], **{c: [v.tolist()] for c, v in zip(columns, whole)}})
+
+    def values(part: pd.DataFrame, value) -> pd.DataFrame:
+        part, found = rows_of(part)
+        value, out = initial(found[0]) if value is None else np.array(value, "int64"), []
+        for f in found:
+            out.append(value.tolist())
+            value = apply(f, value)
+        return pd.DataFrame({"track_id": part["track_id"], "block": part["block"], "value": out})
+
+    schema = "track_id bigint, block bigint, value array<bigint>"
+    if levels <= 1:
+        return keyed.groupBy("track_id", "own").applyInPandas(lambda part: values(part, None), schema)
+    totals = keyed.groupBy("track_id", "own").applyInPandas(total, f"track_id bigint, block bigint, {kinds}")
+    above = _carried(totals, columns, then, apply, initial, fan, levels - 1)
+    return keyed.groupBy("track_id", "own").cogroup(above.withColumnRenamed("block", "own").groupBy("track_id", "own")).applyInPandas(lambda part, start: values(part, start["value"].iloc[0]), schema)
 
 
 def rhythm_states(spark: SparkSession) -> DataFrame:
