@@ -77,17 +77,98 @@ class MaskStemModel:
         return {"drums": x - y, "bass": np.zeros(len(x)), "other": y, "vocals": np.zeros(len(x)), "guitar": np.zeros(len(x)), "piano": np.zeros(len(x))}
 
 
-def separate(chunks: DataFrame, model=None) -> DataFrame:
-    """(track_id, chunk_no, stem, samples) of normalised chunks (track_id, chunk_no, samples)."""
-    model = model or MaskStemModel()
+class MaskStereoModel:
+    """MaskStemModel on both channels: (2, n) samples to (6, 2, n)."""
+
+    stems = ("drums", "bass", "other", "vocals", "guitar", "piano")
+
+    def infer(self, x: np.ndarray) -> np.ndarray:
+        parts = [MaskStemModel().predict(c) for c in x]
+        return np.stack([np.stack([p[name] for p in parts]) for name in self.stems])
+
+
+class IdentityStereoModel:
+    """Gives back what it hears, once for each of its stems: what the plan around a model must not change."""
+
+    def __init__(self, stems: tuple[str, ...] = ("drums", "bass", "other", "vocals", "guitar", "piano")):
+        self.stems = stems
+
+    def infer(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([x] * len(self.stems))
+
+
+# Samples of a model's segment, and the share of it from one segment to the next.
+SEGMENT, STRIDE = 343_980, 0.75
+
+
+def triangle(n: int) -> np.ndarray:
+    """Rising over the first half, falling over the rest, 1 at its peak."""
+    half = n // 2
+    w = np.concatenate([np.arange(1, half + 1), np.arange(n - half, 0, -1)]).astype(float)
+    return w / max(w.max(initial=0.0), 1e-8)
+
+
+def level_of(blocks: DataFrame) -> DataFrame:
+    """(track_id, frames, mean, deviation) of the mean of both channels over whole tracks of stereo blocks.
+
+    A block gives its count, mean and sum of squares about its own mean; blocks meet as those numbers alone."""
 
     def run(batches):
         for b in batches:
-            rows = []
-            for track, no, samples in zip(b["track_id"], b["chunk_no"], b["samples"], strict=True):
-                x = np.asarray(samples, float)
-                mean, std = x.mean() if len(x) else 0.0, max(x.std() if len(x) else 0.0, 1e-8)
-                rows += [(track, no, stem, y * std) for stem, y in model.predict((x - mean) / std).items()]
-            yield pd.DataFrame(rows, columns=["track_id", "chunk_no", "stem", "samples"])
-
-    return chunks.select("track_id", "chunk_no", "samples").mapInPandas(run, "track_id bigint, chunk_no bigint, stem string, samples array<double>")
+            out = []
+            for track, samples in zip(b["track_id"], b["samples"], strict=True):
+                mid = np.asarray(samples, float).reshape(-1, 2).mean(1)
+                if len(mid):
+                    out.append((track, len(mid), mid.mean(), ((mid - mid.mean()) ** 2).sum()))
+            yield pd.DataFrame(out, columns=["track_id", "n", "m", "s"])
+
+    parts = blocks.select("track_id", "samples").mapInPandas(run, "track_id bigint, n bigint, m double, s double")
+    means = parts.groupBy("track_id").agg(F.sum("n").alias("frames"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
+    spread = F.col("s") + F.col("n") * (F.col("m") - F.col("mean")) ** 2
+    return parts.join(means, "track_id").groupBy("track_id", "frames", "mean").agg(F.sqrt(F.sum(spread) / F.col("frames")).alias("deviation"))
+
+
+def separate(blocks: DataFrame, model=None, segment: int = SEGMENT, stride: int | None = None) -> DataFrame:
+    """(track_id, stem, start_frame, samples, mono): the stems of stereo tracks, in stretches of stride frames.
+
+    blocks: (track_id, start_frame, samples ARRAY interleaved left and right), of any lengths, without gaps. The track's mean is
+    taken off and its deviation divided out, both over the whole track; segments of it, a stride apart and zeros behind its end, go
+    through the model; the outputs are laid over each other by triangle weights, and deviation and mean restored. A segment is a
+    group of its own, and so is each stem's stretch, of the two segments (or as many as overlap) that reach it.
+    An empty track has no rows."""
+    model, stride = model or MaskStereoModel(), stride or int(segment * STRIDE)
+    size = F.floor(F.size("samples") / 2).cast("bigint")
+    end = F.col("start_frame") + size
+    first = F.greatest(F.lit(0).cast("bigint"), F.floor((F.col("start_frame") - segment) / stride).cast("bigint") + 1)
+    level = level_of(blocks)
+    pieces = blocks.where(size > 0).select("track_id", "start_frame", "samples", F.explode(F.sequence(first, F.floor((end - 1) / stride).cast("bigint"))).alias("chunk")).join(level, "track_id")
+    weight = triangle(segment)
+
+    def infer(rows: pd.DataFrame) -> pd.DataFrame:
+        track, chunk, frames, mean, deviation = (rows[c].iloc[0] for c in ("track_id", "chunk", "frames", "mean", "deviation"))
+        scale, offset = max(float(deviation), 1e-8), int(chunk) * stride
+        x = np.zeros((segment, 2))
+        for start, samples in zip(rows["start_frame"], rows["samples"], strict=True):
+            y = np.asarray(samples, float).reshape(-1, 2)
+            low, high = max(int(start), offset), min(int(start) + len(y), offset + segment)
+            x[low - offset : high - offset] = (y[low - int(start) : high - int(start)] - mean) / scale
+        held = min(segment, int(frames) - offset)
+        heard = np.asarray(model.infer(x.T), float)
+        out = []
+        for tile in range(int(chunk), -(-(offset + held) // stride)):
+            low, high = tile * stride - offset, min((tile + 1) * stride - offset, held)
+            w = weight[low:high]
+            out += [(track, stem, tile, (heard[n, :, low:high] * w).T.reshape(-1), w, mean, scale) for n, stem in enumerate(model.stems)]
+        return pd.DataFrame(out, columns=["track_id", "stem", "tile", "weighted", "weights", "mean", "scale"])
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        n = max(map(len, rows["weights"]))
+        total, weights = np.zeros((n, 2)), np.zeros(n)
+        for y, w in zip(rows["weighted"], rows["weights"], strict=True):
+            total[: len(w)] += np.asarray(y, float).reshape(-1, 2)
+            weights[: len(w)] += w
+        y = np.where(weights > 1e-8, 1 / np.maximum(weights, 1e-8), 0.0)[:, None] * total * rows["scale"].iloc[0] + rows["mean"].iloc[0]
+        return pd.DataFrame({"track_id": rows["track_id"].iloc[:1], "stem": rows["stem"].iloc[:1], "start_frame": rows["tile"].iloc[:1] * stride, "samples": [y.reshape(-1)], "mono": [y.mean(1)]})
+
+    laid = pieces.groupBy("track_id", "chunk").applyInPandas(infer, "track_id bigint, stem string, tile bigint, weighted array<double>, weights array<double>, mean double, scale double")
+    return laid.groupBy("track_id", "stem", "tile").applyInPandas(add, "track_id bigint, stem string, start_frame bigint, samples array<double>, mono array<double>")

@@ -23,6 +23,9 @@ from ..operators import spectral as S
 from ..operators import tempo as T
 from ..operators import timejoin as J
 from ..sources import bindings as D
+from ..sources import files as FS
+from ..sources import listing as SRC
+from ..sources import wav as WV
 from ..streaming import chunks as R
 from . import lead_sheet as Z
 from .oracles import ORACLES  # noqa: F401  re-exported for the driver contract
@@ -615,8 +618,55 @@ def note_model_pipeline(spark, sf):
     return M.note_pipeline(D.signal_blocks(spark, sf), M.DetectorNoteModel(441.0, 8), 128, 8)
 
 
+def stereo_blocks(spark, sf):
+    """The signal with a quieter right channel that stands off zero."""
+    wide = F.flatten(F.transform("samples", lambda x: F.array(x, x * 0.5 + 0.1)))
+    return D.signal_blocks(spark, sf).select("track_id", (F.col("block_no").cast("bigint") * 64).alias("start_frame"), wide.alias("samples"))
+
+
+def stereo_rows(stems):
+    rows = stems.select("track_id", "stem", "start_frame", F.posexplode("mono").alias("n", "mono"), "samples")
+    return r6(rows.select("track_id", "stem", (F.col("start_frame") + F.col("n")).alias("i"), F.element_at("samples", 2 * F.col("n") + 1).alias("l"), F.element_at("samples", 2 * F.col("n") + 2).alias("r"), "mono"), "l", "r", "mono")
+
+
 def stem_separation(spark, sf):
-    return M.separate(D.signal_blocks(spark, sf).withColumnRenamed("block_no", "chunk_no"))
+    return stereo_rows(M.separate(stereo_blocks(spark, sf), segment=2048))
+
+
+def stem_separation_identity(spark, sf):
+    """A model that gives back what it hears: chunks, weights and restored level leave the input as it was."""
+    return stereo_rows(M.separate(stereo_blocks(spark, sf), M.IdentityStereoModel(("drums", "bass")), segment=1000))
+
+
+def saved_tracks(spark, sf, blocks: int = 4096):
+    """The signal as float WAV files of at most so many blocks each; the folder they lie in."""
+    part = F.floor(F.col("block_no") / blocks)
+    whole = D.signal_blocks(spark, sf).groupBy("track_id", part.alias("part")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "samples"))), lambda b: b["samples"])).alias("samples"))
+    folder = FS.work_folder(spark, "tracks")
+    content = WV.to_wav(whole.select((F.col("track_id") * 1_000_000 + F.col("part")).alias("track_id"), "samples"), D.SAMPLE_RATE, True)
+    FS.save_files(content.select(F.concat(F.col("track_id").cast("string"), F.lit(".wav")).alias("name"), "content"), folder)
+    return folder
+
+
+def file_number():
+    n = F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("bigint")
+    return F.floor(n / 1_000_000).alias("track_id"), (n % 1_000_000).alias("part")
+
+
+def audio_blocks(spark, sf):
+    """All samples of the saved tracks, read by byte ranges."""
+    rows = SRC.read_audio(spark, saved_tracks(spark, sf), block=1000).select(*file_number(), "start_frame", F.posexplode("samples").alias("n", "x"))
+    return r6(rows.select("track_id", "part", (F.col("start_frame") + F.col("n")).alias("i"), F.col("x").cast("double").alias("x")), "x")
+
+
+def audio_probe(spark, sf):
+    return SRC.probe_audio(spark, saved_tracks(spark, sf)).select(*file_number(), "sample_rate", "channels", "n_frames", F.round("seconds", 6).alias("seconds"), F.size("tags").alias("tags"), "error")
+
+
+def audio_preview(spark, sf):
+    """A quarter of a second from 0.05 s on, of each file."""
+    rows = SRC.preview(SRC.read_audio(spark, saved_tracks(spark, sf), block=40), 0.05, 0.1, block=40, least_rate=D.SAMPLE_RATE)
+    return r6(rows.select(*file_number(), "sample_rate", F.posexplode("samples").alias("i", "x")).withColumn("x", F.col("x").cast("double")), "x")
 
 
 def time_stretch(spark, sf):
@@ -763,5 +813,5 @@ def lead_sheet_from_notes(spark, sf):
     return r6(Z.lead_sheet_from_notes(D.note_events(spark, sf))["quantized_notes"], "beat_start", "beat_duration")
 
 
-_HELPERS = {"sparse_beats", "beat_sources", "named_stems", "channel_frames", "frame_points", "r6", "active", "stem_frames", "aligned", "quantised", "signatures", "stems_signal"}
+_HELPERS = {"stereo_blocks", "stereo_rows", "saved_tracks", "file_number", "sparse_beats", "beat_sources", "named_stems", "channel_frames", "frame_points", "r6", "active", "stem_frames", "aligned", "quantised", "signatures", "stems_signal"}
 QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and name not in _HELPERS}

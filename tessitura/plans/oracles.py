@@ -253,6 +253,10 @@ ORACLES: dict[str, str] = {
     "min_max_normalize": f"WITH {SG}, w AS (SELECT *, MIN(x) OVER v AS lo, MAX(x) OVER v AS hi FROM sg WINDOW v AS (PARTITION BY track_id)) SELECT track_id, i, round(CASE WHEN hi - lo < 1e-7 THEN x ELSE (x - lo) / (hi - lo) END, 6) AS x FROM w",
     "db_scale": f"WITH {SG} SELECT track_id, i, round(CASE WHEN x > 0 THEN log10(x * x) * 10 ELSE -80.0 END, 5) AS db FROM sg",
     "mel_pool": f"WITH {SG} SELECT track_id, CAST(i // 64 AS INT) AS block_no, CAST(i % 64 // 6 AS INT) AS g, round(avg(x), 6) AS mean FROM sg WHERE i % 64 < 60 GROUP BY 1, 2, 3",
+    "stem_separation_identity": f"WITH {SG} SELECT track_id, stem, i, round(x, 6) AS l, round(x * 0.5 + 0.1, 6) AS r, round((x + x * 0.5 + 0.1) / 2, 6) AS mono FROM sg, (VALUES ('drums'), ('bass')) s(stem)",
+    "audio_blocks": f"WITH {SG} SELECT track_id, i // 262144 AS part, i % 262144 AS i, round(x, 6) AS x FROM sg",
+    "audio_probe": f"WITH {SG} SELECT track_id, i // 262144 AS part, 441 AS sample_rate, 1 AS channels, COUNT(*) AS n_frames, round(COUNT(*) / 441.0::DOUBLE, 6) AS seconds, 0 AS tags, NULL::VARCHAR AS error FROM sg GROUP BY 1, 2",
+    "audio_preview": f"WITH {SG} SELECT track_id, i // 262144 AS part, 441 AS sample_rate, CAST(i % 262144 - 22 AS INT) AS i, round(x, 6) AS x FROM sg WHERE i % 262144 BETWEEN 22 AND 132",
     "overlap_add": f"WITH {SG} SELECT track_id, i, round(x, 6) AS x FROM sg",
     "stft_magnitude": f"""WITH {SG}, n AS (SELECT track_id, COUNT(*) AS n FROM sg GROUP BY 1), f AS (SELECT track_id, CAST(k AS BIGINT) AS frame FROM n, range(0, 100000) r(k) WHERE k * 32 + 64 <= n),
       y AS (SELECT f.track_id, frame, i - frame * 32 AS p, x * (0.5 - 0.5 * cos(2 * pi() * (i - frame * 32) / 63)) AS y FROM f JOIN sg ON sg.track_id = f.track_id AND i >= frame * 32 AND i < frame * 32 + 64)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tessitura.operators import hmm as V
+from tessitura.operators import models as M
 
 
 def plain_viterbi(probs, switch=0.2, scale=1.0, confidence=0.6):
@@ -60,3 +61,73 @@ def test_one_long_track_is_many_groups(spark):
     groups = [line.split("[")[1].split("]")[0] for line in plan.splitlines() if "InPandas [" in line]
     assert groups and all("," in g for g in groups)  # never the track alone
     assert V.viterbi(frames.limit(0)).collect() == []
+
+
+# separation
+
+
+def stereo(n, seed):
+    rng = np.random.default_rng(seed)
+    return rng.standard_normal((n, 2)) * [1.0, 0.3] + [5.0, -2.0]
+
+
+def cut(track, x, sizes):
+    """Blocks of these sizes in turn."""
+    out, at, k = [], 0, 0
+    while at < len(x):
+        size = sizes[k % len(sizes)]
+        out.append((track, at, x[at : at + size].reshape(-1).tolist()))
+        at, k = at + size, k + 1
+    return out
+
+
+def whole_separation(x, model, segment, stride):
+    """The same over a whole track at once."""
+    mean, deviation = x.mean(1).mean(), max(x.mean(1).std(), 1e-8)
+    y, out, weights = (x - mean) / deviation, np.zeros((len(model.stems), len(x), 2)), np.zeros(len(x))
+    w = np.array([min(i + 1, segment - i) if segment % 2 == 0 else min(i + 1, segment - i) for i in range(segment)], float)
+    w /= w.max()
+    for a in range(0, len(x), stride):
+        part = np.zeros((segment, 2))
+        part[: len(y[a : a + segment])] = y[a : a + segment]
+        heard = model.infer(part.T)
+        n = len(y[a : a + segment])
+        for s in range(len(model.stems)):
+            out[s, a : a + n] += heard[s].T[:n] * w[:n, None]
+        weights[a : a + n] += w[:n]
+    return out / weights[None, :, None] * deviation + mean
+
+
+def gathered(df):
+    parts = {}
+    for r in df.collect():
+        parts.setdefault((r["track_id"], r["stem"]), []).append((r["start_frame"], np.reshape(r["samples"], (-1, 2)), np.array(r["mono"])))
+    return {k: (np.concatenate([y for _, y, _ in sorted(v, key=lambda t: t[0])]), np.concatenate([m for *_, m in sorted(v, key=lambda t: t[0])])) for k, v in parts.items()}
+
+
+@pytest.mark.parametrize("segment,stride", [(100, None), (101, 75), (64, 20), (5000, None)])
+def test_separation_around_an_identity_gives_the_input(spark, segment, stride):
+    tracks = {1: stereo(1000, 1), 2: stereo(75, 2), 3: stereo(1, 3), 4: np.full((130, 2), 7.5)}
+    rows = [b for t, x in tracks.items() for b in cut(t, x, (64, 1, 333))] + [(9, 0, [])]
+    got = gathered(M.separate(spark.createDataFrame(rows, "track_id bigint, start_frame bigint, samples array<double>").repartition(3), M.IdentityStereoModel(("a", "b")), segment, stride))
+    assert sorted(got) == [(t, s) for t in tracks for s in "ab"]
+    for (t, _), (y, mono) in got.items():
+        assert y.shape == tracks[t].shape and np.allclose(y, tracks[t], atol=1e-9) and np.allclose(mono, tracks[t].mean(1), atol=1e-9)
+
+
+def test_separation_by_segments_equals_the_whole_track(spark):
+    x, model = stereo(700, 4), M.MaskStereoModel()
+    got = gathered(M.separate(spark.createDataFrame(cut(1, x, (50, 7)), "track_id bigint, start_frame bigint, samples array<double>"), model, 256, 192))
+    want = whole_separation(x, model, 256, 192)
+    for n, stem in enumerate(model.stems):
+        assert np.allclose(got[1, stem][0], want[n], atol=1e-9)
+
+
+def test_level_of_a_track_that_stands_far_off_zero(spark):
+    x = stereo(4000, 5) * 1e-4 + 1e4
+    (row,) = M.level_of(spark.createDataFrame(cut(1, x, (100,)), "track_id bigint, start_frame bigint, samples array<double>")).collect()
+    assert row["frames"] == 4000 and np.isclose(row["mean"], x.mean()) and np.isclose(row["deviation"], x.mean(1).std(), rtol=1e-6)
+
+
+def test_triangle():
+    assert M.triangle(4).tolist() == [0.5, 1.0, 1.0, 0.5] and np.allclose(M.triangle(5), [1 / 3, 2 / 3, 1, 2 / 3, 1 / 3]) and M.triangle(1).tolist() == [1.0]
