@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,44 +41,55 @@ def pc_mask(pitches: Column) -> Column:
     return F.aggregate(F.array_distinct(F.transform(pitches, lambda p: F.pmod(p, F.lit(12)))), F.lit(0), lambda m, pc: m.bitwiseOR(F.expr("1").cast("int") * F.pow(F.lit(2), pc).cast("int")))
 
 
-def chord_scores(spark: SparkSession) -> DataFrame:
-    """mask, root, template number, score of every pitch-class set against every root and template that covers two of it."""
-    masks = spark.range(1, 4096).select(F.col("id").cast("int").alias("mask"))
+def chord_scores(masks: DataFrame) -> DataFrame:
+    """mask, root, template number, score of pitch-class sets (mask) against every root and template that covers two of it."""
     rows = [(root, n, sum(1 << ((root + i) % 12) for i in iv), len(iv)) for root in range(12) for n, (_, iv) in enumerate(TEMPLATES)]
-    shapes = F.broadcast(spark.createDataFrame(rows, "root int, template int, shape int, k int"))  # 300 rows
+    shapes = F.broadcast(masks.sparkSession.createDataFrame(rows, "root int, template int, shape int, k int"))  # 300 rows
     inside = F.bit_count(F.col("mask").bitwiseAND(F.col("shape")))
     outside = F.bit_count("mask") - inside
     simple = F.when(F.col("k") == 3, 1).when(F.col("k") == 4, 0).otherwise(4 - F.col("k"))
-    return masks.crossJoin(shapes).where(inside >= 2).select("mask", "root", "template", (inside * 3 - outside + inside + simple).cast("int").alias("score"))
+    return masks.select("mask").distinct().crossJoin(shapes).where(inside >= 2).select("mask", "root", "template", (inside * 3 - outside + inside + simple).cast("int").alias("score"))
 
 
-def chord_table(spark: SparkSession) -> DataFrame:
-    """mask, bass (0-11, or -1 for none), symbol: the whole recogniser as 53,235 rows.
+@lru_cache(maxsize=1)
+def chord_symbols() -> tuple[str | None, ...]:
+    """The whole recogniser: the symbol of pitch classes mask and bass (0-11, or -1 for none) at place 13 * mask + bass + 1.
 
     One class is an octave, two a fifth apart a power chord; otherwise the best root and template, with 2 more for a root in
     the bass; the first of equal scores in root and template order."""
-    names = F.array(*map(F.lit, FLATS))
-    kinds = F.array(*(F.lit(k) for k, _ in TEMPLATES))
-    basses = F.broadcast(spark.range(-1, 12).select(F.col("id").cast("int").alias("bass")))
-    scored = chord_scores(spark).crossJoin(basses).withColumn("score", F.col("score") + F.when(F.col("root") == F.col("bass"), 2).otherwise(0))
-    best = scored.groupBy("mask", "bass").agg(F.max(F.struct("score", (-F.col("root")).alias("r"), (-F.col("template")).alias("t"))).alias("b"))
-    every = spark.range(1, 4096).select(F.col("id").cast("int").alias("mask")).crossJoin(basses)
-    pcs = F.filter(F.sequence(F.lit(0), F.lit(11)), lambda p: F.col("mask").bitwiseAND(F.pow(F.lit(2), p).cast("int")) != 0)
-    rows = every.join(best, ["mask", "bass"], "left").withColumn("pcs", pcs)
-    name = lambda pc: F.element_at(names, pc.cast("int") + 1)
-    spelled = F.array(*(F.lit(bass_name(r, b)) for r in range(12) for b in range(12)))
-    slash = F.when((F.col("bass") >= 0) & (F.col("bass") != -F.col("b.r")), F.concat(F.lit("/"), F.element_at(spelled, (-F.col("b.r") * 12 + F.col("bass") + 1).cast("int")))).otherwise("")
-    full = F.concat(name(-F.col("b.r")), F.element_at(kinds, (-F.col("b.t")).cast("int") + 1), slash)
-    symbol = (
-        F.when(F.size("pcs") == 1, F.concat(name(F.col("pcs")[0]), F.lit(" (8ve)")))
-        .when((F.size("pcs") == 2) & (F.try_element_at("pcs", F.lit(2)) - F.col("pcs")[0] == 7), F.concat(name(F.col("pcs")[0]), F.lit("5"))).otherwise(full)
-    )
-    return rows.select("mask", "bass", symbol.alias("symbol")).where("symbol is not null")
+    shapes = np.array([[sum(1 << (root + i) % 12 for i in iv), len(iv), root] for root in range(12) for _, iv in TEMPLATES])
+    simple = np.where(shapes[:, 1] == 3, 1, 4 - shapes[:, 1])
+    masks = np.arange(4096)[:, None]
+    inside = np.bitwise_count(masks & shapes[:, 0]).astype(int)
+    score = np.where(inside >= 2, inside * 4 - (np.bitwise_count(masks) - inside) + simple, -100)
+    out: list[str | None] = [None] * (4096 * 13)
+    for bass in range(-1, 12):
+        raised = score + np.where((shapes[:, 2] == bass) & (score > -100), 2, 0)
+        best = raised.argmax(1)
+        for mask in range(1, 4096):
+            pcs = [p for p in range(12) if mask >> p & 1]
+            root, (kind, _) = int(best[mask]) // len(TEMPLATES), TEMPLATES[int(best[mask]) % len(TEMPLATES)]
+            if len(pcs) == 1:
+                symbol = f"{FLATS[pcs[0]]} (8ve)"
+            elif len(pcs) == 2 and pcs[1] - pcs[0] == 7:
+                symbol = f"{FLATS[pcs[0]]}5"
+            elif raised[mask, best[mask]] == -100:
+                symbol = None
+            else:
+                symbol = FLATS[root] + kind + (f"/{bass_name(root, bass)}" if bass >= 0 and bass != root else "")
+            out[13 * mask + bass + 1] = symbol
+    return tuple(out)
+
+
+def chord_table(spark: SparkSession) -> DataFrame:
+    """mask, bass, symbol: chord_symbols as rows."""
+    return spark.createDataFrame([(n // 13, n % 13 - 1, s) for n, s in enumerate(chord_symbols()) if s], "mask int, bass int, symbol string")
 
 
 def symbols(sets: DataFrame) -> DataFrame:
-    """Adds symbol to rows with mask and bass; the table is 53,235 rows and broadcast."""
-    return sets.join(F.broadcast(chord_table(sets.sparkSession)), ["mask", "bass"], "left")
+    """Adds symbol to rows with mask and bass, a look-up in an array of 53,248 entries that Catalyst folds to a literal."""
+    table = F.split(F.lit("|".join(s or "" for s in chord_symbols())), r"\|")
+    return sets.withColumn("symbol", F.nullif(F.element_at(table, F.col("mask") * 13 + F.col("bass") + 2), F.lit("")))
 
 
 def sounding_at(positions: DataFrame, notes: DataFrame, early: float = 1e-5) -> DataFrame:

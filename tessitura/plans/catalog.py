@@ -136,7 +136,10 @@ def viterbi_binary(spark, sf):
 
 
 def joint_rhythm_states(spark, sf):
-    return V.rhythm_states(spark)
+    """The states that the beats of all tracks pass through, and how often."""
+    states = V.rhythm_states(spark)
+    path = D.beats(spark, sf).select((F.col("beat_idx") % F.lit(61 * 27)).cast("int").alias("state_idx"))
+    return path.groupBy("state_idx").agg(F.count("*").alias("n")).join(F.broadcast(states), "state_idx")
 
 
 def joint_path_segments(spark, sf):
@@ -468,12 +471,19 @@ def articulation_nearest(spark, sf):
     return Q.articulation(quantised(spark, sf), D.note_events(spark, sf), 0.5)
 
 
+def heard_sets(spark, sf):
+    """The pitch-class sets and basses that sound on the beats, and how often."""
+    q = quantised(spark, sf)
+    grid = q.select("track_id", F.floor("beat_start").cast("double").alias("beat")).distinct()
+    return C.sounding_at(grid, q).groupBy("mask", "bass").agg(F.count("*").alias("n"))
+
+
 def chord_symbol_lookup(spark, sf):
-    return C.chord_table(spark)
+    return C.symbols(heard_sets(spark, sf))
 
 
 def chord_scores(spark, sf):
-    return C.chord_scores(spark)
+    return C.chord_scores(heard_sets(spark, sf))
 
 
 def chord_active_set(spark, sf):
@@ -491,13 +501,13 @@ def chord_scan_per_bar(spark, sf):
 
 
 def chord_symbol_parse(spark, sf):
-    rows = C.chord_table(spark).select("symbol").distinct()
+    rows = C.symbols(heard_sets(spark, sf)).select("symbol").distinct()
     p = X.parse_chord(F.col("symbol"))
     return rows.select("symbol", p["root"].alias("root"), p["suffix"].alias("suffix"), p["bass"].alias("bass"))
 
 
 def chord_kind_map(spark, sf):
-    rows = C.chord_table(spark).select(X.parse_chord(F.col("symbol"))["suffix"].alias("suffix")).distinct()
+    rows = C.symbols(heard_sets(spark, sf)).select(X.parse_chord(F.col("symbol"))["suffix"].alias("suffix")).distinct()
     return rows.select("suffix", X.chord_kind(F.col("suffix")).alias("kind"))
 
 
@@ -689,7 +699,9 @@ def spans_to_measures(spark, sf):
 
 
 def duration_tokens(spark, sf):
-    return E.duration_tokens(spark)
+    """How the lengths of the notes are written, and how many notes have each."""
+    lengths = E.note_spans(quantised(spark, sf)).groupBy((F.col("end_tick") - F.col("start_tick")).alias("ticks")).agg(F.count("*").alias("n"))
+    return lengths.join(F.broadcast(E.duration_tokens(spark)), "ticks")
 
 
 def voice_assignment(spark, sf):
@@ -813,5 +825,5 @@ def lead_sheet_from_notes(spark, sf):
     return r6(Z.lead_sheet_from_notes(D.note_events(spark, sf))["quantized_notes"], "beat_start", "beat_duration")
 
 
-_HELPERS = {"stereo_blocks", "stereo_rows", "saved_tracks", "file_number", "sparse_beats", "beat_sources", "named_stems", "channel_frames", "frame_points", "r6", "active", "stem_frames", "aligned", "quantised", "signatures", "stems_signal"}
+_HELPERS = {"heard_sets", "stereo_blocks", "stereo_rows", "saved_tracks", "file_number", "sparse_beats", "beat_sources", "named_stems", "channel_frames", "frame_points", "r6", "active", "stem_frames", "aligned", "quantised", "signatures", "stems_signal"}
 QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and name not in _HELPERS}

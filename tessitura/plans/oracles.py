@@ -88,6 +88,7 @@ ct AS (SELECT mask, bass, CASE WHEN len(pcs) = 1 THEN {_NAMES}[pcs[1] + 1] || '
   ELSE {_NAMES}[x.root + 1] || {_KINDS}[x.template + 1] || CASE WHEN bass >= 0 AND bass <> x.root THEN '/' || {_BASS} ELSE '' END END AS symbol FROM ev LEFT JOIN bb USING (mask, bass))"""
 SND = """snd AS (SELECT g.track_id, g.beat, CAST(SUM(DISTINCT power(2, q.pitch % 12)) AS INT) AS mask, CAST(MIN(q.pitch) % 12 AS INT) AS bass, COUNT(*) AS n_notes, SUM(q.beat_duration) AS held
   FROM {grid} g JOIN q ON q.track_id = g.track_id AND q.beat_start - 1e-5 <= g.beat AND g.beat < q.beat_start + q.beat_duration GROUP BY 1, 2)"""
+HS = f"{QC}, g AS (SELECT DISTINCT track_id, floor(beat_start) AS beat FROM q), {SND.format(grid='g')}, hs AS (SELECT mask, bass, COUNT(*) AS n FROM snd GROUP BY 1, 2)"
 _CHG = "SELECT track_id, beat, symbol FROM (SELECT *, LAG(symbol) OVER (PARTITION BY track_id ORDER BY beat) AS was FROM {src} WHERE symbol IS NOT NULL) WHERE was IS NULL OR was <> symbol"
 BG = BT + ", bg AS (SELECT track_id, beat_idx, LEAD(t) OVER (PARTITION BY track_id ORDER BY beat_idx) - t AS gap FROM bt)"
 BC = BG + """, bar AS (SELECT track_id, db_idx, t AS bar_t, LEAD(t) OVER (PARTITION BY track_id ORDER BY db_idx) AS next_t FROM db),
@@ -131,8 +132,8 @@ ORACLES: dict[str, str] = {
     "stem_max_combine": f"WITH {SS} SELECT song, frame, pitch, round(prob, 6) AS prob, stem_idx FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY song, frame, pitch ORDER BY prob DESC, stem_idx) AS rn FROM sf) WHERE rn = 1",
     "timeline_transpose": f"""WITH {NF} SELECT track_id, frame, CAST(pitch - 21 AS INT) AS pos, round(coalesce(0.5 * LAG(prob, 2) OVER w + 0.5 * LAG(prob, 1) OVER w, 0.0), 6) AS prob FROM nf WINDOW w AS (PARTITION BY track_id, frame ORDER BY pitch)""",
     "nearest_frame_lookup": f"WITH {NE} SELECT track_id, id, CAST(least(floor(start_time / 0.05::DOUBLE + 0.5::DOUBLE), 1199) AS INT) AS frame FROM ne",
-    "joint_rhythm_states": """WITH m AS (SELECT mc, p, ROW_NUMBER() OVER (ORDER BY mc, p) - 1 AS pos FROM (VALUES (0, 2), (1, 3), (2, 4), (3, 6), (4, 12)) v(mc, n), range(0, 12) r(p) WHERE p < n)
-      SELECT CAST((t - 20) * 27 + pos AS INT) AS state_idx, CAST(t AS INT) AS tempo_bin, mc AS meter_class, CAST(p AS INT) AS phase FROM range(20, 81) r(t), m""",
+    "joint_rhythm_states": f"""WITH {BT}, m AS (SELECT mc, p, ROW_NUMBER() OVER (ORDER BY mc, p) - 1 AS pos FROM (VALUES (0, 2), (1, 3), (2, 4), (3, 6), (4, 12)) v(mc, n), range(0, 12) r(p) WHERE p < n)
+      SELECT CAST((tb - 20) * 27 + pos AS INT) AS state_idx, COUNT(*) AS n, CAST(tb AS INT) AS tempo_bin, mc AS meter_class, CAST(p AS INT) AS phase FROM range(20, 81) r(tb), m, bt WHERE beat_idx % 1647 = (tb - 20) * 27 + pos GROUP BY ALL""",
     "joint_path_segments": f"WITH {TR} SELECT track_id, a AS start_frame, b AS end_frame, m AS meter_class FROM tr, (VALUES (0, 64, 2), (64, 131, 1)) v(a, b, m)",
     "joint_path_downbeats": f"WITH {BT} SELECT track_id, beat_idx AS frame FROM bt WHERE beat_idx % 4 = 0",
     "beat_intervals": f"WITH {BG} SELECT track_id, beat_idx, round(gap, 6) AS gap FROM bg WHERE gap IS NOT NULL",
@@ -216,8 +217,8 @@ ORACLES: dict[str, str] = {
     "articulation_nearest": f"""WITH {QC}, n AS (SELECT track_id, pitch, start_time, arg_min(end_time - start_time, id) AS len FROM ne GROUP BY 1, 2, 3),
       c AS (SELECT q.track_id, q.id, q.pitch, q.beat_duration, n.len, ROW_NUMBER() OVER (PARTITION BY q.track_id, q.id ORDER BY abs(n.start_time - q.beat_start * 0.5), n.start_time) AS rn FROM q JOIN n ON n.track_id = q.track_id AND n.pitch = q.pitch)
       SELECT track_id, id, pitch, CASE WHEN len / (beat_duration * 0.5) < 0.5 OR len < 0.08 THEN 'Staccato' WHEN len / (beat_duration * 0.5) > 0.9 THEN 'Tenuto' ELSE 'Normal' END AS articulation FROM c WHERE rn = 1""",
-    "chord_scores": f"WITH {CS} SELECT * FROM cs",
-    "chord_symbol_lookup": f"WITH {CT} SELECT * FROM ct WHERE symbol IS NOT NULL",
+    "chord_scores": f"WITH {HS}, {CS} SELECT cs.* FROM cs WHERE mask IN (SELECT mask FROM hs)",
+    "chord_symbol_lookup": f"WITH {HS}, {CT} SELECT mask, bass, n, symbol FROM hs LEFT JOIN ct USING (mask, bass)",
     "chord_active_set": f"WITH {QC}, g AS (SELECT DISTINCT track_id, floor(beat_start) AS beat FROM q), {SND.format(grid='g')} SELECT track_id, beat, mask, bass, n_notes, round(held, 6) AS held, CAST(bit_count(mask) AS INT) AS n_pcs FROM snd",
     "chord_scan_step": f"WITH {QC}, {CT}, g AS (SELECT track_id, CAST(k AS DOUBLE) AS beat FROM (SELECT track_id, MAX(beat_start + beat_duration) AS e FROM q GROUP BY 1), range(0, 400) r(k) WHERE k <= floor(e)), {SND.format(grid='g')}, h AS (SELECT * FROM snd JOIN ct USING (mask, bass) WHERE bit_count(mask) >= 2) {_CHG.format(src='h')}",
     "onset_collect": f"""WITH RECURSIVE {NE}, k AS (SELECT track_id, MIN(start_time) AS t, 0 AS pos FROM ne WHERE start_time >= 0 GROUP BY 1
