@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .beats import double_beats, downbeat_consensus, halve_beats
+from .spectral import in_tiles, laid
 from .tempo import BIN, HIGH_BPM, LOW_BPM, SUBDIVISIONS, TOLERANCE
 
 GRID = "track_id bigint, kind string, idx int, t double"
@@ -28,34 +29,22 @@ def low_stems(stems: DataFrame, mix: DataFrame) -> DataFrame:
     return low.unionByName(mix.join(low.select("song").distinct(), "song", "left_anti").select("song", "i", "x"))
 
 
-def tempo_of_audio(samples: np.ndarray, rate: int, share: float = 0.7) -> tuple[float, float, np.ndarray] | None:
-    """(tempo, confidence, onset times) of mono samples, or None under a second or without a pulse.
-
-    Samples are thinned to about 2205 a second, cut at 0 and averaged over 30 ms; rises of that envelope are correlated with
-    themselves, as the mean over pairs that both rise. Half or double tempo is taken where the rises fit it better."""
-    if len(samples) < rate:
-        return None
+def _pace(rate: int) -> tuple[int, int, int, int, int]:
+    """How audio is thinned: every so many samples, samples a second then, those of 30 ms, and the shortest and longest beat."""
     thin = max(1, rate // 2205)
-    x, pace = np.maximum(np.asarray(samples, np.float64)[::thin], 0.0), rate // thin
-    width = max(1, int(pace * 0.030))
-    total = np.concatenate([[0.0], np.cumsum(x)])
-    envelope = (total[1:] - total[np.maximum(np.arange(1, len(x) + 1) - width, 0)]) / width
-    rise = np.concatenate([[0.0], np.maximum(np.diff(envelope), 0.0)])
-    rise[rise < 1e-12] = 0.0  # what differences of sums leave
-    shortest, longest = round(60 / HIGH_BPM * pace), min(round(60 / LOW_BPM * pace), len(rise) // 2)
-    if shortest >= longest or longest < 2:
-        return None
-    best, top = shortest, 0.0
-    for lag in range(shortest, longest + 1):
-        both = rise[:-lag] * rise[lag:]
-        n = np.count_nonzero(both)
-        if n and both.sum() / n > top:
-            best, top = lag, both.sum() / n
-    if top <= 0:
-        return None
+    pace = rate // thin
+    return thin, pace, max(1, int(pace * 0.030)), round(60 / HIGH_BPM * pace), round(60 / LOW_BPM * pace)
+
+
+def _rises(x: np.ndarray, before: np.ndarray, width: int) -> np.ndarray:
+    """Rises of the mean over width places: what enters it less what leaves it, where that is more. before: the width places
+    ahead of x, zeros at a track's start."""
+    return np.maximum(x - np.concatenate([before, x])[: len(x)], 0.0) / width
+
+
+def _settled(best: int, top: float, pace: int, onsets: np.ndarray, share: float) -> tuple[float, float]:
+    """Tempo and confidence of the best lag; half or double tempo where the onsets fit it better."""
     bpm = min(HIGH_BPM, max(LOW_BPM, 60.0 * pace / best))
-    at = np.flatnonzero((rise > 0.3 * rise.max()) & (rise > np.concatenate([[0.0], rise[:-1]])))
-    onsets = at / pace
     if len(onsets) >= 3:
         bins = np.floor(onsets / BIN + 0.5).astype(int)
         marked = np.unique(bins)
@@ -76,7 +65,33 @@ def tempo_of_audio(samples: np.ndarray, rate: int, share: float = 0.7) -> tuple[
             if LOW_BPM <= other <= HIGH_BPM and credit(other) >= share * top and fit(other) > fitted:
                 chosen, fitted, score = other, fit(other), credit(other)
         bpm, top = chosen, score
-    return bpm, min(1.0, top * 10), onsets
+    return bpm, min(1.0, top * 10)
+
+
+def tempo_of_audio(samples: np.ndarray, rate: int, share: float = 0.7) -> tuple[float, float, np.ndarray] | None:
+    """(tempo, confidence, onset times) of mono samples, or None under a second or without a pulse.
+
+    Samples are thinned to about 2205 a second, cut at 0 and averaged over 30 ms; rises of that envelope are correlated with
+    themselves, as the mean over pairs that both rise. Half or double tempo is taken where the rises fit it better."""
+    if len(samples) < rate:
+        return None
+    thin, pace, width, shortest, longest = _pace(rate)
+    x = np.maximum(np.asarray(samples, np.float64)[::thin], 0.0)
+    rise = _rises(x, np.zeros(width), width)
+    rise[0] = 0.0
+    longest = min(longest, len(rise) // 2)
+    if shortest >= longest or longest < 2:
+        return None
+    best, top = shortest, 0.0
+    for lag in range(shortest, longest + 1):
+        both = rise[:-lag] * rise[lag:]
+        n = np.count_nonzero(both)
+        if n and both.sum() / n > top:
+            best, top = lag, both.sum() / n
+    if top <= 0:
+        return None
+    onsets = np.flatnonzero((rise > 0.3 * rise.max()) & (rise > np.concatenate([[0.0], rise[:-1]]))) / pace
+    return *_settled(best, top, pace, onsets, share), onsets
 
 
 class BeatModel(Protocol):
@@ -116,14 +131,82 @@ def _whole_tracks(blocks: DataFrame, run, schema: str) -> DataFrame:
     return blocks.select("track_id", "block_no", "samples").groupBy("track_id").applyInPandas(fold, schema)
 
 
-def bpm_from_audio(blocks: DataFrame, rate: int) -> DataFrame:
-    """track_id, bpm, beat_duration_sec, confidence of blocks of mono samples; no row for a track without a pulse."""
+def placed_blocks(blocks: DataFrame) -> DataFrame:
+    """(track_id, start_frame, samples) of blocks (track_id, block_no, samples): places come from the blocks' sizes alone."""
+    before = Window.partitionBy("track_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("track_id", "block_no", F.coalesce(F.sum(F.size("samples")).over(before), F.lit(0)).cast("long").alias("start_frame"))
+    return blocks.select("track_id", "block_no", "samples").join(starts, ["track_id", "block_no"]).select("track_id", "start_frame", "samples")
 
-    def run(track_id, samples):
-        found = tempo_of_audio(samples, rate)
-        return [(track_id, found[0], 60.0 / found[0], found[1])] if found else []
 
-    return _whole_tracks(blocks, run, "track_id bigint, bpm double, beat_duration_sec double, confidence double")
+def audio_pulse(blocks: DataFrame, rate: int, share: float = 0.7, tile: int = 1 << 15) -> DataFrame:
+    """track_id, seconds, bpm, confidence, first_onset of tracks of mono blocks, as tempo_of_audio finds them; no row for a track without
+    a pulse.
+
+    Blocks are thinned where they lie. Tiles of thinned places, with 30 ms before and the longest beat behind them, give sums for
+    each lag and the places that rise most; sums meet by track and lag, and one group a track settles its onsets alone."""
+    import pandas as pd
+
+    thin, pace, width, shortest, longest = _pace(rate)
+    placed = placed_blocks(blocks)
+
+    def thinned(batches):
+        for b in batches:
+            firsts = [-s % thin for s in b["start_frame"]]
+            yield pd.DataFrame({"track_id": b["track_id"], "start_frame": [(s + f) // thin for s, f in zip(b["start_frame"], firsts)], "samples": [np.maximum(np.asarray(x, float)[f::thin], 0.0) for x, f in zip(b["samples"], firsts)]})
+
+    few = placed.mapInPandas(thinned, "track_id bigint, start_frame bigint, samples array<double>")
+
+    def correlate(rows: pd.DataFrame) -> pd.DataFrame:
+        number = int(rows["tile"].iloc[0])
+        low = number * tile
+        x, end = laid(rows, low - width - 1, low + tile + longest)
+        rise = _rises(x[width:], x[:width], width)  # from the place before the tile on
+        rise[max(0, end - low + 1) :] = 0.0  # behind the track's end
+        if number == 0:
+            rise[:2] = 0.0
+        own, lags = rise[1 : tile + 1], np.arange(shortest, longest + 1)
+        sums, counts = np.zeros(len(lags)), np.zeros(len(lags), np.int64)
+        for n, lag in enumerate(lags):
+            both = own * rise[1 + lag : 1 + lag + tile]
+            sums[n], counts[n] = both.sum(), np.count_nonzero(both)
+        peaks = np.flatnonzero((own > 0.3 * own.max()) & (own > rise[:tile]))  # 0.3 of the track's most is no less
+        return pd.DataFrame({"track_id": [rows["track_id"].iloc[0]], "most": [own.max()], "sums": [sums], "counts": [counts], "places": [peaks + low], "heights": [own[peaks]]})
+
+    parts = in_tiles(few, tile, width + 1, tile + longest - 1).groupBy("track_id", "tile").applyInPandas(correlate, "track_id bigint, most double, sums array<double>, counts array<bigint>, places array<bigint>, heights array<double>")
+    size = placed.groupBy("track_id").agg(F.max(F.col("start_frame") + F.size("samples")).alias("n"))
+    lags = parts.select("track_id", F.posexplode(F.arrays_zip("sums", "counts")).alias("k", "z")).groupBy("track_id", "k").agg(F.sum("z.sums").alias("s"), F.sum("z.counts").alias("c"))
+    reach = F.least(F.lit(longest), F.floor(F.ceil(F.col("n") / thin) / 2))
+    lag = F.col("k") + shortest
+    able = lags.join(size, "track_id").where((F.col("n") >= rate) & (reach > shortest) & (reach >= 2) & (lag <= reach) & (F.col("s") > 0))
+    best = able.groupBy("track_id", "n").agg(F.max(F.struct((F.col("s") / F.col("c")).alias("top"), (-lag).alias("lag"))).alias("b")).select("track_id", "n", "b.top", (-F.col("b.lag")).alias("lag"))
+    most = parts.groupBy("track_id").agg(F.max("most").alias("most"))
+    onsets = parts.select("track_id", F.explode(F.arrays_zip("places", "heights")).alias("z")).join(most, "track_id").where(F.col("z.heights") > 0.3 * F.col("most")).groupBy("track_id").agg(F.array_sort(F.collect_list("z.places")).alias("places"))
+
+    def settle(batches):
+        for b in batches:
+            rows = []
+            for track, n, top, k, places in zip(b["track_id"], b["n"], b["top"], b["lag"], b["places"], strict=True):
+                at = np.asarray(places if places is not None else [], float) / pace
+                rows.append((track, n / rate, *_settled(int(k), top, pace, at, share), float(at[0]) if len(at) else None))
+            yield pd.DataFrame(rows, columns=["track_id", "seconds", "bpm", "confidence", "first_onset"])
+
+    return best.join(onsets, "track_id", "left").mapInPandas(settle, "track_id bigint, seconds double, bpm double, confidence double, first_onset double")
+
+
+def bpm_from_audio(blocks: DataFrame, rate: int, **options) -> DataFrame:
+    """track_id, bpm, beat_duration_sec, confidence of blocks of mono samples; no row for a track without a pulse."""
+    return audio_pulse(blocks, rate, **options).select("track_id", "bpm", (60.0 / F.col("bpm")).alias("beat_duration_sec"), "confidence")
+
+
+def pulse_beats(blocks: DataFrame, rate: int, bpb: int = 4, **options) -> DataFrame:
+    """PulseModel's beats and downbeats of each track, (track_id, kind, idx, t), without bringing a track together."""
+    beat = 60.0 / F.col("bpm")
+    start = F.coalesce(F.col("first_onset") % beat, F.lit(0.0))
+    count = F.floor((F.col("seconds") - start) / beat).cast("int") + 1
+    grid = audio_pulse(blocks, rate, **options).select("track_id", start.alias("start"), beat.alias("beat"), F.explode(F.sequence(F.lit(0), count - 1)).alias("k"))
+    rows = grid.select("track_id", "k", (F.col("start") + F.col("k") * F.col("beat")).alias("t"))
+    beats = rows.select("track_id", F.lit("beat").alias("kind"), F.col("k").alias("idx"), "t")
+    return beats.unionByName(rows.where(F.col("k") % bpb == 0).select("track_id", F.lit("downbeat").alias("kind"), F.floor(F.col("k") / bpb).cast("int").alias("idx"), "t"))
 
 
 def track_beats(blocks: DataFrame, model: BeatModel, rate: int) -> DataFrame:

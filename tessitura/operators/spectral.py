@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -73,15 +75,79 @@ def hpss_masks(magnitudes: np.ndarray, harmonic: tuple[int, int] = (31, 31), per
     return magnitudes * eh / total, magnitudes * ep / total
 
 
-def hpss(frames: DataFrame) -> DataFrame:
-    """(track_id, frame, harmonic, percussive) from (track_id, frame, magnitudes); one group per track."""
+def hpss(frames: DataFrame, block: int = 1024, harmonic: tuple[int, int] = (31, 31), percussive: tuple[int, int] = (7, 31)) -> DataFrame:
+    """(track_id, frame, harmonic, percussive) from (track_id, frame, magnitudes), frames numbered without gaps.
+
+    A track is cut into blocks; each also gets the frames at its borders that its medians over time reach (15 on either side), so
+    a block is what the whole track gives there."""
+    halo = max(harmonic[0], percussive[0]) // 2
+    near = F.sequence(F.floor((F.col("frame") - halo) / block).cast("long"), F.floor((F.col("frame") + halo) / block).cast("long"))
+    dealt = frames.select("track_id", F.col("frame").cast("long").alias("frame"), "magnitudes", F.explode(near).alias("block"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("frame")
-        h, p = hpss_masks(np.stack(rows["magnitudes"].to_list()))
-        return pd.DataFrame({"track_id": rows["track_id"], "frame": rows["frame"], "harmonic": list(h), "percussive": list(p)})
+        own = (rows["frame"] // block == rows["block"].iloc[0]).to_numpy()
+        if not own.any():  # a block of borders alone
+            return rows[["track_id", "frame"]].iloc[:0].assign(harmonic=pd.Series(dtype=object), percussive=pd.Series(dtype=object))
+        h, p = hpss_masks(np.stack(rows["magnitudes"].to_list()), harmonic, percussive)
+        return pd.DataFrame({"track_id": rows["track_id"][own], "frame": rows["frame"][own], "harmonic": list(h[own]), "percussive": list(p[own])})
+
+    return dealt.groupBy("track_id", "block").applyInPandas(run, "track_id bigint, frame bigint, harmonic array<double>, percussive array<double>")
+
+
+def in_tiles(blocks: DataFrame, tile: int, before: int, after: int):
+    """blocks (track_id, start_frame, samples) beside each tile that needs them: tile t is places t * tile on, and reaches before and
+    after its own places. A block lies in few tiles, whatever its length."""
+    end = F.col("start_frame") + F.size("samples")
+    first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("start_frame") - after) / tile).cast("long"))
+    last = F.floor((end - 1 + before) / tile).cast("long")
+    return blocks.where(F.size("samples") > 0).select("track_id", F.col("start_frame").cast("long").alias("start_frame"), "samples", F.explode(F.sequence(first, F.greatest(first, last))).alias("tile"))
+
 
-    return frames.groupBy("track_id").applyInPandas(run, "track_id bigint, frame bigint, harmonic array<double>, percussive array<double>")
+def laid(rows: pd.DataFrame, low: int, high: int) -> tuple[np.ndarray, int]:
+    """Places low to high - 1 of what blocks hold, zeros where there is none, and where the last block ends."""
+    out, end = np.zeros(high - low), low
+    for start, samples in zip(rows["start_frame"], rows["samples"], strict=True):
+        a, b = max(int(start), low), min(int(start) + len(samples), high)
+        if a < b:
+            out[a - low : b - low] = np.asarray(samples, float)[a - int(start) : b - int(start)]
+        end = max(end, b)
+    return out, end
+
+
+def cqt_all(blocks: DataFrame, rate: float, low: float = 27.5, high: float = 4186.0, hop: int = 1, tile: int = 16_384) -> DataFrame:
+    """(track_id, frame, magnitudes): the correlation of a track with each kernel at every hop-th sample from which the longest
+    kernel fits; a track shorter than that has no rows. blocks: (track_id, start_frame, samples), without gaps.
+
+    Overlap-save: a tile and what the longest kernel reaches behind it are transformed once and multiplied with the kernels'
+    spectra; what would wrap around is not used. Tiles are groups of their own."""
+    longest = max(map(len, cqt_kernels(rate, low, high)), default=0)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        begin = int(rows["tile"].iloc[0]) * tile
+        x, end = laid(rows, begin, begin + tile + longest - 1)
+        places = np.arange(-(-begin // hop) * hop, min(begin + tile, end - longest + 1), hop)
+        size = 1 << (tile + longest - 2).bit_length()
+        kernels = _spectra(rate, low, high, size)
+        found = np.abs(np.fft.ifft(np.fft.fft(x, size) * kernels, axis=1))[:, places - begin] if len(places) else np.zeros((len(kernels), 0))
+        return pd.DataFrame({"track_id": np.full(len(places), rows["track_id"].iloc[0]), "frame": places // hop, "magnitudes": pd.Series(list(found.T), dtype=object)})
+
+    dealt = in_tiles(blocks, tile, 0, tile + longest - 2)
+    return dealt.groupBy("track_id", "tile").applyInPandas(run, "track_id bigint, frame bigint, magnitudes array<double>")
+
+
+@lru_cache(maxsize=2)
+def _spectra(rate: float, low: float, high: float, size: int) -> np.ndarray:
+    """The spectra that correlate with the kernels: of each kernel, conjugated and turned around zero."""
+    out = np.zeros((len(kernels := cqt_kernels(rate, low, high)), size), complex)
+    for k, kernel in enumerate(kernels):
+        out[k, : len(kernel)] = kernel
+    return np.conj(np.fft.fft(out, axis=1))
+
+
+def cqt_decibels(frames: DataFrame, ref: float = 1.0) -> DataFrame:
+    """Constant-Q frames as decibels."""
+    return frames.withColumn("magnitudes", F.transform("magnitudes", lambda m: db_scale(m, ref)))
 
 
 def cqt_kernels(rate: float, low: float = 27.5, high: float = 4186.0, per_semitone: int = 1, most: int | None = None) -> list[np.ndarray]:

@@ -235,7 +235,7 @@ def bpm_from_audio(spark, sf):
 
 
 def beat_model(spark, sf):
-    return r6(W.track_beats(D.signal_blocks(spark, sf), W.PulseModel(), D.SAMPLE_RATE), "t")
+    return r6(W.pulse_beats(D.signal_blocks(spark, sf), D.SAMPLE_RATE), "t")
 
 
 def moving_average(spark, sf):
@@ -620,6 +620,13 @@ def cqt_frame(spark, sf):
     return S.cqt_frames(D.signal_blocks(spark, sf), 441.0, 27.5, 200.0)
 
 
+def cqt_full(spark, sf):
+    """Constant-Q magnitudes at every 16th sample, in decibels."""
+    blocks = D.signal_blocks(spark, sf).select("track_id", (F.col("block_no").cast("long") * 64).alias("start_frame"), "samples")
+    rows = S.cqt_decibels(S.cqt_all(blocks, 441.0, 27.5, 200.0, hop=16)).select("track_id", "frame", F.posexplode("magnitudes").alias("bin", "db"))
+    return r6(rows, "db")
+
+
 def cqt_note_detect(spark, sf):
     return S.detect_notes(S.cqt_frames(D.signal_blocks(spark, sf), 441.0, 27.5, 200.0))
 

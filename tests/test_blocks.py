@@ -5,6 +5,8 @@ import pytest
 
 from tessitura.operators import hmm as V
 from tessitura.operators import models as M
+from tessitura.operators import repair as W
+from tessitura.operators import spectral as S
 
 
 def plain_viterbi(probs, switch=0.2, scale=1.0, confidence=0.6):
@@ -131,3 +133,70 @@ def test_level_of_a_track_that_stands_far_off_zero(spark):
 
 def test_triangle():
     assert M.triangle(4).tolist() == [0.5, 1.0, 1.0, 0.5] and np.allclose(M.triangle(5), [1 / 3, 2 / 3, 1, 2 / 3, 1 / 3]) and M.triangle(1).tolist() == [1.0]
+
+
+# medians, constant Q, tempo
+
+
+@pytest.mark.parametrize("block", [1, 7, 40, 1000])
+def test_hpss_by_blocks_equals_the_whole_track(spark, block):
+    rng = np.random.default_rng(3)
+    tracks = {1: rng.random((90, 20)) ** 3, 2: rng.random((1, 20)), 3: rng.random((33, 20))}
+    rows = [(t, n, m.tolist()) for t, ms in tracks.items() for n, m in enumerate(ms)]
+    frames = spark.createDataFrame(rows, "track_id bigint, frame bigint, magnitudes array<double>").repartition(3)
+    got = {(r["track_id"], r["frame"]): (r["harmonic"], r["percussive"]) for r in S.hpss(frames, block).collect()}
+    assert len(got) == len(rows)
+    for t, ms in tracks.items():
+        h, p = S.hpss_masks(ms)
+        for n in range(len(ms)):
+            assert (np.array(got[t, n][0]) == h[n]).all() and (np.array(got[t, n][1]) == p[n]).all()
+
+
+@pytest.mark.parametrize("tile,hop,sizes", [(50, 1, (64,)), (64, 3, (7, 100)), (4096, 1, (1000,))])
+def test_constant_q_over_tiles_equals_direct_correlation(spark, tile, hop, sizes):
+    rng = np.random.default_rng(5)
+    kernels = S.cqt_kernels(441.0, 27.5, 200.0)
+    longest = max(map(len, kernels))
+    tracks = {1: rng.standard_normal(500), 2: rng.standard_normal(longest), 3: rng.standard_normal(longest - 1)}
+    rows = []
+    for t, x in tracks.items():
+        at = k = 0
+        while at < len(x):
+            rows.append((t, at, x[at : at + sizes[k % len(sizes)]].tolist()))
+            at, k = at + sizes[k % len(sizes)], k + 1
+    blocks = spark.createDataFrame([*rows, (1, 500, [])], "track_id bigint, start_frame bigint, samples array<double>")
+    got = {(r["track_id"], r["frame"]): r["magnitudes"] for r in S.cqt_all(blocks, 441.0, 27.5, 200.0, hop, tile).collect()}
+    want = {(t, n // hop): [abs(x[n : n + len(k)] @ k) for k in kernels] for t, x in tracks.items() for n in range(0, len(x) - longest + 1, hop)}
+    assert got.keys() == want.keys() and not any(t == 3 for t, _ in got)
+    for key, m in want.items():
+        assert np.allclose(got[key], m, atol=1e-9)
+
+
+def clicks(bpm, seconds, rate, seed):
+    rng = np.random.default_rng(seed)
+    x = 0.01 * rng.standard_normal(int(seconds * rate))
+    for k in range(int(seconds * bpm / 60)):
+        a = int((0.1 + k * 60 / bpm) * rate)
+        x[a : a + rate // 50] += 0.8
+    return x
+
+
+@pytest.mark.parametrize("tile,size", [(256, 1000), (1 << 15, 777), (1000, 1 << 20)])
+def test_tempo_by_tiles_equals_the_whole_track(spark, tile, size):
+    rate = 4410
+    tracks = {1: clicks(120, 9, rate, 1), 2: clicks(93, 14, rate, 2), 3: np.zeros(rate * 3), 4: clicks(100, 0.5, rate, 4), 5: clicks(70, 6.3, rate, 5)}
+    rows = [(t, n, x[a : a + size].tolist()) for t, x in tracks.items() for n, a in enumerate(range(0, len(x), size))]
+    blocks = spark.createDataFrame(rows, "track_id bigint, block_no int, samples array<double>").repartition(3)
+    got = {r["track_id"]: r for r in W.audio_pulse(blocks, rate, tile=tile).collect()}
+    want = {t: f for t, x in tracks.items() if (f := W.tempo_of_audio(x, rate))}
+    assert got.keys() == want.keys() and {1, 2, 5} <= got.keys() and not {3, 4} & got.keys()
+    for t, (bpm, confidence, onsets) in want.items():
+        assert np.allclose([got[t]["bpm"], got[t]["confidence"], got[t]["first_onset"], got[t]["seconds"]], [bpm, confidence, onsets[0], len(tracks[t]) / rate])
+    assert abs(want[1][0] - 120) < 3 or abs(want[1][0] - 60) < 2
+    grid = {}
+    for r in W.pulse_beats(blocks, rate, tile=tile).collect():
+        grid.setdefault((r["track_id"], r["kind"]), []).append((r["idx"], r["t"]))
+    for t in want:
+        beats, downbeats = W.PulseModel().beats(tracks[t], rate)
+        for kind, ts in (("beat", beats), ("downbeat", downbeats)):
+            assert [i for i, _ in sorted(grid[t, kind])] == list(range(len(ts))) and np.allclose([x for _, x in sorted(grid[t, kind])], ts)
