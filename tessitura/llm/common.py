@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,6 +157,60 @@ class Memo(dict):
         return value
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+class WordHash:
+    """64-bit hashes of all words of a text at once, without a step for each word.
+
+    A word's hash is a polynomial of its bytes, each mapped to a random number, modulo 2**64, mixed. The sums of
+    byte * base**place over the text give those of each word as differences, times the inverse base to the word's place."""
+
+    def __init__(self, seed: int = 0, piece: int = 1 << 18):
+        rng = np.random.default_rng([seed, 77])
+        self.value = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.base, self.piece = int(rng.integers(1 << 62, dtype=np.uint64)) * 8 + 5, piece
+        self.power, self.inverse = (np.ones(1, np.uint64) for _ in range(2))
+        self._grow(2 * piece)
+
+    def _grow(self, n: int) -> None:
+        if len(self.power) < n:
+            for name, base in (("power", self.base), ("inverse", pow(self.base, -1, 1 << 64))):
+                factors = np.full(n, base % (1 << 64), np.uint64)
+                factors[0] = 1
+                setattr(self, name, np.multiply.accumulate(factors))
+
+    def __call__(self, text: bytes | None, edges: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes, starts, ends) of the words of a text: runs of bytes other than the six white-space bytes of ASCII.
+
+        edges: by byte, whether it counts for nothing at either end of a word; a word of nothing else is empty and has hash 0."""
+        data = np.frombuffer(text or b"", np.uint8)
+        space = np.concatenate([[True], _SPACE[data], [True]])
+        bounds = np.flatnonzero(space[1:] != space[:-1])
+        starts, ends = bounds[::2], bounds[1::2]
+        if edges is not None and len(starts):
+            core = np.flatnonzero(~(edges[data] | _SPACE[data]))
+            at, behind = core.searchsorted(starts), core.searchsorted(ends)
+            some, core = at < behind, np.append(core, len(data))
+            starts, ends = np.where(some, core[at], starts), np.where(some, core[behind - 1] + 1, starts)
+        out = np.empty(len(starts), np.uint64)
+        first = 0
+        while first < len(starts):  # whole words, in pieces of bounded size unless a word is longer
+            last = max(first + 1, int(ends.searchsorted(starts[first] + self.piece, "right")))
+            low, high = int(starts[first]), int(ends[last - 1])
+            self._grow(high - low + 1)
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(self.value[data[low:high]] * self.power[: high - low], out=sums[1:])
+            a = starts[first:last] - low
+            out[first:last] = (sums[ends[first:last] - low] - sums[a]) * self.inverse[a]
+            first = last
+        out ^= out >> np.uint64(32)
+        out *= np.uint64(0xFF51AFD7ED558CCD)
+        out ^= out >> np.uint64(29)
+        return out, starts, ends
+
+
 def rows_of(batch, *names):
     """The named columns of an Arrow batch as Python lists."""
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]

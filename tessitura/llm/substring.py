@@ -25,31 +25,22 @@ rows; further columns, whatever their names, are ignored, or kept where document
 
 from __future__ import annotations
 
+from itertools import compress
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import build, hits
-from .common import Memo, delete, materialize, rows_of, scratch, slices_of, text_key, unused, write
+from .common import WordHash, delete, materialize, rows_of, scratch, slices_of, text_key, unused, write
 
 WINDOW, GRAM = 13, 6
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
-def word_memo(seed: int = 0) -> Memo:
-    """Word hashes, remembered for a task: what a worker keeps between tasks would add up over stages."""
-    return Memo(lambda w: xxhash.xxh3_64_intdigest(w, seed), 100_000)
-
-
-def word_hashes(text: bytes | None, memo: Memo) -> np.ndarray:
-    words = text.split() if text else []  # bytes.split() splits at exactly the six ASCII white-space bytes
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-
-
 def rolled(h: np.ndarray, width: int, odd: np.uint64) -> np.ndarray:
     """A mixed polynomial hash of each run of width word hashes."""
     out = np.zeros(max(0, len(h) - width + 1), np.uint64)
@@ -70,6 +61,11 @@ def window_anchors(h: np.ndarray) -> np.ndarray:
     return m
 
 
+def _steps(values: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before it."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(values)), bool), values[1:] != values[:-1]]))
+
+
 def _runs(ids: np.ndarray, keys: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
     """Id, key, first and number of consecutive positions."""
     order = np.lexsort((pos, keys, ids))
@@ -185,11 +181,12 @@ def owner_rows(documents: DataFrame) -> DataFrame:
     """For each slice of a task its fingerprints, sorted, the row in the slice that each occurs in, and the rows' ids."""
 
     def run(batches):
-        memo = word_memo()
+        words = WordHash()
         for b in batches:
             ids, texts = rows_of(b, "__id", "text")
             for start, stop in slices_of(texts, 4 << 20):
-                found = [np.unique(window_anchors(word_hashes(t, memo))) for t in texts[start:stop]]
+                anchors = (window_anchors(words(t)[0]) for t in texts[start:stop])
+                found = [np.unique(a[_steps(a)]) for a in anchors]
                 row = np.repeat(np.arange(len(found), dtype=np.uint32), [len(x) for x in found])
                 values = np.concatenate(found)
                 order = np.argsort(values, kind="stable")
@@ -257,27 +254,25 @@ def window_rows(rows: DataFrame, bloom: np.ndarray, buckets: int) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(bloom)  # at most max_bytes
 
     def run(batches):
-        number, memo, other = 0, word_memo(), word_memo(1).__getitem__
+        number, hashes, checks = 0, WordHash(), WordHash(1)
         for b in batches:
             columns = rows_of(b, "__id", "__key", "__new", "text")
             for start, stop in slices_of(columns[3], 4 << 20):
                 number += 1
-                if out := settle_slice(number, memo, other, *(c[start:stop] for c in columns)):
+                if out := settle_slice(number, hashes, checks, *(c[start:stop] for c in columns)):
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 7, pa.bool_()), strict=True)], [c.split()[0] for c in _WINDOWS.split(", ")])
 
-    def settle_slice(number, memo, other, ids, keys, new, texts):
+    def settle_slice(number, hashes, checks, ids, keys, new, texts):
         bits = shared.value
         wins, chks, poss, whose = [], [], [], []
         for i, text in enumerate(texts):
-            words = text.split()
-            h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-            at = np.flatnonzero(hits(bits, window_anchors(h)))
+            h = hashes(text)[0]
+            anchors = window_anchors(h)
+            first = _steps(anchors)  # neighbours mostly share an anchor
+            at = np.flatnonzero(np.repeat(hits(bits, anchors[first]), np.diff(np.append(first, len(anchors)))))
             if len(at):
                 wins.append(rolled(h, WINDOW, _ODD[1])[at])
-                # the check's hashes are made of the words in these windows alone
-                need = np.flatnonzero(_covered(at, np.ones_like(at), len(words)))
-                h[need] = np.fromiter((other(words[i]) for i in need.tolist()), np.uint64, len(need))
-                chks.append((rolled(h, WINDOW, _ODD[2])[at] >> np.uint64(32)).astype(np.uint32))
+                chks.append((rolled(checks(text)[0], WINDOW, _ODD[2])[at] >> np.uint64(32)).astype(np.uint32))
                 poss.append(at.astype(np.uint32))
                 whose.append(np.full(len(at), i, np.uint32))
         if not wins:
@@ -322,9 +317,7 @@ def removals(windows: DataFrame) -> DataFrame:
 
 def _covered(starts: np.ndarray, n: np.ndarray, words: int) -> np.ndarray:
     """Which words the windows of these runs cover."""
-    cover = np.zeros(words + 1, np.int64)
-    np.add.at(cover, starts, 1)
-    np.add.at(cover, np.minimum(starts + n - 1 + WINDOW, words), -1)
+    cover = np.bincount(starts, minlength=words + 1) - np.bincount(np.minimum(starts + n - 1 + WINDOW, words), minlength=words + 1)
     return np.cumsum(cover[:-1]) > 0
 
 
@@ -332,8 +325,8 @@ def _kept(words: list[bytes], starts: np.ndarray, n: np.ndarray) -> tuple[bytes,
     """The words that no window of these runs covers, joined by one space, and how many went."""
     if not len(starts):
         return b" ".join(words), 0
-    stay = np.flatnonzero(~_covered(starts, n, len(words)))
-    return b" ".join([words[i] for i in stay.tolist()]), len(words) - len(stay)
+    stay = ~_covered(starts, n, len(words))
+    return b" ".join(compress(words, stay.tolist())), len(words) - int(stay.sum())
 
 
 def repeats(documents: DataFrame, root: str | None = None, batches: int = 2, max_runs: int = 2, filter_bytes: int = 64 << 20, bucket_bytes: int = 64 << 20) -> DataFrame:
