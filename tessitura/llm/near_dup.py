@@ -12,9 +12,9 @@ are linked where the Jaccard similarity of their full sets is 0.75 or more, and
 3. Rounds of stars: in each list every class meets a few heads. It keeps the best of these by the union-sketch estimate;
    the exact Jaccard of the full sets verifies; components contract, and the next round only looks between components.
 4. Classes whose lists reach over components after that offer the rarest values of their full sets: by the exact prefix
-   filter, any pair still unlinked meets there. Lists are cut into blocks by component and set size, and only blocks of
-   different components meet, so a component of equal prefixes never meets itself. What bounds on the sketches leave is
-   verified on full sets: this step drops nothing by an estimate.
+   filter, any pair still unlinked meets there. Lists are cut into blocks by set size, and what leaves two blocks is that a
+   class may reach a component, not each pair. Such a class is compared with all the component's members, full sets in
+   blocks, and one link is enough: this step drops nothing by an estimate, and no table of pairs is made.
 
 Words are runs of bytes other than space and \\t\\n\\v\\f\\r, with A-Z in lower case. Fewer than 5 words are one shingle.
 Defined cases: null text or no words give an empty set, linked with nothing; rows that repeat an id keep their own sets and
@@ -34,22 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import build, hits
-from .common import Memo, Scratch, rows_of, text_key, without_rows
+from .common import Scratch, WordHash, rows_of, text_key, without_rows
 
 SHINGLE = 5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xC4CEB9FE1A85EC53)
 
 
-def word_memo() -> Memo:
-    """Word hashes, remembered for a task: what a worker keeps between tasks would add up over stages."""
-    return Memo(lambda w: xxhash.xxh3_64_intdigest(w, seed=5), 100_000)
-
-
-def shingle_set(text: bytes | None, memo: Memo) -> np.ndarray:
+def shingle_set(text: bytes | None, words: WordHash) -> np.ndarray:
     """The sorted distinct hashes of the text's shingles."""
-    words = text.lower().split() if text else []  # of bytes: A-Z only, and the six ASCII white-space bytes
-    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    h, _, _ = words(text.lower() if text else b"")  # of bytes: A-Z only
     width = min(SHINGLE, len(h))
     if not width:
         return h
@@ -85,11 +79,11 @@ def sketches(documents: DataFrame, k: int) -> DataFrame:
     """doc_id, text_key, n_shingles, digest of the set (null if empty), sketch."""
 
     def run(batches):
-        memo = word_memo()
+        words = WordHash(5)
         for b in batches:
             n, digests, kept = [], [], []
             for text in rows_of(b, "text")[0]:
-                s = shingle_set(text, memo)
+                s = shingle_set(text, words)
                 n.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 kept.append(s[:k].view(np.int64))
@@ -116,17 +110,6 @@ def union_estimate(a: np.ndarray, b: np.ndarray, k: int) -> float:
     return float((again & (union < held)).sum()) / held if held else 0.0
 
 
-def most_in_common(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, k: int) -> bool:
-    """Whether two sets of these sizes can have a similarity of 0.75, by their sketches; never wrong in saying no.
-
-    Up to the lesser of the sketches' ends every value of both sets is known: those in one sketch alone are in one set alone."""
-    end = min(a[-1] if n_a > k else ~np.uint64(0), b[-1] if n_b > k else ~np.uint64(0))
-    x, y = a[a <= end], b[b <= end]
-    both = np.sort(np.concatenate([x, y]))
-    apart = len(both) - 2 * int((both[1:] == both[:-1]).sum())
-    return 7 * apart <= n_a + n_b
-
-
 def with_estimates(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """pairs (a, b) with the union-sketch estimate; those whose estimate is below six standard deviations are left out."""
     low = 0.75 - 6 * (0.1875 / k) ** 0.5
@@ -145,20 +128,6 @@ def with_estimates(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint, estimate double")
 
 
-def possible(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """The pairs (a, b) that the sketches do not rule out."""
-
-    def run(batches):
-        for b in batches:
-            sizes = rows_of(b, "na", "nb")
-            keep = [most_in_common(x, y, n, m, k) for x, y, n, m in zip(lists_of(b, "sa"), lists_of(b, "sb"), *sizes, strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    s = classes.select("cid", "n", "sketch")
-    both = pairs.join(s.toDF("b", "nb", "sb"), "b").join(s.toDF("a", "na", "sa"), "a")
-    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
-
-
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= 75 * union on full sets."""
 
@@ -176,8 +145,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "xa", "xb").mapInArrow(run, "a bigint, b bigint")
 
 
-def prefix_pairs(sets: DataFrame, placed: DataFrame, keep: Scratch, block: int = 256) -> DataFrame:
-    """All pairs (a, b) of different components that can reach 0.75, by the exact prefix filter on full sets.
+def prefix_relations(sets: DataFrame, placed: DataFrame, keep: Scratch) -> DataFrame:
+    """(cid, other): classes with another component whose members they may reach 0.75 with, by the exact prefix filter.
 
     sets: (cid, hashes); placed: (cid, n, c). In a common order, rarest first, two sets of similarity 0.75 meet among the
     first n - ceil(0.75 n) + 1 values of each. A set with more than a quarter of values of its own offers none."""
@@ -187,18 +156,19 @@ def prefix_pairs(sets: DataFrame, placed: DataFrame, keep: Scratch, block: int =
     alone = F.col("n") - F.size("list")  # values of its own come first in the order
     room = (F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1 - alone).cast("int")
     lists = offered.where(room > 0).select("cid", "n", "c", alone.alias("alone"), F.posexplode(F.slice("list", F.lit(1), room)).alias("i", "v"))
-    return list_pairs(keep.keep(lists.select(F.col("v.value").alias("value"), "cid", "n", "c", (F.col("n") - F.col("alone") - F.col("i")).alias("left")), "prefixes"), keep, block)
+    return list_relations(keep.keep(lists.select(F.col("v.value").alias("value"), "cid", "n", "c", (F.col("n") - F.col("alone") - F.col("i")).alias("left")), "prefixes"), keep)
 
 
-def list_pairs(lists: DataFrame, keep: Scratch, block: int = 256) -> DataFrame:
-    """Pairs (a, b) of different components c in a list of a value whose sizes n and places in it allow 0.75.
+def list_relations(lists: DataFrame, keep: Scratch, block: int = 256) -> DataFrame:
+    """(cid, other): a class and a component c that is not its own, where they share a list of a value in which some member's size
+    n and place allow 0.75. Of two components' members in a list only one side's need be named.
 
     left: how many values of the set come at or after the list's in the common order. From their first common value on a pair
     has at most the shorter rest in common, and needs 3 / 7 of both sizes. The smaller set thus knows the largest size of a
     partner, and the larger one the largest size of a smaller partner; sizes are dealt to bands of a tenth.
 
-    In each band a list's entries are put together by component in blocks. The list's largest component meets only others;
-    the work is that of blocks of different components, whatever the size of one."""
+    In each band a list's entries meet in blocks, those of its largest component in blocks of their own, which never meet each
+    other. What leaves two blocks is a row for each class and component, not for each pair."""
     main = lists.groupBy("value", "c").agg(F.count("*").alias("members")).groupBy("value").agg(F.sum("members").alias("members"), F.max_by("c", F.struct("members", "c")).alias("main"), F.count("*").alias("components"))
     main = main.where("components > 1").select("value", "members", "main")
     open_ = keep.keep(lists.join(main, "value"), "open-prefixes")
@@ -209,18 +179,72 @@ def list_pairs(lists: DataFrame, keep: Scratch, block: int = 256) -> DataFrame:
 
     def blocks(entries: DataFrame, name: str) -> DataFrame:
         part = F.pmod(F.xxhash64("cid"), F.ceil(F.col("members") / block))
-        made = entries.groupBy("value", "band", "c", part.alias("part")).agg(F.collect_list(F.struct("cid", "n", "most")).alias(name), F.first(F.col("c") == F.col("main")).alias("is_main"))
-        return made.select("value", "band", F.col("c").alias(f"c_{name}"), name, F.col("is_main").alias(f"main_{name}"))
+        return entries.groupBy("value", "band", (F.col("c") == F.col("main")).alias(f"main_{name}"), part.alias(f"part_{name}")).agg(F.collect_list(F.struct("cid", "c", "n", "most")).alias(name))
 
+    def fits(x, y):
+        return (x["c"] != y["c"]) & (x["n"] <= y["n"]) & (y["n"] <= x["most"]) & (x["n"] <= y["most"])
+
+    relation = lambda cid, other: F.struct(cid.alias("cid"), other.alias("other"))
     s, t = blocks(small, "s"), blocks(large, "t")
-    met = s.where("not main_s").join(t, ["value", "band"]).unionByName(s.where("main_s").join(t.where("not main_t"), ["value", "band"])).where("c_s != c_t")
+    met = s.join(t, ["value", "band"]).where("not (main_s and main_t)")
+    of_large = F.transform(F.filter("t", lambda y: F.exists("s", lambda x: fits(x, y))), lambda y: relation(y["cid"], F.col("s")[0]["c"]))
+    others = lambda x: F.array_distinct(F.transform(F.filter("t", lambda y: fits(x, y)), lambda y: y["c"]))
+    of_small = F.flatten(F.transform("s", lambda x: F.transform(others(x), lambda c: relation(x["cid"], c))))
+    return met.select(F.explode(F.when(F.col("main_s"), of_large).otherwise(of_small)).alias("r")).select("r.cid", "r.other").distinct()
+
+
+def links_of_blocks(x: list[np.ndarray], y: list[np.ndarray]) -> list[tuple[int, int]]:
+    """For each set of x that reaches 0.75 with a set of y, its place and that of the first such set."""
+    nx, ny = np.array(list(map(len, x))), np.array(list(map(len, y)))
+    vx, vy = np.concatenate(x), np.concatenate(y)
+    order = np.argsort(vy, kind="stable")
+    of_y, vy = np.repeat(np.arange(len(y)), ny)[order], vy[order]
+    low, high = vy.searchsorted(vx, "left"), vy.searchsorted(vx, "right")
+    n = high - low
+    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)  # where each common value stands
+    both = np.bincount(np.repeat(np.repeat(np.arange(len(x)), nx), n) * len(y) + of_y[at], minlength=len(x) * len(y)).reshape(len(x), len(y))
+    ok = 100 * both >= 75 * (nx[:, None] + ny[None, :] - both)
+    return [(int(i), int(ok[i].argmax())) for i in np.flatnonzero(ok.any(1))]
+
+
+def verified_relations(relations: DataFrame, placed: DataFrame, sets: DataFrame, keep: Scratch, values: int = 1 << 14, entries: int = 128) -> DataFrame:
+    """Links (a, b): for each related class and component, a member of it that the class reaches 0.75 with, if there is one.
+
+    The classes that are related to a component, and its members, are dealt to blocks of about so many values and entries; each
+    block of one meets each of the other in a row of its own, and is compared there as a whole."""
+    own = keep.keep(sets.join(placed.select("cid", "n", "c"), "cid").select("cid", "n", "c", "hashes"), "own-sets")
+    parts = F.greatest(F.lit(1), F.ceil(F.sum("n") / values), F.ceil(F.count("*") / entries)).cast("int")
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        sizes = rows.groupBy("other").agg(parts.alias(f"parts_{name}"))
+        dealt = rows.join(sizes, "other").withColumn(f"part_{name}", F.pmod(F.xxhash64("cid", F.lit(3)), F.col(f"parts_{name}")))
+        dealt = dealt.repartition("other", f"part_{name}")  # else a component's blocks stay together, as they were counted
+        return dealt.groupBy("other", f"part_{name}").agg(F.first(f"parts_{name}").alias(f"parts_{name}"), F.collect_list(F.struct("cid", "hashes")).alias(name))
+
+    members = blocks(own.withColumnRenamed("c", "other").join(relations.select("other").distinct(), "other").select("other", "cid", "n", "hashes"), "y")
+    asking = blocks(relations.join(own.select("cid", "n", "hashes"), "cid"), "x")
+    counts = members.groupBy("other").agg(F.first("parts_y").alias("parts_y"))
+    met = asking.join(counts, "other").withColumn("part_y", F.explode(F.sequence(F.lit(0), F.col("parts_y") - 1))).select("other", "part_y", "x").join(members.select("other", "part_y", "y"), ["other", "part_y"])
 
-    def fits(x, y):
-        return (x["n"] <= y["n"]) & (y["n"] <= x["most"]) & (x["n"] <= y["most"]) & ((x["n"] < y["n"]) | (x["cid"] != y["cid"]))
+    def run(batches):
+        for b in batches:
+            found = []
+            for row in zip(_blocks_of(b, "x"), _blocks_of(b, "y"), strict=True):
+                (ids_x, x), (ids_y, y) = row
+                found += [(ids_x[i], ids_y[j]) for i, j in links_of_blocks(x, y)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], []))], ["a", "b"])
+
+    return met.select("x", "y").mapInArrow(run, "a bigint, b bigint")
 
-    # only the pairs that fit leave the two blocks they come from
-    pairs = F.flatten(F.transform("s", lambda x: F.transform(F.filter("t", lambda y: fits(x, y)), lambda y: F.struct(F.greatest(x["cid"], y["cid"]).alias("a"), F.least(x["cid"], y["cid"]).alias("b")))))
-    return met.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
+
+def _blocks_of(batch, name: str):
+    """(ids, sets) of each row's array of (cid, hashes)."""
+    column = batch.column(batch.schema.get_field_index(name))
+    at, entries = column.offsets.to_numpy(), column.values
+    ids, lists = entries.field("cid").to_numpy(zero_copy_only=False), entries.field("hashes")
+    inner, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
+    for i, j in zip(at[:-1], at[1:], strict=True):
+        yield ids[i:j], [values[inner[n] : inner[n + 1]] for n in range(i, j)]
 
 
 def full_sets(documents: DataFrame, wanted: DataFrame, filter_bytes: int) -> DataFrame:
@@ -228,13 +252,13 @@ def full_sets(documents: DataFrame, wanted: DataFrame, filter_bytes: int) -> Dat
     shared = documents.sparkSession.sparkContext.broadcast(build(wanted.select("rep"), filter_bytes))
 
     def run(batches):
-        memo = word_memo()
+        words = WordHash(5)
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             at = np.flatnonzero(hits(shared.value, ids.view(np.uint64)))
             if len(at):
                 found = b.take(pa.array(at))
-                sets = [shingle_set(t, memo) for t in found.column(1).to_pylist()]
+                sets = [shingle_set(t, words) for t in found.column(1).to_pylist()]
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 yield pa.RecordBatch.from_arrays([found.column(0), pa.array(digests, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["rep", "digest", "hashes"])
 
@@ -323,13 +347,13 @@ def near_duplicates(documents: DataFrame, k: int = 64, rounds: int = 3, tries: i
     placed = _placed(lists, grouped, links)
     mixed = placed.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("value")
     open_ = keep.keep(placed.join(mixed, "value").select("cid", "n", "c").distinct(), "open")
-    rest = keep.keep(verified(possible(prefix_pairs(sets, open_, keep), classes, k), sets), "links")
+    rest = keep.keep(verified_relations(keep.keep(prefix_relations(sets, open_, keep), "relations"), open_, sets, keep), "links")
     grouped = components(links.union(rest), keep)
 
     member = classes.join(grouped.toDF("cid", "c"), "cid", "left").select("digest", "rep", F.coalesce("c", "cid").alias("c"))
     least = member.groupBy("c").agg(F.min("rep").alias("component_id"))
     member = keep.keep(member.join(least, "c").select("digest", "component_id"), "members")
-    keep.drop("classes", "lists", "sets", "links", "labels", "open", "shared-values", "prefixes", "open-prefixes")
+    keep.drop("classes", "lists", "sets", "links", "labels", "open", "shared-values", "prefixes", "open-prefixes", "relations", "own-sets")
     rows = seen.select("doc_id", "n_shingles", "text_key", "digest").join(member, "digest", "left")
     rows = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "text_key")
     return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_key")
