@@ -56,12 +56,29 @@ def parse_chord(symbol: Column) -> Column:
     )
 
 
+# Altered degrees in a suffix, in the order in which they are looked for: degree, semitones, and how it is written.
+DEGREES = {"b9": (9, -1, "alter"), "#9": (9, 1, "alter"), "b5": (5, -1, "alter"), "#5": (5, 1, "alter"), "b13": (13, -1, "alter"), "#11": (11, 1, "add")}
+
+
 def alterations(suffix: Column) -> Column:
-    """The altered degrees in a suffix: b9b5 first as two, then b9 #9 b5 #5 b13 #11."""
-    compound = F.contains(suffix, F.lit("b9b5"))
-    rest = F.replace(suffix, F.lit("b9b5"), F.lit(""))
-    single = F.filter(F.array(*(F.when(F.contains(rest, F.lit(a)), a) for a in ("b9", "#9", "b5", "#5", "b13", "#11"))), lambda a: a.isNotNull())
-    return F.when(compound, F.concat(F.array(F.lit("b9"), F.lit("b5")), single)).otherwise(single)
+    """The altered degrees in a suffix: b9 with b5 first as two, then b9 #9 b5 #5 b13 #11."""
+    both = F.contains(suffix, F.lit("b9")) & F.contains(suffix, F.lit("b5"))
+    rest = F.when(both, F.replace(F.replace(suffix, F.lit("b9"), F.lit("")), F.lit("b5"), F.lit(""))).otherwise(suffix)
+    single = F.filter(F.array(*(F.when(F.contains(rest, F.lit(a)), a) for a in DEGREES)), lambda a: a.isNotNull())
+    return F.when(both, F.concat(F.array(F.lit("b9"), F.lit("b5")), single)).otherwise(single)
+
+
+def unaltered(suffix: Column) -> Column:
+    """A suffix without its altered degrees."""
+    for a in DEGREES:
+        suffix = F.replace(suffix, F.lit(a), F.lit(""))
+    return suffix
+
+
+def degrees(suffix: Column) -> Column:
+    """array of (value, alter, type) of the altered degrees."""
+    of = F.create_map(*(x for a, (value, alter, kind) in DEGREES.items() for x in (F.lit(a), F.struct(F.lit(value).alias("value"), F.lit(alter).alias("alter"), F.lit(kind).alias("type")))))
+    return F.transform(alterations(suffix), lambda a: F.element_at(of, a))
 
 
 def chord_kind(suffix: Column) -> Column:

@@ -171,21 +171,39 @@ def voice_xml(notes: list[tuple], begin: int, width: int, staff: int, voice: int
     return "".join(out)
 
 
-def measure_xml(number: int, notes: list[tuple], begin: int, width: int, first: bool, meter: tuple[int, int] | None, bpm: float | None, swing: str | None, harmony: list[tuple[int, str, str, str]]) -> str:
-    """One measure: attributes where they begin or change, swing words, the tempo in the first, chord symbols, then each voice of both
-    staves with backups. notes: (staff, voice, start, pitch, end, stop, start flag, id, articulation) in order; meter: where new."""
+# How pitch classes are written in chord symbols.
+STEPS = (("C", 0), ("D", -1), ("D", 0), ("E", -1), ("E", 0), ("F", 0), ("G", -1), ("G", 0), ("A", -1), ("A", 0), ("B", -1), ("B", 0))
+
+
+def harmony_xml(offset: int, root: tuple[str, int], kind: str, bass: tuple[str, int] | None, degrees: list[tuple[int, int, str]]) -> str:
+    """A chord symbol: root, kind, bass under a slash, altered degrees."""
+    note = lambda name, step, alter: f"<{name}><{name}-step>{step}</{name}-step>{f'<{name}-alter>{alter}</{name}-alter>' if alter else ''}</{name}>"
+    altered = "".join(f"<degree><degree-value>{v}</degree-value><degree-alter>{a}</degree-alter><degree-type>{t}</degree-type></degree>" for v, a, t in degrees)
+    text = ' text="other"' if kind == "other" else ""
+    return f"<harmony>{note('root', *root)}<kind{text}>{kind}</kind>{note('bass', *bass) if bass else ''}{altered}{f'<offset>{offset}</offset>' if offset > 0 else ''}</harmony>"
+
+
+def _clef_xml(sign: str, number: int | None = None) -> str:
+    return f"<clef{f' number=\"{number}\"' if number else ''}><sign>{sign}</sign><line>{4 if sign == 'F' else 2}</line></clef>"
+
+
+def measure_xml(number: int, notes: list[tuple], begin: int, width: int, first: bool, meter: tuple[int, int] | None, bpm: float | None, swing: str | None, harmony: list[str], clef: str | None = None, single: bool = False) -> str:
+    """One measure: attributes where they begin or change, swing words, the tempo in the first, chord symbols, then each voice of the
+    staves with backups. notes: (staff, voice, start, pitch, end, stop, start flag, id, articulation) in order; meter: where new;
+    clef: of a single staff, in the first measure and where it changes."""
     out = [f'<measure number="{number}">']
     time = f"<time><beats>{meter[0]}</beats><beat-type>{meter[1]}</beat-type></time>" if meter else ""
+    changed = _clef_xml(clef) if clef else ""
     if first:
-        out.append(f'<attributes><divisions>{TICKS}</divisions>{time}<staves>2</staves><clef number="1"><sign>G</sign><line>2</line></clef><clef number="2"><sign>F</sign><line>4</line></clef></attributes>')
-    elif time:
-        out.append(f"<attributes>{time}</attributes>")
+        staves = changed if single else f"<staves>2</staves>{_clef_xml('G', 1)}{_clef_xml('F', 2)}"
+        out.append(f"<attributes><divisions>{TICKS}</divisions>{time}{staves}</attributes>")
+    elif time or changed:
+        out.append(f"<attributes>{time}{changed}</attributes>")
     if swing:
         out.append(f'<direction placement="above"><direction-type><words>{swing}</words></direction-type></direction>')
     if first and bpm:
         out.append(f'<direction placement="above"><direction-type><metronome><beat-unit>quarter</beat-unit><per-minute>{bpm:.2f}</per-minute></metronome></direction-type><sound tempo="{bpm:.2f}"/></direction>')
-    for offset, step, alter, kind in harmony:
-        out.append(f"<harmony><root><root-step>{step}</root-step>{f'<root-alter>{alter}</root-alter>' if alter != '0' else ''}</root><kind>{kind}</kind>{f'<offset>{offset}</offset>' if offset > 0 else ''}</harmony>")
+    out += harmony
     parts = [(staff, voice, [n[2:] for n in part]) for (staff, voice), part in groupby(notes, key=lambda n: n[:2])]
     for k, (staff, voice, part) in enumerate(parts):
         if k:
@@ -197,15 +215,20 @@ def measure_xml(number: int, notes: list[tuple], begin: int, width: int, first:
     return "".join(out)
 
 
-def musicxml(quantised: DataFrame, chords: DataFrame | None = None, bpm: float | None = None, signatures: DataFrame | None = None, sections: DataFrame | None = None, articulations: DataFrame | None = None) -> DataFrame:
+def musicxml(quantised: DataFrame, chords: DataFrame | None = None, bpm: float | None = None, signatures: DataFrame | None = None, sections: DataFrame | None = None, articulations: DataFrame | None = None, single_staff: bool = False) -> DataFrame:
     """(track_id, xml): notes and measures meet in blocks of 32 measures, and the measures are joined in order by an aggregate.
 
+    Measures behind the last that has a note, a chord or a style are left out. With single_staff all notes stand in one staff, whose clef follows the measures'
+    mean pitch.
+
     signatures: meters by beat (else 4/4); sections: (track_id, bar_start, bar_end, style); articulations: (track_id, id, articulation)."""
-    from ..functions.text import chord_kind, parse_chord
+    from ..functions.text import chord_kind, degrees, parse_chord, unaltered
+    from .session import clefs_of_all
 
     spans = note_spans(quantised)
     bars = equal_measures(spans) if signatures is None else measure_boundaries(signatures, spans.groupBy("track_id").agg(F.max("end_tick").alias("end_tick")))
     pieces = split_into_measures(spans, bars)
+    pieces = pieces.withColumn("staff", F.lit(1)) if single_staff else pieces
     marked = pieces.withColumn("articulation", F.lit("Normal")) if articulations is None else pieces.join(articulations.select("track_id", "id", "articulation"), ["track_id", "id"], "left").fillna("Normal", ["articulation"])
     w = Window.partitionBy("track_id").orderBy("measure")
     same = (F.lag("numerator").over(w) == F.col("numerator")) & (F.lag("denominator").over(w) == F.col("denominator"))
@@ -217,17 +240,23 @@ def musicxml(quantised: DataFrame, chords: DataFrame | None = None, bpm: float |
         rows = rows.withColumn("style", F.lit(None).cast("string"))
     before = F.coalesce(F.lag("style").over(w), F.lit("Straight"))
     words = F.when(F.col("style") == "Swing", "Swing").when(F.col("style") == "Triplet", "Triplet feel").when(F.col("style") == "Straight", "Straight")
-    rows = rows.withColumn("swing", F.when(F.col("style") != before, words)).drop("style")
-    shape = "array<struct<offset:int,step:string,alter:string,kind:string>>"
+    rows = rows.withColumn("swing", F.when(F.col("style") != before, words))
+    if single_staff:
+        clef = clefs_of_all(bars, pieces)
+        rows = rows.join(clef.select("track_id", "measure", F.when(F.col("new_clef") | (F.col("measure") == 1), F.col("clef")).alias("clef")), ["track_id", "measure"], "left")
+    else:
+        rows = rows.withColumn("clef", F.lit(None).cast("string"))
+    shape = "array<struct<offset:int,root:int,kind:string,bass:int,degrees:array<struct<value:int,alter:int,type:string>>>>"
     if chords is not None:
         c = chords.withColumn("p", parse_chord(F.col("symbol"))).withColumn("tick", F.round(F.col("beat") * TICKS).cast("int"))
-        steps = F.array(*(F.lit(x) for x in ("C 0", "D -1", "D 0", "E -1", "E 0", "F 0", "G -1", "G 0", "A -1", "A 0", "B -1", "B 0")))
-        name = F.element_at(steps, F.col("p.root") + 1)
         placed = interval_join(c, bars.select("track_id", "measure", F.col("start_tick").alias("a"), F.col("end_tick").alias("z")), "tick", "a", "z", 4.0 * TICKS)
-        entry = F.struct((F.col("tick") - F.col("a")).cast("int").alias("offset"), F.split_part(name, F.lit(" "), F.lit(1)).alias("step"), F.split_part(name, F.lit(" "), F.lit(2)).alias("alter"), chord_kind(F.col("p.suffix")).alias("kind"))
-        rows = rows.join(placed.groupBy("track_id", "measure").agg(F.array_sort(F.collect_list(entry)).alias("harmony")), ["track_id", "measure"], "left")
+        entry = F.struct((F.col("tick") - F.col("a")).cast("int").alias("offset"), F.col("p.root").alias("root"), chord_kind(unaltered(F.col("p.suffix"))).alias("kind"), F.col("p.bass").alias("bass"), degrees(F.col("p.suffix")).alias("degrees"))
+        rows = rows.join(placed.groupBy("track_id", "measure").agg(F.array_sort(F.collect_list(entry)).cast(shape).alias("harmony")), ["track_id", "measure"], "left")
     else:
         rows = rows.withColumn("harmony", F.lit(None).cast(shape))
+    sounding = pieces.groupBy("track_id").agg(F.max("measure").alias("last_note"))
+    shown = F.max(F.when(F.col("harmony").isNotNull() | F.col("style").isNotNull(), F.col("measure"))).over(Window.partitionBy("track_id"))
+    rows = rows.join(sounding, "track_id", "left").withColumn("shown", shown).where(F.col("measure") <= F.greatest(F.coalesce("last_note", F.lit(1)), F.coalesce("shown", F.lit(1)))).drop("last_note", "shown", "style")
 
     def write(notes: pd.DataFrame, bars: pd.DataFrame) -> pd.DataFrame:
         of: dict[int, list[tuple]] = {}
@@ -237,9 +266,9 @@ def musicxml(quantised: DataFrame, chords: DataFrame | None = None, bpm: float |
                 of.setdefault(m, []).append(tuple(n))
         out = []
         for b in bars.sort_values("measure").itertuples(index=False):
-            harmony = [] if b.harmony is None else [(x["offset"], x["step"], x["alter"], x["kind"]) for x in b.harmony]
+            harmony = [] if b.harmony is None else [harmony_xml(x["offset"], STEPS[int(x["root"])], x["kind"], None if pd.isna(x["bass"]) else STEPS[int(x["bass"])], [(d["value"], d["alter"], d["type"]) for d in x["degrees"]]) for x in b.harmony]
             meter = (b.numerator, b.denominator) if b.new_meter else None
-            out.append((b.track_id, b.measure, measure_xml(b.measure, of.get(b.measure, []), b.start_tick, b.end_tick - b.start_tick, b.measure == 1, meter, bpm, b.swing, harmony)))
+            out.append((b.track_id, b.measure, measure_xml(b.measure, of.get(b.measure, []), b.start_tick, b.end_tick - b.start_tick, b.measure == 1, meter, bpm, b.swing, harmony, b.clef, single_staff)))
         return pd.DataFrame(out, columns=["track_id", "measure", "xml"])
 
     left, right = (d.withColumn("block", _block()).selectExpr(*(f"{c} as {c}" for c in (*d.columns, "block"))) for d in (marked, rows))  # columns of their own

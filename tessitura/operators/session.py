@@ -39,6 +39,16 @@ def clefs(pieces: DataFrame, below: float = 46.0) -> DataFrame:
     return m.withColumn("clef", F.when(F.col("mean_pitch") < below, "F").otherwise("G"))
 
 
+def clefs_of_all(bars: DataFrame, pieces: DataFrame, below: float = 46.0) -> DataFrame:
+    """(track_id, measure, clef, new_clef) of one staff: an empty measure repeats the clef before it, a track begins with G without
+    notes; new where it differs from the measure before. bars: (track_id, measure)."""
+    own = clefs(pieces.withColumn("staff", F.lit(1)), below).select("track_id", "measure", "clef")
+    w = Window.partitionBy("track_id").orderBy("measure")
+    rows = bars.select("track_id", "measure").join(own, ["track_id", "measure"], "left")
+    held = rows.withColumn("clef", F.coalesce(F.last("clef", ignorenulls=True).over(w), F.lit("G")))
+    return held.withColumn("new_clef", F.coalesce(F.lag("clef").over(w) != F.col("clef"), F.lit(False)))
+
+
 def chord_debug(candidates: DataFrame) -> DataFrame:
     """One JSON text per track: the candidates of each half bar in order."""
     entry = F.struct("half", "found_at", "n_pcs", "symbol")

@@ -686,6 +686,13 @@ def audio_preview(spark, sf):
     return r6(rows.select(*file_number(), "sample_rate", F.posexplode("samples").alias("i", "x")).withColumn("x", F.col("x").cast("double")), "x")
 
 
+def lead_sheet_given_tempo_map(spark, sf):
+    """The chords of the sheet that a given tempo map makes."""
+    notes, segments = D.note_events(spark, sf), D.tempo_segments(spark, sf)
+    tempo = segments.groupBy("track_id").agg(F.first("bpm").alias("bpm"), F.lit(0.5).alias("confidence"))
+    return r6(Z.lead_sheet_with_tempo_map(notes, tempo, segments)["chord_changes"], "beat")
+
+
 def time_stretch(spark, sf):
     flat = D.signal_blocks(spark, sf).groupBy("track_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "samples"))), lambda b: b["samples"])).alias("samples"))
     rows = A.stretch(flat, 1.25).select("track_id", F.posexplode("samples").alias("i", "x"))

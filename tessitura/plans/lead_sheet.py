@@ -29,6 +29,20 @@ def lead_sheet(notes: DataFrame, beats: DataFrame, downbeats: DataFrame, bpb: in
     }
 
 
+def lead_sheet_with_tempo_map(notes: DataFrame, tempo: DataFrame, segments: DataFrame) -> dict[str, DataFrame]:
+    """The path with a given tempo (track_id, bpm, ...) and tempo map: meters by segment, quantisation against both, tied notes, the
+    melody quantised as well, chords, and the rhythm's confidence. Tracks without a tempo map, or without a note that stays after
+    quantisation, have no rows in any table."""
+    mapped = notes.join(segments.select("track_id").distinct(), "track_id", "left_semi")
+    meter = T.infer_meter(mapped, segments)
+    quantised = Q.quantize_tempo_map(mapped, segments, meter)
+    there = lambda df: df.join(quantised.select("track_id").distinct(), "track_id", "left_semi")
+    return {
+        "tempo": there(tempo), "tempo_segments": there(segments), "time_signatures": there(meter), "quantized_notes": quantised, "tied_notes": there(Q.tied_notes(mapped, segments, meter)),
+        "melody": Q.quantize_tempo_map(P.melody_heuristic(mapped), segments, meter), "chord_changes": C.chord_scan(quantised), "confidence": there(T.rhythm_confidence(segments, meter, tempo)),
+    }
+
+
 def lead_sheet_from_notes(notes: DataFrame) -> dict[str, DataFrame]:
     """The path without beats: tempo by autocorrelation, a windowed tempo map, meters by segment, quantisation against both,
     tied notes, melody, chords, and the rhythm's confidence."""

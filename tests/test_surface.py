@@ -2,6 +2,7 @@
 
 import json
 import os
+from xml.etree import ElementTree
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -13,7 +14,10 @@ from tessitura.operators import engraving as G
 from tessitura.operators import frames as N
 from tessitura.operators import quantize as Q
 from tessitura.operators import repair as W
+from tessitura.operators import score as E
+from tessitura.operators import tempo as T
 from tessitura.plans import catalog
+from tessitura.plans import lead_sheet as Z
 from tessitura.sources import bindings as D
 from tessitura.streaming import chunks as R
 
@@ -139,3 +143,40 @@ def test_highlights_hold_fall_and_expire(spark, tmp_path):
         level += min(1.0, max(0.02, 1 - np.exp(-1.0))) * (p - level)
         plain[n] = level
     assert all(abs(levels[1, n] - v) < 1e-12 for n, v in plain.items())
+
+
+def test_score_with_slash_chords_degrees_and_clefs(spark):
+    """Bass and degrees of chord symbols, the clef of a single staff, and no empty measures at the end."""
+    notes = spark.createDataFrame([(1, 1, 40, 0.0, 4.0), (1, 2, 41, 4.0, 4.0), (1, 3, 72, 12.0, 4.0), (2, 1, 72, 0.0, 1.0)], "track_id bigint, id int, pitch int, beat_start double, beat_duration double").withColumn("velocity", F.lit(90))
+    chords = spark.createDataFrame([(1, 0.0, "C7b9/E"), (1, 5.0, "Bb-7b5"), (1, 12.0, "D13#11")], "track_id bigint, beat double, symbol string")
+    meters = spark.createDataFrame([(1, 0.0, 40.0, 4, 4), (2, 0.0, 40.0, 4, 4)], "track_id bigint, start_beat double, end_beat double, numerator int, denominator int")
+    trees = {r["track_id"]: ElementTree.fromstring(r["xml"]) for r in E.musicxml(notes, chords, signatures=meters, single_staff=True).collect()}
+    measures = trees[1].findall("part/measure")
+    assert len(measures) == 4 and len(trees[2].findall("part/measure")) == 1
+    texts = [[(h.findtext("root/root-step"), h.findtext("root/root-alter"), h.findtext("kind"), h.findtext("bass/bass-step"), [(d.findtext("degree-value"), d.findtext("degree-alter"), d.findtext("degree-type")) for d in h.findall("degree")]) for h in m.findall("harmony")] for m in measures]
+    assert texts[0] == [("C", None, "dominant", "E", [("9", "-1", "alter")])] and texts[1] == [("B", "-1", "minor-seventh", None, [("5", "-1", "alter")])]
+    assert texts[3] == [("D", None, "dominant-13th", None, [("11", "1", "add")])]
+    assert [m.findtext("attributes/clef/sign") for m in measures] == ["F", None, None, "G"]  # the third measure is empty and repeats
+    assert [m.find("attributes/staves") is None for m in measures[:1]] == [True]
+    two = ElementTree.fromstring(E.musicxml(notes.where("track_id = 2"), signatures=meters).first()["xml"])
+    assert [c.findtext("sign") for c in two.findall("part/measure/attributes/clef")] == ["G", "F"]
+
+
+def test_altered_degrees(spark):
+    rows = spark.createDataFrame([("7b9b5",), ("7b9#9b5",), ("7#11",), ("Δ7",), ("-7b5",), ("b13#5",)], "s string").select("s", X.alterations(F.col("s")).alias("a"), X.unaltered(F.col("s")).alias("u"), X.degrees(F.col("s")).alias("d")).collect()
+    assert [(r["a"], r["u"]) for r in rows] == [(["b9", "b5"], "7"), (["b9", "b5", "#9"], "7"), (["#11"], "7"), ([], "Δ7"), (["b5"], "-7"), (["#5", "b13"], "")]
+    assert [tuple(d) for d in rows[0]["d"]] == [(9, -1, "alter"), (5, -1, "alter")]
+
+
+def test_lead_sheet_with_a_given_tempo_map(spark):
+    notes, segments = D.note_events(spark, SF), D.tempo_segments(spark, SF)
+    some = [r["track_id"] for r in notes.select("track_id").distinct().orderBy("track_id").limit(3).collect()]
+    tempo = spark.createDataFrame([(t, 120.0, 0.5) for t in some], "track_id bigint, bpm double, confidence double")
+    sheet = Z.lead_sheet_with_tempo_map(notes.where(F.col("track_id").isin(some)), tempo, segments.where(F.col("track_id").isin(some[:2])))
+    assert set(sheet) == {"tempo", "tempo_segments", "time_signatures", "quantized_notes", "tied_notes", "melody", "chord_changes", "confidence"}
+    for name, table in sheet.items():
+        assert {r["track_id"] for r in table.select("track_id").distinct().collect()} == set(some[:2]), name
+    own = notes.where(F.col("track_id") == some[0])
+    meter = T.infer_meter(own, segments.where(F.col("track_id") == some[0]))
+    assert same(sheet["quantized_notes"].where(F.col("track_id") == some[0]), Q.quantize_tempo_map(own, segments.where(F.col("track_id") == some[0]), meter))
+    assert sheet["melody"].count() <= sheet["quantized_notes"].count()
