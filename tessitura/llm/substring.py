@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import build, hits
-from .common import WordHash, delete, materialize, rows_of, scratch, slices_of, text_key, unused, write
+from .common import Scratch, WordHash, delete, materialize, rows_of, slices_of, text_key, unused, write
 
 WINDOW, GRAM = 13, 6
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -335,23 +335,27 @@ def repeats(documents: DataFrame, root: str | None = None, batches: int = 2, max
     batches: into how many runs of rising ids the table is dealt, as if they had come one after another."""
     spark = documents.sparkSession
     rows = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("__id"), text_key().alias("__key"), F.col("text").cast("binary").alias("text"))
+    keep = Scratch(spark, "repeats")
     known = rows.agg(F.sum(F.length("text")).alias("size"), F.percentile_approx("__id", [i / batches for i in range(1, batches)] or [1.0], 1000).alias("q")).first()
-    index = FingerprintIndex(spark, root or scratch(spark, "fingerprints"), max(64, -(-(known["size"] or 0) // bucket_bytes)), max_runs)
+    index = FingerprintIndex(spark, root or f"{keep.root}/index", max(64, -(-(known["size"] or 0) // bucket_bytes)), max_runs)
     bounds = [None, *(sorted(set(known["q"] or [])) if batches > 1 else []), None]
     found: DataFrame | None = None
     for lo, hi in zip(bounds, bounds[1:]):  # a handful of batches, each a job of its own
         fresh = rows if hi is None else rows.where(F.col("__id") <= hi)
         fresh = fresh if lo is None else fresh.where(F.col("__id") > lo)
         past = index.owners()
-        bloom = build(materialize(anchor_values(index.append(fresh)), "shared"), filter_bytes)  # written, so that no task runs two Python workers
+        bloom = build(keep.keep(anchor_values(index.append(fresh)), "shared"), filter_bytes)  # written, so that no task runs two Python workers
         marked = fresh.withColumn("__new", F.lit(True))
         if past is not None:
-            met = build(materialize(owners_of(past, bloom), "owners"), filter_bytes)
+            met = build(keep.keep(owners_of(past, bloom), "owners"), filter_bytes)
             marked = marked.unionByName(_owned(rows.where(F.col("__id") <= lo) if lo is not None else rows, met).withColumn("__new", F.lit(False)))
         part = materialize(removals(window_rows(marked, bloom, index.buckets)), "removals")
         found = part if found is None else found.unionByName(part)
+        keep.drop("shared", "owners")
         if len(index.tables) >= max_runs:
             index.compact()
+    if root is None:
+        delete(spark, index.root)  # nobody opens it again
     return found
 
 
