@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .beats import double_beats, downbeat_consensus, halve_beats
+from .beats import double_beats, downbeat_consensus, grid_from_bpm, halve_beats
 from .spectral import in_tiles, laid
 from .tempo import BIN, HIGH_BPM, LOW_BPM, SUBDIVISIONS, TOLERANCE
 
@@ -198,6 +198,17 @@ def bpm_from_audio(blocks: DataFrame, rate: int, **options) -> DataFrame:
     return audio_pulse(blocks, rate, **options).select("track_id", "bpm", (60.0 / F.col("bpm")).alias("beat_duration_sec"), "confidence")
 
 
+def beats_from_stems(stems: DataFrame, mix: DataFrame, rate: int, block: int = 65_536) -> DataFrame:
+    """(track_id, beat_idx, t, downbeat, source): an even grid at the tempo of each song's bass and drums, or of what there is of
+    them, or of the mix; no rows for a song without a pulse. stems: (song, stem, i, x); mix: (song, i, x)."""
+    low = low_stems(stems, mix)
+    cut = low.groupBy(F.col("song").alias("track_id"), F.floor(F.col("i") / block).cast("int").alias("block_no")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("samples"))
+    has = lambda name: F.max(F.when(F.lower("stem") == name, 1).otherwise(0)) == 1
+    label = stems.groupBy(F.col("song").alias("track_id")).agg(F.when(has("bass") & has("drums"), "Bass + Drums").when(has("bass"), "Bass").when(has("drums"), "Drums").otherwise("Full mix").alias("source"))
+    grid = grid_from_bpm(audio_pulse(cut, rate).select("track_id", "bpm", F.col("seconds").alias("duration")))
+    return grid.join(label, "track_id", "left").withColumn("source", F.coalesce("source", F.lit("Full mix")))
+
+
 def pulse_beats(blocks: DataFrame, rate: int, bpb: int = 4, **options) -> DataFrame:
     """PulseModel's beats and downbeats of each track, (track_id, kind, idx, t), without bringing a track together."""
     beat = 60.0 / F.col("bpm")
@@ -283,11 +294,14 @@ def whole_bars(beats: list[float], downbeats: list[float], bpb: int) -> tuple[li
 def agreed_beats(beats: DataFrame, downbeats: DataFrame, primary: str = "combined", tolerance: float = 0.070) -> tuple[DataFrame, DataFrame]:
     """(track_id, bpm, beats_per_bar, confidence, sources) and the finished grid (track_id, kind, idx, t).
 
-    beats, downbeats: (track_id, source, t). The tempo is the median of the sources' (120 without any), beats a bar follow from
-    the median bar, and confidence from how many sources have each primary downbeat. The primary's grid, or one at the tempo
-    where it has under four beats, is made whole; that is a fold, by track."""
+    beats, downbeats: (track_id, source, t). Each source's beats come to their metric level first. The tempo is the median of the
+    sources' (120 without any), beats a bar follow from the median bar, and confidence from how many sources have each primary
+    downbeat. The primary's grid is made whole, or one at the tempo where it has under four beats and some source has a tempo;
+    that is a fold, by track."""
     import pandas as pd
 
+    sourced = lambda rows, idx: rows.select(F.struct("track_id", "source").alias("track_id"), (F.row_number().over(Window.partitionBy("track_id", "source").orderBy("t")) - 1).cast("int").alias(idx), "t")
+    beats = with_metric_level(sourced(beats, "beat_idx"), sourced(downbeats, "db_idx")).select("track_id.track_id", "track_id.source", "t")
     w = Window.partitionBy("track_id", "source").orderBy("t")
     gaps = beats.withColumn("g", F.lead("t").over(w) - F.col("t")).groupBy("track_id", "source").agg(F.median("g").alias("g")).where("g > 0.001")
     tempo = gaps.groupBy("track_id").agg(F.median(60.0 / F.col("g")).alias("bpm"))
@@ -300,12 +314,12 @@ def agreed_beats(beats: DataFrame, downbeats: DataFrame, primary: str = "combine
     confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.coalesce("hits", F.lit(1.0)) - 1) / F.greatest(F.col("sources") - 1, F.lit(1))))
     facts = sources.join(tempo, "track_id", "left").join(hits, "track_id", "left").join(bars, "track_id", "left").select("track_id", bpm.alias("bpm"), per.alias("beats_per_bar"), confidence.alias("confidence"), "sources")
     marks = beats.where(F.col("source") == primary).select("track_id", F.lit("beat").alias("kind"), "t").unionByName(downbeats.where(F.col("source") == primary).select("track_id", F.lit("downbeat").alias("kind"), "t"))
-    rows = facts.select("track_id", "bpm", "beats_per_bar").join(marks, "track_id", "left")
+    rows = facts.select("track_id", "bpm", "beats_per_bar").join(tempo.select("track_id", F.lit(True).alias("paced")), "track_id", "left").join(marks, "track_id", "left")
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         track_id, bpm, bpb = part["track_id"].iloc[0], float(part["bpm"].iloc[0]), int(part["beats_per_bar"].iloc[0])
         grid, downs = (sorted(part.loc[part["kind"] == k, "t"].tolist()) for k in ("beat", "downbeat"))
-        if len(grid) < 4:
+        if len(grid) < 4 and part["paced"].iloc[0] is not None and not pd.isna(part["paced"].iloc[0]):
             step, until = 60.0 / max(bpm, 1.0), (grid[-1] if grid else 30.0) + 2.0
             grid = _apart([*grid, *(k * step for k in range(int(until / step) + 1))], 0.001)
         grid, downs = whole_bars(grid, downs, bpb)

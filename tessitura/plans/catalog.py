@@ -254,6 +254,11 @@ def low_stems(spark, sf):
     return r6(W.low_stems(stems, stems.groupBy("song", "i").agg(F.sum("x").alias("x"))), "x")
 
 
+def beats_from_stems(spark, sf):
+    stems = named_stems(spark, sf)
+    return r6(W.beats_from_stems(stems, stems.groupBy("song", "i").agg(F.sum("x").alias("x")), D.SAMPLE_RATE), "t")
+
+
 def analysis_mix(spark, sf):
     stems = named_stems(spark, sf)
     enabled = stems.select("song", "stem_idx").distinct().where("song = 1 and stem_idx in (0, 1, 3)")

@@ -200,3 +200,29 @@ def test_tempo_by_tiles_equals_the_whole_track(spark, tile, size):
         beats, downbeats = W.PulseModel().beats(tracks[t], rate)
         for kind, ts in (("beat", beats), ("downbeat", downbeats)):
             assert [i for i, _ in sorted(grid[t, kind])] == list(range(len(ts))) and np.allclose([x for _, x in sorted(grid[t, kind])], ts)
+
+
+def test_beats_from_stems(spark):
+    rate = 4410
+    songs = {1: {"Bass": clicks(120, 9, rate, 1), "drums": 0.2 * clicks(120, 8, rate, 2), "vocals": clicks(77, 9, rate, 3)}, 2: {"drums": clicks(93, 14, rate, 4)}, 3: {"vocals": clicks(70, 6.3, rate, 5)}}
+    rows = [(s, name, i, float(v)) for s, stems in songs.items() for name, x in stems.items() for i, v in enumerate(x)]
+    stems = spark.createDataFrame(rows, "song bigint, stem string, i bigint, x double")
+    got = W.beats_from_stems(stems, stems.where("song = 3").select("song", "i", "x"), rate, block=5000).collect()
+    low = {1: songs[1]["Bass"] + np.pad(songs[1]["drums"], (0, rate)), 2: songs[2]["drums"], 3: songs[3]["vocals"]}
+    labels = {1: "Bass + Drums", 2: "Drums", 3: "Full mix"}
+    for s, x in low.items():
+        bpm = W.tempo_of_audio(x, rate)[0]
+        own = sorted((r["beat_idx"], r["t"], r["downbeat"], r["source"]) for r in got if r["track_id"] == s)
+        want = [k * 60 / bpm for k in range(int((max(10.0, len(x) / rate) + 2.0) * bpm / 60) + 1)]
+        assert [k for k, *_ in own] == list(range(len(want))) and np.allclose([t for _, t, _, _ in own], want)
+        assert all(d == (k % 4 == 0) and label == labels[s] for k, _, d, label in own)
+
+
+def test_sources_agree_at_their_metric_level(spark):
+    """The drums are heard at half time and corrected before tempos are compared; short grids without tempo stay."""
+    beats = [(1, "combined", 0.5 * k) for k in range(32)] + [(1, "drums", 1.0 * k) for k in range(16)] + [(1, "bass", 1.0 * k) for k in range(16)] + [(2, "combined", 3.0)]
+    downs = [(1, s, 2.0 * k) for s in ("combined", "drums", "bass") for k in range(8)]
+    facts, grid = W.agreed_beats(spark.createDataFrame(beats, "track_id bigint, source string, t double"), spark.createDataFrame(downs, "track_id bigint, source string, t double"))
+    rows = {r["track_id"]: r for r in facts.collect()}
+    assert (rows[1]["bpm"], rows[1]["beats_per_bar"], rows[1]["sources"], rows[1]["confidence"]) == (120.0, 4, 3, 1.0)
+    assert [(r["kind"], r["t"]) for r in grid.where("track_id = 2").collect()] == [("beat", 3.0)] and rows[2]["bpm"] == 120.0
