@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,25 +31,101 @@ SHARED = ("sample_rate", "quality", "speed", "pitch", "use_cqt", "preprocess")
 REASONS = ("other_version", "other_parameters", "other_length", "invalid_timeline")
 
 
+def _finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
+def entry_facts(cached: DataFrame, frames: int = 10_000_000, width: int = 88) -> DataFrame:
+    """Entries with n_frames and fine (a step above 0, at most so many frames, each of width finite values) in place of their timeline:
+    what a search joins, made where the entries lie."""
+    fine = _finite(F.col("step_sec")) & (F.col("step_sec") > 0) & (F.size("timeline") <= frames) & F.forall("timeline", lambda f: (F.size(f) == width) & F.forall(f, _finite))
+    return cached.withColumn("n_frames", F.size("timeline")).withColumn("fine", F.coalesce(fine, F.lit(False))).drop("timeline")
+
+
 def judged(wanted: DataFrame, cached: DataFrame, drift: float = 0.02, seconds: float = 2.0, frames: int = 10_000_000, width: int = 88) -> DataFrame:
     """Each candidate entry of each wanted song with verdict: ok, or the first reason against it.
 
     wanted: (content_hash, n_samples, the shared parameters); cached: the same with version, step_sec, and timeline (an array of
-    frames). Numbers are equal by value as they were stored; a length may differ unless by more than 2 % and more than 2 s."""
-    w, c = wanted.alias("w"), cached.alias("c")
+    frames), or what entry_facts makes of it. Numbers are equal by value as they were stored; a length may differ unless by more
+    than 2 % and more than 2 s. Timelines are judged before the join, and never move."""
+    facts = entry_facts(cached, frames, width) if "timeline" in cached.columns else cached
+    w, c = wanted.alias("w"), facts.alias("c")
     both = w.join(c, "content_hash")
     same = F.lit(True)
     for p in SHARED:
         same = same & F.col(f"w.{p}").eqNullSafe(F.col(f"c.{p}"))
-    expected, held = F.col("w.n_samples") / F.col("w.sample_rate"), F.size("c.timeline") * F.col("c.step_sec")
+    expected, held = F.col("w.n_samples") / F.col("w.sample_rate"), F.col("c.n_frames") * F.col("c.step_sec")
     off = F.abs(held - expected)
     far = (F.col("w.n_samples") > 0) & (F.col("w.n_samples") != F.col("c.n_samples")) & (off > drift * expected) & (off > seconds)
-    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    fine = finite(F.col("c.step_sec")) & (F.col("c.step_sec") > 0) & (F.size("c.timeline") <= frames) & F.forall("c.timeline", lambda f: (F.size(f) == width) & F.forall(f, finite))
-    verdict = F.when(F.col("c.version") != VERSION, REASONS[0]).when(~same, REASONS[1]).when(far, REASONS[2]).when(~fine, REASONS[3]).otherwise("ok")
+    unread = F.col("c.opened") if "opened" in facts.columns else F.lit("ok")
+    verdict = F.when(unread != "ok", unread).when(F.col("c.version") != VERSION, REASONS[0]).when(~same, REASONS[1]).when(far, REASONS[2]).when(~F.col("c.fine"), REASONS[3]).otherwise("ok")
     return both.select("content_hash", *(F.col(f"w.{p}").alias(p) for p in SHARED), F.col("w.variant_key").alias("variant_key"), (F.col("w.variant_key") == F.col("c.variant_key")).alias("strict"), F.col("c.entry").alias("entry"), F.col("c.step_sec").alias("step_sec"), verdict.alias("verdict"))
 
 
+# What can be wrong with an entry's file before its content is looked at.
+UNREAD = ("no_file", "unreadable", "not_decompressed", "not_parsed")
+_BLOB = "content_hash string, entry int, variant_key bigint, content binary"
+
+
+def pack_entries(entries: DataFrame) -> DataFrame:
+    """(content_hash, entry, variant_key, content): entries as compressed JSON, a file's worth each."""
+    rows = entries.select("content_hash", F.col("entry").cast("int").alias("entry"), F.col("variant_key").cast("bigint").alias("variant_key"), F.to_json(F.struct(*entries.columns)).alias("text"))
+
+    def run(batches):
+        import zstandard
+
+        z = zstandard.ZstdCompressor()
+        for b in batches:
+            yield b.drop(columns=["text"]).assign(content=[z.compress(t.encode()) for t in b["text"]])
+
+    return rows.mapInPandas(run, _BLOB)
+
+
+def open_entries(blobs: DataFrame, frames: int = 10_000_000, width: int = 88) -> DataFrame:
+    """The facts of packed entries, and opened: ok, or why an entry could not be read.
+
+    blobs: (content_hash, entry, variant_key, content, exists BOOLEAN); a file that exists without content could not be read."""
+    import pandas as pd
+
+    def run(batches):
+        import zstandard
+
+        for b in batches:
+            texts, states = [], []
+            for content, exists in zip(b["content"], b["exists"], strict=True):
+                text, state = None, "no_file" if not exists else "unreadable" if content is None else "ok"
+                if state == "ok":
+                    try:
+                        text = zstandard.decompress(content).decode()
+                    except (zstandard.ZstdError, UnicodeDecodeError):
+                        state = "not_decompressed"
+                texts.append(text)
+                states.append(state)
+            yield pd.DataFrame({"content_hash": b["content_hash"], "entry": b["entry"], "variant_key": b["variant_key"], "text": texts, "opened": states})
+
+    form = "sample_rate int, quality int, speed double, pitch double, use_cqt boolean, preprocess boolean, n_samples bigint, version int, step_sec double, timeline array<array<double>>"
+    rows = blobs.select("content_hash", "entry", "variant_key", "content", "exists").mapInPandas(run, "content_hash string, entry int, variant_key bigint, text string, opened string")
+    parsed = rows.withColumn("p", F.from_json("text", form)).withColumn("broken", (F.col("opened") == "ok") & F.col("p.version").isNull())
+    facts = parsed.select("content_hash", "entry", "variant_key", F.when(F.col("broken"), "not_parsed").otherwise(F.col("opened")).alias("opened"), "p.*")
+    return entry_facts(facts, frames, width)
+
+
+def diagnosed(wanted: DataFrame, facts: DataFrame, **limits) -> DataFrame:
+    """For each wanted song the entry that serves (those of its own variant first, then by entry) and what was found on the way to it:
+    candidates, files, parsed, and how many were turned down for each reason until one served."""
+    rows = judged(wanted, facts, **limits)
+    every = wanted.select("content_hash", "variant_key")
+    order = Window.partitionBy("content_hash", "variant_key").orderBy(~F.col("strict"), "entry")
+    ranked = rows.withColumn("place", F.row_number().over(order)).withColumn("first", F.min(F.when(F.col("verdict") == "ok", F.col("place"))).over(Window.partitionBy("content_hash", "variant_key")))
+    seen = F.col("first").isNull() | (F.col("place") <= F.col("first"))
+    reasons = (*UNREAD, *REASONS)
+    counts = [F.count_if(seen & (F.col("verdict") == r)).alias(r) for r in reasons]
+    files = [F.count_if(seen & (F.col("verdict") != "no_file")).alias("files"), F.count_if(seen & ~F.col("verdict").isin(*UNREAD)).alias("parsed")]
+    found = ranked.groupBy("content_hash", "variant_key").agg(F.count("*").alias("candidates"), *files, *counts, F.max(F.when(F.col("place") == F.col("first"), F.col("entry"))).alias("entry"))
+    filled = every.join(found, ["content_hash", "variant_key"], "left")
+    return filled.select("content_hash", "variant_key", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("candidates", "files", "parsed", *reasons)), "entry")
+
+
 def find_timeline(wanted: DataFrame, cached: DataFrame, **limits) -> DataFrame:
     """For each wanted song the entry that serves, those of its own variant first, and how many were turned down for each reason."""
     rows = judged(wanted, cached, **limits)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessitura.functions import surface
 from tessitura.functions import text as X
+from tessitura.operators import cache as H
 from tessitura.operators import chords as C
 from tessitura.operators import engraving as G
 from tessitura.operators import frames as N
@@ -180,3 +181,28 @@ def test_lead_sheet_with_a_given_tempo_map(spark):
     meter = T.infer_meter(own, segments.where(F.col("track_id") == some[0]))
     assert same(sheet["quantized_notes"].where(F.col("track_id") == some[0]), Q.quantize_tempo_map(own, segments.where(F.col("track_id") == some[0]), meter))
     assert sheet["melody"].count() <= sheet["quantized_notes"].count()
+
+
+def test_cache_diagnostics_tell_every_reason(spark):
+    good = dict(content_hash="s", entry=1, variant_key=7, sample_rate=100, quality=1, speed=1.0, pitch=0.0, use_cqt=True, preprocess=True, n_samples=1000, version=H.VERSION, step_sec=0.1, timeline=[[0.5, 0.25]] * 100)
+    cases = {
+        "other_version": good | {"version": 3}, "other_parameters": good | {"quality": 2}, "other_length": good | {"n_samples": 5000, "timeline": [[0.5, 0.25]] * 500}, "invalid_timeline": good | {"timeline": [[0.5]]}, "ok": good,
+    }
+    kind = "content_hash string, entry int, variant_key bigint, sample_rate int, quality int, speed double, pitch double, use_cqt boolean, preprocess boolean, n_samples bigint, version int, step_sec double, timeline array<array<double>>"
+    columns = [c.split()[0] for c in kind.split(", ")]
+    entries = spark.createDataFrame([tuple((row | {"entry": n + 5})[c] for c in columns) for n, row in enumerate(cases.values())], kind)
+    packed = {r["entry"]: bytes(r["content"]) for r in H.pack_entries(entries).collect()}
+    import zstandard
+
+    files = [("s", 1, 7, None, False), ("s", 2, 7, None, True), ("s", 3, 7, b"rubbish", True), ("s", 4, 7, zstandard.compress(b"{nothing"), True), *(("s", n, 7, packed[n], True) for n in range(5, 10)), ("s", 99, 8, packed[9], True)]
+    blobs = spark.createDataFrame(files, "content_hash string, entry int, variant_key bigint, content binary, exists boolean")
+    wanted = spark.createDataFrame([("s", 7, 100, 1, 1.0, 0.0, True, True, 1000), ("none", 7, 100, 1, 1.0, 0.0, True, True, 1000)], "content_hash string, variant_key bigint, sample_rate int, quality int, speed double, pitch double, use_cqt boolean, preprocess boolean, n_samples bigint")
+    facts = H.open_entries(blobs, width=2)
+    assert {r["entry"]: r["opened"] for r in facts.collect()} == {1: "no_file", 2: "unreadable", 3: "not_decompressed", 4: "not_parsed", **{n: "ok" for n in (5, 6, 7, 8, 9, 99)}}
+    rows = {r["content_hash"]: r.asDict() for r in H.diagnosed(wanted, facts, width=2).collect()}
+    assert all(rows["s"][r] == 1 for r in (*H.UNREAD, *H.REASONS)) and (rows["s"]["candidates"], rows["s"]["files"], rows["s"]["parsed"], rows["s"]["entry"]) == (10, 8, 5, 9)
+    assert rows["none"]["candidates"] == 0 and rows["none"]["entry"] is None
+    other = H.diagnosed(wanted.withColumn("variant_key", F.lit(8).cast("bigint")), facts, width=2).where("content_hash = 's'").first()
+    assert (other["entry"], other["files"], other["other_version"]) == (99, 1, 0)  # its own variant's entry serves at once
+    plan = H.judged(wanted, entries, width=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "timeline#" not in plan.split("Join")[0]
