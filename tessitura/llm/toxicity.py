@@ -4,8 +4,8 @@ A sentence's probability is a logistic of the weights of what its words show (wh
 1 - prod(1 - p). Only documents are labelled: the weights are fitted by descending the documents' log loss through the
 noisy-or. The sentences whose own probability reaches the threshold are located by their byte offsets.
 
-A sentence below the floor shows nothing and counts as 0, so that a text does not become toxic by its length: however many
-clean sentences are joined, they score what one does.
+A sentence of a document of n sentences has log odds lower by log(1 + n / 20), in the fit and in scores alike, so that a text
+does not become toxic by its length: however many sentences without evidence are joined, they score at most 0.05 together.
 
 Defined cases: null or empty text has no sentence and scores 0; without labelled rows of both classes every score is 0;
 rows of null id are scored and belong to the fold of the empty id; repeated rows stay; an empty table gives no rows; further
@@ -27,7 +27,7 @@ from .common import Memo, fold, labelled_sample, rows_of, utf8
 
 SENTENCE = re.compile(rb"[^.!?\r\n]+")
 TRIM = re.compile(r"^\W+|\W+$")
-FLOOR = 0.2  # a sentence less likely than this shows nothing
+FEW = 20  # sentences; from about so many on, each counts in proportion to the document
 SPANS = "array<struct<start: bigint, stop: bigint, probability: double>>"
 
 
@@ -87,10 +87,11 @@ def _descend(ids, sentence_of, doc_of, y, n_words, steps, rate, ridge) -> tuple[
     """Adam on the mean log loss of the noisy-or, from a bias at which clean sentences hardly count."""
     theta = np.zeros(n_words + 1)
     theta[-1] = -6.0
+    share = np.log1p(np.bincount(doc_of, minlength=len(y)) / FEW)[doc_of]
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     n_docs, n_sentences = len(y), len(doc_of)
     for t in range(1, steps + 1):
-        s = np.bincount(sentence_of, theta[ids], n_sentences) + theta[-1]
+        s = np.bincount(sentence_of, theta[ids], n_sentences) + theta[-1] - share
         p = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
         clean = np.bincount(doc_of, -np.logaddexp(0, s), n_docs)  # log of prod(1 - p)
         slope = np.where(y == 1, -1 / np.expm1(np.clip(-clean, 1e-9, 700)), 1.0) / n_docs  # of the loss by -log prod(1 - p)
@@ -103,20 +104,14 @@ def _descend(ids, sentence_of, doc_of, y, n_words, steps, rate, ridge) -> tuple[
     return theta[:-1], theta[-1]
 
 
-def score_text(text: bytes | None, weights: dict, bias: float, at: float, floor: float = FLOOR) -> tuple[float, list[dict]]:
-    """Noisy-or over the whole text's sentences, and those of probability at or more."""
-    if not text:
-        return 0.0, []
-    clean, spans, get = 0.0, [], weights.__getitem__
-    least = math.log(floor / (1 - floor)) - bias
-    for m in SENTENCE.finditer(text):
-        s = sum(map(get, m[0].split()))
-        if s < least:
-            continue
-        s += bias
-        soft = s + math.log1p(math.exp(-s)) if s > 0 else math.log1p(math.exp(s))
-        clean += soft
-        if (p := -math.expm1(-soft)) >= at:
+def score_text(text: bytes | None, weights: dict, bias: float, at: float) -> tuple[float, list[dict]]:
+    """Noisy-or over the whole text's sentences, and those whose own probability, whatever the others, is at or more."""
+    found = [(m, sum(map(weights.__getitem__, m[0].split()))) for m in SENTENCE.finditer(text or b"")]
+    share, clean, spans = bias - math.log1p(len(found) / FEW), 0.0, []
+    for m, evidence in found:
+        s = evidence + share
+        clean += s + math.log1p(math.exp(-s)) if s > 0 else math.log1p(math.exp(s))
+        if evidence + bias > -30 and (p := 1 / (1 + math.exp(-evidence - bias))) >= at:
             spans.append({"start": m.start(), "stop": m.end(), "probability": p})
     return -math.expm1(-clean), spans
 
