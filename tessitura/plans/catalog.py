@@ -622,7 +622,8 @@ def hpss(spark, sf):
 
 
 def cqt_frame(spark, sf):
-    return S.cqt_frames(D.signal_blocks(spark, sf), 441.0, 27.5, 200.0)
+    rows = S.cqt_frames(D.signal_blocks(spark, sf), 441.0, 27.5, 200.0)
+    return r6(rows.select("track_id", "block_no", F.posexplode("magnitudes").alias("bin", "magnitude")), "magnitude")
 
 
 def cqt_full(spark, sf):

@@ -88,6 +88,11 @@ ct AS (SELECT mask, bass, CASE WHEN len(pcs) = 1 THEN {_NAMES}[pcs[1] + 1] || '
   ELSE {_NAMES}[x.root + 1] || {_KINDS}[x.template + 1] || CASE WHEN bass >= 0 AND bass <> x.root THEN '/' || {_BASS} ELSE '' END END AS symbol FROM ev LEFT JOIN bb USING (mask, bass))"""
 SND = """snd AS (SELECT g.track_id, g.beat, CAST(SUM(DISTINCT power(2, q.pitch % 12)) AS INT) AS mask, CAST(MIN(q.pitch) % 12 AS INT) AS bass, COUNT(*) AS n_notes, SUM(q.beat_duration) AS held
   FROM {grid} g JOIN q ON q.track_id = g.track_id AND q.beat_start - 1e-5 <= g.beat AND g.beat < q.beat_start + q.beat_duration GROUP BY 1, 2)"""
+# kernels of 35 semitones from 27.5 Hz: three periods, a Gaussian, unit length
+CQ = """fq AS (SELECT CAST(k AS INT) AS k, 27.5::DOUBLE * power(2, k / 12.0::DOUBLE) AS f FROM range(0, CAST(ceil(log2(200 / 27.5::DOUBLE) * 12) AS INT)) r(k)),
+kj AS (SELECT k, f, j, (j - (ceil(3 * 441 / f) - 1) / 2) / 441 AS t FROM fq, range(0, 64) r(j) WHERE j < ceil(3 * 441 / f)),
+kw AS (SELECT *, exp(-2 * pi() * (f / 20) * t * t) AS w FROM kj),
+kern AS (SELECT k, j, w * cos(2 * pi() * f * t) / norm AS c, w * sin(2 * pi() * f * t) / norm AS s FROM (SELECT *, sqrt(SUM(w * w) OVER (PARTITION BY k)) + 1e-7 AS norm FROM kw))"""
 HS = f"{QC}, g AS (SELECT DISTINCT track_id, floor(beat_start) AS beat FROM q), {SND.format(grid='g')}, hs AS (SELECT mask, bass, COUNT(*) AS n FROM snd GROUP BY 1, 2)"
 _CHG = "SELECT track_id, beat, symbol FROM (SELECT *, LAG(symbol) OVER (PARTITION BY track_id ORDER BY beat) AS was FROM {src} WHERE symbol IS NOT NULL) WHERE was IS NULL OR was <> symbol"
 BG = BT + ", bg AS (SELECT track_id, beat_idx, LEAD(t) OVER (PARTITION BY track_id ORDER BY beat_idx) - t AS gap FROM bt)"
@@ -258,6 +263,18 @@ ORACLES: dict[str, str] = {
     "audio_blocks": f"WITH {SG} SELECT track_id, i // 262144 AS part, i % 262144 AS i, round(x, 6) AS x FROM sg",
     "audio_probe": f"WITH {SG} SELECT track_id, i // 262144 AS part, 441 AS sample_rate, 1 AS channels, COUNT(*) AS n_frames, round(COUNT(*) / 441.0::DOUBLE, 6) AS seconds, 0 AS tags, NULL::VARCHAR AS error FROM sg GROUP BY 1, 2",
     "audio_preview": f"WITH {SG} SELECT track_id, i // 262144 AS part, 441 AS sample_rate, CAST(i % 262144 - 22 AS INT) AS i, round(x, 6) AS x FROM sg WHERE i % 262144 BETWEEN 22 AND 132",
+    "ema_fold": "WITH c AS (SELECT user_id, list(least(4.0::DOUBLE, greatest(0.02::DOUBLE, value / 100.0::DOUBLE)) ORDER BY ts, event_id) AS xs FROM events GROUP BY 1) SELECT user_id, round(list_reduce(xs, lambda a, x: a * 0.7::DOUBLE + x * 0.3::DOUBLE), 6) AS rate FROM c",
+    "highlight_decay": f"WITH {NF} SELECT n.track_id, n.pitch, n.frame, round(SUM(k.prob * (1 - exp(-1.0::DOUBLE)) * power(exp(-1.0::DOUBLE), n.frame - k.frame)), 6) AS level FROM nf n JOIN nf k ON k.track_id = n.track_id AND k.pitch = n.pitch AND k.frame BETWEEN n.frame - 60 AND n.frame GROUP BY 1, 2, 3",
+    # the lead of on over off in whole units, frame by frame, then the states back from the last frame
+    "viterbi_binary": f"""WITH RECURSIVE {NF}, ev AS (SELECT *, CAST(round_even((ln(greatest(1e-10::DOUBLE, prob)) - ln(greatest(1e-10::DOUBLE, 1 - prob))) * 4294967296, 0) AS BIGINT) AS e, MAX(frame) OVER (PARTITION BY track_id) AS final FROM nf),
+      ld AS (SELECT track_id, pitch, frame, e AS lead FROM ev WHERE frame = 0 UNION ALL SELECT ev.track_id, ev.pitch, ev.frame, greatest(-858993459, least(858993459, lead)) + e FROM ld JOIN ev ON ev.track_id = ld.track_id AND ev.pitch = ld.pitch AND ev.frame = ld.frame + 1),
+      both_ AS (SELECT ev.*, lead FROM ev JOIN ld USING (track_id, pitch, frame)),
+      st AS (SELECT track_id, pitch, frame, lead > 0 AS state FROM both_ WHERE frame = final UNION ALL SELECT b.track_id, b.pitch, b.frame, CASE WHEN state THEN lead >= -858993459 ELSE lead >= 858993459 END FROM st JOIN both_ b ON b.track_id = st.track_id AND b.pitch = st.pitch AND b.frame = st.frame - 1)
+      SELECT st.track_id, st.frame, st.pitch FROM st JOIN nf USING (track_id, pitch, frame) WHERE state AND prob >= 0.6""",
+    "cqt_frame": f"WITH {SG}, {CQ} SELECT track_id, CAST(i // 64 AS INT) AS block_no, k AS bin, round(sqrt(power(SUM(x * c), 2) + power(SUM(x * s), 2)), 6) AS magnitude FROM sg JOIN kern ON j = i % 64 GROUP BY 1, 2, 3",
+    "cqt_full": f"""WITH {SG}, {CQ}, fr AS (SELECT track_id, f * 16 AS a, f FROM (SELECT track_id, COUNT(*) AS n FROM sg GROUP BY 1), range(0, 100000) r(f) WHERE f * 16 + (SELECT MAX(j) + 1 FROM kern) <= n)
+      SELECT fr.track_id, f AS frame, k AS bin, round(10 * log10(power(SUM(x * c), 2) + power(SUM(x * s), 2)), 6) AS db FROM fr, kern JOIN sg ON sg.track_id = fr.track_id AND sg.i = a + j GROUP BY 1, 2, 3""",
+    "resample_down": f"WITH {SG}, n AS (SELECT track_id, COUNT(*) AS n FROM sg GROUP BY 1), g AS (SELECT track_id, n, CAST(k AS BIGINT) AS i, greatest(0, 3 * k - 1) AS a FROM n, range(0, 100000) r(k) WHERE k < floor(n / 3.0 + 0.5)) SELECT g.track_id, g.i, round(avg(x), 6) AS x FROM g JOIN sg ON sg.track_id = g.track_id AND sg.i >= a AND sg.i < a + 3 GROUP BY 1, 2",
     "overlap_add": f"WITH {SG} SELECT track_id, i, round(x, 6) AS x FROM sg",
     "stft_magnitude": f"""WITH {SG}, n AS (SELECT track_id, COUNT(*) AS n FROM sg GROUP BY 1), f AS (SELECT track_id, CAST(k AS BIGINT) AS frame FROM n, range(0, 100000) r(k) WHERE k * 32 + 64 <= n),
       y AS (SELECT f.track_id, frame, i - frame * 32 AS p, x * (0.5 - 0.5 * cos(2 * pi() * (i - frame * 32) / 63)) AS y FROM f JOIN sg ON sg.track_id = f.track_id AND i >= frame * 32 AND i < frame * 32 + 64)
