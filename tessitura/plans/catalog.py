@@ -627,9 +627,9 @@ def cqt_frame(spark, sf):
 
 
 def cqt_full(spark, sf):
-    """Constant-Q magnitudes at every 16th sample, in decibels."""
+    """Constant-Q magnitudes at every 64th sample, in decibels."""
     blocks = D.signal_blocks(spark, sf).select("track_id", (F.col("block_no").cast("long") * 64).alias("start_frame"), "samples")
-    rows = S.cqt_decibels(S.cqt_all(blocks, 441.0, 27.5, 200.0, hop=16)).select("track_id", "frame", F.posexplode("magnitudes").alias("bin", "db"))
+    rows = S.cqt_decibels(S.cqt_all(blocks, 441.0, 27.5, 200.0, hop=64)).select("track_id", "frame", F.posexplode("magnitudes").alias("bin", "db"))
     return r6(rows, "db")
 
 

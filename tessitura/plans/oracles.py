@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.text import CHORD_KINDS
 from ..operators.chords import FLATS, TEMPLATES
 from ..sources.bindings import TEMPO_SEGMENTS
 
@@ -93,7 +94,11 @@ CQ = """fq AS (SELECT CAST(k AS INT) AS k, 27.5::DOUBLE * power(2, k / 12.0::DOU
 kj AS (SELECT k, f, j, (j - (ceil(3 * 441 / f) - 1) / 2) / 441 AS t FROM fq, range(0, 64) r(j) WHERE j < ceil(3 * 441 / f)),
 kw AS (SELECT *, exp(-2 * pi() * (f / 20) * t * t) AS w FROM kj),
 kern AS (SELECT k, j, w * cos(2 * pi() * f * t) / norm AS c, w * sin(2 * pi() * f * t) / norm AS s FROM (SELECT *, sqrt(SUM(w * w) OVER (PARTITION BY k)) + 1e-7 AS norm FROM kw))"""
+_PC = "coalesce((CASE substr({0}, 1, 1) WHEN 'C' THEN 0 WHEN 'D' THEN 2 WHEN 'E' THEN 4 WHEN 'F' THEN 5 WHEN 'G' THEN 7 WHEN 'A' THEN 9 WHEN 'B' THEN 11 END + CASE substr({0}, 2, 1) WHEN 'b' THEN 11 WHEN '#' THEN 1 ELSE 0 END) % 12, 0)"
 HS = f"{QC}, g AS (SELECT DISTINCT track_id, floor(beat_start) AS beat FROM q), {SND.format(grid='g')}, hs AS (SELECT mask, bass, COUNT(*) AS n FROM snd GROUP BY 1, 2)"
+PRS = f"""{HS}, {CT}, sy AS (SELECT DISTINCT symbol FROM hs LEFT JOIN ct USING (mask, bass)), hd AS (SELECT symbol, split_part(symbol, '/', 1) AS head, split_part(symbol, '/', 2) AS low FROM sy),
+rt AS (SELECT *, regexp_extract(head, '^([A-G][#b]?)(.*)$', 1) AS name, regexp_extract(head, '^([A-G][#b]?)(.*)$', 2) AS rest FROM hd),
+prs AS (SELECT symbol, CAST(CASE WHEN name <> '' THEN {_PC.format('name')} ELSE 0 END AS INT) AS root, CASE WHEN name <> '' THEN rest ELSE substr(head, 2) END AS suffix, CAST(CASE WHEN low <> '' THEN {_PC.format('low')} END AS INT) AS bass FROM rt)"""
 _CHG = "SELECT track_id, beat, symbol FROM (SELECT *, LAG(symbol) OVER (PARTITION BY track_id ORDER BY beat) AS was FROM {src} WHERE symbol IS NOT NULL) WHERE was IS NULL OR was <> symbol"
 BG = BT + ", bg AS (SELECT track_id, beat_idx, LEAD(t) OVER (PARTITION BY track_id ORDER BY beat_idx) - t AS gap FROM bt)"
 BC = BG + """, bar AS (SELECT track_id, db_idx, t AS bar_t, LEAD(t) OVER (PARTITION BY track_id ORDER BY db_idx) AS next_t FROM db),
@@ -222,6 +227,13 @@ ORACLES: dict[str, str] = {
     "articulation_nearest": f"""WITH {QC}, n AS (SELECT track_id, pitch, start_time, arg_min(end_time - start_time, id) AS len FROM ne GROUP BY 1, 2, 3),
       c AS (SELECT q.track_id, q.id, q.pitch, q.beat_duration, n.len, ROW_NUMBER() OVER (PARTITION BY q.track_id, q.id ORDER BY abs(n.start_time - q.beat_start * 0.5), n.start_time) AS rn FROM q JOIN n ON n.track_id = q.track_id AND n.pitch = q.pitch)
       SELECT track_id, id, pitch, CASE WHEN len / (beat_duration * 0.5) < 0.5 OR len < 0.08 THEN 'Staccato' WHEN len / (beat_duration * 0.5) > 0.9 THEN 'Tenuto' ELSE 'Normal' END AS articulation FROM c WHERE rn = 1""",
+    "chord_symbol_parse": f"WITH {PRS} SELECT * FROM prs",
+    "chord_kind_map": f"WITH {PRS} SELECT DISTINCT suffix, CASE suffix {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in CHORD_KINDS.items())} ELSE 'other' END AS kind FROM prs",
+    "joint_viterbi": f"WITH {BT} SELECT track_id, beat_idx AS frame, CAST(20 * 27 + 5 + beat_idx % 4 AS INT) AS state_idx FROM bt",
+    "chunk_rebuild_trigger": """WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(CAST(ts AS TIMESTAMP)) AS us, value AS size, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+      f AS (SELECT user_id, event_id, n, 0.0::DOUBLE AS held, us AS last, TRUE AS due FROM o WHERE n = 1
+        UNION ALL SELECT user_id, event_id, n, CASE WHEN due THEN 0 ELSE h END, CASE WHEN due THEN us ELSE last END, due FROM (SELECT o.user_id, o.event_id, o.n, o.us, f.last, f.held + o.size AS h, f.held + o.size >= 500 OR o.us - f.last >= 1000000 AS due FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1))
+      SELECT user_id, event_id FROM f WHERE due""",
     "chord_scores": f"WITH {HS}, {CS} SELECT cs.* FROM cs WHERE mask IN (SELECT mask FROM hs)",
     "chord_symbol_lookup": f"WITH {HS}, {CT} SELECT mask, bass, n, symbol FROM hs LEFT JOIN ct USING (mask, bass)",
     "chord_active_set": f"WITH {QC}, g AS (SELECT DISTINCT track_id, floor(beat_start) AS beat FROM q), {SND.format(grid='g')} SELECT track_id, beat, mask, bass, n_notes, round(held, 6) AS held, CAST(bit_count(mask) AS INT) AS n_pcs FROM snd",
@@ -272,7 +284,7 @@ ORACLES: dict[str, str] = {
       st AS (SELECT track_id, pitch, frame, lead > 0 AS state FROM both_ WHERE frame = final UNION ALL SELECT b.track_id, b.pitch, b.frame, CASE WHEN state THEN lead >= -858993459 ELSE lead >= 858993459 END FROM st JOIN both_ b ON b.track_id = st.track_id AND b.pitch = st.pitch AND b.frame = st.frame - 1)
       SELECT st.track_id, st.frame, st.pitch FROM st JOIN nf USING (track_id, pitch, frame) WHERE state AND prob >= 0.6""",
     "cqt_frame": f"WITH {SG}, {CQ} SELECT track_id, CAST(i // 64 AS INT) AS block_no, k AS bin, round(sqrt(power(SUM(x * c), 2) + power(SUM(x * s), 2)), 6) AS magnitude FROM sg JOIN kern ON j = i % 64 GROUP BY 1, 2, 3",
-    "cqt_full": f"""WITH {SG}, {CQ}, fr AS (SELECT track_id, f * 16 AS a, f FROM (SELECT track_id, COUNT(*) AS n FROM sg GROUP BY 1), range(0, 100000) r(f) WHERE f * 16 + (SELECT MAX(j) + 1 FROM kern) <= n)
+    "cqt_full": f"""WITH {SG}, {CQ}, fr AS (SELECT track_id, f * 64 AS a, f FROM (SELECT track_id, COUNT(*) AS n FROM sg GROUP BY 1), range(0, 100000) r(f) WHERE f * 64 + (SELECT MAX(j) + 1 FROM kern) <= n)
       SELECT fr.track_id, f AS frame, k AS bin, round(10 * log10(power(SUM(x * c), 2) + power(SUM(x * s), 2)), 6) AS db FROM fr, kern JOIN sg ON sg.track_id = fr.track_id AND sg.i = a + j GROUP BY 1, 2, 3""",
     "resample_down": f"WITH {SG}, n AS (SELECT track_id, COUNT(*) AS n FROM sg GROUP BY 1), g AS (SELECT track_id, n, CAST(k AS BIGINT) AS i, greatest(0, 3 * k - 1) AS a FROM n, range(0, 100000) r(k) WHERE k < floor(n / 3.0 + 0.5)) SELECT g.track_id, g.i, round(avg(x), 6) AS x FROM g JOIN sg ON sg.track_id = g.track_id AND sg.i >= a AND sg.i < a + 3 GROUP BY 1, 2",
     "overlap_add": f"WITH {SG} SELECT track_id, i, round(x, 6) AS x FROM sg",
