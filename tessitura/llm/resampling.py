@@ -35,8 +35,12 @@ def words_of(text="text", width: int = 1):
     words = F.array_remove(F.split(lowered, NO_WORD), "")
     if width == 1:
         return words
-    starts = F.when(F.size(words) >= width, F.sequence(F.lit(1), F.size(words) - (width - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, width), " "))
+
+    def runs(ws):  # a lambda's variable: the text is split once, not for each run
+        starts = F.when(F.size(ws) >= width, F.sequence(F.lit(1), F.size(ws) - (width - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(ws, i, width), " "))
+
+    return F.transform(F.array(words), runs)[0]
 
 
 def buckets_of(text="text", buckets: int = 10_000, longest: int = 1):
