@@ -145,8 +145,10 @@ def _term_rows(shard, names, df, term_first, lists, data, term_place, at_once: i
         yield pa.RecordBatch.from_arrays([pa.array(np.full(high - low, shard)), pa.array(names[low:high], pa.binary()), pa.array(df[low:high]), *nested, held], schema=_ARROW)
 
 
-def build_index(documents: DataFrame, folder: str, shard_bytes: int = 32 << 20) -> str:
-    """Write the index of documents (doc_id, text) to folder: one pass for N and L, one narrow pass for the shards."""
+def build_index(documents: DataFrame, folder: str, shard_bytes: int = 16 << 20) -> str:
+    """Write the index of documents (doc_id, text) to folder: one pass for N and L, one narrow pass for the shards.
+
+    A shard is about shard_bytes of text, which bounds what a task holds: some ten times that."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
     def sizes(batches):
