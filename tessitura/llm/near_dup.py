@@ -198,16 +198,19 @@ def links_of_blocks(x: list[np.ndarray], y: list[np.ndarray]) -> list[tuple[int,
     nx, ny = np.array(list(map(len, x))), np.array(list(map(len, y)))
     vx, vy = np.concatenate(x), np.concatenate(y)
     order = np.argsort(vy, kind="stable")
-    of_y, vy = np.repeat(np.arange(len(y)), ny)[order], vy[order]
-    low, high = vy.searchsorted(vx, "left"), vy.searchsorted(vx, "right")
+    of_y, vy = np.repeat(np.arange(len(y), dtype=np.int32), ny)[order], vy[order]
+    low, high = vy.searchsorted(vx, "left").astype(np.int32), vy.searchsorted(vx, "right").astype(np.int32)
     n = high - low
-    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)  # where each common value stands
-    both = np.bincount(np.repeat(np.repeat(np.arange(len(x)), nx), n) * len(y) + of_y[at], minlength=len(x) * len(y)).reshape(len(x), len(y))
+    at = np.arange(int(n.sum()), dtype=np.int32)  # where each common value stands
+    at += np.repeat(low - (np.cumsum(n, dtype=np.int32) - n), n)
+    pair = np.repeat(np.repeat(np.arange(len(x), dtype=np.int32) * np.int32(len(y)), nx), n)
+    pair += of_y[at]
+    both = np.bincount(pair, minlength=len(x) * len(y)).reshape(len(x), len(y))
     ok = 100 * both >= 75 * (nx[:, None] + ny[None, :] - both)
     return [(int(i), int(ok[i].argmax())) for i in np.flatnonzero(ok.any(1))]
 
 
-def verified_relations(relations: DataFrame, placed: DataFrame, sets: DataFrame, keep: Scratch, values: int = 1 << 14, entries: int = 128) -> DataFrame:
+def verified_relations(relations: DataFrame, placed: DataFrame, sets: DataFrame, keep: Scratch, values: int = 1 << 13, entries: int = 64) -> DataFrame:
     """Links (a, b): for each related class and component, a member of it that the class reaches 0.75 with, if there is one.
 
     The classes that are related to a component, and its members, are dealt to blocks of about so many values and entries; each
