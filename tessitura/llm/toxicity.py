@@ -27,6 +27,7 @@ from .common import Memo, fold, labelled_sample, rows_of, utf8
 
 SENTENCE = re.compile(rb"[^.!?\r\n]+")
 TRIM = re.compile(r"^\W+|\W+$")
+WORDS = 100_000  # that a task remembers, and as many older ones
 FEW = 20  # sentences; from about so many on, each counts in proportion to the document
 SPANS = "array<struct<start: bigint, stop: bigint, probability: double>>"
 
@@ -124,7 +125,7 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, mod: int = 3, held:
 
     def score(batches):
         m = shared.value
-        weights = m and Memo(lambda w: sum(m["weights"].get(f, 0.0) for f in features(w)))
+        weights = m and Memo(lambda w: sum(m["weights"].get(f, 0.0) for f in features(w)), WORDS)
         for batch in batches:
             found = [score_text(t, weights, m["bias"], sentence_threshold) if m else (0.0, []) for t in rows_of(batch, "text")[0]]
             ids, held_out = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "held_out"))
@@ -143,7 +144,7 @@ def reject_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.7
 
     def keep(batches):
         m = shared.value
-        weights = m and Memo(lambda w: sum(m["weights"].get(f, 0.0) for f in features(w)))
+        weights = m and Memo(lambda w: sum(m["weights"].get(f, 0.0) for f in features(w)), WORDS)
         for batch in batches:
             mask = [not m or score_text(None if t is None else t.encode(), weights, m["bias"], 2.0)[0] < threshold for t in rows_of(batch, "text")[0]]
             yield batch.filter(pa.array(mask, pa.bool_()))
