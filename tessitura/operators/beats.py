@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .timejoin import interval_join, within_tolerance
+from .timejoin import by_sort, interval_join, spread_out, within_tolerance
 
 def track():
     """Rows of a track; made when used, as Python workers import this module without a session."""
@@ -92,7 +92,7 @@ def grid_from_bpm(tracks: DataFrame, bpb: int = 4, least_sec: float = 10.0, tail
     beat = F.lit(60.0) / F.greatest(F.lit(30.0), F.least(F.lit(400.0), "bpm"))
     n = F.floor((F.greatest(F.lit(least_sec), "duration") + tail_sec) / beat).cast("int")
     i = F.col("beat_idx")
-    return tracks.select("track_id", beat.alias("beat"), F.explode(F.sequence(F.lit(0), n)).alias("beat_idx")).select("track_id", "beat_idx", (i * F.col("beat")).alias("t"), (i % bpb == 0).alias("downbeat"))
+    return spread_out(tracks).select("track_id", beat.alias("beat"), F.explode(F.sequence(F.lit(0), n)).alias("beat_idx")).select("track_id", "beat_idx", (i * F.col("beat")).alias("t"), (i % bpb == 0).alias("downbeat"))
 
 
 def grid_from_notes(notes: DataFrame, bpm: DataFrame) -> DataFrame:
@@ -101,25 +101,26 @@ def grid_from_notes(notes: DataFrame, bpm: DataFrame) -> DataFrame:
     start = F.floor(F.col("first") / F.col("beat")) * F.col("beat")
     n = F.floor((F.col("last") + F.col("beat") - start) / F.col("beat")).cast("int") + 1
     rows = ends.withColumn("start", start).withColumn("n", n).where((F.col("n") >= 4) & (F.col("last") > 0))
-    return rows.select("track_id", "start", "beat", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("beat_idx")).select("track_id", "beat_idx", (F.col("start") + F.col("beat_idx") * F.col("beat")).alias("t"))
+    return spread_out(rows).select("track_id", "start", "beat", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("beat_idx")).select("track_id", "beat_idx", (F.col("start") + F.col("beat_idx") * F.col("beat")).alias("t"))
 
 
-def double_beats(beats: DataFrame) -> DataFrame:
+def double_beats(beats: DataFrame, keys: tuple[str, ...] = ("track_id",)) -> DataFrame:
     """The beats and the midpoints between neighbours, numbered anew."""
-    mid = beats.withColumn("t", (F.col("t") + F.lead("t").over(track().orderBy("beat_idx"))) / 2).where("t is not null")
-    return beats.select("track_id", "t").unionByName(mid.select("track_id", "t")).select("track_id", (F.row_number().over(track().orderBy("t")) - 1).cast("int").alias("beat_idx"), "t")
+    w = Window.partitionBy(*keys)
+    mid = beats.withColumn("t", (F.col("t") + F.lead("t").over(w.orderBy("beat_idx"))) / 2).where("t is not null")
+    return beats.select(*keys, "t").unionByName(mid.select(*keys, "t")).select(*keys, (F.row_number().over(w.orderBy("t")) - 1).cast("int").alias("beat_idx"), "t")
 
 
-def halve_beats(beats: DataFrame) -> DataFrame:
+def halve_beats(beats: DataFrame, keys: tuple[str, ...] = ("track_id",)) -> DataFrame:
     """Every second beat, from the first."""
-    return beats.where("beat_idx % 2 = 0").select("track_id", F.floor(F.col("beat_idx") / 2).cast("int").alias("beat_idx"), "t")
+    return beats.where("beat_idx % 2 = 0").select(*keys, F.floor(F.col("beat_idx") / 2).cast("int").alias("beat_idx"), "t")
 
 
 def downbeat_consensus(primary: DataFrame, sources: DataFrame, tolerance: float = 0.070) -> DataFrame:
     """For each primary downbeat how many sources (track_id, source, t) have one within the tolerance."""
     near = sources.withColumn("b", F.explode(F.array(*(F.floor(F.col("t") / tolerance) + d for d in (-1, 0, 1))))).select("track_id", "source", F.col("t").alias("other"), "b")
     dealt = primary.withColumn("b", F.floor(F.col("t") / tolerance))
-    hits = dealt.join(near, ["track_id", "b"], "left").withColumn("hit", F.when(F.abs(F.col("t") - F.col("other")) < tolerance, F.col("source")))
+    hits = dealt.join(by_sort(near), ["track_id", "b"], "left").withColumn("hit", F.when(F.abs(F.col("t") - F.col("other")) < tolerance, F.col("source")))
     return hits.groupBy("track_id", "db_idx", "t").agg(F.count_distinct("hit").alias("hits"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .beats import double_beats, downbeat_consensus, grid_from_bpm, halve_beats
 from .spectral import in_tiles, laid
 from .tempo import BIN, HIGH_BPM, LOW_BPM, SUBDIVISIONS, TOLERANCE
+from .timejoin import by_sort
 
 GRID = "track_id bigint, kind string, idx int, t double"
 
@@ -230,25 +231,25 @@ def track_beats(blocks: DataFrame, model: BeatModel, rate: int) -> DataFrame:
     return _whole_tracks(blocks, run, GRID)
 
 
-def metric_level(beats: DataFrame, downbeats: DataFrame) -> DataFrame:
+def metric_level(beats: DataFrame, downbeats: DataFrame, keys: tuple[str, ...] = ("track_id",)) -> DataFrame:
     """double, halve or keep for each track with four beats: by beats of the median bar and tempo, or by tempo without downbeats.
 
     Under 2.5 beats a bar below 70 BPM is half time, over 6 above 160 is double time; without two downbeats below 50 or above 200."""
-    gaps = lambda rows, by: rows.withColumn("g", F.lead("t").over(Window.partitionBy("track_id").orderBy(by)) - F.col("t")).where("g > 0.001")
-    beat = gaps(beats, "beat_idx").groupBy("track_id").agg(F.median("g").alias("beat"), F.count("*").alias("gaps"))
-    bar = gaps(downbeats, "db_idx").groupBy("track_id").agg(F.median("g").alias("bar"))
-    facts = beat.join(bar, "track_id", "left").where("gaps >= 3").withColumn("bpm", 60.0 / F.col("beat")).withColumn("per", F.round(F.col("bar") / F.col("beat")))
+    gaps = lambda rows, by: rows.withColumn("g", F.lead("t").over(Window.partitionBy(*keys).orderBy(by)) - F.col("t")).where("g > 0.001")
+    beat = gaps(beats, "beat_idx").groupBy(*keys).agg(F.median("g").alias("beat"), F.count("*").alias("gaps"))
+    bar = gaps(downbeats, "db_idx").groupBy(*keys).agg(F.median("g").alias("bar"))
+    facts = beat.join(bar, list(keys), "left").where("gaps >= 3").withColumn("bpm", 60.0 / F.col("beat")).withColumn("per", F.round(F.col("bar") / F.col("beat")))
     free = F.when(F.col("bpm") < 50, "double").when(F.col("bpm") > 200, "halve").otherwise("keep")
     held = F.when((F.col("per") < 2.5) & (F.col("bpm") < 70), "double").when((F.col("per") > 6) & (F.col("bpm") > 160), "halve").otherwise("keep")
-    return facts.select("track_id", "bpm", F.when(F.col("per").isNull(), free).otherwise(held).alias("level"))
+    return facts.select(*keys, "bpm", F.when(F.col("per").isNull(), free).otherwise(held).alias("level"))
 
 
-def with_metric_level(beats: DataFrame, downbeats: DataFrame) -> DataFrame:
+def with_metric_level(beats: DataFrame, downbeats: DataFrame, keys: tuple[str, ...] = ("track_id",)) -> DataFrame:
     """The beats at their track's metric level: midpoints added, every second one taken, or as they are."""
-    level = metric_level(beats, downbeats).select("track_id", "level")
-    rows = beats.join(level, "track_id", "left").select("track_id", "beat_idx", "t", F.coalesce("level", F.lit("keep")).alias("level"))
-    of = lambda name: rows.where(F.col("level") == name).select("track_id", "beat_idx", "t")
-    return double_beats(of("double")).unionByName(halve_beats(of("halve"))).unionByName(of("keep"))
+    level = metric_level(beats, downbeats, keys).select(*keys, "level")
+    rows = beats.join(by_sort(level), list(keys), "left").select(*keys, "beat_idx", "t", F.coalesce("level", F.lit("keep")).alias("level"))
+    of = lambda name: rows.where(F.col("level") == name).select(*keys, "beat_idx", "t")
+    return double_beats(of("double"), keys).unionByName(halve_beats(of("halve"), keys)).unionByName(of("keep"))
 
 
 def _apart(values: list[float], least: float) -> list[float]:
@@ -300,8 +301,8 @@ def agreed_beats(beats: DataFrame, downbeats: DataFrame, primary: str = "combine
     that is a fold, by track."""
     import pandas as pd
 
-    sourced = lambda rows, idx: rows.select(F.struct("track_id", "source").alias("track_id"), (F.row_number().over(Window.partitionBy("track_id", "source").orderBy("t")) - 1).cast("int").alias(idx), "t")
-    beats = with_metric_level(sourced(beats, "beat_idx"), sourced(downbeats, "db_idx")).select("track_id.track_id", "track_id.source", "t")
+    sourced = lambda rows, idx: rows.select("track_id", "source", (F.row_number().over(Window.partitionBy("track_id", "source").orderBy("t")) - 1).cast("int").alias(idx), "t")
+    beats = with_metric_level(sourced(beats, "beat_idx"), sourced(downbeats, "db_idx"), ("track_id", "source")).select("track_id", "source", "t")
     w = Window.partitionBy("track_id", "source").orderBy("t")
     gaps = beats.withColumn("g", F.lead("t").over(w) - F.col("t")).groupBy("track_id", "source").agg(F.median("g").alias("g")).where("g > 0.001")
     tempo = gaps.groupBy("track_id").agg(F.median(60.0 / F.col("g")).alias("bpm"))
@@ -314,7 +315,7 @@ def agreed_beats(beats: DataFrame, downbeats: DataFrame, primary: str = "combine
     confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.coalesce("hits", F.lit(1.0)) - 1) / F.greatest(F.col("sources") - 1, F.lit(1))))
     facts = sources.join(tempo, "track_id", "left").join(hits, "track_id", "left").join(bars, "track_id", "left").select("track_id", bpm.alias("bpm"), per.alias("beats_per_bar"), confidence.alias("confidence"), "sources")
     marks = beats.where(F.col("source") == primary).select("track_id", F.lit("beat").alias("kind"), "t").unionByName(downbeats.where(F.col("source") == primary).select("track_id", F.lit("downbeat").alias("kind"), "t"))
-    rows = facts.select("track_id", "bpm", "beats_per_bar").join(tempo.select("track_id", F.lit(True).alias("paced")), "track_id", "left").join(marks, "track_id", "left")
+    rows = facts.select("track_id", "bpm", "beats_per_bar").join(tempo.select("track_id", F.lit(True).alias("paced")), "track_id", "left").join(by_sort(marks), "track_id", "left")
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         track_id, bpm, bpb = part["track_id"].iloc[0], float(part["bpm"].iloc[0]), int(part["beats_per_bar"].iloc[0])

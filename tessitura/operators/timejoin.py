@@ -9,6 +9,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def by_sort(df: DataFrame) -> DataFrame:
+    """df for a join by sorting both sides. Spark takes exploded rows for as few as they were before, so it would send a long side to
+    the driver and to every executor."""
+    return df.hint("merge")
+
+
+def spread_out(rows: DataFrame) -> DataFrame:
+    """rows dealt to all shuffle partitions in turn, before each becomes many.
+
+    Adaptive execution brings a row a track, which are few bytes, to one task; with a number of partitions it leaves them dealt, and
+    what is made of them is shuffled by key when its size is known."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def interval_join(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, bucket: float, keys: tuple[str, ...] = ("track_id",), how: str = "inner") -> DataFrame:
     """Points with the intervals that hold them, start <= at < end.
 
@@ -16,7 +30,7 @@ def interval_join(points: DataFrame, intervals: DataFrame, at: str, start: str,
     many groups. bucket is about an interval's length."""
     spread = intervals.withColumn("__b", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.greatest(start, end) / bucket))))
     dealt = points.withColumn("__b", F.floor(F.col(at) / bucket))
-    left, right = dealt.alias("p"), spread.alias("i")
+    left, right = dealt.alias("p"), by_sort(spread.alias("i"))
     on = [F.col(f"p.{k}") == F.col(f"i.{k}") for k in keys] + [F.col("p.__b") == F.col("i.__b"), F.col(f"p.{at}") >= F.col(f"i.{start}"), F.col(f"p.{at}") < F.col(f"i.{end}")]
     own = [F.col(f"p.{c}") for c in points.columns]
     others = [F.col(f"i.{c}") for c in intervals.columns if c not in points.columns]
@@ -42,7 +56,7 @@ def within_tolerance(left: DataFrame, right: DataFrame, at: str, other: str, tol
     near = right.select(*keys, F.col(other).alias("__o")).withColumn("__b", F.explode(F.array(*(F.floor(F.col("__o") / tol) + d for d in (-1, 0, 1)))))
     dealt = left.withColumn("__b", F.floor(F.col(at) / tol))
     on = [dealt[k] == near[k] for k in keys] + [dealt["__b"] == near["__b"], F.abs(dealt[at] - near["__o"]) < tol]
-    return dealt.join(near, on, "left_semi" if exists else "left_anti").drop("__b")
+    return dealt.join(by_sort(near), on, "left_semi" if exists else "left_anti").drop("__b")
 
 
 SEGMENT = ("seg_no", "start_time_sec", "end_time_sec", "bpm", "beat_duration_sec", "beat_offset")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.timejoin import spread_out
+
 STEMS = ("drums", "bass", "other", "vocals", "guitar", "piano")
 STEP_SEC = 0.05
 SAMPLE_RATE = 441
@@ -59,7 +61,7 @@ def signal_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tracks = read(spark, sf_dir, "events").select(F.col("user_id").alias("track_id")).distinct()
+    tracks = spread_out(read(spark, sf_dir, "events").select(F.col("user_id").alias("track_id")).distinct())
     i = F.col("beat_idx")
     t = i * F.lit(0.5) + ((i * 7) % 5 - 2) / F.lit(100.0) + F.lit(0.02)
     return tracks.select("track_id", F.explode(F.sequence(F.lit(0), F.lit(130))).alias("beat_idx")).select("track_id", F.col("beat_idx").cast("int").alias("beat_idx"), t.alias("t"))
