@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -164,48 +166,135 @@ def rhythm_states(spark: SparkSession) -> DataFrame:
     return rows.select(((F.col("tempo_bin") - TEMPO_BINS[0]) * per + before + F.col("phase")).cast("int").alias("state_idx"), "tempo_bin", "meter_class", F.col("phase").cast("int").alias("phase"))
 
 
-def joint_path(observations: np.ndarray, tempo_cost: float = 0.3, meter_cost: float = 1.5, phase_cost: float = 0.1) -> np.ndarray:
-    """The best state of each frame: observations are (frames, states) log scores.
-
-    The transition cost is a sum over tempo, meter and phase, so the maximum is taken one factor at a time: a max-plus step
-    over 61 tempo bins, then over the 27 positions, not over all pairs of states."""
-    n_tempo, per = len(TEMPO_BINS), sum(METER_BEATS)
+def _joint_costs(tempo_cost: float, meter_cost: float, phase_cost: float) -> tuple[int, np.ndarray]:
+    """In units: the cost of one tempo bin, and that of each move between positions, (old, new)."""
     meter = np.repeat(np.arange(len(METER_BEATS)), METER_BEATS)
     phase = np.concatenate([np.arange(b) for b in METER_BEATS])
     length = np.repeat(METER_BEATS, METER_BEATS)
-    position = np.where(meter[:, None] != meter[None, :], meter_cost, 0.0)
+    unit = lambda x: round(x / UNIT)
     step = phase[None, :] - phase[:, None]
     near = (step == 1) | ((phase[None, :] == 0) & (phase[:, None] == length[:, None] - 1)) | ((phase[:, None] == 0) & (phase[None, :] == length[None, :] - 1))
-    position = position + np.where(step == 0, 0.0, np.where(near, phase_cost, 0.5))
-    tempo = tempo_cost * np.abs(np.arange(n_tempo)[:, None] - np.arange(n_tempo)[None, :])
-    n = len(observations)
-    obs = observations.reshape(n, n_tempo, per)
-    score = obs[0] + 10.0 * (phase == 0)[None, :]
-    from_tempo = np.zeros((n, n_tempo, per), np.int16)
-    from_position = np.zeros((n, n_tempo, per), np.int16)
-    for t in range(1, n):
-        moved = score[:, None, :] - tempo[:, :, None]  # old tempo, new tempo, position
-        from_tempo[t], best = moved.argmax(0), moved.max(0)
-        turned = best[:, :, None] - position[None, :, :]  # tempo, old position, new position
-        from_position[t], score = turned.argmax(1), turned.max(1) + obs[t]
-    i, j = np.unravel_index(int(score.argmax()), score.shape)
-    out = np.zeros(n, np.int32)
+    return unit(tempo_cost), np.where(meter[:, None] != meter[None, :], unit(meter_cost), 0) + np.where(step == 0, 0, np.where(near, unit(phase_cost), unit(0.5)))
+
+
+def joint_paths(observed, n: int, tempo_cost: float = 0.3, meter_cost: float = 1.5, phase_cost: float = 0.1, block: int = 256) -> np.ndarray:
+    """The best states, (frames, tracks), of tracks of n frames each; observed(t) gives log scores (states, tracks) in units.
+
+    The transition cost is a sum over tempo, meter and phase, so the maximum is taken one factor at a time: over tempo bins, as
+    their cost is linear, by a running maximum from either side; over positions as the best of all and of the own meter at the
+    full cost, or one of the few that cost less. What the best came from is looked up on the way back, for the path's states alone
+    (the first position of equals, then the first tempo bin). Scores are kept for one block of frames, and for each block's first."""
+    n_tempo, per = len(TEMPO_BINS), sum(METER_BEATS)
+    bin_cost, position = _joint_costs(tempo_cost, meter_cost, phase_cost)
+    first = np.concatenate([[0], np.cumsum(METER_BEATS)[:-1]])
+    own = np.repeat(np.arange(len(METER_BEATS)), METER_BEATS)
+    same = own[:, None] == own[None, :]
+    full, full_own = position.max(), position[same].max()
+    less = [np.flatnonzero(position[:, q] < np.where(same[:, q], full_own, full)) for q in range(per)]
+    rounds = [np.array([ps[min(k, len(ps) - 1)] for ps in less]) for k in range(max(map(len, less)))]
+    ramp = (bin_cost * np.arange(n_tempo))[:, None, None]
+    apart = bin_cost * np.abs(np.arange(n_tempo)[:, None] - np.arange(n_tempo)[None, :])
+
+    def advance(score: np.ndarray, t: int) -> np.ndarray:
+        up = np.maximum.accumulate(score + ramp, axis=0) - ramp
+        down = np.maximum.accumulate((score - ramp)[::-1], axis=0)[::-1] + ramp
+        best = np.maximum(up, down)
+        out = np.maximum(best.max(1, keepdims=True) - full, np.maximum.reduceat(best, first, axis=1)[:, own] - full_own)
+        for ps in rounds:
+            np.maximum(out, best[:, ps] - position[ps, np.arange(per)][None, :, None], out=out)
+        out += observed(t).reshape(out.shape)
+        return out - out.max((0, 1))  # so that long tracks don't overflow
+
+    score = observed(0).reshape(n_tempo, per, -1) + (round(10.0 / UNIT) * np.isin(np.arange(per), first))[None, :, None]
+    begins, kept = [], []
+    for t in range(n):
+        if t:
+            score = advance(score, t)
+        if t % block == 0:
+            begins.append(score)
+            kept = []
+        kept.append(score)
+    tracks = np.arange(score.shape[2])
+    i, j = np.divmod(score.reshape(n_tempo * per, -1).argmax(0), per)
+    out = np.zeros((n, len(tracks)), np.int32)
     for t in range(n - 1, -1, -1):
         out[t] = i * per + j
         if t:
-            j_old = from_position[t, i, j]
-            i, j = from_tempo[t, i, j_old], j_old
+            if t % block == 0:  # what lies before is made again
+                kept = [begins[t // block - 1]]
+                for u in range(t - block + 1, t):
+                    kept.append(advance(kept[-1], u))
+            was, cost = kept[(t - 1) % block], apart[:, i]
+            j = ((was - cost[:, None, :]).max(0) - position[:, j]).argmax(0)
+            i = (was[:, j, tracks] - cost).argmax(0)
     return out
 
 
-def decode_joint(observations: DataFrame) -> DataFrame:
-    """(track_id, frame, state_idx) of the best path. observations: (track_id, frame, scores ARRAY<DOUBLE> by state)."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame")
-        return pd.DataFrame({"track_id": rows["track_id"].iloc[0], "frame": rows["frame"].to_numpy().astype("int32"), "state_idx": joint_path(np.stack(rows["scores"].to_list()))})
-
-    return observations.groupBy("track_id").applyInPandas(run, "track_id bigint, frame int, state_idx int")
+def _units(scores: np.ndarray) -> np.ndarray:
+    return np.rint(np.clip(scores, -1e6, 1e6) / UNIT).astype("int64")
+
+
+def joint_path(observations: np.ndarray, **costs: float) -> np.ndarray:
+    """The best state of each frame: observations are (frames, states) log scores."""
+    return joint_paths(lambda t: _units(observations[t])[:, None], len(observations), **costs)[:, 0]
+
+
+def decode_joint(observations: DataFrame, together: int = 32) -> DataFrame:
+    """(track_id, frame, state_idx) of the best path. observations: (track_id, frame, scores by state: ARRAY<DOUBLE>, or
+    MAP<INT, DOUBLE> of those that are not 0).
+
+    Tracks are dealt to tasks and come in order, so a task holds the scores of one track, or of together of equal length, which are
+    decoded side by side."""
+    import pyarrow as pa
+
+    states = len(TEMPO_BINS) * sum(METER_BEATS)
+    schema = pa.schema([("track_id", pa.int64()), ("frame", pa.int32()), ("state_idx", pa.int32())])
+
+    def decoded(tracks: list[tuple]) -> pa.RecordBatch:
+        n = len(tracks[0][1])
+
+        def observed(t: int) -> np.ndarray:
+            out = np.zeros((states, len(tracks)), "int64")
+            for k, (_, _, rows) in enumerate(tracks):
+                at, values = rows[t]
+                out[at, k] = _units(values)
+            return out
+
+        found = joint_paths(observed, n)
+        ids = [track for track, _, _ in tracks for _ in range(n)]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate([f for _, f, _ in tracks]), pa.int32()), pa.array(found.T.ravel(), pa.int32())], schema=schema)
+
+    def rows_of(b: pa.RecordBatch):
+        """(track_id, frame, where, values) of each row."""
+        scores = b.column(2)
+        sparse = pa.types.is_map(scores.type)
+        offsets = scores.offsets.to_numpy()
+        at, values = (scores.keys.to_numpy(), scores.items.to_numpy()) if sparse else (None, scores.values.to_numpy(zero_copy_only=False))
+        for k, (track, frame) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+            a, z = offsets[k], offsets[k + 1]
+            yield track, frame, at[a:z] if sparse else slice(None), values[a:z]
+
+    def run(batches):
+        waiting: dict[int, list[tuple]] = {}  # by length
+        now = None
+        rows = (row for b in batches for row in rows_of(b))
+        for track, frame, at, values in itertools.chain(rows, [(None, None, None, None)]):
+            if now and (frame is None or track != now[0]):
+                alike = waiting.setdefault(len(now[1]), [])
+                alike.append(now)
+                if len(alike) >= together or len(now[1]) * len(alike) >= 1 << 13 or sum(len(f) for xs in waiting.values() for _, f, _ in xs) >= 1 << 14:
+                    yield from map(decoded, waiting.values())
+                    waiting = {}
+                now = None
+            if frame is not None:
+                now = now or (track, [], [])
+                now[1].append(frame)
+                now[2].append((at, values))
+        yield from map(decoded, waiting.values())
+
+    n = int(observations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = observations.select("track_id", F.col("frame").cast("int"), "scores").repartition(n, "track_id").sortWithinPartitions("track_id", "frame")
+    return dealt.mapInArrow(run, "track_id bigint, frame int, state_idx int")
 
 
 def path_downbeats(path: DataFrame, states: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@
 import os
 import re
 
+import numpy as np
 import pytest
 
+from tessitura.operators import hmm as V
 from tessitura.operators import timejoin as J
 from tessitura.plans import catalog
 
@@ -40,3 +42,14 @@ def test_rows_are_dealt_before_they_become_many(spark):
     tracks = spark.range(100).selectExpr("id AS track_id").distinct()
     made = J.spread_out(tracks).selectExpr("track_id", "explode(sequence(0, 130)) AS beat_idx")
     assert made.selectExpr("spark_partition_id() AS p").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_joint_decoding_of_many_tracks_from_sparse_scores(spark):
+    """Scores as maps say what whole arrays say; tracks of several lengths are decoded side by side, and blocks of frames leave the path."""
+    rng = np.random.default_rng(5)
+    arrays = {track: np.where(rng.random((length, 1647)) < 0.01, rng.integers(1, 9, (length, 1647)), 0.0) for track, length in ((1, 5), (2, 5), (3, 1), (4, 9))}
+    dense = [(track, t, row.tolist()) for track, rows in arrays.items() for t, row in enumerate(rows)]
+    sparse = [(track, t, {s: row[s] for s in range(1647) if row[s]}) for track, t, row in dense]
+    whole = {tuple(r) for r in V.decode_joint(spark.createDataFrame(dense, "track_id bigint, frame int, scores array<double>")).collect()}
+    assert whole == {tuple(r) for r in V.decode_joint(spark.createDataFrame(sparse, "track_id bigint, frame int, scores map<int, double>")).collect()}
+    assert whole == {(track, t, int(s)) for track, rows in arrays.items() for t, s in enumerate(V.joint_path(rows, block=2))}
