@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .timejoin import asof_fill, by_sort, spread_out
+
 # Weights of the five bins around a peak.
 PEAK_WEIGHTS = (0.15, 0.6, 1.0, 0.6, 0.15)
 
@@ -28,10 +30,10 @@ def stereo_at_rate(frames: DataFrame, rate: int, wanted: int = 44_100, bucket: i
     size = stereo.groupBy("track_id").agg((F.max("i") + 1).alias("n"))
     count = F.round(F.col("n") * ratio).cast("bigint")
     starts = size.select("track_id", "n", count.alias("out"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0).cast("bigint"), count - 1), F.lit(bucket).cast("bigint"))).alias("a"))
-    out = starts.where("out > 0").select("track_id", "n", F.explode(F.sequence(F.col("a"), F.least(F.col("a") + bucket, F.col("out")) - 1)).alias("k"))
+    out = spread_out(starts.where("out > 0")).select("track_id", "n", F.explode(F.sequence(F.col("a"), F.least(F.col("a") + bucket, F.col("out")) - 1)).alias("k"))
     placed = out.withColumn("at", F.col("k") / ratio).withColumn("i0", F.floor("at")).withColumn("frac", F.col("at") - F.col("i0")).withColumn("i1", F.least(F.col("i0") + 1, F.col("n") - 1))
     ends = placed.select("track_id", "k", F.explode(F.array(F.struct(F.col("i0").alias("i"), (1 - F.col("frac")).alias("w")), F.struct(F.col("i1").alias("i"), F.col("frac").alias("w")))).alias("e")).select("track_id", "k", "e.i", "e.w")
-    return ends.join(stereo, ["track_id", "i"]).groupBy("track_id", "k").agg(F.sum(F.col("w") * F.col("l")).alias("l"), F.sum(F.col("w") * F.col("r")).alias("r")).withColumnRenamed("k", "i")
+    return ends.join(by_sort(stereo), ["track_id", "i"]).groupBy("track_id", "k").agg(F.sum(F.col("w") * F.col("l")).alias("l"), F.sum(F.col("w") * F.col("r")).alias("r")).withColumnRenamed("k", "i")
 
 
 def blend_channels(stems: DataFrame) -> DataFrame:
@@ -128,8 +130,6 @@ def noise_floor(power: Column, k: Column) -> Column:
 def at_beat(points: DataFrame, segments: DataFrame, signatures: DataFrame) -> DataFrame:
     """points with bpm, numerator and denominator: the tempo of the last segment whose first beat is at or before the beat (else the
     first), and the signature that holds it (else the last). points: (track_id, beat)."""
-    from .timejoin import asof_fill
-
     tempo = asof_fill(points, segments, "beat", "beat_offset", ["bpm"])
     first = segments.groupBy("track_id").agg(F.min_by("bpm", "beat_offset").alias("first_bpm"))
     meter = asof_fill(tempo.join(first, "track_id", "left"), signatures.withColumn("until", F.col("end_beat")), "beat", "start_beat", ["numerator", "denominator", "until"])
