@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .timejoin import interval_join
+from .timejoin import interval_join, spread_out
 
 # The chord vocabulary in tie-break order, semitones above the root.
 TEMPLATES = [
@@ -116,7 +116,7 @@ def changes(scan: DataFrame) -> DataFrame:
 def chord_scan(notes: DataFrame, step: float = 1.0, least: int = 2) -> DataFrame:
     """Chord changes on a fixed grid of beats."""
     ends = notes.groupBy("track_id").agg(F.max(F.col("beat_start") + F.col("beat_duration")).alias("e"))
-    grid = ends.select("track_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("e") / step).cast("int"))).alias("k")).select("track_id", (F.col("k") * F.lit(step)).alias("beat"))
+    grid = spread_out(ends).select("track_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("e") / step).cast("int"))).alias("k")).select("track_id", (F.col("k") * F.lit(step)).alias("beat"))
     heard = symbols(sounding_at(grid, notes).where(F.col("n_pcs") >= least))
     return changes(heard).select("track_id", "beat", "symbol")
 
@@ -125,7 +125,7 @@ def bar_candidates(notes: DataFrame, bpb: int = 4, step: float = 0.25, least: in
     """The best quarter-beat of each half bar: most pitch classes, then 5 * classes + 2 * length + notes, then the earliest."""
     bpb = max(bpb, 2)
     ends = notes.groupBy("track_id").agg(F.max(F.col("beat_start") + F.col("beat_duration")).alias("e"))
-    grid = ends.select("track_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("e") / step).cast("int"))).alias("k")).select("track_id", (F.col("k") * F.lit(step)).alias("beat"))
+    grid = spread_out(ends).select("track_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("e") / step).cast("int"))).alias("k")).select("track_id", (F.col("k") * F.lit(step)).alias("beat"))
     heard = sounding_at(grid, notes).where(F.col("n_pcs") >= least)
     half = F.floor(F.col("beat") / (bpb / 2)).cast("int")
     weight = F.round(F.col("n_pcs") * 5 + F.col("held") * 2 + F.col("n_notes"), 6)
