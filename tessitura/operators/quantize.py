@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import meter_class
-from .timejoin import asof_fill, interval_join, time_to_beat
+from .timejoin import asof_fill, by_sort, interval_join, time_to_beat
 
 def track():
     """Rows of a track; made when used, as Python workers import this module without a session."""
@@ -140,9 +140,9 @@ def associate(notes: DataFrame, beats: DataFrame, downbeats: DataFrame, bpb: int
     bars = asof_fill(
         spans.withColumn("late", F.col("prev_beat_time") + 0.001), downbeats.select("track_id", "t", "db_idx"), "late", "t", ["db_idx"]
     ).drop("late")
-    anacrusis = beats.where("beat_idx = 0").select("track_id", F.col("t").alias("b0")).join(downbeats.where("db_idx = 0").select("track_id", F.col("t").alias("d0")), "track_id", "left").select("track_id", F.coalesce(F.col("d0") > F.col("b0") + 0.001, F.lit(False)).alias("pickup"))
+    anacrusis = beats.where("beat_idx = 0").select("track_id", F.col("t").alias("b0")).join(by_sort(downbeats.where("db_idx = 0").select("track_id", F.col("t").alias("d0"))), "track_id", "left").select("track_id", F.coalesce(F.col("d0") > F.col("b0") + 0.001, F.lit(False)).alias("pickup"))
     bar = F.when(F.col("db_idx").isNull(), F.lit(0)).otherwise(F.col("db_idx") + F.when(F.col("pickup"), 1).otherwise(0)).cast("int")
-    spans = bars.join(anacrusis, "track_id").withColumn("bar_index", bar).drop("db_idx", "pickup")
+    spans = bars.join(by_sort(anacrusis), "track_id").withColumn("bar_index", bar).drop("db_idx", "pickup")
     head = firsts.join(spans.where("beat_index = 0").groupBy("track_id").agg(F.min_by("bar_index", "prev_beat_time").alias("bar0")), "track_id")
     early = notes.join(head, "track_id").where("start_time < first_t").select(
         *(notes[c] for c in notes.columns), F.col("first_t").alias("prev_beat_time"), F.col("second_t").alias("next_beat_time"), F.lit(0).alias("beat_index"), F.col("bar0").alias("bar_index")
