@@ -144,7 +144,7 @@ def associate(notes: DataFrame, beats: DataFrame, downbeats: DataFrame, bpb: int
     bar = F.when(F.col("db_idx").isNull(), F.lit(0)).otherwise(F.col("db_idx") + F.when(F.col("pickup"), 1).otherwise(0)).cast("int")
     spans = bars.join(by_sort(anacrusis), "track_id").withColumn("bar_index", bar).drop("db_idx", "pickup")
     head = firsts.join(spans.where("beat_index = 0").groupBy("track_id").agg(F.min_by("bar_index", "prev_beat_time").alias("bar0")), "track_id")
-    early = notes.join(head, "track_id").where("start_time < first_t").select(
+    early = notes.join(by_sort(head), "track_id").where("start_time < first_t").select(
         *(notes[c] for c in notes.columns), F.col("first_t").alias("prev_beat_time"), F.col("second_t").alias("next_beat_time"), F.lit(0).alias("beat_index"), F.col("bar0").alias("bar_index")
     )
     placed = asof_fill(notes, spans.withColumn("mark", F.col("prev_beat_time")), "start_time", "mark", ["prev_beat_time", "next_beat_time", "beat_index", "bar_index"]).where("prev_beat_time is not null")
