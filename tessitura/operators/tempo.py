@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .beats import chain_dedup, chain_kept
-from .timejoin import interval_join
+from .timejoin import by_sort, interval_join
 
 LOW_BPM, HIGH_BPM, BIN, TOLERANCE = 40, 200, 0.01, 0.07
 # The subdivisions of a beat, and the candidate meters (numerator, denominator, prior).
@@ -34,7 +34,7 @@ def lag_scores(onsets: DataFrame, tolerance: int = 2) -> DataFrame:
     size = longest + tolerance
     left = bins.withColumn("b", F.floor(F.col("bin") / size))
     right = bins.select("track_id", F.col("bin").alias("other"), F.floor(F.col("bin") / size).alias("ob"))
-    near = left.select("track_id", "bin", "m", F.explode(F.array("b", F.col("b") + 1)).alias("ob")).join(right, ["track_id", "ob"])
+    near = left.select("track_id", "bin", "m", F.explode(F.array("b", F.col("b") + 1)).alias("ob")).join(by_sort(right), ["track_id", "ob"])
     gap = F.col("other") - F.col("bin")
     pairs = near.where(gap.between(shortest - tolerance, longest + tolerance)).select("track_id", "bin", "m", gap.alias("gap"))
     spread = pairs.select("track_id", "bin", "m", "gap", F.explode(F.sequence(F.lit(-tolerance), F.lit(tolerance))).alias("d")).select("track_id", "bin", "m", (F.col("gap") + F.col("d")).alias("lag"), F.abs("d").alias("d"))
@@ -58,7 +58,7 @@ def subdivision_error(t: Column, beat: Column) -> Column:
 
 def alignment(onsets: DataFrame, tempi: DataFrame) -> DataFrame:
     """The mean of 1 - error / tolerance over the onsets within the tolerance of a subdivision; tempi: (track_id, bpm)."""
-    rows = onsets.select("track_id", F.explode("onsets").alias("t")).join(tempi, "track_id")
+    rows = onsets.select("track_id", F.explode("onsets").alias("t")).join(by_sort(tempi), "track_id")
     err = subdivision_error(F.col("t"), F.lit(60.0) / F.col("bpm"))
     return rows.groupBy("track_id", "bpm").agg(F.avg(F.when(err <= TOLERANCE, 1 - err / TOLERANCE).otherwise(0.0)).alias("alignment"))
 
