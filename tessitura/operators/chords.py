@@ -5,9 +5,11 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .folds import fold_tracks
 from .timejoin import interval_join, spread_out
 
 # The chord vocabulary in tie-break order, semitones above the root.
@@ -87,9 +89,15 @@ def chord_table(spark: SparkSession) -> DataFrame:
 
 
 def symbols(sets: DataFrame) -> DataFrame:
-    """Adds symbol to rows with mask and bass, a look-up in an array of 53,248 entries that Catalyst folds to a literal."""
-    table = F.split(F.lit("|".join(s or "" for s in chord_symbols())), r"\|")
-    return sets.withColumn("symbol", F.nullif(F.element_at(table, F.col("mask") * 13 + F.col("bass") + 2), F.lit("")))
+    """Adds symbol to rows with mask and bass, by a join with the recogniser's rows.
+
+    They are sent as a table of fixed size, some 53,000 rows. As a literal the table would be part of every plan and every task's
+    code, and each plan that adaptive execution makes of a query would hold and print it anew in the driver."""
+    found = [(n, s) for n, s in enumerate(chord_symbols()) if s]
+    rows = pa.table({"__place": pa.array([n for n, _ in found], pa.int64()), "symbol": pa.array([s for _, s in found], pa.string())})
+    table = F.broadcast(sets.sparkSession.createDataFrame(rows))
+    place = (F.col("mask") * 13 + F.col("bass") + 1).cast("bigint")
+    return sets.withColumn("__place", place).join(table, "__place", "left").select(*sets.columns, "symbol")
 
 
 def sounding_at(positions: DataFrame, notes: DataFrame, early: float = 1e-5) -> DataFrame:
@@ -157,8 +165,6 @@ def bar_choices(bars: list[tuple], bpb: float, most: int = 2, clear: int = 3, le
 def chords_per_bar(notes: DataFrame, bpb: int = 4) -> DataFrame:
     """At most two chords a bar, where the symbol changes. Which one counts depends on the last, so a track's bars are folded;
     a bar is one row by then."""
-    import pandas as pd
-
     bpb = max(bpb, 2)
     found = bar_candidates(notes, bpb).withColumn("bar", F.floor(F.col("half") / 2).cast("int"))
     place = F.struct("found_at", "n_pcs", "symbol")
@@ -168,13 +174,9 @@ def chords_per_bar(notes: DataFrame, bpb: int = 4) -> DataFrame:
     rows = halves.join(down, ["track_id", "bar"], "left")
     flat = rows.select("track_id", "bar", *(F.col(f"{c}.{f}").alias(f"{c}_{f}") for c, fields in (("first", PLACE), ("second", PLACE), ("down", ("n_pcs", "symbol"))) for f in fields))
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("bar")
-        some = lambda r, name, fields: None if pd.isna(getattr(r, f"{name}_n_pcs")) else tuple(getattr(r, f"{name}_{f}") for f in fields)
-        bars = [(r.bar, some(r, "first", PLACE), some(r, "second", PLACE), some(r, "down", ("n_pcs", "symbol"))) for r in part.itertuples(index=False)]
-        chosen = bar_choices(bars, float(bpb))
-        columns = {"track_id": ([part["track_id"].iloc[0]] * len(chosen), "int64"), "beat": ([b for b, _ in chosen], "float64"), "symbol": ([s for _, s in chosen], object)}
-        return pd.DataFrame({name: pd.Series(values, dtype=kind) for name, (values, kind) in columns.items()})
-
-    return flat.groupBy("track_id").applyInPandas(fold, "track_id bigint, beat double, symbol string")
+    def fold(track, rows: list[tuple]):
+        some = lambda values: None if values[-2] is None else values
+        bars = [(r[0], some(r[1:4]), some(r[4:7]), some(r[7:9])) for r in sorted(rows, key=lambda r: r[0])]
+        return [(track, b, s) for b, s in bar_choices(bars, float(bpb))]
 
+    return fold_tracks(flat, fold, "track_id bigint, beat double, symbol string")

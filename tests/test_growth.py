@@ -6,7 +6,10 @@ import re
 import numpy as np
 import pytest
 
+from tessitura.operators import chords as C
+from tessitura.operators import folds
 from tessitura.operators import hmm as V
+from tessitura.operators import tempo as T
 from tessitura.operators import timejoin as J
 from tessitura.plans import catalog
 
@@ -53,3 +56,36 @@ def test_joint_decoding_of_many_tracks_from_sparse_scores(spark):
     whole = {tuple(r) for r in V.decode_joint(spark.createDataFrame(dense, "track_id bigint, frame int, scores array<double>")).collect()}
     assert whole == {tuple(r) for r in V.decode_joint(spark.createDataFrame(sparse, "track_id bigint, frame int, scores map<int, double>")).collect()}
     assert whole == {(track, t, int(s)) for track, rows in arrays.items() for t, s in enumerate(V.joint_path(rows, block=2))}
+
+
+def test_the_chord_table_is_no_part_of_a_plan(spark):
+    """As a literal of 53,248 names it was printed in every plan that adaptive execution makes, and kept by the driver."""
+    sets = spark.createDataFrame([(145, 0), (145, 4), (0, 0), (None, 0)], "mask int, bass int")
+    named = C.symbols(sets)
+    assert len(named._jdf.queryExecution().optimizedPlan().toString()) < 5000
+    assert {tuple(r) for r in named.collect()} == {(145, 0, "C"), (145, 4, "C/E"), (0, 0, None), (None, 0, None)}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["chord_scan_per_bar", "melody_continuity", "melody_skyline", "windowed_tempo_map"])
+def test_folds_have_no_group_for_each_track(spark, name):
+    assert "FlatMapGroups" not in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tracks_are_folded_whole_across_batches(spark):
+    rows = spark.range(1000).selectExpr("case when id % 7 < 6 then id % 7 end AS track_id", "id AS x")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        found = folds.fold_tracks(rows, lambda track, held: [(track, len(held), sum(x for (x,) in held))], "track_id bigint, n int, total bigint", rows_each=2).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    own = {t: [i for i in range(1000) if i % 7 == (6 if t is None else t)] for t in (*range(6), None)}
+    assert sorted(map(tuple, found), key=str) == sorted(((t, len(x), sum(x)) for t, x in own.items()), key=str)
+    assert not folds.fold_tracks(rows.where("false"), lambda track, held: [(track, 0, 0)], "track_id bigint, n int, total bigint").collect()
+
+
+def test_tempi_of_windows_are_those_of_each_alone():
+    rng = np.random.default_rng(3)
+    lists = [np.sort(rng.uniform(0, 8, n)).tolist() for n in rng.integers(0, 30, 200)] + [[float(x) / 2 for x in range(16)], [], [0.0, 0.0, 0.0]]
+    assert T.tempi_of(lists, onsets_each=500) == [T.tempo_of(x) for x in lists]
