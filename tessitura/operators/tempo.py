@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .beats import chain_dedup, chain_kept
+from .folds import fold_tracks
 from .timejoin import by_sort, interval_join
 
 LOW_BPM, HIGH_BPM, BIN, TOLERANCE = 40, 200, 0.01, 0.07
@@ -91,34 +92,64 @@ def sliding_windows(notes: DataFrame, width: int = 8, step: int = 2, least: int
 
 def tempo_of(starts: list[float], share: float = 0.7) -> float | None:
     """What resolve_octave() says of one short list of note starts, for windows inside a fold; None under three onsets."""
+    return tempi_of([starts], share)[0]
+
+
+def tempi_of(lists: list[list[float]], share: float = 0.7, onsets_each: int = 4096) -> list[float | None]:
+    """tempo_of() of several lists, about onsets_each onsets at once: their bins lie apart on one line, so that one search finds all."""
+    kept = [chain_kept(sorted(x for x in starts if x >= 0), 0.005) for starts in lists]
+    out: list[float | None] = [None] * len(lists)
+    live, n = [], 0
+    for i, x in enumerate(kept):
+        if len(x) >= 3 and x[-1] > 0:
+            live.append(i)
+            n += len(x)
+        if live and (n >= onsets_each or i == len(kept) - 1):
+            for k, bpm in zip(live, _tempi([kept[j] for j in live], share), strict=True):
+                out[k] = bpm
+            live, n = [], 0
+    return out
+
+
+def _tempi(lists: list[list[float]], share: float) -> list[float]:
+    """The tempi of sorted lists of three onsets and more."""
     import numpy as np
 
-    onsets = np.array(chain_kept(sorted(x for x in starts if x >= 0), 0.005))
-    if len(onsets) < 3 or onsets[-1] <= 0:
-        return None
+    sizes = np.array([len(x) for x in lists])
+    of, ends = np.repeat(np.arange(len(lists)), sizes), np.cumsum(sizes)
+    first = ends - sizes
+    onsets = np.concatenate([np.asarray(x, float) for x in lists])
     bins = np.floor(onsets / BIN + 0.5).astype(int)
+    lags = np.arange(round(60 / HIGH_BPM / BIN), round(60 / LOW_BPM / BIN) + 1)
+    room = bins[ends - 1] + 4 * lags[-1]  # no lag reaches from one list to another
+    bins = bins + np.repeat(np.cumsum(room) - room, sizes)
     marked = np.unique(bins)
+    parts = list(zip(first.tolist(), ends.tolist(), strict=True))
 
-    def score(lags: np.ndarray) -> np.ndarray:
-        want = bins[:, None] + lags[None, :]
+    def credit(lags: np.ndarray) -> np.ndarray:
+        want = bins[:, None] + lags
         at = np.searchsorted(marked, want)
         gap = np.minimum(np.abs(marked[np.minimum(at, len(marked) - 1)] - want), np.abs(want - marked[np.maximum(at - 1, 0)]))
-        return np.where(gap <= 2, 1 - gap / 3.0, 0.0).sum(0)
+        return np.where(gap <= 2, 1 - gap / 3.0, 0.0)
 
-    def fit(bpm: float) -> float:
-        x = onsets * bpm / 60.0
+    def fits(bpm: np.ndarray) -> np.ndarray:
+        x = onsets * bpm[of] / 60.0
         err = np.min([np.abs(x - np.floor(x / s + 0.5) * s) for s in SUBDIVISIONS], axis=0)
-        return float(np.where(err <= TOLERANCE, 1 - err / TOLERANCE, 0.0).mean())
+        near = np.where(err <= TOLERANCE, 1 - err / TOLERANCE, 0.0)
+        return np.array([round(float(near[a:z].mean()), 9) for a, z in parts])
 
-    lags = np.arange(round(60 / HIGH_BPM / BIN), round(60 / LOW_BPM / BIN) + 1)
-    scores = np.round(score(lags), 6)
-    best = int(np.argmax(scores))
-    bpm, top = 60.0 / (lags[best] * BIN), scores[best]
-    chosen, fitted = bpm, round(fit(bpm), 9)
+    scores = np.round(np.add.reduceat(credit(lags[None, :]), first, axis=0), 6)
+    best = scores.argmax(1)
+    bpm, top = 60.0 / (lags[best] * BIN), scores[np.arange(len(lists)), best]
+    chosen, fitted = bpm.copy(), fits(bpm)
     for other in (bpm / 2, bpm * 2):
-        if LOW_BPM - 1e-9 <= other <= HIGH_BPM + 1e-9 and score(np.array([int(60.0 / other / BIN + 0.5)]))[0] >= share * top and round(fit(other), 9) > fitted:
-            chosen, fitted = other, round(fit(other), 9)
-    return chosen
+        within = (LOW_BPM - 1e-9 <= other) & (other <= HIGH_BPM + 1e-9)
+        lag = np.floor(60.0 / other / BIN + 0.5).astype(int)
+        held = credit(np.where(within, lag, 0)[of][:, None])
+        score, fit = np.array([held[a:z].sum(0)[0] for a, z in parts]), fits(other)
+        better = within & (score >= share * top) & (fit > fitted)
+        chosen, fitted = np.where(better, other, chosen), np.where(better, fit, fitted)
+    return chosen.tolist()
 
 
 def window_tempi(starts: list[float], duration: float, whole: float, window: float = 8.0, step: float = 2.0, least: int = 5) -> list[tuple[float, float]]:
@@ -127,10 +158,10 @@ def window_tempi(starts: list[float], duration: float, whole: float, window: flo
 
     starts, out, t = sorted(starts), [], 0.0
     while t <= duration:
-        inside = starts[bisect.bisect_left(starts, t) : bisect.bisect_left(starts, min(t + window, duration + 0.001))]
-        out.append((t, (tempo_of(inside) or whole) if len(inside) >= least else whole))
+        out.append((t, starts[bisect.bisect_left(starts, t) : bisect.bisect_left(starts, min(t + window, duration + 0.001))]))
         t += step
-    return out
+    found = iter(tempi_of([inside for _, inside in out if len(inside) >= least]))
+    return [(t, (next(found) or whole) if len(inside) >= least else whole) for t, inside in out]
 
 
 def segments_of(samples: list[tuple[float, float]], duration: float, change: float = 0.12, least_sec: float = 4.0) -> list[tuple[float, float, float, float, float]]:
@@ -162,22 +193,18 @@ def segments_of(samples: list[tuple[float, float]], duration: float, change: flo
 
 
 def tempo_segments(notes: DataFrame) -> DataFrame:
-    """The tempo map of each track from its windows' tempi; tracks without a tempo have none. A fold, so one group by track."""
-    import pandas as pd
-
-    columns = ["track_id", "seg_no", "start_time_sec", "end_time_sec", "bpm", "beat_duration_sec", "beat_offset"]
+    """The tempo map of each track from its windows' tempi; tracks without a tempo have none. A fold by track."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.dropna(subset=["start_time"])
-        starts = rows["start_time"].tolist()
+    def fold(track, rows: list[tuple]):
+        rows = [r for r in rows if r[0] is not None and r[0] == r[0]]
+        starts = [r[0] for r in rows]
         whole = tempo_of(starts)
         if whole is None:
-            return pd.DataFrame([], columns=columns)
-        duration = max(float(rows[["start_time", "end_time"]].max().max()), 0.01)
-        found = segments_of(window_tempi(starts, duration, whole), duration)
-        return pd.DataFrame([(rows["track_id"].iloc[0], n, *s) for n, s in enumerate(found)], columns=columns)
+            return []
+        duration = max(0.01, *starts, *(e for _, e in rows if e is not None and e == e))
+        return [(track, n, *s) for n, s in enumerate(segments_of(window_tempi(starts, duration, whole), duration))]
 
-    return notes.select("track_id", "start_time", "end_time").groupBy("track_id").applyInPandas(fold, "track_id bigint, seg_no int, start_time_sec double, end_time_sec double, bpm double, beat_duration_sec double, beat_offset double")
+    return fold_tracks(notes.select("track_id", "start_time", "end_time"), fold, "track_id bigint, seg_no int, start_time_sec double, end_time_sec double, bpm double, beat_duration_sec double, beat_offset double")
 
 
 def meter_scores(notes: DataFrame, segments: DataFrame, emphasis: float = 1.35) -> DataFrame:
