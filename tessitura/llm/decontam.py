@@ -1,9 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Passage statistics: one scan counts, over all documents, in how many 32-word passages each hashed word occurs.
-2. A randomised SVD of TF-IDF passages, distributed over a sample: each task multiplies its passages with the current
-   basis and back; the driver orthonormalises a matrix of fixed size. The fit's sample is bounded (sample_documents,
-   passages_each, sample_items) and contains items of the benchmark; every document is searched.
+2. A randomised SVD of the TF-IDF passages of all documents and items, in one scan (Nyström): each task multiplies its passages
+   with a sparse random start and back; the driver takes the factors of a matrix of fixed size. Nothing is sampled.
 3. Search: every whole text is projected in blocks of 4 words. The windows of an item's length that begin at a block (for
    items of 32 words and more at every other one) are compared with the item's vector; all of cosine min_cosine or more are
    candidates, and no number of them is cut off. The
@@ -73,6 +72,15 @@ def decoded(blob: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(blob), "<u4")
 
 
+def passages_of(ids: list[np.ndarray], fill: int) -> np.ndarray:
+    """Texts' buckets as rows of PASSAGE words; a text's last row ends with fill."""
+    first = np.concatenate([[0], np.cumsum([-(-len(x) // PASSAGE) for x in ids])])
+    rows = np.full((first[-1], PASSAGE), fill, np.int32)
+    for i, x in enumerate(ids):
+        rows.reshape(-1)[first[i] * PASSAGE : first[i] * PASSAGE + len(x)] = x
+    return rows
+
+
 def passage_frequencies(encoded: DataFrame, dims: int) -> tuple[np.ndarray, int]:
     """In how many passages each bucket occurs, and how many passages there are; from all documents."""
 
@@ -81,16 +89,12 @@ def passage_frequencies(encoded: DataFrame, dims: int) -> tuple[np.ndarray, int]
         for b in batches:
             blobs = rows_of(b, "words")[0]
             for start, stop in slices_of(blobs, 1 << 20):
-                ids = [buckets_of(decoded(x), dims) for x in blobs[start:stop]]
-                first = np.concatenate([[0], np.cumsum([-(-len(x) // PASSAGE) for x in ids])])
-                rows = np.full((first[-1], PASSAGE), -1, np.int32)  # a passage a row
-                for i, x in enumerate(ids):
-                    rows.reshape(-1)[first[i] * PASSAGE : first[i] * PASSAGE + len(x)] = x
+                rows = passages_of([buckets_of(decoded(x), dims) for x in blobs[start:stop]], -1)
                 rows.sort(axis=1)
                 fresh = rows >= 0
                 fresh[:, 1:] &= rows[:, 1:] != rows[:, :-1]
                 total += np.bincount(rows[fresh], minlength=dims)
-                passages += int(first[-1])
+                passages += len(rows)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], passages))], ["bucket", "n"])
 
@@ -104,74 +108,62 @@ def passage_frequencies(encoded: DataFrame, dims: int) -> tuple[np.ndarray, int]
     return df, passages
 
 
-def sample_passages(encoded: DataFrame, items: list[np.ndarray], dims: int, sample_documents: int, passages_each: int) -> DataFrame:
-    """(ids) of passages from at most about sample_documents texts, evenly spread in each, and of the items."""
-    n = max(1, encoded.count())
-    some = encoded.where(F.pmod(F.xxhash64("text_key", F.lit(3)), F.lit(1 << 40)) < F.lit(int(min(1.0, sample_documents / n) * (1 << 40))))
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for blob in rows_of(b, "words")[0]:
-                ids = buckets_of(decoded(blob), dims).astype("<i4")
-                starts = np.arange(0, len(ids), PASSAGE)
-                for s in starts[:: max(1, -(-len(starts) // passages_each))]:
-                    rows.append(ids[s : s + PASSAGE].tobytes())
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["ids"])
-
-    own = [(x[s : s + PASSAGE].astype("<i4").tobytes(),) for x in items for s in range(0, len(x), PASSAGE)]
-    return materialize(some.select("words").mapInArrow(run, "ids binary").union(encoded.sparkSession.createDataFrame(own, "ids binary")), "passages")
-
+def _times(words: DataFrame, group: np.ndarray, sign: np.ndarray, idf: np.ndarray, width: int, blocks: int = 32, tasks: int = 16) -> np.ndarray:
+    """A'A times a start that has sign at a bucket's group, A being all TF-IDF passages in unit length: partial products by task, summed
+    by blocks of buckets.
 
-def _times(passages: DataFrame, basis: np.ndarray, idf: np.ndarray, blocks: int = 32, tasks: int = 16) -> np.ndarray:
-    """A'A times basis, A being the TF-IDF passages in unit length: partial products by task, summed by blocks of buckets.
-
-    The passages are a bounded sample: a few tasks take them, so that few partial products are summed."""
-    dims, width = basis.shape
-    shared = passages.sparkSession.sparkContext.broadcast((basis, idf))
-    step = dims // blocks
+    A passage's words meet its words: each pair adds one number to one place. The partial products are of fixed size, and so is
+    their number, twice the cores or tasks."""
+    dims, spark = len(idf), words.sparkSession
+    shared, step = spark.sparkContext.broadcast((group, sign, idf)), dims // blocks
 
     def run(batches):
-        q, weight = shared.value
+        group, sign, idf = shared.value
+        weight = np.append(idf, 0).astype(np.float32)  # the place behind the last bucket fills a text's last passage
+        signed, square, column = np.append(sign * idf, 0).astype(np.float32), weight**2, np.append(group, 0).astype(np.int64)
         out = None
         for b in batches:
-            blobs = rows_of(b, "ids")[0]
-            for i in range(0, len(blobs), 1000):
-                parts = [np.frombuffer(x, "<i4").astype(np.int64) for x in blobs[i : i + 1000]]
-                ids, lengths = np.concatenate(parts), np.array([len(p) for p in parts])
-                starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                w = weight[ids]
-                w = w / np.repeat(np.sqrt(np.maximum(np.add.reduceat(w * w, starts), 1e-12)), lengths).astype(np.float32)
-                y = np.add.reduceat(q[ids] * w[:, None], starts, axis=0)
-                order = np.argsort(ids, kind="stable")
-                own, first = np.unique(ids[order], return_index=True)
-                out = np.zeros((dims, width), np.float32) if out is None else out
-                out[own] += np.add.reduceat((np.repeat(y, lengths, axis=0) * w[:, None])[order], first, axis=0)
+            blobs = rows_of(b, "words")[0]
+            for start, stop in slices_of(blobs, 1 << 19):
+                rows = passages_of([buckets_of(decoded(x), dims) for x in blobs[start:stop]], dims)
+                out = np.zeros((dims + 1) * width) if out is None else out
+                for a in range(0, len(rows), 256):
+                    p = rows[a : a + 256].astype(np.int64)
+                    scale = 1 / np.maximum(square[p].sum(1), 1e-12)
+                    places = (p * width)[:, :, None] + column[p][:, None, :]
+                    np.add.at(out, places.ravel(), ((weight[p] * scale[:, None])[:, :, None] * signed[p][:, None, :]).ravel().astype(np.float64))
         if out is not None:  # a task without passages adds nothing
-            yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([out[i * step : (i + 1) * step].tobytes() for i in range(blocks)], pa.binary())], ["block", "part"])
+            made = out[: dims * width].astype(np.float32).reshape(blocks, step * width)
+            yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([x.tobytes() for x in made], pa.binary())], ["block", "part"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.float32) for x in table["part"].to_pylist())
-        return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int32()), "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
-    out = np.zeros((dims, width), np.float32)
-    for r in passages.coalesce(tasks).mapInArrow(run, "block int, part binary").groupBy("block").applyInArrow(add, "block int, part binary").toLocalIterator():
-        out[r["block"] * step : (r["block"] + 1) * step] = np.frombuffer(r["part"], np.float32).reshape(step, width)
+        total = np.zeros(step * width)
+        for x in table["part"]:
+            total += np.frombuffer(x.as_buffer(), np.float32)
+        return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros((dims, width))
+    parts = words.coalesce(max(tasks, 2 * spark.sparkContext.defaultParallelism)).mapInArrow(run, "block int, part binary")
+    for r in parts.groupBy("block").applyInArrow(add, "block int, part binary").toLocalIterator():
+        out[r["block"] * step : (r["block"] + 1) * step] = np.frombuffer(r["part"]).reshape(step, width)
     return out
 
 
-def latent_projection(passages: DataFrame, idf: np.ndarray, rank: int, over: int = 16, turns: int = 2, seed: int = 5) -> np.ndarray:
-    """Whitened right singular vectors (buckets x rank), by subspace iteration from a random start."""
-    basis = np.random.default_rng(seed).standard_normal((len(idf), rank + over)).astype(np.float32)
-    for _ in range(turns - 1):
-        basis = np.linalg.qr(_times(passages, basis, idf))[0].astype(np.float32)
-    basis = np.linalg.qr(basis)[0].astype(np.float32) if turns < 2 else basis
-    small = basis.T @ _times(passages, basis, idf)
-    values, vectors = np.linalg.eigh((small + small.T) / 2)
-    best = np.argsort(values)[::-1][:rank]
-    scale = np.sqrt(np.maximum(values[best], 1e-9 + 1e-6 * max(float(values[best[0]]), 0.0)))
-    return (basis @ (vectors[:, best] / scale)).astype(np.float32)
+def latent_projection(words: DataFrame, idf: np.ndarray, rank: int, over: int = 16, seed: int = 5) -> np.ndarray:
+    """Whitened right singular vectors (buckets x rank) of all passages of words, by the Nyström method from a sparse random start."""
+    rng, dims, width = np.random.default_rng(seed), len(idf), rank + over
+    group, sign = rng.integers(0, width, dims), rng.choice([-1.0, 1.0], dims)
+    product = _times(words, group, sign, idf, width)
+    shift = 1e-7 * float(np.linalg.norm(product))
+    product[np.arange(dims), group] += shift * sign  # a little of the unit matrix, so that the core has an inverse
+    core = np.zeros((width, width))
+    np.add.at(core, group, sign[:, None] * product)
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    half = product @ (vectors / np.sqrt(np.maximum(values, 1e-12 * max(float(values[-1]), 1e-30))))
+    squares, turn = np.linalg.eigh(half.T @ half)
+    best = np.argsort(squares)[::-1][:rank]
+    scale = np.sqrt(np.maximum(squares[best] - shift, 1e-9 + 1e-6 * max(float(squares[best[0]]), 0.0)))
+    return (half @ (turn[:, best] / (np.sqrt(np.maximum(squares[best], 1e-300)) * scale))).astype(np.float32)
 
 
 def lcs(bits: list[int], n: int) -> int:
@@ -263,7 +255,7 @@ def candidates(texts: list[np.ndarray], table: np.ndarray, items: Items, min_cos
         least = min_cosine * np.maximum(np.sqrt(np.einsum("ij,ij->i", windows, windows)), 1e-9)
         for j in range(0, len(vectors), items_each):
             dots = windows @ vectors[j : j + items_each].T
-            b, k = np.nonzero(dots >= least[:, None])
+            b, k = np.divmod(np.flatnonzero(dots >= least[:, None]), dots.shape[1])
             text = text_of[at[b]]
             start = (at[b] - first[text]) * BLOCK
             real = start < lengths[text]
@@ -325,13 +317,19 @@ def _look(best: dict, texts: list[np.ndarray], items: Items, i: int, item: int,
 LEAKS = "doc_id bigint, text_key bigint, item_id bigint, first_word bigint, cosine double, coverage double, kind string"
 
 
-def fit(documents: DataFrame, items: DataFrame, dims: int = 1 << 15, rank: int = 96, sample_documents: int = 2000, passages_each: int = 16, sample_items: int = 20_000) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """The encoded documents, the projection table (with a last row of zeros) and the idf of each bucket."""
+def fit(documents: DataFrame, items: DataFrame, dims: int = 1 << 15, rank: int = 96) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """The encoded documents, the projection table (with a last row of zeros) and the idf of each bucket, from all rows."""
     encoded = encode_documents(documents)
     df, passages = passage_frequencies(encoded, dims)
     idf = np.log((passages + 1) / (df + 1)).astype(np.float32)
-    some = items.orderBy(F.xxhash64("item_id", F.lit(3)), "item_id").limit(sample_items).select(F.col("text").cast("binary").alias("text")).collect()
-    table = latent_projection(sample_passages(encoded, [buckets_of(word_hashes(bytes(r["text"])), dims) for r in some], dims, sample_documents, passages_each), idf, rank) * idf[:, None]
+
+    def own(batches):
+        z = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([z.compress(word_hashes(x).tobytes()) for x in rows_of(b, "text")[0]], pa.binary())], ["words"])
+
+    words = encoded.select("words").union(items.select(F.col("text").cast("binary").alias("text")).mapInArrow(own, "words binary"))
+    table = latent_projection(words, idf, rank) * idf[:, None]
     return encoded, np.vstack([table, np.zeros((1, rank), np.float32)]).astype(np.float32), idf
 
 

@@ -391,6 +391,25 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(range(200)) - {d for d, _ in found}
 
 
+def test_the_projection_is_fitted_on_every_passage(spark):
+    """The product of all passages with the start, from all rows and items, against the same by plain matrices."""
+    rng, dims, width = random.Random(4), 64, 8
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * 2 for _ in range(rng.randrange(0, 150))) for _ in range(2500)]  # more than the 2,000 that were drawn before
+    idf = np.linspace(0.1, 2, dims).astype(np.float32)
+    group, sign = np.arange(dims) % width, np.where(np.arange(dims) % 3 == 0, -1.0, 1.0)
+    start, want = np.zeros((dims, width)), np.zeros((dims, width))
+    start[np.arange(dims), group] = sign
+    for text in texts:
+        ids = decontam.buckets_of(decontam.word_hashes(text.encode()), dims)
+        for s in range(0, len(ids), decontam.PASSAGE):
+            row, part = np.zeros(dims), ids[s : s + decontam.PASSAGE]
+            np.add.at(row, part, idf[part])
+            want += np.outer(row, row @ start) / (idf[part] ** 2).sum()
+    encoded = decontam.encode_documents(table(spark, list(enumerate(texts))))
+    got = decontam._times(encoded.select("words"), group, sign, idf, width)
+    assert np.abs(got - want).max() < 1e-4 * np.abs(want).max()
+
+
 def leaks_everywhere(docs, items):
     """(doc_id, item_id) by the check alone at every place of every text."""
     encoded, table_, idf = decontam.fit(docs, items)
