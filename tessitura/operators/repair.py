@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .beats import double_beats, downbeat_consensus, grid_from_bpm, halve_beats
 from .spectral import in_tiles, laid
 from .tempo import BIN, HIGH_BPM, LOW_BPM, SUBDIVISIONS, TOLERANCE
+from .folds import fold_tracks
 from .timejoin import by_sort
 
 GRID = "track_id bigint, kind string, idx int, t double"
@@ -299,34 +300,32 @@ def agreed_beats(beats: DataFrame, downbeats: DataFrame, primary: str = "combine
     sources' (120 without any), beats a bar follow from the median bar, and confidence from how many sources have each primary
     downbeat. The primary's grid is made whole, or one at the tempo where it has under four beats and some source has a tempo;
     that is a fold, by track."""
-    import pandas as pd
-
     sourced = lambda rows, idx: rows.select("track_id", "source", (F.row_number().over(Window.partitionBy("track_id", "source").orderBy("t")) - 1).cast("int").alias(idx), "t")
     beats = with_metric_level(sourced(beats, "beat_idx"), sourced(downbeats, "db_idx"), ("track_id", "source")).select("track_id", "source", "t")
     w = Window.partitionBy("track_id", "source").orderBy("t")
-    gaps = beats.withColumn("g", F.lead("t").over(w) - F.col("t")).groupBy("track_id", "source").agg(F.median("g").alias("g")).where("g > 0.001")
-    tempo = gaps.groupBy("track_id").agg(F.median(60.0 / F.col("g")).alias("bpm"))
-    sources = beats.select("track_id", "source").distinct().groupBy("track_id").agg(F.count("*").alias("sources"))
+    gaps = beats.withColumn("g", F.lead("t").over(w) - F.col("t")).groupBy("track_id", "source").agg(F.median("g").alias("g"))
+    sources = gaps.groupBy("track_id").agg(F.count("*").alias("sources"), F.median(F.when(F.col("g") > 0.001, 60.0 / F.col("g"))).alias("bpm"))  # one plan: levels are costly
     own = downbeats.where(F.col("source") == primary).select("track_id", "t", (F.row_number().over(Window.partitionBy("track_id").orderBy("t")) - 1).cast("int").alias("db_idx"))
     hits = downbeat_consensus(own, downbeats.where(F.col("source") != primary), tolerance).groupBy("track_id").agg(F.avg(1 + F.col("hits")).alias("hits"))
     bars = own.withColumn("g", F.lead("t").over(Window.partitionBy("track_id").orderBy("t")) - F.col("t")).groupBy("track_id").agg(F.median("g").alias("bar"))
     bpm = F.coalesce("bpm", F.lit(120.0))
     per = F.coalesce(F.greatest(F.lit(2), F.least(F.lit(8), F.round(F.col("bar") * F.greatest(bpm, F.lit(1.0)) / 60.0))), F.lit(4)).cast("int")
     confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.coalesce("hits", F.lit(1.0)) - 1) / F.greatest(F.col("sources") - 1, F.lit(1))))
-    facts = sources.join(tempo, "track_id", "left").join(hits, "track_id", "left").join(bars, "track_id", "left").select("track_id", bpm.alias("bpm"), per.alias("beats_per_bar"), confidence.alias("confidence"), "sources")
+    known = sources.join(hits, "track_id", "left").join(bars, "track_id", "left").select("track_id", bpm.alias("bpm"), per.alias("beats_per_bar"), confidence.alias("confidence"), "sources", F.col("bpm").isNotNull().alias("paced"))
+    facts = known.drop("paced")
     marks = beats.where(F.col("source") == primary).select("track_id", F.lit("beat").alias("kind"), "t").unionByName(downbeats.where(F.col("source") == primary).select("track_id", F.lit("downbeat").alias("kind"), "t"))
-    rows = facts.select("track_id", "bpm", "beats_per_bar").join(tempo.select("track_id", F.lit(True).alias("paced")), "track_id", "left").join(by_sort(marks), "track_id", "left")
+    rows = known.select("track_id", "bpm", "beats_per_bar", "paced").join(by_sort(marks), "track_id", "left")
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        track_id, bpm, bpb = part["track_id"].iloc[0], float(part["bpm"].iloc[0]), int(part["beats_per_bar"].iloc[0])
-        grid, downs = (sorted(part.loc[part["kind"] == k, "t"].tolist()) for k in ("beat", "downbeat"))
-        if len(grid) < 4 and part["paced"].iloc[0] is not None and not pd.isna(part["paced"].iloc[0]):
+    def fold(track, part: list[tuple]):
+        bpm, bpb, paced = part[0][:3]
+        grid, downs = (sorted(t for *_, kind, t in part if kind == k) for k in ("beat", "downbeat"))
+        if len(grid) < 4 and paced:
             step, until = 60.0 / max(bpm, 1.0), (grid[-1] if grid else 30.0) + 2.0
             grid = _apart([*grid, *(k * step for k in range(int(until / step) + 1))], 0.001)
         grid, downs = whole_bars(grid, downs, bpb)
-        return pd.DataFrame([(track_id, kind, i, t) for kind, ts in (("beat", grid), ("downbeat", downs)) for i, t in enumerate(ts)], columns=["track_id", "kind", "idx", "t"])
+        return [(track, kind, i, t) for kind, ts in (("beat", grid), ("downbeat", downs)) for i, t in enumerate(ts)]
 
-    return facts, rows.groupBy("track_id").applyInPandas(fold, GRID)
+    return facts, fold_tracks(rows, fold, GRID)
 
 
 def single_source(beats: DataFrame, downbeats: DataFrame) -> DataFrame:

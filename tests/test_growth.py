@@ -67,7 +67,7 @@ def test_the_chord_table_is_no_part_of_a_plan(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["chord_scan_per_bar", "melody_continuity", "melody_skyline", "windowed_tempo_map"])
+@pytest.mark.parametrize("name", ["chord_scan_per_bar", "melody_continuity", "melody_skyline", "windowed_tempo_map", "beat_grid_finished"])
 def test_folds_have_no_group_for_each_track(spark, name):
     assert "FlatMapGroups" not in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
