@@ -249,13 +249,33 @@ _WINDOWS = "bucket int, win binary, chk binary, row binary, pos binary, ids bina
 _REMOVALS = "id bigint, key bigint, start bigint, n bigint"
 
 
-def window_rows(rows: DataFrame, bloom: np.ndarray, buckets: int) -> DataFrame:
-    """Windows at shared anchors, for each slice of a task: those that a smaller id of the slice repeats are marked done."""
-    shared = rows.sparkSession.sparkContext.broadcast(bloom)  # at most max_bytes
+def _wanted(batches, met: np.ndarray | None):
+    """The rows that are new or whose id the filter has, in batches of some 4 MB where few are."""
+    held, size = [], 0
+    for b in batches:
+        if met is not None:
+            new, ids = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("__new", "__id"))
+            b = b.filter(pa.array(new | hits(met, ids.astype(np.int64).view(np.uint64))))
+        held.append(b)
+        size += b.nbytes
+        if size >= 4 << 20:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def window_rows(rows: DataFrame, bloom: np.ndarray, buckets: int, met: np.ndarray | None = None) -> DataFrame:
+    """Windows at shared anchors, for each slice of a task: those that a smaller id of the slice repeats are marked done.
+
+    met: a filter of the earlier documents that count; it is asked here, as a step of its own would be a second Python worker for
+    each task, with its own memory."""
+    context = rows.sparkSession.sparkContext
+    shared, owners = context.broadcast(bloom), None if met is None else context.broadcast(met)  # at most max_bytes each
 
     def run(batches):
         number, hashes, checks = 0, WordHash(), WordHash(1)
-        for b in batches:
+        for b in _wanted(batches, owners and owners.value):
             columns = rows_of(b, "__id", "__key", "__new", "text")
             for start, stop in slices_of(columns[3], 4 << 20):
                 number += 1
@@ -343,13 +363,13 @@ def repeats(documents: DataFrame, root: str | None = None, batches: int = 2, max
     for lo, hi in zip(bounds, bounds[1:]):  # a handful of batches, each a job of its own
         fresh = rows if hi is None else rows.where(F.col("__id") <= hi)
         fresh = fresh if lo is None else fresh.where(F.col("__id") > lo)
-        past = index.owners()
+        past, met = index.owners(), None
         bloom = build(keep.keep(anchor_values(index.append(fresh)), "shared"), filter_bytes)  # written, so that no task runs two Python workers
         marked = fresh.withColumn("__new", F.lit(True))
         if past is not None:
             met = build(keep.keep(owners_of(past, bloom), "owners"), filter_bytes)
-            marked = marked.unionByName(_owned(rows.where(F.col("__id") <= lo) if lo is not None else rows, met).withColumn("__new", F.lit(False)))
-        part = materialize(removals(window_rows(marked, bloom, index.buckets)), "removals")
+            marked = marked.unionByName((rows.where(F.col("__id") <= lo) if lo is not None else rows).withColumn("__new", F.lit(False)))
+        part = materialize(removals(window_rows(marked, bloom, index.buckets, met)), "removals")
         found = part if found is None else found.unionByName(part)
         keep.drop("shared", "owners")
         if len(index.tables) >= max_runs:
@@ -359,17 +379,6 @@ def repeats(documents: DataFrame, root: str | None = None, batches: int = 2, max
     return found
 
 
-def _owned(rows: DataFrame, met: np.ndarray) -> DataFrame:
-    """The rows whose id the filter has."""
-    shared = rows.sparkSession.sparkContext.broadcast(met)  # at most max_bytes
-
-    def run(batches):
-        for b in batches:
-            yield b.filter(pa.array(hits(shared.value, b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))))
-
-    return rows.mapInArrow(run, rows.schema)
-
-
 def _with_runs(documents: DataFrame, found: DataFrame) -> tuple[DataFrame, str]:
     """documents with the runs that each row loses (null where it loses none), and that column's name: a join of runs to rows."""
     own, key, runs = unused(documents.columns, "row_id", "row_key", "row_runs")

@@ -241,6 +241,15 @@ def test_index_opens_again_and_compaction_keeps_all(spark):
     assert owners >= {i for i, a in anchors.items() if a & shared[1]}
 
 
+def test_substring_windows_take_one_python_worker_a_task(spark, monkeypatch):
+    """The filter of earlier owners is part of the window step: two Python steps in a task are two workers with a memory each."""
+    plans, write = [], substring.materialize
+    monkeypatch.setattr(substring, "materialize", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or write(df, name))
+    got = substring.repeats(table(spark, passages()), batches=3).count()
+    steps = [plan.count("- MapInArrow") for name, plan in plans if name == "removals"]
+    assert got and steps == [1, 1, 1]
+
+
 def test_substring_empty_table(spark):
     assert substring.remove_repeats(table(spark, ["x"]).limit(0)).count() == 0 and substring.cut_repeats(table(spark, ["x"]).limit(0)).count() == 0
 
