@@ -6,11 +6,12 @@ import struct
 from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quantize import snap_duration
-from .timejoin import interval_join
+from .timejoin import by_sort, interval_join
 
 TICKS = 480
 # Notated lengths in ticks, longest first, with type and dots.
@@ -81,28 +82,46 @@ def duration_tokens(spark) -> DataFrame:
     return spark.createDataFrame(rows, "ticks int, seq int, value int, type string, dots int")
 
 
-def _block(measures: int = 32):
-    """Measures are handled in blocks: small groups for Spark, few of them for Python."""
-    return F.floor((F.col("measure") - 1) / measures).alias("block")
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows by track and measure in all shuffle partitions: a measure is few bytes, but takes Python's time, and adaptive execution would
+    bring many to one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "track_id", "measure")
 
 
-def _voice_of(rows: pd.DataFrame) -> pd.DataFrame:
-    """rows in order, with voice: within a measure and staff the lowest voice that has ended."""
-    rows = rows.sort_values(["measure", "staff", "start_tick", "pitch", "id"])
-    ends: dict[tuple, list[int]] = {}
-    out = []
-    for m, staff, s, e in zip(rows["measure"], rows["staff"], rows["start_tick"], rows["end_tick"], strict=True):
-        held = ends.setdefault((m, staff), [])
-        v = next((i for i, x in enumerate(held) if x <= s), len(held))
-        held[v : v + 1] = [e]
-        out.append(v + 1)
-    return rows.assign(voice=pd.Series(out, index=rows.index, dtype="int32"))
+def _next_voice(held: list[int], start: int, end: int) -> int:
+    """The lowest voice that has ended, of those whose ends are held; it is held from then on."""
+    v = next((i for i, x in enumerate(held) if x <= start), len(held))
+    held[v : v + 1] = [end]
+    return v + 1
 
 
 def voices(pieces: DataFrame) -> DataFrame:
-    """Adds voice: within a measure and staff, in order of start and pitch, the lowest voice that has ended."""
+    """Adds voice: within a measure and staff, in order of start and pitch, the lowest voice that has ended.
+
+    A task takes its measures from one sorted stream; a group each would cost milliseconds, whatever it holds."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", voice int"
-    return pieces.groupBy("track_id", _block()).applyInPandas(lambda rows: _voice_of(rows), schema)
+
+    def run(batches):
+        place, held = None, []
+        for b in batches:
+            found = []
+            for *at, start, end in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("track_id", "measure", "staff", "start_tick", "end_tick")), strict=True):
+                if at != place:
+                    place, held = at, []
+                found.append(_next_voice(held, start, end))
+            yield b.append_column(pa.field("voice", pa.int32()), pa.array(found, pa.int32()))
+
+    return _dealt(pieces).sortWithinPartitions("track_id", "measure", "staff", "start_tick", "pitch", "id").mapInArrow(run, schema)
+
+
+def _voiced(notes: list[dict] | None) -> list[tuple]:
+    """(staff, voice, start, pitch, end, stop, start flag, id, articulation) of a measure's notes, in order."""
+    held: dict[int, list[int]] = {}
+    out = []
+    for n in sorted(notes or (), key=lambda n: (n["staff"], n["start_tick"], n["pitch"], n["id"])):
+        voice = _next_voice(held.setdefault(n["staff"], []), n["start_tick"], n["end_tick"])
+        out.append((n["staff"], voice, n["start_tick"], n["pitch"], n["end_tick"], n["tie_stop"], n["tie_start"], n["id"], n["articulation"]))
+    return sorted(out, key=lambda n: (*n[:4], n[7]))
 
 
 def _tokens(ticks: int) -> list[tuple[int, str, int]]:
@@ -216,7 +235,7 @@ def measure_xml(number: int, notes: list[tuple], begin: int, width: int, first:
 
 
 def musicxml(quantised: DataFrame, chords: DataFrame | None = None, bpm: float | None = None, signatures: DataFrame | None = None, sections: DataFrame | None = None, articulations: DataFrame | None = None, single_staff: bool = False) -> DataFrame:
-    """(track_id, xml): notes and measures meet in blocks of 32 measures, and the measures are joined in order by an aggregate.
+    """(track_id, xml): each measure is a row with its notes, written by itself, and the measures are joined in order by an aggregate.
 
     Measures behind the last that has a note, a chord or a style are left out. With single_staff all notes stand in one staff, whose clef follows the measures'
     mean pitch.
@@ -258,21 +277,21 @@ def musicxml(quantised: DataFrame, chords: DataFrame | None = None, bpm: float |
     shown = F.max(F.when(F.col("harmony").isNotNull() | F.col("style").isNotNull(), F.col("measure"))).over(Window.partitionBy("track_id"))
     rows = rows.join(sounding, "track_id", "left").withColumn("shown", shown).where(F.col("measure") <= F.greatest(F.coalesce("last_note", F.lit(1)), F.coalesce("shown", F.lit(1)))).drop("last_note", "shown", "style")
 
-    def write(notes: pd.DataFrame, bars: pd.DataFrame) -> pd.DataFrame:
-        of: dict[int, list[tuple]] = {}
-        if len(notes):
-            notes = _voice_of(notes).sort_values(["measure", "staff", "voice", "start_tick", "pitch", "id"])
-            for m, *n in zip(*(notes[c].tolist() for c in ("measure", "staff", "voice", "start_tick", "pitch", "end_tick", "tie_stop", "tie_start", "id", "articulation")), strict=True):
-                of.setdefault(m, []).append(tuple(n))
-        out = []
-        for b in bars.sort_values("measure").itertuples(index=False):
-            harmony = [] if b.harmony is None else [harmony_xml(x["offset"], STEPS[int(x["root"])], x["kind"], None if pd.isna(x["bass"]) else STEPS[int(x["bass"])], [(d["value"], d["alter"], d["type"]) for d in x["degrees"]]) for x in b.harmony]
-            meter = (b.numerator, b.denominator) if b.new_meter else None
-            out.append((b.track_id, b.measure, measure_xml(b.measure, of.get(b.measure, []), b.start_tick, b.end_tick - b.start_tick, b.measure == 1, meter, bpm, b.swing, harmony, b.clef, single_staff)))
-        return pd.DataFrame(out, columns=["track_id", "measure", "xml"])
-
-    left, right = (d.withColumn("block", _block()).selectExpr(*(f"{c} as {c}" for c in (*d.columns, "block"))) for d in (marked, rows))  # columns of their own
-    measures = left.groupBy("track_id", "block").cogroup(right.groupBy("track_id", "block")).applyInPandas(lambda n, b: write(n, b), "track_id bigint, measure int, xml string")
+    def write(batches):
+        for batch in batches:
+            out = []
+            for b in batch.to_pylist():
+                harmony = [harmony_xml(x["offset"], STEPS[x["root"]], x["kind"], None if x["bass"] is None else STEPS[x["bass"]], [(d["value"], d["alter"], d["type"]) for d in x["degrees"]]) for x in b["harmony"] or ()]
+                meter = (b["numerator"], b["denominator"]) if b["new_meter"] else None
+                width = b["end_tick"] - b["start_tick"]
+                out.append(measure_xml(b["measure"], _voiced(b["notes"]), b["start_tick"], width, b["measure"] == 1, meter, bpm, b["swing"], harmony, b["clef"], single_staff))
+            ids = (batch.column(batch.schema.get_field_index(c)) for c in ("track_id", "measure"))
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(out, pa.string())], ["track_id", "measure", "xml"])
+
+    note = F.struct("staff", "start_tick", "pitch", "end_tick", "tie_stop", "tie_start", "id", "articulation")
+    packed = _dealt(marked.withColumn("note", note).select("track_id", "measure", "note")).groupBy("track_id", "measure").agg(F.collect_list("note").alias("notes"))
+    full = _dealt(rows).join(by_sort(packed), ["track_id", "measure"], "left")
+    measures = full.select("track_id", "measure", "start_tick", "end_tick", "numerator", "denominator", "new_meter", "swing", "harmony", "clef", "notes").mapInArrow(write, "track_id bigint, measure int, xml string")
     head = '<?xml version="1.0" encoding="UTF-8"?><score-partwise version="3.1"><part-list><score-part id="P1"><part-name>Score</part-name></score-part></part-list><part id="P1">'
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("measure", "xml"))), lambda m: m["xml"]), "")
     return measures.groupBy("track_id").agg(F.concat(F.lit(head), body, F.lit("</part></score-partwise>")).alias("xml"))

@@ -9,6 +9,7 @@ import pytest
 from tessitura.operators import chords as C
 from tessitura.operators import folds
 from tessitura.operators import hmm as V
+from tessitura.operators import score as E
 from tessitura.operators import tempo as T
 from tessitura.operators import timejoin as J
 from tessitura.plans import catalog
@@ -89,3 +90,27 @@ def test_tempi_of_windows_are_those_of_each_alone():
     rng = np.random.default_rng(3)
     lists = [np.sort(rng.uniform(0, 8, n)).tolist() for n in rng.integers(0, 30, 200)] + [[float(x) / 2 for x in range(16)], [], [0.0, 0.0, 0.0]]
     assert T.tempi_of(lists, onsets_each=500) == [T.tempo_of(x) for x in lists]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["musicxml_document", "voice_assignment"])
+def test_scores_are_written_from_streams_dealt_to_all_tasks(spark, name):
+    """A pandas group for each block of measures costs milliseconds, and adaptive execution brings the few bytes of many to one task."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "MapInArrow" in plan
+    assert re.search(r"hashpartitioning\(track_id#\d+L?, measure#\d+, \d+\), REPARTITION_BY_NUM", plan)
+
+
+def test_voices_of_shuffled_pieces(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(t), int(m), int(s), int(a), int(a + d), int(p), n) for n, (t, m, s, a, d, p) in enumerate(zip(*(rng.integers(0, k, 600) for k in (3, 40, 2, 12, 9, 30)), strict=True))]
+    pieces = spark.createDataFrame(rows, "track_id bigint, measure int, staff int, start_tick int, end_tick int, pitch int, id int").repartition(7)
+    want, held = {}, {}
+    for t, m, s, a, z, _, n in sorted(rows, key=lambda r: (r[3], r[5], r[6])):
+        ends = held.setdefault((t, m, s), [])
+        free = [i for i, x in enumerate(ends) if x <= a]
+        v = free[0] if free else len(ends)
+        ends[v : v + 1] = [z]
+        want[n] = v + 1
+    got = E.voices(pieces)
+    assert got.columns == [*pieces.columns, "voice"] and {r["id"]: r["voice"] for r in got.collect()} == want and max(want.values()) > 2
