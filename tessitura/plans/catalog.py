@@ -729,8 +729,10 @@ def voice_assignment(spark, sf):
 
 
 def musicxml_document(spark, sf):
-    """With two meters and a swinging middle."""
-    q = quantised(spark, sf)
+    """With two meters and a swinging middle. The notes are quantised once and written, as spans, chords and articulations each read them."""
+    q, folder = quantised(spark, sf), FS.work_folder(spark, "quantised")
+    q.write.mode("overwrite").parquet(folder)
+    q = spark.read.schema(q.schema).parquet(folder)
     styles = spark.createDataFrame([(0, 4, "Straight"), (4, 8, "Swing"), (8, 10_000, "Straight")], "bar_start int, bar_end int, style string")
     sections = D.tempo_segments(spark, sf).select("track_id").distinct().crossJoin(F.broadcast(styles))
     return E.musicxml(q, C.chord_scan(q), 120.0, signatures(spark, sf), sections, Q.articulation(q, D.note_events(spark, sf), 0.5))

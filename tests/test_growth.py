@@ -114,3 +114,9 @@ def test_voices_of_shuffled_pieces(spark):
         want[n] = v + 1
     got = E.voices(pieces)
     assert got.columns == [*pieces.columns, "voice"] and {r["id"]: r["voice"] for r in got.collect()} == want and max(want.values()) > 2
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_notes_of_a_score_are_quantised_once(spark):
+    plan = catalog.musicxml_document(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("/quantised-") >= 3
