@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import lean
+
 _ODD = np.uint64(0x165667B19E3779F9)
 _SECTION = 1 << 16  # bytes
 
@@ -29,6 +31,7 @@ def build(values: DataFrame, max_bytes: int, bits_per_value: int = 16) -> np.nda
     width = 8 * min(_SECTION, bits // 8)
     parts = bits // width
 
+    @lean
     def slots(batches):
         for b in batches:
             v = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)

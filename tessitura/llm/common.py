@@ -6,9 +6,13 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bloom import build, hits
+from .memory import lean
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``. Unset, a session in one process gets a
@@ -90,14 +94,36 @@ def text_key(column: str = "text"):
     return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")), F.col(column).isNull())
 
 
-def without_rows(documents: DataFrame, gone: DataFrame) -> DataFrame:
+def without_rows(documents: DataFrame, gone: DataFrame, few: int = 10_000, filter_bytes: int = 64 << 20) -> DataFrame:
     """documents without the rows whose id and text_key() are in gone (doc_id, text_key); a null id is a value like others.
 
-    gone is broadcast where Spark finds it small by its written size, and joined by sorting otherwise."""
+    Up to few rows are broadcast. More are joined by sorting, with the rows alone that a Bloom filter of them has: no other
+    row's text is shuffled."""
     gone = materialize(gone.distinct(), "gone").toDF("id_", "key_")
-    own, key = unused([*documents.columns, *gone.columns], "row_id", "row_hash")
+    own, key, mark = unused([*documents.columns, *gone.columns], "row_id", "row_hash", "row_mark")
     marked = documents.withColumn(own, F.col("doc_id").cast("long")).withColumn(key, text_key())
-    return marked.join(gone, marked[own].eqNullSafe(gone["id_"]) & (marked[key] == gone["key_"]), "left_anti").select(*documents.columns)
+
+    def unmet(rows: DataFrame, gone: DataFrame) -> DataFrame:
+        return rows.join(gone, rows[own].eqNullSafe(gone["id_"]) & (rows[key] == gone["key_"]), "left_anti").select(*documents.columns)
+
+    if gone.count() <= few:
+        return unmet(marked, F.broadcast(gone))
+    shared = documents.sparkSession.sparkContext.broadcast(build(gone.select(F.xxhash64("id_", "key_").alias("mark")), filter_bytes))
+    marked = marked.withColumn(mark, F.xxhash64(own, key))
+
+    def having(met: bool, *columns: str) -> DataFrame:
+        @lean
+        def run(batches):
+            for b in batches:
+                marks = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                found = b.select(list(range(b.num_columns - 1))).filter(pa.array(hits(shared.value, marks) == met))
+                if len(found):
+                    yield found
+
+        rows = marked.select(*columns)
+        return marked.select(*columns, mark).mapInArrow(run, rows.schema)
+
+    return having(False, *documents.columns).union(unmet(having(True, *documents.columns, own, key), gone))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

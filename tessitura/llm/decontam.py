@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHash, materialize, rows_of, slices_of, text_key, without_rows
+from .memory import lean
 
 BLOCK, PASSAGE, SHORT, LONGEST = 4, 32, 32, 128  # words of a block, of a passage, of the longest short item, and of the longest window
 _HALL = 4096  # places of the small table that tells which words an item lacks
@@ -58,6 +59,7 @@ def encode_documents(documents: DataFrame) -> DataFrame:
 
     All later passes over the corpus read this table, a quarter of the texts' size."""
 
+    @lean
     def run(batches):
         z = zstandard.ZstdCompressor(level=1)
         for b in batches:
@@ -84,6 +86,7 @@ def passages_of(ids: list[np.ndarray], fill: int) -> np.ndarray:
 def passage_frequencies(encoded: DataFrame, dims: int) -> tuple[np.ndarray, int]:
     """In how many passages each bucket occurs, and how many passages there are; from all documents."""
 
+    @lean
     def run(batches):
         total, passages = np.zeros(dims, np.int64), 0
         for b in batches:
@@ -117,6 +120,7 @@ def _times(words: DataFrame, group: np.ndarray, sign: np.ndarray, idf: np.ndarra
     dims, spark = len(idf), words.sparkSession
     shared, step = spark.sparkContext.broadcast((group, sign, idf)), dims // blocks
 
+    @lean
     def run(batches):
         group, sign, idf = shared.value
         weight = np.append(idf, 0).astype(np.float32)  # the place behind the last bucket fills a text's last passage
@@ -323,6 +327,7 @@ def fit(documents: DataFrame, items: DataFrame, dims: int = 1 << 15, rank: int =
     df, passages = passage_frequencies(encoded, dims)
     idf = np.log((passages + 1) / (df + 1)).astype(np.float32)
 
+    @lean
     def own(batches):
         z = zstandard.ZstdCompressor(level=1)
         for b in batches:
@@ -344,6 +349,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, min_cosine: float = 0
         rows = [(r["item_id"], bytes(r["text"]), r["answer"] and bytes(r["answer"])) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).collect()]
         shared = spark.sparkContext.broadcast((table, Items(rows, table, idf)))
 
+        @lean
         def run(batches, shared=shared):
             projection, made = shared.value
             for b in batches:

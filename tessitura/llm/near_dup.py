@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .bloom import build, hits
 from .common import Scratch, WordHash, rows_of, text_key, without_rows
+from .memory import lean
 
 SHINGLE = 5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -78,6 +79,7 @@ def needed(size: int, k: int) -> int:
 def sketches(documents: DataFrame, k: int) -> DataFrame:
     """doc_id, text_key, n_shingles, digest of the set (null if empty), sketch."""
 
+    @lean
     def run(batches):
         words = WordHash(5)
         for b in batches:
@@ -114,6 +116,7 @@ def with_estimates(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """pairs (a, b) with the union-sketch estimate; those whose estimate is below six standard deviations are left out."""
     low = 0.75 - 6 * (0.1875 / k) ** 0.5
 
+    @lean
     def run(batches):
         for b in batches:
             x, y = lists_of(b, "sa"), lists_of(b, "sb")
@@ -131,6 +134,7 @@ def with_estimates(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= 75 * union on full sets."""
 
+    @lean
     def run(batches):
         for b in batches:
             keep = []
@@ -229,6 +233,7 @@ def verified_relations(relations: DataFrame, placed: DataFrame, sets: DataFrame,
     counts = members.groupBy("other").agg(F.first("parts_y").alias("parts_y"))
     met = asking.join(counts, "other").withColumn("part_y", F.explode(F.sequence(F.lit(0), F.col("parts_y") - 1))).select("other", "part_y", "x").join(members.select("other", "part_y", "y"), ["other", "part_y"])
 
+    @lean
     def run(batches):
         for b in batches:
             found = []
@@ -254,6 +259,7 @@ def full_sets(documents: DataFrame, wanted: DataFrame, filter_bytes: int) -> Dat
     """(cid, hashes) of the wanted classes (cid, rep, digest); a Bloom filter keeps the others' texts out of the shuffle."""
     shared = documents.sparkSession.sparkContext.broadcast(build(wanted.select("rep"), filter_bytes))
 
+    @lean
     def run(batches):
         words = WordHash(5)
         for b in batches:

@@ -33,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import Memo, rows_of, utf8
+from .memory import lean
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, tier bigint, step_group bigint"
 
@@ -216,6 +217,7 @@ def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 2, tiers:
     if any(t & (t - 1) or t < 1 for t in tiers):
         raise ValueError("tiers are powers of two")
 
+    @lean
     def pack(batches):
         encode = text_encoder(tokenizer, end_id)
         packer = Packer(TaskContext.get().partitionId(), tiers, step_tokens)

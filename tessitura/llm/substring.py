@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from .bloom import build, hits
 from .common import Scratch, WordHash, delete, materialize, rows_of, slices_of, text_key, unused, write
+from .memory import lean
 
 WINDOW, GRAM = 13, 6
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -180,6 +181,7 @@ def _compact_bucket(table: pa.Table) -> pa.Table:
 def owner_rows(documents: DataFrame) -> DataFrame:
     """For each slice of a task its fingerprints, sorted, the row in the slice that each occurs in, and the rows' ids."""
 
+    @lean
     def run(batches):
         words = WordHash()
         for b in batches:
@@ -200,6 +202,7 @@ def owner_rows(documents: DataFrame) -> DataFrame:
 def bucket_rows(owners: DataFrame, buckets: int) -> DataFrame:
     """(bucket, anchors): the fingerprints of each slice, once each; the lowest bit says that two of the slice's rows have it."""
 
+    @lean
     def run(batches):
         for b in batches:
             for blob in rows_of(b, "anchors")[0]:
@@ -215,6 +218,7 @@ def owners_of(owners: DataFrame, bloom: np.ndarray) -> DataFrame:
     """(id) of the documents of these runs that own a fingerprint which the filter has."""
     shared = owners.sparkSession.sparkContext.broadcast(bloom)  # at most max_bytes
 
+    @lean
     def run(batches):
         for b in batches:
             for anchors, row, ids in zip(*rows_of(b, "anchors", "row", "ids"), strict=True):
@@ -228,6 +232,7 @@ def owners_of(owners: DataFrame, bloom: np.ndarray) -> DataFrame:
 def anchor_values(blobs: DataFrame) -> DataFrame:
     """The anchors of a table of blobs, one a row."""
 
+    @lean
     def run(batches):
         for b in batches:
             for blob in rows_of(b, "anchors")[0]:
@@ -273,6 +278,7 @@ def window_rows(rows: DataFrame, bloom: np.ndarray, buckets: int, met: np.ndarra
     context = rows.sparkSession.sparkContext
     shared, owners = context.broadcast(bloom), None if met is None else context.broadcast(met)  # at most max_bytes each
 
+    @lean
     def run(batches):
         number, hashes, checks = 0, WordHash(), WordHash(1)
         for b in _wanted(batches, owners and owners.value):
@@ -398,6 +404,7 @@ def remove_repeats(documents: DataFrame, **options) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space, as bytes) of each row of documents."""
     marked, runs = _with_runs(documents.select("doc_id", "text"), repeats(documents, **options))
 
+    @lean
     def run(batches):
         for b in batches:
             words, gone, kept = zip(*map(_cover, *rows_of(b, "text", runs)), strict=True) if len(b) else ((), (), ())
@@ -411,6 +418,7 @@ def cut_repeats(documents: DataFrame, **options) -> DataFrame:
     marked, runs = _with_runs(documents, repeats(documents, **options))
     types = {f.name: f.dataType for f in documents.schema.fields}
 
+    @lean
     def run(batches):
         for b in batches:
             texts, lost = rows_of(b, "text", runs)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, fold, labelled_sample, rows_of, utf8
+from .memory import lean
 
 SENTENCE = re.compile(rb"[^.!?\r\n]+")
 TRIM = re.compile(r"^\W+|\W+$")
@@ -123,6 +124,7 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, mod: int = 3, held:
     kinds = "doc_id bigint, held_out boolean, score double, predicted int, sentences " + SPANS
     shared = documents.sparkSession.sparkContext.broadcast(model)  # at most max_features weights
 
+    @lean
     def score(batches):
         m = shared.value
         weights = m and Memo(lambda w: sum(m["weights"].get(f, 0.0) for f in features(w)), WORDS)
@@ -142,6 +144,7 @@ def reject_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.7
     model = fit(documents, labels, **bounds)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def keep(batches):
         m = shared.value
         weights = m and Memo(lambda w: sum(m["weights"].get(f, 0.0) for f in features(w)), WORDS)
