@@ -44,13 +44,16 @@ def scalar_functions() -> dict[str, tuple[str, str, str]]:
       'suffix', CASE WHEN {root} <> '' THEN {rest} ELSE substring({head}, 2, 1000) END, 'bass', CASE WHEN {bass} <> '' THEN {_pitch_class(bass)} END)"""
     kinds = " ".join(f"WHEN {quoted(s)} THEN {quoted(k)}" for s, k in CHORD_KINDS.items())
     symbols = quoted("|".join(s or "" for s in chord_symbols()))
+    # element_at of an array without nulls is taken for never null: for a null place it would give the last symbol
+    place = "mask * 13 + bass + 1"
+    symbol = f"CASE WHEN {place} BETWEEN 0 AND {len(chord_symbols()) - 1} THEN element_at(split({symbols}, '[|]'), {place} + 1) END"
     return {
         "snap_beat": ("x DOUBLE", "DOUBLE", _nearest(tuple(sorted(START_GRIDS, reverse=True)), START_MARGIN)),
         "snap_length": ("x DOUBLE", "DOUBLE", f"greatest({LEAST!r}D, coalesce({_nearest(DURATIONS, DURATION_MARGIN)}, {LEAST!r}D))"),
         "pitch_class": ("name STRING", "INT", _pitch_class("name")),
         "parse_chord": ("symbol STRING", "STRUCT<root: INT, suffix: STRING, bass: INT>", parsed),
         "chord_kind": ("suffix STRING", "STRING", f"CASE suffix {kinds} ELSE 'other' END"),
-        "chord_symbol": ("mask INT, bass INT", "STRING", f"nullif(element_at(split({symbols}, '[|]'), mask * 13 + bass + 2), '')"),
+        "chord_symbol": ("mask INT, bass INT", "STRING", f"nullif({symbol}, '')"),
     }
 
 

@@ -45,6 +45,14 @@ def test_scalar_functions_equal_the_column_forms(spark):
     assert "Python" not in plan
 
 
+def test_a_chord_of_unknown_mask_or_bass_has_no_symbol(spark):
+    surface.register_functions(spark)
+    sets = spark.createDataFrame([(None, None), (None, 3), (7, None), (-1, 0), (4096, 11), (0, -1), (145, 0), (4095, 11)], "mask int, bass int").repartition(1)
+    sets.createOrReplaceTempView("sql_sets")
+    found = spark.sql("SELECT mask, bass, chord_symbol(mask, bass) AS symbol FROM sql_sets")
+    assert same(found, C.symbols(sets)) and [r[:2] for r in found.where("symbol is not null").collect()] == [(145, 0), (4095, 11)]
+
+
 def test_note_positions_by_lateral(spark):
     surface.register_functions(spark)
     page = "<svg viewBox='0 0 100 50'><g id='n3_60_480_240'><rect x='10' y='5' width='4' height='2'/></g><g id='n60_0_120'><rect x='1' y='1' width='1' height='1'/></g></svg>"
